@@ -55,11 +55,11 @@ def filter_size(rows: int) -> int:
     return n
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; a null text counts as empty. Of equal texts the row with
-    the largest id stays; rows that repeat that id all count as kept; a null id is less than any
+    the largest id stays (the least with keep="min"); rows that repeat that id all count as kept; a null id is less than any
     other (keep_id is null only where all ids of the group are). An empty table gives no rows.
     Other columns are ignored, whatever their names.
     """
@@ -73,7 +73,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha
     )
     some = cut(marked.where("repeated").select("id", sha))
-    groups = cut(some.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")))
+    groups = cut(some.groupBy("text_sha256").agg((F.min if keep == "min" else F.max)("id").alias("keep_id"), F.count("*").alias("group_size")))
     exact = join_groups(some, groups, ["text_sha256"], "group_size").select(
         "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
