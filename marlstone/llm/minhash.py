@@ -177,7 +177,7 @@ def _rest(bands: DataFrame, large: DataFrame, comp: DataFrame, sigs: DataFrame,
     lead = named.select(F.col("id").alias("lead"), F.col("component").alias("main"))
     first = large.select("key", F.element_at("leaders", 1).alias("lead")).join(lead, "lead", "left").select("key", F.coalesce("main", "lead").alias("main"))
     marked = join_groups(rows.drop("leaders"), first.join(large.select("key", F.col("n").alias("m")), "key"), ["key"], "m").withColumn("other", F.col("component") != F.col("main"))
-    marked = cut(marked.select("key", "id", "component", "n", "other"))
+    marked = cut(marked.select("key", "band", "id", "component", "n", "other"))
     others = marked.where("other").groupBy("key").agg(F.count("*").alias("o"))
     many = large.select("key", F.col("n").alias("m")).join(others, "key")
     todo = cut(many)
@@ -187,8 +187,8 @@ def _rest(bands: DataFrame, large: DataFrame, comp: DataFrame, sigs: DataFrame,
     rows = join_groups(marked, todo, ["key"], "m").withColumn("na", blocks("n")).withColumn("no", blocks("o"))
     rows = rows.join(sigs.select("id", "sig"), "id")
     h = F.xxhash64("id", F.lit(3))
-    every = rows.select("key", "id", "component", "sig", F.lit(0).alias("side"), F.pmod(h, "na").alias("i"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("j"))
-    other = rows.where("other").select("key", "id", "component", "sig", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), F.pmod(h, "no").alias("j"))
+    every = rows.select("key", "band", "id", "component", "sig", F.lit(0).alias("side"), F.pmod(h, "na").alias("i"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("j"))
+    other = rows.where("other").select("key", "band", "id", "component", "sig", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), F.pmod(h, "no").alias("j"))
     least = _agree(threshold)
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
@@ -196,9 +196,12 @@ def _rest(bands: DataFrame, large: DataFrame, comp: DataFrame, sigs: DataFrame,
         out_a, out_b = [], []
         if len(left) and len(right):
             s = np.frombuffer(b"".join(left.sig), np.uint32).reshape(-1, ROWS * BANDS)
-            ids, comps = left.id.to_numpy(), left.component.to_numpy()
+            ids, comps, band = left.id.to_numpy(), left.component.to_numpy(), left.band.iloc[0]
             for i, c, sig in zip(right.id, right.component, right.sig):
-                ok = ((s == np.frombuffer(sig, np.uint32)).sum(1) >= least) & (comps != c)
+                same = s == np.frombuffer(sig, np.uint32)
+                ok = np.flatnonzero((same.sum(1) >= least) & (comps != c))
+                # a pair meets in each band that it shares; only the first of them gives it
+                ok = ok[same[ok].reshape(len(ok), BANDS, ROWS).all(2).argmax(1) == band]
                 out_a.append(np.minimum(ids[ok], i))
                 out_b.append(np.maximum(ids[ok], i))
         return pd.DataFrame({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
@@ -221,8 +224,8 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     classes = cut(full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("members")))
     reps = classes.select(F.col("rep").alias("id"), "k1", "k2")
     sigs = cut(full.select("id", "n", "k1", "k2", "sig").join(reps, ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]).select("id", "n", "sig"))
-    bands = cut(sigs.select("id", F.explode(band_keys(F.col("sig"))).alias("key")))
-    leaders = F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", "key", F.lit(k))) for k in range(LEADERS)]))
+    bands = cut(sigs.select("id", F.posexplode(band_keys(F.col("sig"))).alias("band", "key")))
+    leaders = F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(LEADERS)]))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), leaders.alias("leaders")).where("n > 1")
     buckets = cut(buckets.withColumn("leaders", F.when(F.col("n") > SMALL, F.col("leaders"))))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
