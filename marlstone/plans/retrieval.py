@@ -38,14 +38,21 @@ P.add(
     sql=f"WITH {D_KW} SELECT id, term, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank FROM kw",
 )
 
-GRAMS = T.ngrams(TOKENS, 1, 2)
+#: Over a token column made first: inside a lambda the tokens would be made anew for every phrase.
+GRAMS = T.ngrams(F.col("toks"), 1, 2)
+
+
+def with_tokens(docs, tokens=TOKENS):
+    return docs.withColumn("toks", tokens)
+
+
 D_GRAMS = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))"
 D_TFIDF = f"""gtf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({D_GRAMS}) AS term FROM (SELECT doc_id AS id, {D_TOKENS} AS t FROM documents)) GROUP BY ALL),
     gidf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM gtf GROUP BY term),
     g AS (SELECT id, term, idf, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS weight FROM gtf JOIN gidf USING (term))"""
 P.add(
     "i3_tfidf_vectors",
-    lambda docs: I.tfidf(docs, GRAMS, "doc_id").groupBy("id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("top")),
+    lambda docs: I.tfidf(with_tokens(docs), GRAMS, "doc_id").groupBy("id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("top")),
     "documents",
     sql=f"WITH {D_TFIDF} SELECT id, count(*) AS terms, round(sum(weight), 6) AS total, round(max(weight), 6) AS top FROM g GROUP BY id",
 )
@@ -60,7 +67,7 @@ P.add(
     "documents",
     sql=f"WITH {D_BM} SELECT term, df, round(idf, 6) AS idf FROM idf_",
 )
-P.add("i5_lsa_vectors", lambda docs: I.lsa_vectors(docs, TOKENS, "doc_id").select("id", F.size("vector").alias("dim")), "documents")
+P.add("i5_lsa_vectors", lambda docs: I.lsa_vectors(docs, TOKENS, "doc_id", rank=16, vocabulary=512).select("id", F.size("vector").alias("dim")), "documents")
 
 
 _SUMS = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {k}, 8) AS BIGINT)) AS VARCHAR)" for k in (1, 9, 17))
@@ -106,7 +113,7 @@ P.add(
 )
 P.add(
     "r1_tfidf_search",
-    lambda q, docs: S.top(S.tfidf(q, T.ngrams(Q_TOKENS, 1, 2), docs, GRAMS, "doc_id"), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
+    lambda q, docs: S.top(S.tfidf(with_tokens(q, Q_TOKENS), GRAMS, with_tokens(docs), GRAMS, "doc_id"), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
     "queries_v",
     "documents",
     sql=f"""WITH {D_TFIDF}, {D_QTOK}, q0 AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({D_GRAMS}) AS term FROM qtok) GROUP BY ALL),
@@ -160,7 +167,7 @@ P.add(
 
 
 def fused(q, docs):
-    signals = {"tfidf": S.tfidf(q, T.ngrams(Q_TOKENS, 1, 2), docs, GRAMS, "doc_id"), "overlap": overlap(q, docs), "bm25": bm25(q, docs)}
+    signals = {"tfidf": S.tfidf(with_tokens(q, Q_TOKENS), GRAMS, with_tokens(docs), GRAMS, "doc_id"), "overlap": overlap(q, docs), "bm25": bm25(q, docs)}
     return S.fuse({k: unit(v, docs) for k, v in signals.items()})
 
 
