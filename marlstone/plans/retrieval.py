@@ -173,7 +173,7 @@ def fused(q, docs):
 
 D_FUSED = f"""{D_SCORE}, {D_TFIDF}, q0 AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({D_GRAMS}) AS term FROM qtok) GROUP BY ALL),
     q1 AS (SELECT query_id, term, qtf * idf / sqrt(sum(qtf * idf * qtf * idf) OVER (PARTITION BY query_id)) AS qw FROM q0 JOIN gidf USING (term)),
-    ti AS (SELECT query_id, id, sum(qw * weight) AS score FROM q1 JOIN g USING (term) GROUP BY ALL), {D_OVER.split(', ', 1)[1] if False else D_OVER[len(D_QTOK) + 2:]},
+    ti AS (SELECT query_id, id, sum(qw * weight) AS score FROM q1 JOIN g USING (term) GROUP BY ALL), {D_OVER[len(D_QTOK) + 2:]},
     {d_unit('bm')}, {d_unit('ti')}, {d_unit('ov')},
     fused AS (SELECT query_id, id, sum(part) AS score FROM (SELECT query_id, id, unit * 0.28 / 0.64 AS part FROM u_ti UNION ALL SELECT query_id, id, unit * 0.18 / 0.64 FROM u_ov
         UNION ALL SELECT query_id, id, unit * 0.18 / 0.64 FROM u_bm) GROUP BY ALL)"""
@@ -225,7 +225,7 @@ def _field():
     return S.field_boost(F.col("q_tokens"), F.col("title_n"), F.col("chunk_type"), F.col("entity_n"), F.col("body"))
 
 
-P.add("r8_field_boost", lambda q, d, c: candidates(q, d, c).select("query_id", "id", F.round(_field(), 6).alias("boost")), *_CAND, sql=f"WITH {D_CAND} SELECT query_id, id, round({D_FIELD}, 6) AS boost FROM cand")
+P.add("r8_field_boost", lambda q, d, c: candidates(q, d, c).select("query_id", "id", F.round(_field(), 6).alias("boost")), *_CAND, sql=f"WITH {D_CAND} SELECT query_id, id, round(CAST({D_FIELD} AS DOUBLE), 6) AS boost FROM cand")
 _ENT = "regexp_replace(entity_n, '^[^ ]+ ', '')"
 D_ENTITY = f"""CASE WHEN entity_n = '' THEN 0.0 WHEN contains(query, entity_n) THEN 0.3 WHEN {_ENT} <> entity_n AND contains(query, {_ENT}) THEN 0.2
     WHEN {d_hits("string_split(entity_n, ' ')", 'query')} = len(string_split(entity_n, ' ')) THEN 0.18 WHEN {d_hits("string_split(entity_n, ' ')", 'query')} * 2 > len(string_split(entity_n, ' ')) THEN 0.12 ELSE 0.0 END"""
@@ -233,7 +233,7 @@ P.add(
     "r9_entity_boost",
     lambda q, d, c: candidates(q, d, c).withColumn("entity_n", F.regexp_replace(F.substring("body", 1, 9), " +$", "")).select("query_id", "id", F.round(S.entity_boost(F.col("query"), F.col("entity_n")), 6).alias("boost")),
     *_CAND,
-    sql=f"WITH {D_CAND}, c2 AS (SELECT * REPLACE (rtrim(substr(body, 1, 9)) AS entity_n) FROM cand) SELECT query_id, id, round({D_ENTITY}, 6) AS boost FROM c2",
+    sql=f"WITH {D_CAND}, c2 AS (SELECT * REPLACE (rtrim(substr(body, 1, 9)) AS entity_n) FROM cand) SELECT query_id, id, round(CAST({D_ENTITY} AS DOUBLE), 6) AS boost FROM c2",
 )
 D_TYPE = "CASE WHEN asked = chunk_type THEN 0.12 WHEN chunk_type IN ('overview', 'fact') THEN 0.03 ELSE 0.0 END"
 P.add("r10_type_boost", lambda q, d, c: candidates(q, d, c).select("query_id", "id", S.type_boost(F.col("asked"), F.col("chunk_type")).alias("boost")), *_CAND, sql=f"WITH {D_CAND} SELECT query_id, id, CAST({D_TYPE} AS DOUBLE) AS boost FROM cand")
@@ -247,7 +247,7 @@ P.add(
     .select("query_id", "id", F.round(S.metadata_boost(F.col("q_terms"), F.col("terms"), F.col("asked") == F.col("chunk_type"), F.col("q_domain") == F.col("domain")), 6).alias("boost")),
     *_CAND,
     sql=f"""WITH {D_CAND}, c1 AS (SELECT *, {d_terms('q_raw', STOP)} AS q_terms, {d_terms('text', STOP)} AS w FROM cand), c2 AS (SELECT *, list_filter(w, lambda x, i: list_position(w, x) = i)[1:28] AS terms FROM c1)
-        SELECT query_id, id, round({D_META}, 6) AS boost FROM c2""",
+        SELECT query_id, id, round(CAST({D_META} AS DOUBLE), 6) AS boost FROM c2""",
 )
 P.add("r12_priority_boost", lambda c: c.select("id", S.priority_boost(F.col("priority")).alias("boost")), "corpus_v", sql="SELECT id, greatest(0, least(100, priority)) / 1000 AS boost FROM corpus_v")
 
@@ -278,7 +278,7 @@ def _contrast(rows):
     return S.contrast_boost(rows.drop("text").withColumnRenamed("body", "text"), CONTRAST)
 
 
-P.add("r13_contrast_boost", lambda q, d, c: _contrast(candidates(q, d, c)).select("query_id", "id", F.round("contrast", 6).alias("boost")), *_CAND, sql=f"WITH {D_CAND} SELECT query_id, id, round({d_contrast()}, 6) AS boost FROM cand")
+P.add("r13_contrast_boost", lambda q, d, c: _contrast(candidates(q, d, c)).select("query_id", "id", F.round("contrast", 6).alias("boost")), *_CAND, sql=f"WITH {D_CAND} SELECT query_id, id, round(CAST({d_contrast()} AS DOUBLE), 6) AS boost FROM cand")
 D_SEED_SCORE = f"""{d_hits('list_distinct(q_tokens)', 'both_')} / greatest(1, len(list_distinct(q_tokens))) + CASE WHEN query <> '' AND contains(both_, query) THEN 0.25 ELSE 0.0 END
     + 0.06 * {d_hits("list_filter(list_distinct(q_tokens), lambda t: length(t) >= 6)", 'both_')} + CASE WHEN source_kind = 'seed' THEN 0.1 ELSE 0.05 END"""
 
@@ -325,7 +325,6 @@ P.add(
     "corpus_v",
     sql="""SELECT domain, CASE WHEN CAST(substr(entity_name, 4, 9) AS INT) < 7 THEN 1 WHEN CAST(substr(entity_name, 4, 9) AS INT) < 14 THEN 2 ELSE 3 END AS tier, entity_name AS doc, count(*) AS chunks FROM corpus_v GROUP BY ALL""",
 )
-_TIERED = F.col("id") % 3 + 1
 P.add(
     "r18_tiered_search",
     lambda q, docs: S.tiered(unit(bm25(q, docs), docs).select("query_id", "id", F.col("unit").alias("score"), (F.col("id") % 3 + 1).alias("tier"))).select("query_id", "tier", "id", "rank", F.round("score", 6).alias("score")),

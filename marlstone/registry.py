@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import corpus, preference, retrieval, sessions, text, training
+from .plans.common import view
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def modules() -> list:
     """The modules of ``marlstone.plans``, each with QUERIES and ORACLE."""
-    return []
+    return [text, corpus, retrieval, sessions, preference, training]
 
 
 def queries() -> dict[str, Query]:
@@ -23,4 +26,5 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """BM25 top ten of the benchmark passages, each hit marked if it holds the passage."""
+    return retrieval.flagship(*[view(spark, sf_dir, t) for t in ("queries_v", "documents", "qrels_v")])
