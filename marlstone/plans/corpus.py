@@ -52,8 +52,8 @@ P.add("p7_cache_filename", lambda p: p.select("page_id", G.cache_filename(F.col(
 HINTS = ("the ", "license")
 D_HEAD = rf"""(regexp_matches(text, '^(?:[0-9]+(?:\.[0-9]+)*[.)]|[IVX]+\.)\s+\S') OR (text = upper(text) AND regexp_matches(text, '\p{{Lu}}') AND len({d_words('text')}) BETWEEN 2 AND 12)
     OR (len({d_words('text')}) <= 10 AND (contains({d_norm('text')}, 'the ') OR contains({d_norm('text')}, 'license'))))"""
-HEAD = C.is_heading(F.col("text"), HINTS)
-P.add("c1_heading_detect", lambda d: G.lines(d).select("doc_id", "pos", HEAD.alias("heading")), "documents", sql=f"WITH {D_LINES} SELECT doc_id, pos, {D_HEAD} AS heading FROM lines")
+HEAD = lambda: C.is_heading(F.col("text"), HINTS)
+P.add("c1_heading_detect", lambda d: G.lines(d).select("doc_id", "pos", HEAD().alias("heading")), "documents", sql=f"WITH {D_LINES} SELECT doc_id, pos, {D_HEAD} AS heading FROM lines")
 
 
 def prefixes(spark):
@@ -67,14 +67,14 @@ P.add(
     sql=f"""WITH {D_LINES} SELECT doc_id, pos FROM lines JOIN documents d USING (doc_id) JOIN (VALUES ('en', 'the', 12), ('fr', 'la', 10), ('de', 'der', 10), ('es', 'la', 8)) r(c, p, m) ON d.lang = c
         WHERE starts_with(lower(lines.text), p) AND len({d_words('lines.text')}) <= m""",
 )
-ENTITY = F.lower(F.col("text")).startswith("the ") & (F.size(T.words("text")) <= 12)
+ENTITY = lambda: F.lower(F.col("text")).startswith("the ") & (F.size(T.words("text")) <= 12)
 D_CARRY = f"""{D_LINES}, h AS (SELECT *, {D_HEAD} AS h, starts_with(lower(text), 'the ') AND len({d_words('text')}) <= 12 AS e FROM lines), carried AS (SELECT doc_id, pos, text, CAST(sum(CASE WHEN h OR e THEN 1 ELSE 0 END) OVER w AS BIGINT) AS grp,
     coalesce(last_value(CASE WHEN e THEN 'overview' WHEN h THEN text END IGNORE NULLS) OVER w, 'overview') AS section, coalesce(last_value(CASE WHEN e THEN text END IGNORE NULLS) OVER w, '') AS entity, h OR e AS heading
     FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))"""
 
 
 def carried(d):
-    return C.section_carry(G.lines(d), HEAD, ENTITY)
+    return C.section_carry(G.lines(d), HEAD(), ENTITY())
 
 
 P.add("c3_section_carry", lambda d: carried(d).select("doc_id", "pos", "grp", F.md5("section").alias("section"), F.md5("entity").alias("entity")), "documents", sql=f"WITH {D_CARRY} SELECT doc_id, pos, grp, md5(section) AS section, md5(entity) AS entity FROM carried")
@@ -126,10 +126,10 @@ P.add(
     "documents",
     sql=f"WITH {D_LINES}, n AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k FROM lines) SELECT doc_id, CAST(k // 3 AS INTEGER) AS rec, md5(string_agg(text, ' | ' ORDER BY k)) AS record FROM n GROUP BY ALL",
 )
-KIND3 = F.when(T.norm("text").contains("@"), "contact").when(T.norm("text").contains(" in "), "location").otherwise("overview")
+KIND3 = lambda: F.when(T.norm("text").contains("@"), "contact").when(T.norm("text").contains(" in "), "location").otherwise("overview")
 P.add(
     "c12_sentence_records",
-    lambda d: C.sentences(d).select("id", KIND3.alias("kind")).groupBy("id", "kind").agg(F.count("*").alias("n")),
+    lambda d: C.sentences(d).select("id", KIND3().alias("kind")).groupBy("id", "kind").agg(F.count("*").alias("n")),
     "documents",
     sql=f"WITH {D_SENT} SELECT id, CASE WHEN contains({d_norm('text')}, '@') THEN 'contact' WHEN contains({d_norm('text')}, ' in ') THEN 'location' ELSE 'overview' END AS kind, count(*) AS n FROM sents GROUP BY ALL",
 )
@@ -153,10 +153,10 @@ def priorities(spark):
 
 
 P.add("c15_chunk_priority", lambda c: C.with_priority(c, priorities(c.sparkSession)).select("id", "type_priority"), "corpus_v", sql="SELECT id, CASE chunk_type WHEN 'fact' THEN 80 WHEN 'overview' THEN 70 WHEN 'history' THEN 40 ELSE 50 END AS type_priority FROM corpus_v")
-_SRC = F.substring("source", 4, 9).cast("int")
+_SRC = lambda: F.substring("source", 4, 9).cast("int")
 P.add(
     "c16_provenance",
-    lambda d: d.select("doc_id", F.when(_SRC < 10, "web").otherwise("local").alias("source_kind"), F.lower(F.when(_SRC % 3 == 0, "True").otherwise("no")).isin("true", "1", "yes").alias("is_authoritative"), F.when(_SRC % 2 == 0, "unit").otherwise("document").alias("entity_type")),
+    lambda d: d.select("doc_id", F.when(_SRC() < 10, "web").otherwise("local").alias("source_kind"), F.lower(F.when(_SRC() % 3 == 0, "True").otherwise("no")).isin("true", "1", "yes").alias("is_authoritative"), F.when(_SRC() % 2 == 0, "unit").otherwise("document").alias("entity_type")),
     "documents",
     sql="SELECT doc_id, CASE WHEN s < 10 THEN 'web' ELSE 'local' END AS source_kind, s % 3 = 0 AS is_authoritative, CASE WHEN s % 2 = 0 THEN 'unit' ELSE 'document' END AS entity_type FROM (SELECT doc_id, CAST(substr(source, 4, 9) AS INT) AS s FROM documents)",
 )
@@ -182,11 +182,11 @@ def d_extract(x, p):
 D_EMAIL, D_URL = C.EMAIL, C.URL.replace("'", "''")
 P.add("m1_extract_emails", lambda d: d.select("doc_id", _list(C.extract(F.col("text"), C.EMAIL)).alias("emails")), "documents", sql=f"SELECT doc_id, {d_extract('text', D_EMAIL)} AS emails FROM documents")
 P.add("m2_extract_urls", lambda p: p.select("page_id", _list(C.extract(F.concat_ws(" ", "url", "html"), C.URL)).alias("urls")), "pages", sql=f"SELECT page_id, {d_extract(chr(117) + 'h', D_URL)} AS urls FROM (SELECT page_id, url || ' ' || html AS uh FROM pages)")
-_DATE = F.concat_ws(" ", F.lit("on"), F.date_format("o_orderdate", "d/M/yyyy"), F.lit("or in"), F.date_format("o_orderdate", "yyyy"))
+_DATE = lambda: F.concat_ws(" ", F.lit("on"), F.date_format("o_orderdate", "d/M/yyyy"), F.lit("or in"), F.date_format("o_orderdate", "yyyy"))
 _DD = "'on ' || strftime(o_orderdate, '%-d/%-m/%Y') || ' or in ' || strftime(o_orderdate, '%Y')"
 P.add(
     "m3_extract_dates",
-    lambda o: o.select("o_orderkey", _list(C.dates(_DATE)).alias("dates")),
+    lambda o: o.select("o_orderkey", _list(C.dates(_DATE())).alias("dates")),
     "orders",
     sql=rf"SELECT o_orderkey, array_to_string(list_filter(m, lambda v, i: list_position(m, v) = i), '|') AS dates FROM (SELECT o_orderkey, list_concat(regexp_extract_all(t, '\b[0-9]{{1,2}}/[0-9]{{1,2}}(?:/[0-9]{{2,4}})?\b'), regexp_extract_all(t, '\b(?:19|20)[0-9]{{2}}\b')) AS m FROM (SELECT o_orderkey, {_DD} AS t FROM orders))",
 )
@@ -219,10 +219,10 @@ P.add(
     "corpus_v",
     sql=f"SELECT id, {d_labels('x', TOPICS, 'chunk_type', 'entity_name')} AS tags FROM (SELECT *, {d_ascii('text')} AS x FROM corpus_v)",
 )
-INTENTS = F.when(F.col("chunk_type") == "fact", "lookup").when(F.col("chunk_type") == "overview", "summary").otherwise("read")
+INTENTS = lambda: F.when(F.col("chunk_type") == "fact", "lookup").when(F.col("chunk_type") == "overview", "summary").otherwise("read")
 P.add(
     "m7_intent_tags",
-    lambda c: c.withColumn("x", T.norm_ascii("text")).select("id", _list(C.labels(F.col("x"), [], INTENTS, F.when(F.col("x").contains("@"), "contact"), F.when(F.col("x").contains("for the"), "howto"), limit=10)).alias("tags")),
+    lambda c: c.withColumn("x", T.norm_ascii("text")).select("id", _list(C.labels(F.col("x"), [], INTENTS(), F.when(F.col("x").contains("@"), "contact"), F.when(F.col("x").contains("for the"), "howto"), limit=10)).alias("tags")),
     "corpus_v",
     sql=f"""SELECT id, {d_labels('x', [], "CASE chunk_type WHEN 'fact' THEN 'lookup' WHEN 'overview' THEN 'summary' ELSE 'read' END", "CASE WHEN contains(x, '@') THEN 'contact' END", "CASE WHEN contains(x, 'for the') THEN 'howto' END")} AS tags FROM (SELECT *, {d_ascii('text')} AS x FROM corpus_v)""",
 )

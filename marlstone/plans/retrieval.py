@@ -14,8 +14,8 @@ P = Plans()
 QUERIES, ORACLE = P.queries, P.oracle
 STOP = T.STOPWORDS
 
-TERMS = T.keyword_terms("text")
-TOKENS = T.alnum_tokens("text", 2)
+TERMS = lambda: T.keyword_terms("text")
+TOKENS = lambda: T.alnum_tokens("text", 2)
 D_TERMS = d_terms("text", STOP)
 D_TOKENS = f"list_filter({d_alnum('text')}, lambda t: length(t) >= 2)"
 
@@ -27,23 +27,23 @@ D_KEY = f"'kw-' || substr(coalesce(nullif({d_trimmed(d_ascii('term'))}, ''), 'te
 
 P.add(
     "i1_keyword_dictionary",
-    lambda docs: I.keyword_dictionary(docs, TERMS, "doc_id").select("term", "keyword_id", "df", F.round("idf", 6).alias("idf")),
+    lambda docs: I.keyword_dictionary(docs, TERMS(), "doc_id").select("term", "keyword_id", "df", F.round("idf", 6).alias("idf")),
     "documents",
     sql=f"WITH {D_KW} SELECT term, {D_KEY} AS keyword_id, df, round(idf, 6) AS idf FROM kidf",
 )
 P.add(
     "i2_keyword_weights",
-    lambda docs: I.keyword_weights(docs, TERMS, "doc_id").select("id", "term", F.round("weight", 6).alias("weight"), "rank"),
+    lambda docs: I.keyword_weights(docs, TERMS(), "doc_id").select("id", "term", F.round("weight", 6).alias("weight"), "rank"),
     "documents",
     sql=f"WITH {D_KW} SELECT id, term, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank FROM kw",
 )
 
 #: Over a token column made first: inside a lambda the tokens would be made anew for every phrase.
-GRAMS = T.ngrams(F.col("toks"), 1, 2)
+GRAMS = lambda: T.ngrams(F.col("toks"), 1, 2)
 
 
-def with_tokens(docs, tokens=TOKENS):
-    return docs.withColumn("toks", tokens)
+def with_tokens(docs, tokens=None):
+    return docs.withColumn("toks", TOKENS() if tokens is None else tokens)
 
 
 D_GRAMS = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))"
@@ -52,7 +52,7 @@ D_TFIDF = f"""gtf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({D
     g AS (SELECT id, term, idf, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS weight FROM gtf JOIN gidf USING (term))"""
 P.add(
     "i3_tfidf_vectors",
-    lambda docs: I.tfidf(with_tokens(docs), GRAMS, "doc_id").groupBy("id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("top")),
+    lambda docs: I.tfidf(with_tokens(docs), GRAMS(), "doc_id").groupBy("id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("top")),
     "documents",
     sql=f"WITH {D_TFIDF} SELECT id, count(*) AS terms, round(sum(weight), 6) AS total, round(max(weight), 6) AS top FROM g GROUP BY id",
 )
@@ -63,11 +63,11 @@ D_BM = f"""tok AS (SELECT doc_id AS id, {D_TOKENS} AS t FROM documents), len_ AS
     idf_ AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM raw_)"""
 P.add(
     "i4_bm25_stats",
-    lambda docs: I.bm25_terms(docs, TOKENS, "doc_id").select("term", "df", F.round("idf", 6).alias("idf")),
+    lambda docs: I.bm25_terms(docs, TOKENS(), "doc_id").select("term", "df", F.round("idf", 6).alias("idf")),
     "documents",
     sql=f"WITH {D_BM} SELECT term, df, round(idf, 6) AS idf FROM idf_",
 )
-P.add("i5_lsa_vectors", lambda docs: I.lsa_vectors(docs, TOKENS, "doc_id", rank=16, vocabulary=512).select("id", F.size("vector").alias("dim")), "documents")
+P.add("i5_lsa_vectors", lambda docs: I.lsa_vectors(docs, TOKENS(), "doc_id", rank=16, vocabulary=512).select("id", F.size("vector").alias("dim")), "documents")
 
 
 _SUMS = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {k}, 8) AS BIGINT)) AS VARCHAR)" for k in (1, 9, 17))
@@ -87,7 +87,7 @@ P.add(
         UNION ALL SELECT 'entity', {d_norm('entity_name')}, id FROM corpus_v) WHERE key <> ''""",
 )
 
-Q_TOKENS = T.alnum_tokens("query", 2)
+Q_TOKENS = lambda: T.alnum_tokens("query", 2)
 D_QTOK = f"qtok AS (SELECT query_id, list_filter({d_alnum('query')}, lambda t: length(t) >= 2) AS t FROM queries_v)"
 #: (query_id, id, score) of every document that shares a token with a query.
 D_SCORE = f"""{D_BM}, {D_QTOK}, qtf AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(t) AS term FROM qtok) GROUP BY ALL),
@@ -96,7 +96,7 @@ D_HITS = D_SCORE + ", hits AS (SELECT query_id, id, score, CAST(row_number() OVE
 
 
 def bm25(queries, docs):
-    return S.bm25(queries, Q_TOKENS, docs, TOKENS, "doc_id")
+    return S.bm25(queries, Q_TOKENS(), docs, TOKENS(), "doc_id")
 
 
 def hits(queries, docs, k=20):
@@ -113,7 +113,7 @@ P.add(
 )
 P.add(
     "r1_tfidf_search",
-    lambda q, docs: S.top(S.tfidf(with_tokens(q, Q_TOKENS), GRAMS, with_tokens(docs), GRAMS, "doc_id"), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
+    lambda q, docs: S.top(S.tfidf(with_tokens(q, Q_TOKENS()), GRAMS(), with_tokens(docs), GRAMS(), "doc_id"), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
     "queries_v",
     "documents",
     sql=f"""WITH {D_TFIDF}, {D_QTOK}, q0 AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({D_GRAMS}) AS term FROM qtok) GROUP BY ALL),
@@ -126,7 +126,7 @@ D_OVER = f"""{D_QTOK}, ov AS (SELECT query_id, id, count(*) / any_value(n) AS sc
 
 
 def overlap(q, docs, keep=()):
-    return S.overlap(q, Q_TOKENS, docs, TOKENS, "doc_id", keep)
+    return S.overlap(q, Q_TOKENS(), docs, TOKENS(), "doc_id", keep)
 
 
 P.add(
@@ -167,7 +167,7 @@ P.add(
 
 
 def fused(q, docs):
-    signals = {"tfidf": S.tfidf(with_tokens(q, Q_TOKENS), GRAMS, with_tokens(docs), GRAMS, "doc_id"), "overlap": overlap(q, docs), "bm25": bm25(q, docs)}
+    signals = {"tfidf": S.tfidf(with_tokens(q, Q_TOKENS()), GRAMS(), with_tokens(docs), GRAMS(), "doc_id"), "overlap": overlap(q, docs), "bm25": bm25(q, docs)}
     return S.fuse({k: unit(v, docs) for k, v in signals.items()})
 
 
@@ -184,11 +184,11 @@ P.add(
     "documents",
     sql=f"WITH {D_FUSED} SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank, round(score, 6) AS score FROM fused QUALIFY rank <= 10",
 )
-Q_TERMS = T.keyword_terms("query")
+Q_TERMS = lambda: T.keyword_terms("query")
 D_QTERMS = d_terms("query", STOP)
 P.add(
     "r7_keyword_rerank",
-    lambda q, docs: S.keyword_rerank(q, Q_TERMS, I.keyword_weights(docs, TERMS, "doc_id"), I.keyword_dictionary(docs, TERMS, "doc_id")).select("query_id", "id", F.round("score", 6).alias("score")),
+    lambda q, docs: S.keyword_rerank(q, Q_TERMS(), I.keyword_weights(docs, TERMS(), "doc_id"), I.keyword_dictionary(docs, TERMS(), "doc_id")).select("query_id", "id", F.round("score", 6).alias("score")),
     "queries_v",
     "documents",
     sql=f"""WITH {D_KW}, q AS (SELECT query_id, term, sum(greatest(0.05, idf)) OVER (PARTITION BY query_id) AS norm FROM (SELECT query_id, unnest(list_distinct({D_QTERMS})) AS term FROM queries_v) JOIN kidf USING (term))
@@ -351,7 +351,7 @@ P.add("r19_merge_dedupe", lambda q, d, c: _merged(q, d, c).select("query_id", "i
 P.add("r20_strong_evidence", lambda q, d: S.strong(fused(q, d), 0.6).select("query_id", F.round("top", 6).alias("top")), "queries_v", "documents", sql=f"WITH {D_FUSED} SELECT query_id, round(max(score), 6) AS top FROM fused GROUP BY query_id HAVING max(score) >= 0.6")
 P.add(
     "r21_keyword_facets",
-    lambda q, d: S.keyword_facets(hits(q, d, 10), I.keyword_weights(d, TERMS, "doc_id")).select("query_id", "term", "keyword_id", "hits", F.round("weight", 6).alias("weight"), "rank"),
+    lambda q, d: S.keyword_facets(hits(q, d, 10), I.keyword_weights(d, TERMS(), "doc_id")).select("query_id", "term", "keyword_id", "hits", F.round("weight", 6).alias("weight"), "rank"),
     "queries_v",
     "documents",
     sql=f"""WITH {D_HITS}, {D_KW}, f AS (SELECT query_id, term, count(*) AS hits, max(weight) AS weight FROM hits JOIN kw USING (id) WHERE hits.rank <= 10 GROUP BY ALL)

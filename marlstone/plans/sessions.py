@@ -58,7 +58,7 @@ def d_label(rules: list[Rule], x: str = "x", default: str = "") -> str:
     return "CASE " + " ".join(f"WHEN {d_rule(r, x)} THEN '{r.label}'" for r in rules) + f" ELSE '{default}' END"
 
 
-X = F.col("x")
+X = lambda: F.col("x")
 D_LOW = "(x IN ('the', 'of') OR (len(tk) <= 2 AND len(list_filter(tk, lambda t: length(t) >= 4)) = 0) OR (len(tk) > 0 AND len(list_filter(tk, lambda t: t NOT IN ('the', 'of', 'and', 'to', 'in'))) = 0))"
 _TK = "list_filter(string_split(x, ' '), lambda t: t <> '')"
 _AL = "regexp_extract_all(x, '[a-z0-9]+')"
@@ -67,22 +67,22 @@ D_BOTH = f"(list_has_any({_AL}, {_list(VERBS)}) AND list_has_any({_AL}, {_list(T
 
 
 def _label(name, column, sql):
-    P.add(name, lambda c: user(c).select("conv_id", "turn", column.alias("label")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {sql} AS label FROM u")
+    P.add(name, lambda c: user(c).select("conv_id", "turn", column().alias("label")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {sql} AS label FROM u")
 
 
-_label("q1_meta_intent", Q.first_label(X, META), d_label(META))
-P.add("q2_low_signal", lambda c: user(c).select("conv_id", "turn", Q.low_signal(X, EXACT, FRAGMENTS).alias("low")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {D_LOW.replace('tk', _TK)} AS low FROM u")
-P.add("q3_policy_class", lambda c: user(c).select("conv_id", "turn", Q.both(X, VERBS, TARGETS).alias("harmful")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {D_BOTH} AS harmful FROM u")
-_label("q4_sensitive_class", F.when(X.rlike("[0-9]{3}"), "code").otherwise(Q.first_label(X, SENSITIVE)), f"CASE WHEN regexp_matches(x, '[0-9]{{3}}') THEN 'code' ELSE {d_label(SENSITIVE)} END")
-_label("q5_question_type", Q.first_label(X, TYPES, "factoid"), d_label(TYPES, default="factoid"))
+_label("q1_meta_intent", lambda: Q.first_label(X(), META), d_label(META))
+P.add("q2_low_signal", lambda c: user(c).select("conv_id", "turn", Q.low_signal(X(), EXACT, FRAGMENTS).alias("low")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {D_LOW.replace('tk', _TK)} AS low FROM u")
+P.add("q3_policy_class", lambda c: user(c).select("conv_id", "turn", Q.both(X(), VERBS, TARGETS).alias("harmful")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {D_BOTH} AS harmful FROM u")
+_label("q4_sensitive_class", lambda: F.when(X().rlike("[0-9]{3}"), "code").otherwise(Q.first_label(X(), SENSITIVE)), f"CASE WHEN regexp_matches(x, '[0-9]{{3}}') THEN 'code' ELSE {d_label(SENSITIVE)} END")
+_label("q5_question_type", lambda: Q.first_label(X(), TYPES, "factoid"), d_label(TYPES, default="factoid"))
 _ORDER = [Rule(DOMAINS[k][0], (DOMAINS[k][1],), mode="contains") for k in sorted(range(len(DOMAINS)), key=lambda k: (-len(DOMAINS[k][1]), k))]
 D_DOMAIN = d_label(_ORDER)
-_label("q6_domain_detect", Q.longest_hint(X, DOMAINS), D_DOMAIN)
+_label("q6_domain_detect", lambda: Q.longest_hint(X(), DOMAINS), D_DOMAIN)
 _PTS = [f"CASE WHEN h{k} > 0 THEN h{k} + {r.delta} ELSE 0 END" for k, r in enumerate(TOPICS)]
 _H = ", ".join("(" + " + ".join(f"CASE WHEN {d_hint('x', t, r.mode)} THEN {len(t.split())} ELSE 0 END" for t in r.any_terms) + f") AS h{k}" for k, r in enumerate(TOPICS))
 P.add(
     "q7_topic_detect",
-    lambda c: user(c).select("conv_id", "turn", Q.best_topic(X, TOPICS).alias("topic")),
+    lambda c: user(c).select("conv_id", "turn", Q.best_topic(X(), TOPICS).alias("topic")),
     *USER,
     sql=f"""WITH {D_USER}, h AS (SELECT *, {_H} FROM u), p AS (SELECT *, {', '.join(f'{e} AS p{k}' for k, e in enumerate(_PTS))} FROM h)
         SELECT conv_id, turn, CASE WHEN greatest(p0, p1, p2) = 0 THEN '' WHEN p0 >= p1 AND p0 >= p2 THEN 'law' WHEN p1 >= p2 THEN 'trade' ELSE 'place' END AS topic FROM p""",
@@ -108,18 +108,18 @@ P.add(
         SELECT c_custkey, lower(n_name) AS place, lower(r_name) AS region FROM t JOIN nation ON contains(' ' || x || ' ', ' ' || lower(n_name) || ' ') JOIN region ON n_regionkey = r_regionkey
         QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY length(n_name) DESC, lower(n_name) DESC) = 1""",
 )
-P.add("q9_notice_query", lambda c: user(c).select("conv_id", "turn", NOTICE[0].holds(X).alias("notice")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {d_rule(NOTICE[0])} AS notice FROM u")
-CLASSES = [("meta", Q.first_label(X, META) != ""), ("clarification", Q.low_signal(X, EXACT, FRAGMENTS)), ("policy", Q.both(X, VERBS, TARGETS)), ("sensitive", Q.first_label(X, SENSITIVE).isin("private_data", "account")), ("domain", Q.longest_hint(X, DOMAINS) != ""), ("notice", NOTICE[0].holds(X))]
+P.add("q9_notice_query", lambda c: user(c).select("conv_id", "turn", NOTICE[0].holds(X()).alias("notice")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {d_rule(NOTICE[0])} AS notice FROM u")
+CLASSES = lambda: [("meta", Q.first_label(X(), META) != ""), ("clarification", Q.low_signal(X(), EXACT, FRAGMENTS)), ("policy", Q.both(X(), VERBS, TARGETS)), ("sensitive", Q.first_label(X(), SENSITIVE).isin("private_data", "account")), ("domain", Q.longest_hint(X(), DOMAINS) != ""), ("notice", NOTICE[0].holds(X()))]
 D_CLASSES = [("meta", f"{d_label(META)} <> ''"), ("clarification", D_LOW.replace("tk", _TK)), ("policy", D_BOTH), ("sensitive", f"{d_label(SENSITIVE)} IN ('private_data', 'account')"), ("domain", f"{D_DOMAIN} <> ''"), ("notice", d_rule(NOTICE[0]))]
-SCOPE = Q.out_of_scope(X, [c for n, c in CLASSES if n in ("meta", "policy")], ("by", "at"), COMMON)
+SCOPE = lambda: Q.out_of_scope(X(), [c for n, c in CLASSES() if n in ("meta", "policy")], ("by", "at"), COMMON)
 D_SCOPE = f"(NOT {d_any('x', ('by', 'at'), 'word')} AND len(list_filter({_AL}, lambda t: length(t) >= 3 AND t NOT IN ({', '.join(repr(t) for t in COMMON)}))) >= 2 AND NOT ({D_CLASSES[0][1]}) AND NOT {D_BOTH})"
-P.add("q10_out_of_scope", lambda c: user(c).select("conv_id", "turn", SCOPE.alias("out")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {D_SCOPE} AS out FROM u")
-FAMILY = Q.family([*CLASSES[:4], ("out_of_scope", SCOPE), *CLASSES[4:]])
+P.add("q10_out_of_scope", lambda c: user(c).select("conv_id", "turn", SCOPE().alias("out")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {D_SCOPE} AS out FROM u")
+FAMILY = lambda: Q.family([*CLASSES()[:4], ("out_of_scope", SCOPE()), *CLASSES()[4:]])
 D_FAMILY = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in [*D_CLASSES[:4], ("out_of_scope", D_SCOPE), *D_CLASSES[4:]]) + " ELSE 'general' END"
-_label("q11_query_family", FAMILY, D_FAMILY)
+_label("q11_query_family", lambda: FAMILY(), D_FAMILY)
 P.add(
     "q12_query_expand",
-    lambda q: q.withColumn("x", T.norm_ascii("query")).select("query_id", Q.expand(F.col("query"), X, ALIASES).alias("expanded")),
+    lambda q: q.withColumn("x", T.norm_ascii("query")).select("query_id", Q.expand(F.col("query"), X(), ALIASES).alias("expanded")),
     "queries_v",
     sql=f"""WITH q AS (SELECT query_id, query, {d_ascii('query')} AS x FROM queries_v) SELECT query_id, concat_ws(' ', query, {', '.join(f"CASE WHEN {d_hint('x', a, 'word')} THEN '{b}' END" for a, b in ALIASES)}) AS expanded FROM q""",
 )
@@ -135,7 +135,7 @@ def followup(t):
 
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = turnsx(t).withColumns({"previous": F.coalesce(F.lag("question").over(w), F.lit("")), "left": F.greatest(F.lit(0), 4 - F.row_number().over(w))})
-    return rows.select("turn_id", Q.followup(F.col("question"), X, ("this", "that"), F.col("previous"), F.col("left")).alias("followup"))
+    return rows.select("turn_id", Q.followup(F.col("question"), X(), ("this", "that"), F.col("previous"), F.col("left")).alias("followup"))
 
 
 P.add(
@@ -145,12 +145,12 @@ P.add(
     sql=f"""WITH {D_TURNX}, w AS (SELECT *, coalesce(lag(question) OVER o, '') AS previous, greatest(0, 4 - row_number() OVER o) AS lft FROM tx WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
         SELECT turn_id, lft > 0 AND previous <> '' AND (len({_TK}) <= 6 OR {d_any('x', ('this', 'that'), 'word')}) AS followup FROM w""",
 )
-ROUTE = F.when(F.col("family").isin("meta", "clarification", "policy", "sensitive", "out_of_scope"), F.col("family")).otherwise("answer")
+ROUTE = lambda: F.when(F.col("family").isin("meta", "clarification", "policy", "sensitive", "out_of_scope"), F.col("family")).otherwise("answer")
 
 
 def routed(t):
-    rows = turnsx(t).withColumns({"family": FAMILY, "domain": Q.longest_hint(X, DOMAINS), "intent": Q.first_label(X, TYPES, "factoid")})
-    return rows.withColumn("route", ROUTE).withColumn("top_k", F.when(F.col("intent") == "list", 8).when(F.col("intent") == "compare", 6).otherwise(4))
+    rows = turnsx(t).withColumns({"family": FAMILY(), "domain": Q.longest_hint(X(), DOMAINS), "intent": Q.first_label(X(), TYPES, "factoid")})
+    return rows.withColumn("route", ROUTE()).withColumn("top_k", F.when(F.col("intent") == "list", 8).when(F.col("intent") == "compare", 6).otherwise(4))
 
 
 D_ROUTED = f"""{D_TURNX}, r0 AS (SELECT *, {D_FAMILY} AS family, {D_DOMAIN} AS domain, {d_label(TYPES, default='factoid')} AS intent FROM tx),
@@ -159,11 +159,11 @@ P.add("q14_route_cascade", lambda t: routed(t).select("turn_id", "route", "domai
 KINDS = [Rule("contact", ("at", "by")), Rule("location", ("in",)), Rule("role", ("was",)), Rule("howto", ("for",)), Rule("history", ("on",)), Rule("function", ("to",))]
 P.add(
     "q15_dataset_query_type",
-    lambda q: q.withColumn("x", T.norm_ascii("query")).select("query_id", Q.first_label(X, KINDS, "generic").alias("kind")),
+    lambda q: q.withColumn("x", T.norm_ascii("query")).select("query_id", Q.first_label(X(), KINDS, "generic").alias("kind")),
     "queries_v",
     sql=f"WITH q AS (SELECT query_id, {d_ascii('query')} AS x FROM queries_v) SELECT query_id, {d_label(KINDS, default='generic')} AS kind FROM q",
 )
-_label("q16_reply_class", Q.first_label(X, REPLIES, "other"), d_label(REPLIES, default="other"))
+_label("q16_reply_class", lambda: Q.first_label(X(), REPLIES, "other"), d_label(REPLIES, default="other"))
 P.add(
     "q17_gap_detect",
     lambda t: routed(t).withColumn("a", T.norm_ascii("answer")).select("turn_id", (F.col("route").isin("answer", "out_of_scope") & GAPS[0].holds(F.col("a"))).alias("gap")),
@@ -173,19 +173,19 @@ P.add(
 UNITS = [Rule("head", ("was", "is")), Rule("contact", ("at",)), Rule("history", ("from",)), Rule("programs", ("of",))]
 P.add(
     "q18_unit_topic",
-    lambda q: q.withColumn("x", T.norm_ascii("query")).select("query_id", Q.first_label(X, UNITS, "overview").alias("topic")),
+    lambda q: q.withColumn("x", T.norm_ascii("query")).select("query_id", Q.first_label(X(), UNITS, "overview").alias("topic")),
     "queries_v",
     sql=f"WITH q AS (SELECT query_id, {d_ascii('query')} AS x FROM queries_v) SELECT query_id, {d_label(UNITS, default='overview')} AS topic FROM q",
 )
 STEPS = [Rule("step", ("then",), delta=1.0), Rule("by", ("by",), delta=0.5), Rule("to", ("to the",), delta=0.75), Rule("note", ("that",), delta=-0.5)]
 P.add(
     "q19_howto_specificity",
-    lambda t: t.withColumn("x", T.norm_ascii("answer")).select("turn_id", F.round(Q.score(X, STEPS), 6).alias("score")),
+    lambda t: t.withColumn("x", T.norm_ascii("answer")).select("turn_id", F.round(Q.score(X(), STEPS), 6).alias("score")),
     "turns",
     sql=f"SELECT turn_id, CAST({' + '.join(f'CASE WHEN {d_rule(r)} THEN {r.delta} ELSE 0 END' for r in STEPS)} AS DOUBLE) AS score FROM (SELECT turn_id, {d_ascii('answer')} AS x FROM turns)",
 )
 LIMITS = [Rule("salary", ("by", "was")), Rule("address", ("at", "in")), Rule("family", ("with",))]
-_label("q20_detail_limit", Q.first_label(X, LIMITS), d_label(LIMITS))
+_label("q20_detail_limit", lambda: Q.first_label(X(), LIMITS), d_label(LIMITS))
 
 P.add("j1_turn_pairing", J.turn_pairing, "conversations", sql="SELECT conv_id, turn, turn_id, user_turn, question, answer FROM turns")
 P.add(
@@ -207,7 +207,7 @@ P.add(
 
 
 def with_domain(t):
-    return turnsx(t).withColumn("domain", Q.longest_hint(X, [("gamma", "with"), ("eps", "this")]))
+    return turnsx(t).withColumn("domain", Q.longest_hint(X(), [("gamma", "with"), ("eps", "this")]))
 
 
 P.add("j6_session_state", lambda t: J.session_state(with_domain(t)), "turns", sql=f"""WITH RECURSIVE {D_TURNX}, o AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS n, {d_label([Rule('gamma', ('with',), mode='contains'), Rule('eps', ('this',), mode='contains')])} AS d, question, answer FROM tx),
