@@ -1 +1,350 @@
-QUERIES, ORACLE = {}, {}
+"""D, E5-E10, R23-R29: retriever training data, answer checks, entities."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chunking as C
+from ..operators import entities as N
+from ..operators import evaluate as E
+from ..operators import index as I
+from ..operators import pages as G
+from ..operators import retriever_data as D
+from ..operators import search as S
+from .common import Plans, d_alnum, d_ascii, d_bucket, d_norm, d_words, d_ws
+from .corpus import D_LINES
+from .preference import D_CAND as D_XCAND
+from .preference import D_DEDUPE, D_LAST, D_PAIRS, d_reward, deduped, pairs, with_reward
+from .retrieval import D_CAND, D_FUSED, D_HITS, D_MERGED, D_SEED_SCORE, _merged, _seed_score, candidates, fused, hits
+
+P = Plans()
+QUERIES, ORACLE = P.queries, P.oracle
+_CAND = ("queries_v", "documents", "corpus_v")
+_join = lambda c: F.array_join(c, "|")
+_toks = lambda x: T.alnum_tokens(x, 2)
+d_toks = lambda x: f"list_filter({d_alnum(x)}, lambda t: length(t) >= 2)"
+
+P.add(
+    "d1_corpus_union",
+    lambda c: D.corpus_union(c.where("source_kind = 'seed'").select("id", "domain", "text", "source_kind"), c.where("source_kind = 'local'").select("id", "domain", "text", "title", "source_kind")).select("id", "domain", "title", "source_kind"),
+    "corpus_v",
+    sql="SELECT id, domain, CASE WHEN source_kind = 'local' THEN title END AS title, source_kind FROM corpus_v WHERE trim(text) <> ''",
+)
+
+
+def usable(t, r, f):
+    from ..operators.preference import latest
+
+    return D.usable_turns(t, r.where("verdict in ('incorrect', 'excessive')"), latest(f, "turn_id", "updated_at", "seq"))
+
+
+D_USABLE = f"""us AS (SELECT t.turn_id, CASE WHEN trim(t.question) = '' THEN 'no_question' WHEN t.turn_id IN (SELECT turn_id FROM reviews_v WHERE verdict IN ('incorrect', 'excessive')) THEN 'bad_review' WHEN f.rating <= 2 THEN 'low_rating'
+    WHEN CAST(trim(t.question) <> '' AS INT) + CAST(length(t.answer) >= 80 AS INT) + CAST(coalesce(f.rating >= 3, false) AS INT) < 2 THEN 'low_confidence' ELSE 'ok' END AS reason FROM turns t LEFT JOIN ({D_LAST}) f USING (turn_id))"""
+_TRF = ("turns", "reviews_v", "feedback_v")
+P.add("d2_usable_turns", usable, *_TRF, sql=f"WITH {D_USABLE} SELECT turn_id, reason = 'ok' AS usable, reason FROM us")
+
+
+def quality(t, r, f):
+    from ..operators.preference import latest
+
+    rows = t.join(latest(f, "turn_id", "updated_at", "seq").select("turn_id", "rating"), "turn_id", "left").join(latest(r, "turn_id", "updated_at", "seq").select("turn_id", "verdict"), "turn_id", "left")
+    return D.query_quality(rows.withColumn("evidence", F.length("answer") >= 100))
+
+
+P.add(
+    "d3_query_quality",
+    lambda t, r, f: quality(t, r, f).select("turn_id", F.round("quality", 4).alias("quality")),
+    *_TRF,
+    sql=f"""SELECT t.turn_id, round(CAST(least(1.0, 0.45 + CASE WHEN f.rating >= 4 THEN 0.25 WHEN f.rating = 3 THEN 0.1 ELSE 0 END + CASE WHEN r.verdict = 'correct' THEN 0.2 ELSE 0 END + CASE WHEN length(t.answer) >= 100 THEN 0.1 ELSE 0 END) AS DOUBLE), 4) AS quality
+        FROM turns t LEFT JOIN ({D_LAST}) f USING (turn_id) LEFT JOIN (SELECT * FROM reviews_v QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY updated_at DESC, seq DESC) = 1) r USING (turn_id)""",
+)
+_KEYS = [("dedupe", "dedupe_key"), ("text", f"md5({d_ws('text')})"), ("doc_text", f"md5(entity_name || chr(0) || {d_ws('text')})")]
+P.add(
+    "d4_context_resolve",
+    lambda c: D.resolve_contexts(c.withColumnRenamed("id", "context_id"), I.lookups(c), c),
+    "corpus_v",
+    sql=f"""WITH k AS ({' UNION ALL '.join(f"SELECT id, domain, entity_name, '{n}' AS kind, {e} AS key FROM corpus_v" for n, e in _KEYS)}), h AS (SELECT a.id AS context_id, b.id, count(*) + any_value(CAST(a.entity_name = b.entity_name AS INT)) + any_value(CAST(a.domain = b.domain AS INT)) AS score
+        FROM k a JOIN (SELECT DISTINCT * FROM k) b USING (kind, key) GROUP BY a.id, b.id) SELECT context_id, id, score FROM h QUALIFY row_number() OVER (PARTITION BY context_id ORDER BY score DESC, id DESC) = 1""",
+)
+
+
+def positives(q, d):
+    return D.history_positives(hits(q, d, 8).drop("rank")).withColumn("id", F.concat(F.lit("d"), F.col("id")))
+
+
+D_POS = f"""{D_HITS}, h8 AS (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS t FROM hits WHERE rank <= 8),
+    pos AS (SELECT query_id, 'd' || id AS id, rank FROM h8 WHERE (rank = 1 OR score >= greatest(0.32, 0.68 * t)) AND rank <= 2)"""
+P.add("d5_history_positives", positives, "queries_v", "documents", sql=f"WITH {D_POS} SELECT query_id, id, rank FROM pos")
+COMMON = ("the", "of", "and", "to", "in", "is", "a")
+_own = f"list_filter(q_tokens, lambda t: t NOT IN ({', '.join(repr(c) for c in COMMON)}))"
+P.add(
+    "d6_positive_match",
+    lambda q, d, c: D.positive_match(candidates(q, d, c), F.col("q_tokens"), COMMON).select("query_id", "id"),
+    *_CAND,
+    sql=f"WITH {D_CAND} SELECT query_id, id FROM cand WHERE len({_own}) = 0 OR len(list_filter({_own}, lambda t: contains(title_n || ' ' || entity_n || ' ' || body, t))) > 0",
+)
+
+
+def expanded(q, d, c):
+    return D.positive_expand(positives(q, d), c, ("fact", "overview"))
+
+
+P.add(
+    "d7_positive_expand",
+    expanded,
+    *_CAND,
+    sql=f"""WITH {D_POS}, b AS (SELECT DISTINCT query_id, domain, entity_name FROM pos JOIN corpus_v USING (id)), m AS (SELECT query_id, c.id, priority FROM b JOIN corpus_v c USING (domain, entity_name) WHERE chunk_type IN ('fact', 'overview'))
+        SELECT query_id, id FROM m WHERE (query_id, id) NOT IN (SELECT query_id, id FROM pos) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, id) <= 3""",
+)
+
+
+def seed_qa(t):
+    return t.select(F.col("turn_id").alias("origin_id"), "question", F.array(F.substring("question", 1, 40), F.substring("answer", 1, 50)).alias("variants"))
+
+
+P.add(
+    "d8_seed_queries",
+    lambda t: D.seed_queries(seed_qa(t)),
+    "turns",
+    sql=f"""WITH v AS (SELECT turn_id AS origin_id, question, 0 AS pos, {d_ws('question')} AS query FROM turns UNION ALL SELECT turn_id, question, 1, {d_ws('substr(question, 1, 40)')} FROM turns UNION ALL SELECT turn_id, question, 2, {d_ws('substr(answer, 1, 50)')} FROM turns)
+        SELECT origin_id, query, pos FROM v WHERE length(query) >= 6 AND (pos = 0 OR NOT contains({d_norm('question')}, {d_norm('query')})) QUALIFY row_number() OVER (PARTITION BY origin_id ORDER BY pos) <= 3""",
+)
+
+
+def history_queries(t, r, f, d):
+    """Usable turns whose question finds documents: their best positives."""
+    ok = usable(t, r, f).where("usable").select("turn_id")
+    q = t.join(ok, "turn_id").select(F.col("turn_id").alias("query_id"), F.col("question").alias("query"))
+    return positives(q, d)
+
+
+_D_HQ = D_POS.replace("SELECT query_id, list_filter", "SELECT turn_id AS query_id, list_filter").replace(d_alnum("query"), d_alnum("question")).replace("FROM queries_v)", "FROM turns WHERE turn_id IN (SELECT turn_id FROM us WHERE reason = 'ok'))")
+P.add("d9_history_queries", history_queries, *_TRF, "documents", sql=f"WITH {D_USABLE}, {_D_HQ} SELECT query_id, id, rank FROM pos")
+P.add("d10_candidate_pool", lambda q, d, c: _merged(q, d, c, 8).select("query_id", "id", "key", "rank", F.round("score", 6).alias("score")), *_CAND, sql=f"WITH {D_MERGED} SELECT query_id, id, key, rank, round(score, 6) AS score FROM merged")
+
+
+def lexical(q, d, c):
+    return D.lexical_negatives(q, T.alnum_tokens("query", 3), c, T.alnum_tokens("text", 3), positives(q, d), 0.4)
+
+
+_D3 = lambda x: f"list_distinct(list_filter({d_alnum(x)}, lambda t: length(t) >= 3))"
+D_LEX = f"""{D_POS}, lq AS (SELECT query_id, domain AS q_domain, query_type AS asked, {_D3('query')} AS t FROM queries_v), ld AS (SELECT id, unnest({_D3('text')}) AS term FROM corpus_v),
+    ls AS (SELECT query_id, q_domain, asked, id, count(*) / any_value(n) AS overlap FROM (SELECT *, len(t) AS n, unnest(t) AS term FROM lq) JOIN ld USING (term) GROUP BY ALL),
+    np AS (SELECT query_id, c.* FROM pos JOIN corpus_v c USING (id)),
+    lx0 AS (SELECT ls.query_id, ls.id, overlap + CASE WHEN c.domain = q_domain THEN 0.18 ELSE 0 END + CASE WHEN c.chunk_type = asked THEN 0.16 ELSE 0 END - CASE WHEN EXISTS (SELECT 1 FROM np WHERE np.query_id = ls.query_id AND np.entity_name = c.entity_name) THEN 0.22 ELSE 0 END AS score
+        FROM ls JOIN corpus_v c USING (id) WHERE NOT EXISTS (SELECT 1 FROM np WHERE np.query_id = ls.query_id AND (np.id = ls.id OR np.dedupe_key = c.dedupe_key))),
+    lex AS (SELECT * FROM lx0 WHERE score >= 0.4)"""
+P.add("d11_lexical_negatives", lambda q, d, c: lexical(q, d, c).select("query_id", "id", F.round("score", 6).alias("score")), *_CAND, sql=f"WITH {D_LEX} SELECT query_id, id, round(CAST(score AS DOUBLE), 6) AS score FROM lex")
+
+
+def negatives(q, d, c):
+    pos = positives(q, d)
+    got = hits(q, d, 5).select("query_id", F.concat(F.lit("d"), F.col("id")).alias("id"), "score").join(pos.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return D.hard_negatives(got, lexical(q, d, c))
+
+
+D_NEG = f"""{D_LEX}, n0 AS (SELECT query_id, 'd' || id AS id, 'retrieval' AS source, score, 0 AS s FROM hits WHERE rank <= 5 AND (query_id, 'd' || id) NOT IN (SELECT query_id, id FROM pos) UNION ALL SELECT query_id, id, 'lexical', score, 1 FROM lex),
+    n1 AS (SELECT * FROM n0 QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY s) = 1), neg AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s, round(score, 9) DESC, id) AS INTEGER) AS rank FROM n1 QUALIFY rank <= 8)"""
+P.add("d12_hard_negatives", lambda q, d, c: negatives(q, d, c).select("query_id", "id", "source", "rank", F.round("score", 6).alias("score")), *_CAND, sql=f"WITH {D_NEG} SELECT query_id, id, source, rank, round(CAST(score AS DOUBLE), 6) AS score FROM neg")
+P.add("d13_id_split", lambda q: q.select("query_id", D.id_split(F.col("query_id")).alias("split")), "queries_v", sql=f"SELECT query_id, CASE WHEN {d_bucket('query_id')} % 10000 < 1500 THEN 'val' ELSE 'train' END AS split FROM queries_v")
+P.add("d14_qrels", lambda q, d: D.qrels(positives(q, d)), "queries_v", "documents", sql=f"WITH {D_POS} SELECT DISTINCT query_id, id, 1 AS label FROM pos")
+D_PAIRED = f"""{D_NEG}, pr0 AS (SELECT query_id, id, 1 AS label FROM pos WHERE query_id IN (SELECT query_id FROM neg) UNION ALL SELECT query_id, id, 0 FROM neg),
+    pr AS (SELECT DISTINCT 'pair-' || substr(sha1(query_id || chr(0) || id || chr(0) || label || chr(0)), 1, 16) AS pair_id, query_id, id, label FROM pr0)"""
+P.add("d15_reranker_pairs", lambda q, d, c: D.reranker_pairs(positives(q, d), negatives(q, d, c)), *_CAND, sql=f"WITH {D_PAIRED} SELECT * FROM pr")
+P.add("d16_triplets", lambda q, d, c: D.triplets(positives(q, d), negatives(q, d, c)), *_CAND, sql=f"WITH {D_NEG} SELECT 'tri-' || substr(sha1(p.query_id || chr(0) || p.id || chr(0) || n.id || chr(0)), 1, 16) AS triplet_id, p.query_id, p.id AS positive_id, n.id AS negative_id FROM pos p JOIN neg n USING (query_id)")
+P.add(
+    "d17_dataset_summary",
+    lambda q, d, c: D.counts_by(negatives(q, d, c).join(q, "query_id"), ["source", "origin", "query_type", "domain"]),
+    *_CAND,
+    sql=f"""WITH {D_NEG}, j AS (SELECT neg.source, q.* FROM neg JOIN queries_v q USING (query_id)) SELECT 'all' AS dim, '' AS value, count(*) AS n FROM j UNION ALL {' UNION ALL '.join(f"SELECT '{x}', {x}, count(*) FROM j GROUP BY {x}" for x in ('source', 'origin', 'query_type', 'domain'))}""",
+)
+D_HARD = """(SELECT query_id, CASE WHEN count(CASE WHEN score > 0 THEN 1 END) = 0 THEN 0.5 ELSE greatest(0.0, least(1.0, ln(1 + avg(CASE WHEN score > 0 THEN score END)) / ln(4))) END AS hard FROM neg GROUP BY query_id)"""
+D_WEIGHT = "round(CAST(greatest(0.0, least(1.0, quality * (0.75 + 0.5 * hard) * CASE WHEN origin = 'history' THEN 0.92 ELSE 1 END)) AS DOUBLE), 6) AS weight"
+P.add(
+    "d18_difficulty_weight",
+    lambda q, d, c: negatives(q, d, c)
+    .groupBy("query_id")
+    .agg(D.difficulty(F.collect_list("score")).alias("hard"))
+    .join(q, "query_id")
+    .select("query_id", F.round("hard", 6).alias("difficulty"), F.round(D.weight(F.col("quality"), F.col("hard"), F.col("origin")), 6).alias("weight")),
+    *_CAND,
+    sql=f"WITH {D_NEG} SELECT query_id, round(CAST(hard AS DOUBLE), 6) AS difficulty, {D_WEIGHT} FROM {D_HARD} JOIN queries_v USING (query_id)",
+)
+P.add(
+    "d19_beir_export",
+    lambda q, d, c: q.select(F.col("query_id").alias("_id"), F.lit("query").alias("part"), F.md5("query").alias("text"))
+    .unionByName(c.select(F.col("id").alias("_id"), F.lit("corpus").alias("part"), F.md5(F.concat_ws("\n", "title", "text")).alias("text")))
+    .unionByName(D.qrels(positives(q, d)).select(F.concat_ws("\t", "query_id", "id").alias("_id"), F.lit("qrels").alias("part"), F.lit("1").alias("text"))),
+    *_CAND,
+    sql=f"WITH {D_POS} SELECT query_id AS _id, 'query' AS part, md5(query) AS text FROM queries_v UNION ALL SELECT id, 'corpus', md5(title || chr(10) || text) FROM corpus_v UNION ALL SELECT DISTINCT query_id || chr(9) || id, 'qrels', '1' FROM pos",
+)
+
+
+def bi(q, d, c):
+    return D.bi_encoder(q, positives(q, d), negatives(q, d, c), c)
+
+
+P.add(
+    "d20_bi_encoder_export",
+    lambda q, d, c: bi(q, d, c).select("query_id", F.md5(F.array_join("positives", "\n")).alias("positives"), F.md5(F.array_join("negatives", "\n")).alias("negatives"), F.round("weight", 6).alias("weight")),
+    *_CAND,
+    sql=f"""WITH {D_NEG}, p AS (SELECT query_id, md5(string_agg(text, chr(10) ORDER BY id)) AS positives FROM (SELECT DISTINCT query_id, id FROM pos) JOIN corpus_v USING (id) GROUP BY query_id),
+        n AS (SELECT query_id, md5(string_agg(text, chr(10) ORDER BY id)) AS negatives FROM neg JOIN corpus_v USING (id) GROUP BY query_id) SELECT query_id, positives, negatives, {D_WEIGHT} FROM queries_v JOIN p USING (query_id) JOIN n USING (query_id) JOIN {D_HARD} USING (query_id)""",
+)
+
+
+def cross(q, d, c):
+    return D.cross_encoder(D.reranker_pairs(positives(q, d), negatives(q, d, c)), q, c)
+
+
+P.add(
+    "d21_cross_encoder_export",
+    lambda q, d, c: cross(q, d, c).select("pair_id", "label", F.md5("text").alias("text"), F.round("weight", 6).alias("weight")),
+    *_CAND,
+    sql=f"WITH {D_PAIRED} SELECT pair_id, label, md5(coalesce(text, '')) AS text, round(quality, 6) AS weight FROM pr JOIN queries_v USING (query_id) LEFT JOIN corpus_v USING (id)",
+)
+P.add("d22_curriculum_slice", lambda q: D.curriculum(q.withColumn("split", D.id_split(F.col("query_id")))).select("query_id", "quality"), "queries_v", sql=f"SELECT query_id, quality FROM queries_v WHERE {d_bucket('query_id')} % 10000 >= 1500 AND quality >= 0.9")
+
+# E: an answer against the messages before it
+
+
+def with_context(c):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = c.withColumn("context", F.array_join(F.collect_list("text").over(w), " ")).where("role = 'assistant'")
+    return rows.select("conv_id", "turn", F.col("text").alias("answer"), "context")
+
+
+D_CTX = "cx AS (SELECT conv_id, turn, role, text AS answer, coalesce(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context FROM conversations), ctx AS (SELECT * FROM cx WHERE role = 'assistant')"
+_IMP = lambda x: rf"list_distinct(list_filter(regexp_extract_all({d_norm(x)}, '[\p{{L}}\p{{N}}_@./:+-]+'), lambda t: contains(t, '@') OR contains(t, 'http') OR regexp_matches(t, '[0-9]') OR length(t) >= 6))"
+P.add(
+    "e5_grounding_guard",
+    lambda c: with_context(c).select("conv_id", "turn", E.grounded(F.col("answer"), F.col("context")).alias("grounded")),
+    "conversations",
+    sql=f"""WITH {D_CTX}, i AS (SELECT conv_id, turn, {_IMP('answer')} AS o, {_IMP('context')} AS k FROM ctx)
+        SELECT conv_id, turn, len(list_filter(o, lambda t: (contains(t, '@') OR contains(t, 'http') OR regexp_matches(t, '[0-9]')) AND NOT list_contains(k, t))) = 0 AND len(list_filter(o, lambda t: NOT list_contains(k, t))) <= greatest(4, len(o) // 3) AS grounded FROM i""",
+)
+
+
+def checked(t):
+    """Turns with token columns, made once."""
+    return t.withColumns({"q": T.norm_ascii("question"), "a": T.norm_ascii("answer")}).withColumns({"qt": F.regexp_extract_all("q", F.lit("[a-z0-9]{3,}"), F.lit(0)), "at": F.regexp_extract_all("a", F.lit("[a-z0-9]{3,}"), F.lit(0))})
+
+
+D_CHECKED = f"ck AS (SELECT *, regexp_extract_all(q, '[a-z0-9]{{3,}}') AS qt, regexp_extract_all(a, '[a-z0-9]{{3,}}') AS ant FROM (SELECT *, {d_ascii('question')} AS q, {d_ascii('answer')} AS a FROM turns))"
+d_cover = lambda t, x: f"len(list_filter(list_distinct({t}), lambda t: contains({x}, t))) / greatest(1, len(list_distinct({t})))"
+D_FOCUS = "len(list_filter(ant, lambda t: list_contains(qt, t))) / greatest(1, len(ant))"
+P.add(
+    "e6_coverage",
+    lambda t: checked(t).select("turn_id", F.round(E.coverage(F.col("qt"), F.col("a")), 6).alias("query_coverage"), F.round(E.coverage(F.col("at"), F.col("q")), 6).alias("context_coverage")),
+    "turns",
+    sql=f"WITH {D_CHECKED} SELECT turn_id, round({d_cover('qt', 'a')}, 6) AS query_coverage, round({d_cover('ant', 'q')}, 6) AS context_coverage FROM ck",
+)
+P.add("e7_focus", lambda t: checked(t).select("turn_id", F.round(E.focus(F.col("at"), F.col("qt")), 6).alias("focus")), "turns", sql=f"WITH {D_CHECKED} SELECT turn_id, round({D_FOCUS}, 6) AS focus FROM ck")
+_X = ("turns", "reviews_v", "feedback_v", "contrib_v")
+
+
+def ranked_answers(*v):
+    """Candidates of a turn by support, relevance, focus, brevity and reward; another answer than the original needs a lead of .08."""
+    rows = deduped(*v).join(v[0].select("turn_id", "question", F.col("answer").alias("given")), "turn_id")
+    rows = with_reward(rows, "question", "text", "reward").withColumns({"q": T.norm_ascii("question"), "a": T.norm_ascii("text"), "g": T.norm_ascii("given")})
+    rows = rows.withColumns({"qt": F.regexp_extract_all("q", F.lit("[a-z0-9]{3,}"), F.lit(0)), "at": F.regexp_extract_all("a", F.lit("[a-z0-9]{3,}"), F.lit(0))})
+    brief = F.when(F.size(T.words("text")) <= 60, 1.0).otherwise(0.5)
+    score = 0.35 * E.coverage(F.col("at"), F.col("g")) + 0.22 * E.coverage(F.col("qt"), F.col("a")) + 0.18 * E.focus(F.col("at"), F.col("qt")) + 0.13 * brief + 0.12 * (F.col("reward") - 0.5)
+    rows = rows.withColumn("total", F.round(score, 9)).withColumn("original", T.ws("given") == F.col("text"))
+    by = rows.groupBy("turn_id").agg(F.max_by("text", F.struct("total", "text")).alias("best"), F.max("total").alias("top"), F.max(F.when(F.col("original"), F.col("total"))).alias("base"), F.max(F.when(F.col("original"), F.col("text"))).alias("own"))
+    switch = F.col("own").isNull() | (F.col("top") >= F.col("base") + 0.08)
+    return by.select("turn_id", F.when(switch, F.col("best")).otherwise(F.col("own")).alias("answer"), F.round("top", 6).alias("top"))
+
+
+P.add(
+    "e8_candidate_rank",
+    ranked_answers,
+    *_X,
+    sql=f"""WITH {D_DEDUPE}, a0 AS (SELECT d.turn_id, d.text, t.answer AS given, {d_ascii('t.question')} AS q, {d_ascii('d.text')} AS a, {d_ascii('t.answer')} AS g FROM ded d JOIN turns t USING (turn_id)),
+        a1 AS (SELECT *, regexp_extract_all(q, '[a-z0-9]{{3,}}') AS qt, regexp_extract_all(a, '[a-z0-9]{{3,}}') AS ant FROM a0),
+        a2 AS (SELECT *, {d_ws('given')} = text AS original, round(CAST(0.35 * {d_cover('ant', 'g')} + 0.22 * {d_cover('qt', 'a')} + 0.18 * {D_FOCUS} + 0.13 * CASE WHEN len({d_words('text')}) <= 60 THEN 1 ELSE 0.5 END + 0.12 * ({d_reward('q', 'a')} - 0.5) AS DOUBLE), 9) AS total FROM a1),
+        b AS (SELECT turn_id, arg_max(text, (total, text)) AS best, max(total) AS top, max(CASE WHEN original THEN total END) AS base, max(CASE WHEN original THEN text END) AS own FROM a2 GROUP BY turn_id)
+        SELECT turn_id, CASE WHEN own IS NULL OR top >= base + 0.08 THEN best ELSE own END AS answer, round(top, 6) AS top FROM b""",
+)
+
+
+def replacement(*v):
+    """Whether the chosen text should replace the rejected one: no worse focus and coverage, not over twice as long, a reward at least as high."""
+    rows = pairs(*v).join(v[0].select("turn_id", "question"), "turn_id")
+    rows = with_reward(with_reward(rows, "question", "chosen", "rc"), "question", "rejected", "rr").withColumns({"q": T.norm_ascii("question"), "c": T.norm_ascii("chosen"), "r": T.norm_ascii("rejected")})
+    rows = rows.withColumns({f"{n}t": F.regexp_extract_all(n, F.lit("[a-z0-9]{3,}"), F.lit(0)) for n in ("q", "c", "r")})
+    better = (E.coverage(F.col("qt"), F.col("c")) >= E.coverage(F.col("qt"), F.col("r")) - 0.5) & (F.length("chosen") <= 2 * F.length("rejected")) & (F.col("rc") >= F.col("rr") - 0.05)
+    return rows.select("turn_id", better.alias("replace"))
+
+
+P.add(
+    "e9_replacement_check",
+    replacement,
+    *_X,
+    sql=f"""WITH {D_PAIRS}, a0 AS (SELECT p.*, {d_ascii('et.question')} AS q, {d_ascii('chosen')} AS c, {d_ascii('rejected')} AS r FROM pairs p JOIN et USING (turn_id)), a1 AS (SELECT *, regexp_extract_all(q, '[a-z0-9]{{3,}}') AS qt FROM a0)
+        SELECT turn_id, {d_cover('qt', 'c')} >= {d_cover('qt', 'r')} - 0.5 AND length(chosen) <= 2 * length(rejected) AND {d_reward('q', 'c')} >= {d_reward('q', 'r')} - 0.05 AS replace FROM a1""",
+)
+P.add(
+    "e10_skip_generation",
+    lambda q, d, c: _merged(q, d, c, 1).join(q.select("query_id", "query_type"), "query_id").join(c.select("id", "text"), "id").groupBy("query_type").agg(F.count("*").alias("queries"), F.round(F.avg(((F.length("text") <= 1400) & (F.col("score") >= 0.6)).cast("double")), 6).alias("share")),
+    *_CAND,
+    sql=f"WITH {D_MERGED} SELECT q.query_type, count(*) AS queries, round(avg(CASE WHEN length(c.text) <= 1400 AND score >= 0.6 THEN 1.0 ELSE 0.0 END), 6) AS share FROM merged m JOIN queries_v q USING (query_id) JOIN corpus_v c ON c.id = m.id WHERE m.rank = 1 GROUP BY q.query_type",
+)
+
+# R: matching and entities
+P.add(
+    "r23_variant_match",
+    lambda t, r, v: N.variant_match(t, r, v).select("turn_id", "review_turn", F.round("score", 6).alias("score")),
+    "turns",
+    "reviews_v",
+    "review_variants_v",
+    sql=f"""WITH q AS (SELECT turn_id, q, list_distinct(string_split(q, ' ')) AS qt FROM (SELECT turn_id, {d_ascii('question')} AS q FROM turns) WHERE q <> ''),
+        v AS (SELECT DISTINCT turn_id AS review_turn, {d_ascii('variant')} AS v FROM review_variants_v WHERE turn_id IN (SELECT turn_id FROM reviews_v WHERE active) AND {d_ascii('variant')} <> ''),
+        s AS (SELECT q.turn_id, review_turn, max(CASE WHEN q = v THEN 10.0 ELSE len(list_intersect(qt, list_distinct(string_split(v, ' ')))) / len(qt) + CASE WHEN contains(q, v) OR contains(v, q) THEN 0.5 ELSE 0 END END) AS score FROM q, v GROUP BY ALL)
+        SELECT turn_id, review_turn, round(CAST(score AS DOUBLE), 6) AS score FROM s WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY round(score, 9) DESC, review_turn) = 1""",
+)
+P.add(
+    "r24_entity_match",
+    lambda p: N.entity_match(p.select(F.col("p_partkey").alias("question_id"), F.concat_ws(" ", "p_name", "p_type").alias("question")), p.select(F.col("p_name").alias("name")).distinct()).select("question_id", "name", F.round("score", 6).alias("score")),
+    "part",
+    sql=f"""WITH q AS (SELECT p_partkey AS question_id, {d_ascii("p_name || ' ' || p_type")} AS q FROM part), qt AS (SELECT question_id, q, unnest(list_distinct(string_split(q, ' '))) AS t FROM q),
+        n AS (SELECT DISTINCT p_name AS name, {d_ascii('p_name')} AS nn FROM part), nt AS (SELECT name, nn, len(list_distinct(string_split(nn, ' '))) AS n, unnest(list_distinct(string_split(nn, ' '))) AS t FROM n),
+        s AS (SELECT question_id, name, count(*) / any_value(n) + CASE WHEN contains(any_value(q), any_value(nn)) THEN 0.3 ELSE 0 END AS score FROM qt JOIN nt USING (t) GROUP BY question_id, name)
+        SELECT question_id, name, round(CAST(score AS DOUBLE), 6) AS score FROM s WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, name) = 1""",
+)
+P.add(
+    "r25_entity_profiles",
+    lambda d: N.entity_profiles(G.lines(d), F.lower("text").startswith("the "), F.col("text").contains("@")).select("doc_id", F.md5("entity").alias("entity"), "lines", "contacts", "first_pos"),
+    "documents",
+    sql=f"""WITH {D_LINES}, e AS (SELECT doc_id, pos, text, last_value(CASE WHEN starts_with(lower(text), 'the ') THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS entity FROM lines)
+        SELECT doc_id, md5(entity) AS entity, count(*) AS lines, CAST(sum(CAST(contains(text, '@') AS INT)) AS BIGINT) AS contacts, min(pos) AS first_pos FROM e WHERE entity IS NOT NULL GROUP BY doc_id, entity""",
+)
+P.add("r26_entity_list", lambda d: N.entity_list(d, "The [a-z]+", "lang"), "documents", sql="SELECT lang, entity, count(*) AS n FROM (SELECT lang, unnest(list_distinct(regexp_extract_all(text, 'The [a-z]+'))) AS entity FROM documents) GROUP BY ALL")
+PLACES = [("north", "th"), ("south", "st")]
+P.add(
+    "r27_contact_lines",
+    lambda d: N.contact_lines(G.lines(d), PLACES).select("doc_id", "field", "place", F.md5("text").alias("text")),
+    "documents",
+    sql=rf"""WITH {D_LINES}, f AS (SELECT DISTINCT doc_id, CASE WHEN contains(text, '@') THEN 'email' WHEN contains(text, 'http') THEN 'web' WHEN regexp_matches(text, '\+?[0-9][0-9 ().-]{{6,}}[0-9]') THEN 'phone' END AS field,
+        CASE WHEN contains({d_norm('text')}, 'th') THEN 'north' WHEN contains({d_norm('text')}, 'st') THEN 'south' ELSE '' END AS place, text FROM lines) SELECT doc_id, field, place, md5(text) AS text FROM f WHERE field IS NOT NULL""",
+)
+P.add(
+    "r28_field_proximity",
+    lambda d: N.field_proximity(G.lines(d), T.norm("text").contains("was"), F.col("text").contains("was the")).select("doc_id", "pos", "found_pos"),
+    "documents",
+    sql=f"""WITH {D_LINES}, h AS (SELECT *, CASE WHEN contains(text, 'was the') THEN pos END AS hit FROM lines), n AS (SELECT *, coalesce(hit, lead(hit, 1) OVER w, lead(hit, 2) OVER w, lead(hit, 3) OVER w) AS found_pos FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+        SELECT doc_id, pos, found_pos FROM n WHERE contains({d_norm('text')}, 'was') AND found_pos IS NOT NULL""",
+)
+P.add(
+    "r29_qa_match",
+    lambda q, t: N.qa_match(q, t.withColumnRenamed("turn_id", "qa_id"), _toks).select("query_id", "qa_id", F.round("score", 6).alias("score")),
+    "queries_v",
+    "turns",
+    sql=f"""WITH q AS (SELECT query_id, len(t) AS n, unnest(t) AS t FROM (SELECT query_id, list_distinct({d_toks('query')}) AS t FROM queries_v)),
+        a AS (SELECT turn_id AS qa_id, unnest(list_distinct({d_toks('question')})) AS t, 2.0e0 AS w FROM turns UNION ALL SELECT turn_id, unnest(list_distinct({d_toks('answer')})), 1.0e0 FROM turns),
+        s AS (SELECT query_id, qa_id, sum(w) / (3 * any_value(n)) AS score FROM q JOIN a USING (t) GROUP BY ALL)
+        SELECT query_id, qa_id, round(score, 6) AS score FROM s WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, qa_id) = 1""",
+)

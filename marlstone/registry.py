@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus, preference, retrieval, sessions, text, training
+from .plans import corpus, files, preference, retrieval, sessions, text, training
 from .plans.common import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def modules() -> list:
     """The modules of ``marlstone.plans``, each with QUERIES and ORACLE."""
-    return [text, corpus, retrieval, sessions, preference, training]
+    return [files, text, corpus, retrieval, sessions, preference, training]
 
 
 def queries() -> dict[str, Query]:
