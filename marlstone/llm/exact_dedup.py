@@ -16,6 +16,8 @@ from .common import cut, join_groups
 #: Cells a row, and the most cells; a filter takes max_cells / 8 bytes at most (128 MB), whatever the input.
 CELLS_PER_ROW = 16
 MAX_CELLS = 1 << 30
+#: Beginning of the names of columns that stand beside a caller's own for a while.
+MARK = "_marlstone_"
 
 
 def _cells(h: Column, n: int) -> list[Column]:
@@ -31,20 +33,17 @@ def repeated_cells(hashes: DataFrame, h: str, n: int) -> DataFrame:
     )
 
 
-def maybe_repeated(rows: DataFrame, h: str, n: int, bitmaps: DataFrame) -> DataFrame:
-    """``rows`` with ``repeated``: false if no other row can have the same hash."""
+def maybe_repeated(rows: DataFrame, h: str, n: int, bitmaps: DataFrame, out: str = "repeated") -> DataFrame:
+    """``rows`` with the flag ``out``: false if no other row can have the same hash."""
     for k, cell in enumerate(_cells(F.col(h), n)):
-        found = bitmaps.select(F.col("bucket").alias(f"_k{k}"), F.col("bits").alias(f"_b{k}"))
-        rows = rows.withColumn(f"_c{k}", cell).join(
-            F.broadcast(found), F.expr(f"bitmap_bucket_number(_c{k})") == F.col(f"_k{k}"), "left"
-        )
-        at = F.expr(f"bitmap_bit_position(_c{k})")
-        byte = F.expr(f"substring(_b{k}, cast(bitmap_bit_position(_c{k}) div 8 as int) + 1, 1)")
-        bit = F.expr(f"shiftright(cast(conv(hex(_byte{k}), 16, 10) as int), cast(_at{k} % 8 as int)) & 1")
-        rows = rows.withColumn(f"_at{k}", at).withColumn(f"_byte{k}", byte)
-        rows = rows.withColumn(f"_hit{k}", F.coalesce(bit == 1, F.lit(False)))
-        rows = rows.drop(f"_k{k}", f"_b{k}", f"_c{k}", f"_at{k}", f"_byte{k}")
-    return rows.withColumn("repeated", F.col("_hit0") & F.col("_hit1")).drop("_hit0", "_hit1")
+        key, bits, own, at, byte, hit = (f"{MARK}{x}{k}" for x in ("key", "bits", "own", "at", "byte", "hit"))
+        found = bitmaps.select(F.col("bucket").alias(key), F.col("bits").alias(bits))
+        rows = rows.withColumn(own, cell).join(F.broadcast(found), F.expr(f"bitmap_bucket_number({own})") == F.col(key), "left")
+        rows = rows.withColumn(at, F.expr(f"bitmap_bit_position({own})"))
+        rows = rows.withColumn(byte, F.expr(f"substring({bits}, cast({at} div 8 as int) + 1, 1)"))
+        bit = F.expr(f"shiftright(cast(conv(hex({byte}), 16, 10) as int), cast({at} % 8 as int)) & 1")
+        rows = rows.withColumn(hit, F.coalesce(bit == 1, F.lit(False))).drop(key, bits, own, at, byte)
+    return rows.withColumn(out, F.col(f"{MARK}hit0") & F.col(f"{MARK}hit1")).drop(f"{MARK}hit0", f"{MARK}hit1")
 
 
 def filter_size(rows: int) -> int:
@@ -85,15 +84,16 @@ def split_by_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFram
     ids = ids.select(F.xxhash64("id").alias("h"))
     n = filter_size(ids.count())
     bitmaps = cut(repeated_cells(ids.unionByName(ids), "h", n))  # the filter holds cells hit twice, so each id counts twice
-    marked = maybe_repeated(rows.withColumn("_h", F.xxhash64(F.col(id_col).cast("long"))), "_h", n, bitmaps)
-    return marked.where(~F.col("repeated")).select(*rows.columns), marked.where("repeated").select(*rows.columns)
+    h, flag = f"{MARK}h", f"{MARK}maybe"
+    marked = maybe_repeated(rows.withColumn(h, F.xxhash64(F.col(id_col).cast("long"))), h, n, bitmaps, flag)
+    return marked.where(~F.col(flag)).select(*rows.columns), marked.where(flag).select(*rows.columns)
 
 
 def drop_ids(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``rows`` without those whose id is in ``ids`` (one column, id); only rows that may be among them shuffle."""
     ids = cut(ids.select(F.col("id").cast("long").alias("id")))
     out, maybe = split_by_ids(rows, ids, id_col)
-    return out.unionByName(maybe.join(ids.withColumnRenamed("id", "_drop"), F.col(id_col).cast("long") == F.col("_drop"), "left_anti"))
+    return out.unionByName(maybe.join(ids.withColumnRenamed("id", f"{MARK}drop"), F.col(id_col).cast("long") == F.col(f"{MARK}drop"), "left_anti"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

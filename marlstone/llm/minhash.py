@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, cut, join_groups, mix, prefix_sums, span_hash, text_blocks, words
 from .components import components
-from .exact_dedup import filter_size, maybe_repeated, repeated_cells
+from .exact_dedup import split_by_ids
 
 #: A pair at the threshold .8 shares no band with probability (1 - .8^5)^32 = 3e-6.
 ROWS, BANDS = 5, 32
 #: Documents of a bucket whose pairs are all listed, leaders of a larger bucket, rows of a block of what these leave.
 SMALL, LEADERS, BLOCK = 8, 3, 512
+#: Shingles of a block, about: a block's sets take 2 MB for each of its two sides, or what its longest document takes.
+BLOCK_SHINGLES = 250_000
 #: Signatures that agree in less than the threshold minus this are not confirmed: four standard deviations of 160 minima.
 MARGIN = 0.13
 
@@ -138,11 +140,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     """Pairs with 100 * intersection >= percent * union on the full sets. Only documents of a pair shuffle, found by a Bloom filter of their ids."""
     pairs = cut(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    hashes = ids.select(F.xxhash64("id").alias("h"))
-    n = filter_size(ids.count())
-    twice = hashes.unionByName(hashes)  # the filter holds cells hit twice, so each id counts twice
-    some = maybe_repeated(docs.withColumn("h", F.xxhash64("id")), "h", n, cut(repeated_cells(twice, "h", n)))
-    sets = cut(shingle_sets(some.where("repeated"), size))
+    sets = cut(shingle_sets(split_by_ids(docs, ids, "id")[1], size))
     left = sets.select(F.col("id").alias("a"), F.col("x").alias("xa"))
     right = sets.select(F.col("id").alias("b"), F.col("x").alias("xb"))
     both = F.size(F.array_intersect("xa", "xb")).cast("long")
@@ -165,46 +163,55 @@ def _candidates(bands: DataFrame, buckets: DataFrame) -> DataFrame:
     return pairs.unionByName(leads.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")))
 
 
-def _rest(bands: DataFrame, large: DataFrame, comp: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in large buckets whose signatures agree enough.
+def _rest(bands: DataFrame, large: DataFrame, comp: DataFrame, sigs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Confirmed links (a, b) between different components that meet in large buckets; None if no bucket has two components.
 
-    Every such pair has a member outside the component of the bucket's first leader; these others meet all members in blocks of
-    about BLOCK rows, each block pair a group of its own, whatever the bucket's size. Nothing is emitted but agreeing pairs.
+    Every such link has an end outside the component of the bucket's first leader; these others meet all members in blocks of bounded rows and
+    shingles, each pair of blocks a group of its own, whatever the bucket's size. A block confirms pairs on the full sets where it is,
+    and gives one link for each other and component, which is all that the components need.
     """
-    rows = join_groups(bands, large, ["key"], "n")
     named = comp.select("id", "component")
+    rows = join_groups(bands, large, ["key"], "n").join(sigs.select("id", F.col("n").alias("size")), "id")
     rows = rows.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lead = named.select(F.col("id").alias("lead"), F.col("component").alias("main"))
-    first = large.select("key", F.element_at("leaders", 1).alias("lead")).join(lead, "lead", "left").select("key", F.coalesce("main", "lead").alias("main"))
-    marked = join_groups(rows.drop("leaders"), first.join(large.select("key", F.col("n").alias("m")), "key"), ["key"], "m").withColumn("other", F.col("component") != F.col("main"))
-    marked = cut(marked.select("key", "band", "id", "component", "n", "other"))
-    others = marked.where("other").groupBy("key").agg(F.count("*").alias("o"))
-    many = large.select("key", F.col("n").alias("m")).join(others, "key")
-    todo = cut(many)
+    first = large.select("key", F.col("n").alias("m"), F.element_at("leaders", 1).alias("lead")).join(lead, "lead", "left").select("key", "m", F.coalesce("main", "lead").alias("main"))
+    marked = join_groups(rows.drop("leaders", "n"), cut(first), ["key"], "m").withColumn("other", F.col("component") != F.col("main"))
+    marked = cut(marked.select("key", "band", "id", "size", "component", "other"))
+    parts = lambda count, total: F.greatest(F.ceil(count / BLOCK), F.ceil(total / BLOCK_SHINGLES)).cast("int")
+    o, some = F.col("other").cast("long"), F.when(F.col("other"), F.col("size")).otherwise(0)
+    todo = marked.groupBy("key").agg(F.count("*").alias("m"), parts(F.count("*"), F.sum("size")).alias("na"), F.sum(o).alias("o"), parts(F.sum(o), F.sum(some)).alias("no"))
+    todo = cut(todo.where("o > 0").drop("o"))
     if todo.isEmpty():
         return None
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    rows = join_groups(marked, todo, ["key"], "m").withColumn("na", blocks("n")).withColumn("no", blocks("o"))
-    rows = rows.join(sigs.select("id", "sig"), "id")
+    rows = cut(join_groups(marked, todo, ["key"], "m"))
+    sets = shingle_sets(split_by_ids(texts, rows.select("id").distinct(), "id")[1], size)
+    rows = rows.join(sigs.select("id", "sig"), "id").join(cut(sets), "id")
     h = F.xxhash64("id", F.lit(3))
-    every = rows.select("key", "band", "id", "component", "sig", F.lit(0).alias("side"), F.pmod(h, "na").alias("i"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("j"))
-    other = rows.where("other").select("key", "band", "id", "component", "sig", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), F.pmod(h, "no").alias("j"))
-    least = _agree(threshold)
+    shown = ("key", "band", "id", "component", "sig", "x")
+    every = rows.select(*shown, F.lit(0).alias("side"), F.pmod(h, "na").alias("i"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("j"))
+    other = rows.where("other").select(*shown, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), F.pmod(h, "no").alias("j"))
+    least = _agree(percent / 100)
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame.side == 0], frame[frame.side == 1]
-        out_a, out_b = [], []
+        left, right, out = frame[frame.side == 0], frame[frame.side == 1], []
         if len(left) and len(right):
             s = np.frombuffer(b"".join(left.sig), np.uint32).reshape(-1, ROWS * BANDS)
-            ids, comps, band = left.id.to_numpy(), left.component.to_numpy(), left.band.iloc[0]
-            for i, c, sig in zip(right.id, right.component, right.sig):
+            ids, comps, sets, band = left.id.to_numpy(), left.component.to_numpy(), left.x.to_list(), left.band.iloc[0]
+            n = np.array([len(x) for x in sets])
+            for i, c, sig, x in zip(right.id, right.component, right.sig, right.x):
                 same = s == np.frombuffer(sig, np.uint32)
-                ok = np.flatnonzero((same.sum(1) >= least) & (comps != c))
-                # a pair meets in each band that it shares; only the first of them gives it
+                fits = 100 * np.minimum(n, len(x)) >= percent * np.maximum(n, len(x))
+                ok = np.flatnonzero((same.sum(1) >= least) & (comps != c) & fits)
+                # a pair meets in each band that it shares; only the first of them looks at it
                 ok = ok[same[ok].reshape(len(ok), BANDS, ROWS).all(2).argmax(1) == band]
-                out_a.append(np.minimum(ids[ok], i))
-                out_b.append(np.maximum(ids[ok], i))
-        return pd.DataFrame({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
+                met = set()
+                for k in ok.tolist():
+                    if comps[k] not in met:
+                        both = len(np.intersect1d(x, sets[k], assume_unique=True))
+                        if 100 * both >= percent * (len(x) + n[k] - both):
+                            met.add(comps[k])
+                            out.append((min(i, ids[k]), max(i, ids[k])))
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return every.unionByName(other).groupBy("key", "i", "j").applyInPandas(work, "a long, b long").distinct()
 
@@ -233,9 +240,9 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     comp = cut(components(links))
     large = cut(buckets.where(F.col("n") > SMALL))
     if not large.isEmpty():
-        more = _rest(bands, large, comp, sigs, threshold)
+        more = _rest(bands, large, comp, sigs, texts, size, percent)
         if more is not None:
-            more = cut(_confirm(more, texts, size, percent))
+            more = cut(more)
             if not more.isEmpty():
                 comp = cut(components(links.unionByName(more)))
     named = cut(classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("k1", "k2", "n", "members", F.coalesce("component", "rep").alias("component")))

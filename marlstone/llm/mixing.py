@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, join_groups
+from .exact_dedup import MARK
 
 #: Default targets: a value's share of the tokens to this power, rescaled to sum 1 (1 leaves shares as they are, 0 makes them equal).
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -126,12 +127,12 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topi
     margins = margins or TEMPER
     rows = _cells(docs.select(text_col, "source", "lang"), text_col, topic).select(*NAMES, "tokens")
     probs = calibrate(rows, margins, None, rounds)
-    keys = [F.coalesce(F.col(n).cast("string"), F.lit("")).alias(f"_{n}") if n != "topic" else None for n in NAMES]
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = length_topic(text) if topic is None else F.coalesce(topic.cast("string"), F.lit(""))
-    keys[2] = kind.alias("_topic")
-    marked = docs.select("*", *keys, (F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")) > 0).alias("_some"))
-    probs = probs.select(*[F.col(n).alias(f"_{n}") for n in margins], F.col("docs").alias("_docs"), F.col("prob").alias("_prob"))
-    on = [f"_{n}" for n in margins]
-    met = marked.join(F.broadcast(probs), on) if probs.count() <= ONE_TASK else join_groups(marked, probs, on, "_docs")
-    return met.where(F.col("_some") & (uniform(id_col) < F.col("_prob"))).select(*docs.columns)
+    own = {"source": F.coalesce(F.col("source").cast("string"), F.lit("")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "topic": kind}
+    some = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")) > 0
+    marked = docs.select("*", *[own[n].alias(f"{MARK}{n}") for n in margins], some.alias(f"{MARK}some"))
+    probs = probs.select(*[F.col(n).alias(f"{MARK}{n}") for n in margins], F.col("docs").alias(f"{MARK}docs"), F.col("prob").alias(f"{MARK}prob"))
+    on = [f"{MARK}{n}" for n in margins]
+    met = marked.join(F.broadcast(probs), on) if probs.count() <= ONE_TASK else join_groups(marked, probs, on, f"{MARK}docs")
+    return met.where(F.col(f"{MARK}some") & (uniform(id_col) < F.col(f"{MARK}prob"))).select(*docs.columns)

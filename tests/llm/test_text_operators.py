@@ -1,0 +1,185 @@
+"""PII, BPE, toxicity, quality and language against brute force or held-out accuracy, with edge cases."""
+
+import base64
+import hashlib
+import re
+
+import public_tokenizers
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from marlstone.llm import bpe, langid, pii, quality, toxicity
+from marlstone.llm.common import learns
+
+SCHEMA = "doc_id long, text string, lang string, id string, score string"
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+TESTDATA = "/root/testdata/sf0.01"
+
+EDGES = [(1, None), (2, ""), (3, " \n\t "), (4, "x"), (5, "word " * 20000), (6, "x" * 30000), (7, "😀é漢字́"), (8, "12 34.5"), (8, "12 34.5"), (None, "the text")]
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "a", "b") for i, t in rows], SCHEMA)
+
+
+# --- PII -------------------------------------------------------------------
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_pii(text):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits(m)) <= 15]
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab1.@-+ ()2459é\n_%", max_size=60))
+def test_pii_base_spans_are_the_patterns(text):
+    assert [x[:3] for x in pii.find(text) if x[0] in pii.BASE] == brute_pii(text)
+
+
+def test_pii_checksums_context_and_redaction():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
+    found = pii.find("My IBAN is GB82 WEST 1234 5698 7654 32, card 4111 1111 1111 1111.")
+    assert {x[0] for x in found} == {"iban", "card"}
+    assert next(x[3] for x in found if x[0] == "iban") > pii.PRIOR["iban"]
+    assert pii.redact("mail a@b.co now", pii.find("mail a@b.co now")) == "mail <email> now"
+
+
+def test_pii_query(spark):
+    rows = [*EDGES, (20, "a@b.co 10.0.0.1 +1 555 123 4567 4111-1111-1111-1111"), (21, "1.2.3.4.5 300.1.1.1 x@y")]
+    got = pii.digest(pii.find_pii(table(spark, rows))).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    for i, t in rows:
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_pii(t or ""))
+        assert by[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert by[i].n_email == want.count("email:")
+    assert pii.find_pii(table(spark, [])).count() == 0
+
+
+# --- BPE -------------------------------------------------------------------
+RANKS = bpe.load_ranks(PATH)
+REFERENCE = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+CODEC = bpe.Codec(PATH, public_tokenizers.PATTERN)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=80))
+def test_bpe_is_the_merges(text):
+    text = text.encode("utf-8", "ignore").decode()
+    ids = CODEC.encode([text])[0][1]
+    assert list(ids) == REFERENCE.encode_ordinary(text)
+    assert CODEC.decode(ids) == text.encode()
+
+
+def test_bpe_other_vocabulary_and_restarts():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    other = bpe.Codec(path, public_tokenizers.PATTERN)
+    ref = tiktoken.Encoding("two", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    text = "Lazily determinised transducers, re-encoding aaaaaaaaaaaaaa 1234567890 " * 30 + "ß" * 500
+    assert list(other.encode([text])[0][1]) == ref.encode_ordinary(text)
+    other.transducer._restart()
+    other.pieces.clear()
+    assert list(other.encode([text])[0][1]) == ref.encode_ordinary(text)
+
+
+def test_bpe_streaming_decode():
+    text = "héllo 漢字 😀"
+    ids = list(CODEC.encode([text])[0][1])
+    machine = bpe.Utf8Decoder({i: t for t, i in RANKS.items()})
+    assert "".join(machine.feed([i]) for i in ids) + machine.end() == text
+
+
+def test_bpe_query(spark):
+    rows = table(spark, EDGES)
+    got = bpe.encode_texts(rows, PATH, public_tokenizers.PATTERN).collect()
+    assert len(got) == len(EDGES)
+    texts = dict(EDGES)
+    for r in got:
+        t = texts[r.doc_id] or ""
+        ids = REFERENCE.encode_ordinary(t)
+        assert (r.n_tokens, list(r.tokens)) == (len(ids), ids)
+        assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    back = bpe.decode_tokens(bpe.encode_texts(rows, PATH, public_tokenizers.PATTERN), PATH)
+    assert {r.doc_id: r.text for r in back.collect()} == {i: t or "" for i, t in EDGES}
+
+
+# --- trained models -------------------------------------------------------
+
+
+def test_toxicity_learns_and_locates(spark):
+    bad = ["idiot", "scum"]
+    rows = [(i, f"Plain words number {i} here.\nSecond line of {i % 7} things. " + (f"You are {bad[i % 2]} indeed. " if i % 4 == 0 else "") + "The end.") for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    docs = table(spark, rows)
+    model = toxicity.fit(docs, labels.where("doc_id < 160"))
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, model).collect()}
+    assert all(got[i].predicted == int(i % 4 == 0) for i in range(240))
+    text = rows[200][1]
+    assert all("scum" in text.encode()[o.start : o.end].decode() or "idiot" in text.encode()[o.start : o.end].decode() for o in got[200].offending) and got[200].offending
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.count() == 180
+    edge = {r.doc_id: r for r in toxicity.score_documents(table(spark, EDGES), model).collect()}
+    assert edge[1].score == 0 and edge[2].score == 0 and edge[5].predicted == 0
+
+
+def test_models_without_labels(spark):
+    docs = table(spark, EDGES)
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    for mod, label in ((toxicity, "toxic"), (quality, "quality")):
+        got = mod.score_documents(docs, mod.fit(docs, none, label)).collect()
+        assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got)
+        assert mod.score_documents(table(spark, []), mod.fit(table(spark, []), none, label)).count() == 0
+
+
+def _held_out(spark, mod, label, parts, held):
+    docs, labels = (spark.read.parquet(f"{TESTDATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = mod.fit(docs, labels.where(learns("doc_id", parts, held)))
+    rows = mod.score_documents(docs, model).where(~learns("doc_id", parts, held)).join(labels, "doc_id").collect()
+    return rows
+
+
+def test_toxicity_held_out(spark):
+    rows = _held_out(spark, toxicity, "toxic", 3, 1)
+    clean = [r for r in rows if not r.toxic]
+    assert sum(r.predicted for r in clean) <= 0.05 * len(clean)
+    assert sum(r.predicted for r in rows if r.toxic) >= 0.4 * sum(r.toxic for r in rows)
+
+
+def test_quality_held_out(spark):
+    rows = _held_out(spark, quality, "quality", 4, 2)
+    assert sum(r.predicted == r.quality for r in rows) >= 0.9 * len(rows)
+
+
+def test_language_held_out_and_edges(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet")
+    model = langid.fit(docs.where(learns("doc_id", 4, 2)))
+    rows = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(~learns("doc_id", 4, 2)).collect()
+    assert sum(r.lang_pred == r.lang for r in rows) >= 0.95 * len(rows)
+    edge = {r.doc_id: r for r in langid.identify(table(spark, EDGES), model).collect()}
+    assert [edge[i].lang_pred for i in (1, 2, 3, 8)] == ["und"] * 4
+    assert edge[5].lang_pred in model.langs and 0 <= edge[7].score <= 1
+    none = langid.fit(table(spark, []))
+    assert {r.lang_pred for r in langid.identify(table(spark, EDGES), none).collect()} == {"und"}
+
+
+def test_language_counts_and_probabilities(spark):
+    rows = spark.createDataFrame([(1, "aab ab", "x"), (2, "bba", "y"), (3, None, "x"), (4, "zz", None)], "doc_id long, text string, lang string")
+    counts = langid.count_grams(rows)
+    assert counts.where("lang = 'x'").agg({"n": "sum"}).first()[0] == 6
+    model = langid.fit(rows)
+    import numpy as np
+
+    symbols = [ord("a"), ord("b"), 32, ord("q")]
+    context = (32 << 48) | (32 << 32) | (32 << 16)
+    p = np.exp(model._logs(np.array([context | s for s in symbols], np.uint64)))
+    assert (p[:3].sum(0) <= 1 + 1e-9).all() and (p > 0).all()
