@@ -99,7 +99,7 @@ def lsa_vectors(docs: DataFrame, tokens: Column, id_col: str = "id", rank: int =
 
     rows = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).where(F.size("tokens") > 0)
     counts = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocabulary).fit(rows).transform(rows)
-    weighed = Normalizer(inputCol="w", outputCol="x").transform(IDF(inputCol="tf", outputCol="w").fit(counts).transform(counts)).select("id", "x")
+    weighed = Normalizer(inputCol="w", outputCol="x").transform(IDF(inputCol="tf", outputCol="w").fit(counts).transform(counts)).select("id", "x").persist()
     matrix = RowMatrix(weighed.rdd.map(lambda r: Vectors.sparse(r.x.size, r.x.indices, r.x.values)))
     n, m = matrix.numRows(), matrix.numCols()
     k = max(1, min(rank, n - 1, m - 1))
