@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, prefix_sums, span_hash, text_blocks, words
+from .common import LOWER, cut, mix, prefix_sums, span_hash, text_blocks, words
 
 #: Labelled documents that training reads, at most, taken by a hash of the id, half of them toxic where there are so many;
 #: characters of sentence text it holds per document are not limited.
@@ -62,21 +62,11 @@ def _noisy_or(score: np.ndarray, sent_doc: np.ndarray, n: int) -> tuple[np.ndarr
     return p, np.bincount(sent_doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)
 
 
-def train(features: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, rounds: int = 150, rate: float = 0.25, decay: float = 2e-4) -> dict:
-    """features: (hashes, sentence numbers, sentences) of each document. Returns the sorted hashes, their weights and the bias."""
+def train(keep: np.ndarray, features: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, rounds: int = 150, rate: float = 0.25, decay: float = 2e-4) -> dict:
+    """keep: sorted hashes of the features to weigh; features: (hashes, sentence numbers, sentences) of each document. Returns keys, weights and the bias."""
     n = len(labels)
     if n == 0 or not labels.any():
         return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -8.0}
-    seen = [np.unique(h) for h, _, _ in features]
-    keys, inverse = np.unique(np.concatenate(seen), return_inverse=True)
-    owner = np.repeat(np.arange(n), [len(s) for s in seen])
-    pos = np.bincount(inverse, weights=labels[owner], minlength=len(keys))
-    tot = np.bincount(inverse, minlength=len(keys))
-    rate_pos, rate_neg = (pos + 0.5) / (labels.sum() + 1), (tot - pos + 0.5) / (n - labels.sum() + 1)
-    gain = pos * np.log(rate_pos / rate_neg)  # evidence that the feature goes with label 1
-    least = max(2, int(0.002 * labels.sum()))
-    ok = np.flatnonzero((pos >= least) & (gain > 0))
-    keep = np.sort(keys[ok[np.argsort(-gain[ok], kind="stable")[:MAX_FEATURES]]])
     cols, sents, docs, at = [], [], [], 0
     for d, (h, s, m) in enumerate(features):
         if len(keep):
@@ -125,30 +115,56 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     return texts.join(few, "_id").select("text", "label")
 
 
+def select_features(sample: DataFrame, limit: int = MAX_FEATURES) -> np.ndarray:
+    """Sorted hashes of the features of (text, label) whose presence is the most evidence of label 1. Documents are counted in the cluster; only these hashes come back."""
+
+    def work(batches):
+        for batch in batches:
+            labels = batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b, data, bounds in text_blocks(batch, "text"):
+                h, s, s_doc, _, _ = featurize(data, bounds)
+                doc = s_doc[s] if len(s) else s
+                order = np.lexsort((doc, h))
+                h, doc = h[order], doc[order]
+                keep = np.ones(len(h), bool)
+                keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                key, code = np.unique(h[keep], return_inverse=True)
+                pos = np.bincount(code, weights=labels[a:b][doc[keep]], minlength=len(key))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pos.astype(np.int64)), pa.array(np.bincount(code, minlength=len(key)).astype(np.int64))], ["h", "pos", "tot"])
+
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not toxic:
+        return np.zeros(0, np.uint64)
+    sums = sample.mapInArrow(work, "h long, pos long, tot long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("tot").alias("tot"))
+    gain = F.col("pos") * F.log(((F.col("pos") + 0.5) / (toxic + 1)) / ((F.col("tot") - F.col("pos") + 0.5) / (n - toxic + 1)))
+    best = sums.where(F.col("pos") >= max(2, int(0.002 * toxic))).withColumn("gain", gain).where("gain > 0").orderBy(F.desc("gain"), "h").limit(limit)
+    return np.sort(best.select("h").toArrow()["h"].to_numpy().view(np.uint64))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_TRAIN) -> dict:
-    """Train on a bounded sample of the labelled documents given (``limit``); a task turns each text to hashed features."""
+    """Train on a bounded sample of the labelled documents given (``limit``): features are chosen first, then each text comes back as those that it has."""
+    sample = cut(sample_labelled(docs, labels, label, id_col, text_col, limit))
+    keep = select_features(sample)
 
     def work(batches):
         for batch in batches:
             labels = batch.column(1)
             for a, b, data, bounds in text_blocks(batch, "text"):
                 h, s, s_doc, _, _ = featurize(data, bounds)
-                order = np.argsort(s_doc[s], kind="stable") if len(s) else s
-                h, s = h[order], s[order]
-                cuts = np.searchsorted(s_doc[s], np.arange(b - a + 1)) if len(s) else np.zeros(b - a + 1, int)
+                hit = np.isin(h, keep)
+                h, s = h[hit], s[hit]
+                doc = s_doc[s] if len(s) else s
                 first = np.searchsorted(s_doc, np.arange(b - a + 1))
-                rows = []
-                for k in range(b - a):
-                    pair = np.unique(np.stack([(s[cuts[k] : cuts[k + 1]] - first[k]).astype(np.uint64), h[cuts[k] : cuts[k + 1]]], 1), axis=0)
-                    rows.append((pair[:, 1].tobytes(), pair[:, 0].astype(np.uint32).tobytes(), int(first[k + 1] - first[k])))
+                order = np.argsort(doc, kind="stable")
+                h, s, cuts = h[order], s[order], np.searchsorted(doc[order], np.arange(b - a + 1))
+                rows = [(h[i:j].tobytes(), (s[i:j] - f).astype(np.uint32).tobytes()) for i, j, f in zip(cuts, cuts[1:], first)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32()), labels.slice(a, b - a)],
-                    ["h", "s", "n", "label"],
+                    [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array(np.diff(first).astype(np.int32)), labels.slice(a, b - a)], ["h", "s", "n", "label"]
                 )
 
-    rows = sample_labelled(docs, labels, label, id_col, text_col, limit).mapInArrow(work, "h binary, s binary, n int, label int").toArrow().to_pylist()
+    rows = sample.mapInArrow(work, "h binary, s binary, n int, label int").toArrow().to_pylist()
     features = [(np.frombuffer(r["h"], np.uint64), np.frombuffer(r["s"], np.uint32).astype(np.int64), r["n"]) for r in rows]
-    return train(features, np.array([r["label"] for r in rows], np.int64))
+    return train(keep, features, np.array([r["label"] for r in rows], np.int64))
 
 
 def score_block(model: dict, data: np.ndarray, bounds: np.ndarray):
