@@ -33,8 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that the expected tokens have the target shares of source, language and topic."""
-    return mixing.sample(docs)
+    """Half of the tokens, sampled so that the expected ones have the target shares of source, language and topic as far as the documents suffice."""
+    return mixing.sample(docs, share=mixing.SHARE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,10 @@
 Token counts are summed to cells (source, language, topic); raking multiplies the cells by
 factors until each of the three marginals has its target share of the tokens; each document is then
 sampled with its cell's calibrated probability.
+
+How large the sample is: with ``share``, the expected tokens are that share of all tokens. Cells that cannot give what
+they are asked for give all they have, and the rest is raked again. Without it the most wanted cell has probability 1,
+so the rarest value sets the size: one document of a new source or without a language can shrink the sample to a few percent.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from .exact_dedup import MARK
 #: Default targets: a value's share of the tokens to this power, rescaled to sum 1 (1 leaves shares as they are, 0 makes them equal).
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 ROUNDS = 8
+#: Share of the tokens that the pipeline's sample has.
+SHARE = 0.5
 #: Tables of cells up to this many rows are raked in one partition, without a shuffle; larger ones shuffle.
 ONE_TASK = 100_000
 
@@ -52,11 +58,11 @@ def _all(name: str):
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (margins and tokens) with ``weight``, the raked tokens as a share of all.
 
-    Values without a target keep their weight in that margin. Every round rakes each margin in
+    A ``weight`` that the cells have is raked further. Values without a target keep their weight in that margin. Every round rakes each margin in
     turn; the table of cells is written after each round, so the plan stays short.
     """
     small = cells.count() <= ONE_TASK
-    fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
+    fitted = cells if "weight" in cells.columns else cells.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(rounds):
         fitted = fitted.coalesce(1) if small else fitted
         for name, target in targets.items():
@@ -72,6 +78,41 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return fitted
 
 
+def fill(fitted: DataFrame, share: float) -> tuple[DataFrame, int]:
+    """``fitted`` with ``weight`` as a share of the sample, whose tokens are ``share`` of all, and the number of full cells.
+
+    A cell's weight is at most its tokens; what the full cells lack, the others give in proportion. Newton's
+    steps on a concave sum never pass the factor sought and end when no further cell fills; each is one row of sums.
+    Where cells of weight 0 hold the tokens that are lacking, the sample is smaller.
+    """
+    total = fitted.agg(F.sum("tokens")).first()[0] or 0
+    if not total:
+        return fitted, 0
+    room = F.col("tokens") / F.lit(float(total * share))
+    factor, full = 0.0, -1
+    while True:
+        filled = F.col("weight") * factor >= room
+        wanted = F.col("weight") > 0
+        row = fitted.where(wanted).agg(
+            F.count(F.when(filled, 1)).alias("full"), F.sum(F.when(filled, room)).alias("given"), F.sum(F.when(~filled, F.col("weight"))).alias("free")
+        ).first()
+        if row.full == full or not row.free:
+            break
+        full, factor = row.full, max(factor, (1 - (row.given or 0.0)) / row.free)
+    whole = (F.col("weight") * factor >= room) if row.free else wanted
+    return fitted.withColumn("weight", F.when(whole, room).otherwise(F.col("weight") * factor)), row.full
+
+
+def rake_to_size(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds: int = ROUNDS) -> DataFrame:
+    """``rake`` to a sample of ``share`` of all tokens: cells are filled at most, and while any is full the rest is raked again, ``rounds`` times at most."""
+    fitted, full = fill(rake(cells, targets, rounds), share)
+    for _ in range(rounds):
+        if not full:
+            break
+        fitted, full = fill(rake(fitted, targets, 1), share)
+    return fitted
+
+
 def uniform(id_col: str, seed: str = "mix") -> Column:
     """A fixed number in [0, 1) for an id, from MD5, so that other engines can repeat it."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
@@ -86,17 +127,19 @@ def mix_weights(
     margins: dict[str, float] | None = None,
     targets: dict[str, DataFrame] | None = None,
     rounds: int = ROUNDS,
+    share: float | None = None,
 ) -> DataFrame:
     """One row per input row: id, source, lang, topic, tokens, prob, sampled.
 
-    ``prob`` is the cell's raked tokens over its tokens, scaled so that the most wanted cell
-    has probability 1; so the expected tokens of the sample have the target marginals. Null margins count as ''.
+    ``prob`` is the cell's raked tokens over its tokens. With ``share`` the sample's expected tokens are that share
+    of all, and have the target marginals as far as the tokens suffice; without it the most wanted cell
+    has probability 1, and the sample's size is that of the rarest value. Null margins count as ''.
     Documents without tokens weigh nothing and have probability 0. An empty table gives no rows.
     ``targets`` holds a table (value, target) per margin; the default tempers the table's own shares.
     """
     margins = margins or TEMPER
     rows = cut(_cells(docs.select(F.col(id_col).alias("id"), text_col, "source", "lang"), text_col, topic).select("id", *NAMES, "tokens"))
-    probs = calibrate(rows, margins, targets, rounds)
+    probs = calibrate(rows, margins, targets, rounds, share)
     out = join_groups(rows, probs, list(margins), "docs")
     prob = F.when(F.col("tokens") > 0, F.col("prob")).otherwise(0.0)
     return out.select(F.col("id").alias(id_col), *NAMES, "tokens", prob.alias("prob"), (uniform("id") < prob).alias("sampled"))
@@ -112,21 +155,29 @@ def _cells(docs: DataFrame, text_col: str, topic: Column | None) -> DataFrame:
     return docs.withColumns(blank | {"topic": kind, "tokens": words(text)})
 
 
-def calibrate(rows: DataFrame, margins: dict[str, float], targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Margins, docs and prob of each cell of ``rows`` (margins and tokens)."""
+def calibrate(rows: DataFrame, margins: dict[str, float], targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
+    """Margins, docs and prob of each cell of ``rows`` (margins and tokens); ``share`` is in (0, 1]."""
     names = list(margins)
     cells = cut(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
-    fitted = rake(cells, targets or tempered_targets(cells, margins), rounds)
+    targets = targets or {name: cut(target) for name, target in tempered_targets(cells, margins).items()}
+    if share is not None:
+        if not 0 < share <= 1:
+            raise ValueError(f"share of tokens {share}")
+        total = cells.agg(F.sum("tokens").cast("double").alias("total"))  # one row
+        fitted = rake_to_size(cells, targets, share, rounds).crossJoin(F.broadcast(total))
+        prob = F.least(F.lit(1.0), F.col("weight") * F.lit(share) * F.col("total") / F.col("tokens"))
+        return cut(fitted.select(*names, "docs", F.when(F.col("tokens") > 0, prob).otherwise(0.0).alias("prob")))
+    fitted = rake(cells, targets, rounds)
     ratio = fitted.select(*names, "docs", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("ratio"))
     top = ratio.agg(F.max("ratio").alias("top"))  # one row
     return cut(ratio.crossJoin(F.broadcast(top)).select(*names, "docs", F.when(F.col("top") > 0, F.col("ratio") / F.col("top")).otherwise(0.0).alias("prob")))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, margins: dict[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, margins: dict[str, float] | None = None, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
     """The rows of ``docs``, all their columns, that mix_weights samples. Cells are broadcast if they are ONE_TASK at most, else joined as groups."""
     margins = margins or TEMPER
     rows = _cells(docs.select(text_col, "source", "lang"), text_col, topic).select(*NAMES, "tokens")
-    probs = calibrate(rows, margins, None, rounds)
+    probs = calibrate(rows, margins, None, rounds, share)
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = length_topic(text) if topic is None else F.coalesce(topic.cast("string"), F.lit(""))
     own = {"source": F.coalesce(F.col("source").cast("string"), F.lit("")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "topic": kind}

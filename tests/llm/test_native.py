@@ -87,3 +87,35 @@ def test_mixing_samples_by_probability(spark):
     assert abs(sum(r.sampled for r in got) - want) < 5 * want**0.5
     again = {r.doc_id for r in mixing.sample(rows, rounds=3).collect()}
     assert again == {r.doc_id for r in got if r.sampled}
+
+
+def test_mixing_with_a_rare_source_and_a_null_lang_keeps_its_size(spark):
+    rows = [(i, "w " * 100, ("en", "de", "fr", "nl")[i % 7 % 4], f"src{i % 11 % 3}", 1, "x", "y") for i in range(3000)]
+    for more in ([], [(3000, "w " * 100, "en", "rare", 1, "x", "y"), (3001, "w " * 100, None, "src0", 1, "x", "y")]):
+        docs = spark.createDataFrame(rows + more, SCHEMA)
+        got = mixing.mix_weights(docs, share=0.5).collect()
+        tokens = sum(r.tokens for r in got)
+        assert len(got) == len(rows + more) and all(0 < r.prob <= 1 for r in got)
+        assert sum(r.prob * r.tokens for r in got) == pytest.approx(0.5 * tokens, rel=1e-6)
+        assert sum(r.sampled for r in got) == pytest.approx(0.5 * len(got), rel=0.1)
+        assert [r.prob for r in got if r.source == "rare" or r.lang == ""] == [1] * len(more)
+        assert {r.doc_id for r in mixing.sample(docs, share=0.5).collect()} == {r.doc_id for r in got if r.sampled}
+    # the margins that can be met are: tempered shares, to what the two rare documents lack
+    kept = {s: sum(r.prob for r in got if r.source == s) for s in ("src0", "src1", "src2")}
+    power = {s: sum(r.source == s for r in got) ** mixing.TEMPER["source"] for s in kept}
+    for s in kept:
+        assert kept[s] / sum(kept.values()) == pytest.approx(power[s] / sum(power.values()), rel=0.02)
+
+
+def test_mixing_share_of_all_keeps_all(spark):
+    got = mixing.mix_weights(table(spark, [(i, "w " * (1 + i % 50)) for i in range(60)] + [(60, None)]), share=1.0, rounds=2).collect()
+    assert all(r.prob == pytest.approx(1 if r.tokens else 0) for r in got)
+    with pytest.raises(ValueError):
+        mixing.mix_weights(table(spark, ROWS), share=1.5)
+
+
+def test_pipeline_mix_is_not_sized_by_the_rarest_source(spark):
+    import corpus_pipeline
+
+    rows = [(i, "w " * 100, "en", "src0", 1, "x", "y") for i in range(2000)] + [(2000, "w " * 100, "en", "rare", 1, "x", "y")]
+    assert corpus_pipeline.mix(spark, spark.createDataFrame(rows, SCHEMA), "").count() > 800
