@@ -135,3 +135,23 @@ def test_entry(spark):
     assert registry.flagship(spark, SF).count() > 0
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_vector_search_takes_any_number_of_queries(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5000, 4)).round(1)
+    x[:40] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, [1.0, 2.0]), (5001, [2.0, 1.0]), (None, [1.0, 1.0]), (5002, None)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in search.vector_search(df, df, 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    assert set(got) == set(range(5002))
+    assert [(r, i) for r, i, _ in got[5000]] == [(1, 5001)]
+    u = x / np.maximum(1e-12, np.sqrt((x * x).sum(1, keepdims=True)))
+    for q in [*range(0, 5000, 37), 5, 39]:
+        s = np.round(u @ u[q], 9)
+        want = sorted((i for i in range(5000) if i != q), key=lambda i: (-s[i], i))[:3]
+        assert [s[i] for _, i, _ in sorted(got[q])] == pytest.approx([s[i] for i in want], abs=2e-9)
+    assert [i for _, i, _ in sorted(got[5])] == [0, 1, 2]
