@@ -144,11 +144,11 @@ P.add(
 
 
 def reward_model(docs, labels):
-    rows = docs.join(labels, "doc_id").select("doc_id", F.substring("text", 1, 2000).alias("text"), F.col("quality").alias("label"))
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
     from pyspark.ml.functions import vector_to_array
 
     model = X.reward_model(rows)
-    return model.transform(docs.select("doc_id", F.substring("text", 1, 2000).alias("text"), F.lit(0).alias("label"))).select("doc_id", F.round(vector_to_array("probability")[1], 6).alias("reward"))
+    return model.transform(docs.select("doc_id", "text", F.lit(0).alias("label"))).select("doc_id", F.round(vector_to_array("probability")[1], 6).alias("reward"))
 
 
 P.add("x16_reward_model", reward_model, "documents", "labels")

@@ -155,3 +155,13 @@ def test_vector_search_takes_any_number_of_queries(spark):
         want = sorted((i for i in range(5000) if i != q), key=lambda i: (-s[i], i))[:3]
         assert [s[i] for _, i, _ in sorted(got[q])] == pytest.approx([s[i] for i in want], abs=2e-9)
     assert [i for _, i, _ in sorted(got[5])] == [0, 1, 2]
+
+
+def test_reward_reads_the_whole_text(spark):
+    from marlstone.plans.preference import reward_model
+
+    head = "same words " * 200
+    docs = spark.createDataFrame([(i, head + ("good tail" if i % 2 else "zzz qqq")) for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    got = {r.doc_id: r.reward for r in reward_model(docs, labels).collect()}
+    assert got[11] > 0.5 > got[10]
