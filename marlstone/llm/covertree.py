@@ -9,6 +9,8 @@ of the trees that each task builds over its block.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -114,17 +116,20 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     """query_id, rank, id, score of the k highest integer inner products of each query (ids divisible by ``every``) with all other rows.
 
     Ties go to the smaller id; fewer rows if there are fewer candidates. Null ids, and vectors that are null or hold null or non-finite components, take
-    no part; vectors of another length than the shortest row's are left out likewise. Rows that repeat an id are candidates each.
+    no part. A query meets the vectors of its own length; each length is searched by itself. Rows that repeat an id are candidates each.
     Every data block is met by every query group whose bound is not pruned; a query keeps k rows a block.
     """
     spark = vectors.sparkSession
     rows = cut(vectors.select(F.col(id_col).cast("long").alias("id"), quantize(F.col(vec_col)).alias("v")).where("id is not null and v is not null and size(v) > 0"))
-    stats = rows.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("dim"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q")).first()
     names = "query_id long, rank int, vec_id long, score long"
-    if not stats.n or not stats.q:
-        return spark.createDataFrame([], names)
-    dim = stats.dim
-    rows = rows.where(F.size("v") == dim)
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q")).where("q > 0").orderBy("dim").collect()
+    found = [_top_k(rows.where(F.size("v") == stats.dim), stats, k, every, block, group) for stats in sizes]
+    return functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], names)
+
+
+def _top_k(rows: DataFrame, stats, k: int, every: int, block: int, group: int) -> DataFrame:
+    """top_k of rows (id, v) of one length ``stats.dim``, of which ``stats.n`` are data and ``stats.q`` queries."""
+    spark, dim = rows.sparkSession, stats.dim
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()["v"].to_pylist()
     centres = cover(np.array(sample, np.float64), LEAVES if stats.n > 4 * block else 1)
     blocks, groups = max(1, stats.n // (block * len(centres))), max(1, stats.q // (group * len(centres)))

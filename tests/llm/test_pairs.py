@@ -187,3 +187,10 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, sf)
     assert 0 < out.count() <= len(want)
     assert all(r.decoded_sha256 == hashlib.sha256(rows[r.doc_id].encode()).hexdigest() for r in out.collect())
+
+
+def test_top_k_searches_every_length(spark):
+    rows = [(i, [float(i), 1.0, 0.5]) for i in range(20)] + [(50, [1.0]), (51, [2.0]), (52, [3.0, 1.0])]
+    got = sorted(map(tuple, covertree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 2, 10).collect()))
+    long = lambda q, d: 65536 * (q * d + 1) + 16384
+    assert got == [(0, 1, 1, long(0, 1)), (0, 2, 2, long(0, 2)), (10, 1, 19, long(10, 19)), (10, 2, 18, long(10, 18)), (50, 1, 51, 131072)]
