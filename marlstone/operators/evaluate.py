@@ -49,3 +49,43 @@ def coverage(tokens: Column, x: Column) -> Column:
 def focus(answer_tokens: Column, question_tokens: Column) -> Column:
     """Share of the answer's tokens that the question has."""
     return F.size(F.filter(answer_tokens, lambda t: F.array_contains(question_tokens, t))) / F.greatest(F.lit(1), F.size(answer_tokens))
+
+
+#: Weights of an answer's parts, bonuses by where it comes from, the support of a grounded answer, and the lead that another answer needs.
+WEIGHTS = {"support": 0.35, "relevance": 0.22, "focus": 0.18, "brevity": 0.13, "reward": 0.12}
+BONUS = {"original": 0.02, "rule": 0.18, "fallback": 0.02}
+GUARDED, LEAD, RESCUE = 0.85, 0.08, 0.3
+SHORT_INTENTS = ("factoid", "contact", "howto")
+
+
+def answer_score(guarded: Column, support: Column, relevance: Column, focused: Column, length: Column, intent: Column, specificity: Column, reward: Column, source: Column) -> Column:
+    """The score by which answers to one question are ranked.
+
+    A grounded answer's support is GUARDED at least; answers over 220 characters lose brevity under SHORT_INTENTS; steps count .12 each, .35 at most, in how-to answers.
+    """
+    brief = F.when(intent.isin(*SHORT_INTENTS), F.least(F.lit(1.0), 220.0 / F.greatest(F.lit(220.0), length.cast("double")))).otherwise(1.0)
+    held = F.when(guarded, F.greatest(support, F.lit(GUARDED))).otherwise(support)
+    bonus = F.lit(0.0)
+    for name, value in BONUS.items():
+        bonus = F.when(source == name, value).otherwise(bonus)
+    out = WEIGHTS["support"] * held + WEIGHTS["relevance"] * relevance + WEIGHTS["focus"] * focused + WEIGHTS["brevity"] * brief + WEIGHTS["reward"] * (reward - 0.5) + bonus
+    return out + F.when(intent == "howto", F.least(F.lit(0.35), 0.12 * specificity)).otherwise(0.0)
+
+
+def choose_answer(candidates: DataFrame, key: str) -> DataFrame:
+    """(key, answer, top): of candidates (key, text, source, total, guarded, pos) the best, if it leads the original by LEAD; the original if it is the best; the best
+    if the original is not grounded and the best reaches RESCUE; else the original. Ties go to the earlier ``pos``."""
+    order = F.struct(-F.col("total"), F.col("pos"))
+    own = F.col("source") == "original"
+    by = candidates.groupBy(key).agg(
+        F.min_by("text", order).alias("best"), F.min_by("source", order).alias("from"), F.max("total").alias("top"),
+        F.coalesce(F.max(F.when(own, F.col("total"))), F.lit(0.0)).alias("base"), F.max(F.when(own, F.col("text"))).alias("own"), F.coalesce(F.max(F.when(own, F.col("guarded"))), F.lit(False)).alias("held"),
+    )
+    switch = (F.col("from") != "original") & ((F.col("top") >= F.col("base") + LEAD) | (~F.col("held") & (F.col("top") >= RESCUE)))
+    return by.select(key, F.when(switch, F.col("best")).otherwise(F.col("own")).alias("answer"), "top")
+
+
+def replaces(guarded: Column, same: Column, focus_gain: Column, coverage_gain: Column, length: Column, answer_length: Column, reward_gain: Column) -> Column:
+    """Whether a grounded candidate of other words takes an answer's place: more focus (.03) or coverage (.15), 80 characters shorter, or a better reward (.12) at hardly less of both (.08)."""
+    better = (focus_gain >= 0.03) | (coverage_gain >= 0.15) | (length + 80 < answer_length) | ((reward_gain >= 0.12) & (focus_gain + coverage_gain >= -0.08))
+    return guarded & ~same & (length > 0) & better

@@ -7,7 +7,29 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-LABELS = {"preferred": 3, "neutral": 2, "rejected": 1}
+#: Score of a candidate answer by where it comes from, and the verdicts and ratings that decide it.
+SCORES = {
+    "original": 0.4,
+    "review_approved": 0.98,
+    "review_approved_other": 0.96,
+    "review_rejected": 0.1,
+    "suggestion_low": 0.88,
+    "suggestion": 0.7,
+    "feedback_high": 0.85,
+    "feedback_low": 0.15,
+    "contribution": 0.88,
+}
+APPROVING = ("correct", "missing", "partial")
+REJECTING = ("incorrect", "excessive", "missing", "partial")
+HIGH, LOW = 4, 2
+#: Words without weight, marks of a direct question, and texts that answer none.
+STOPWORDS = (
+    "ban", "toi", "minh", "cho", "hoi", "ve", "la", "gi", "nao", "o", "dau", "co", "cua", "trong", "va", "hoac", "thi", "nhu", "the", "can", "hay", "duoc", "khong", "mot",
+    "cac", "nhung", "nay", "do", "day", "uneti", "truong",
+)
+DIRECT = (" la gi", " o dau", " day mon gi", " dao tao gi", " ai")
+EVASIVE = ("lich su hinh thanh", "ngay nay da co lich su", "song song voi viec giang day", "khong tim thay du thong tin")
+NOTHING = "khong tim thay"
 
 
 def eligible_turns(turns: DataFrame) -> DataFrame:
@@ -16,12 +38,13 @@ def eligible_turns(turns: DataFrame) -> DataFrame:
 
 
 def turn_reviews(turns: DataFrame, reviews: DataFrame, variants: DataFrame) -> DataFrame:
-    """(turn_id, review_turn, seq) of reviews of the same turn or with a variant that is the turn's question: two equi-joins, not one OR-join."""
-    same = turns.select("turn_id").join(reviews.select("turn_id", F.col("turn_id").alias("review_turn"), "seq"), "turn_id")
-    named = variants.select(F.col("turn_id").alias("review_turn"), T.norm("variant").alias("key")).distinct()
-    asked = turns.select("turn_id", T.norm("question").alias("key")).join(named, "key").select("turn_id", "review_turn")
-    by_text = asked.join(reviews.select(F.col("turn_id").alias("review_turn"), "seq"), "review_turn").select("turn_id", "review_turn", "seq")
-    return same.unionByName(by_text).distinct()
+    """(turn_id, review_turn, seq) of answer reviews of the same turn or with a variant that is the turn's question: two equi-joins, not one OR-join."""
+    answers = reviews.where("coalesce(nullif(review_kind, ''), 'answer') = 'answer'").select(F.col("turn_id").alias("review_turn"), "seq")
+    same = turns.select("turn_id").join(answers, F.col("turn_id") == F.col("review_turn"))
+    named = variants.select(F.col("turn_id").alias("review_turn"), F.trim("variant").alias("key")).where("key <> ''").distinct()
+    asked = turns.select("turn_id", T.ws("question").alias("key")).join(named, "key").select("turn_id", "review_turn")
+    by_text = asked.join(answers, "review_turn").select("turn_id", "review_turn", "seq")
+    return same.select("turn_id", "review_turn", "seq").unionByName(by_text).distinct()
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -42,57 +65,73 @@ def turn_contributions(turns: DataFrame, contributions: DataFrame) -> DataFrame:
     return turns.select("turn_id", T.ws("question").alias("key")).where("key <> ''").join(ok, "key").drop("key")
 
 
-def answer_candidates(turns: DataFrame, reviews: DataFrame, feedback: DataFrame, contributions: DataFrame) -> DataFrame:
-    """(turn_id, text, label, score, source): answers of a turn with what its reviews, feedback and contributions say of them."""
+def answer_candidates(turns: DataFrame, reviews: DataFrame, variants: DataFrame, feedback: DataFrame, contributions: DataFrame, scores: dict[str, float] = SCORES) -> DataFrame:
+    """(turn_id, text, label, score, source, pos): answers of a turn with what its reviews, feedback and contributions say of them.
+
+    Reviews are those of ``turn_reviews``. A turn without a rating counts as rated 0, so its own answer is rejected with the score of low ratings. ``pos`` is the order of arrival.
+    """
     turns = eligible_turns(turns)
-    base = turns.select("turn_id", F.col("answer").alias("text"), F.lit("neutral").alias("label"), F.lit(0.4).alias("score"), F.lit("original").alias("source"))
-    rev = turns.select("turn_id").join(reviews.where("active"), "turn_id")
-    good = rev.where("verdict = 'correct'").select("turn_id", F.col("assistant_answer").alias("text"), F.lit("preferred").alias("label"), F.lit(0.9).alias("score"), F.lit("review_correct").alias("source"))
-    bad = rev.where("verdict in ('incorrect', 'missing', 'excessive')").select("turn_id", F.col("assistant_answer").alias("text"), F.lit("rejected").alias("label"), F.lit(0.15).alias("score"), F.lit("review_rejected").alias("source"))
-    fixed = rev.where("trim(approved_answer) <> ''").select("turn_id", F.col("approved_answer").alias("text"), F.lit("preferred").alias("label"), F.lit(1.0).alias("score"), F.lit("review_approved").alias("source"))
-    fb = turns.select("turn_id", "answer").join(latest(feedback, "turn_id", "updated_at", "seq").select("turn_id", "rating", "answer_suggestion"), "turn_id")
-    high = fb.where("rating >= 4").select("turn_id", F.col("answer").alias("text"), F.lit("preferred").alias("label"), F.lit(0.8).alias("score"), F.lit("feedback_high").alias("source"))
-    low = fb.where("rating between 1 and 2").select("turn_id", F.col("answer").alias("text"), F.lit("rejected").alias("label"), F.lit(0.2).alias("score"), F.lit("feedback_low").alias("source"))
-    told = fb.where("trim(answer_suggestion) <> ''").select("turn_id", F.col("answer_suggestion").alias("text"), F.lit("preferred").alias("label"), F.lit(0.85).alias("score"), F.lit("feedback_suggestion").alias("source"))
-    given = turn_contributions(turns, contributions).select("turn_id", F.col("user_contribution").alias("text"), F.lit("preferred").alias("label"), F.lit(0.75).alias("score"), F.lit("contribution").alias("source"))
-    out = base
-    for part in (good, bad, fixed, high, low, told, given):
-        out = out.unionByName(part)
-    return out.withColumn("text", T.ws("text")).where("text <> ''")
+
+    def part(rows: DataFrame, text: str, label: str, score, source: str, kind: int, seq="", when: Column | None = None) -> DataFrame:
+        rows = rows if when is None else rows.where(when)
+        pos = F.concat(F.lit(f"{kind}:"), seq if isinstance(seq, Column) else F.lit(seq))
+        return rows.select("turn_id", T.ws(text).alias("text"), F.lit(label).alias("label"), (score if isinstance(score, Column) else F.lit(score)).alias("score"), F.lit(source).alias("source"), pos.alias("pos"))
+
+    rev = turn_reviews(turns, reviews, variants).join(reviews.withColumnRenamed("turn_id", "review_turn"), ["review_turn", "seq"])
+    newest = F.concat(F.lpad((F.lit(10**6) - F.col("seq")).cast("string"), 7, "0"), F.lit(":"), F.col("review_turn"))
+    verdict = F.coalesce(F.trim("verdict"), F.lit(""))
+    approved = F.when(verdict.isin(*APPROVING), scores["review_approved"]).otherwise(scores["review_approved_other"])
+    fb = turns.select("turn_id", "answer").join(latest(feedback, "turn_id", "updated_at", "seq").select("turn_id", "rating", "answer_suggestion"), "turn_id", "left").withColumn("rating", F.coalesce("rating", F.lit(0)))
+    told = F.when(F.col("rating") <= LOW, scores["suggestion_low"]).otherwise(scores["suggestion"])
+    parts = [
+        part(turns, "answer", "original", scores["original"], "history", 0),
+        part(rev, "approved_answer", "preferred", approved, "review", 1, newest),
+        part(rev, "assistant_answer", "rejected", scores["review_rejected"], "review", 1, newest, verdict.isin(*REJECTING)),
+        part(fb, "answer_suggestion", "preferred", told, "feedback", 2),
+        part(fb, "answer", "preferred", scores["feedback_high"], "feedback", 3, when=F.col("rating") >= HIGH),
+        part(fb, "answer", "rejected", scores["feedback_low"], "feedback", 4, when=F.col("rating") <= LOW),
+        part(turn_contributions(turns, contributions), "user_contribution", "preferred", scores["contribution"], "contribution", 5, F.col("contribution_id")),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.where("text <> ''")
 
 
 def _strength() -> Column:
-    """A rejected text stays rejected though the original says less: labels that decide come before neutral ones."""
+    """A rejected text stays rejected though the original says less."""
     return F.when(F.col("label") == "preferred", 3).when(F.col("label") == "rejected", 2).otherwise(1)
 
 
 def candidate_dedupe(candidates: DataFrame) -> DataFrame:
-    """Of each text of a turn the candidate with the strongest label and best score; ``rank`` orders a turn's texts."""
-    one = Window.partitionBy("turn_id", "text").orderBy(F.desc(_strength()), F.desc("score"), "source")
+    """Of each text of a turn the candidate with the strongest label and best score, the earlier one of equals; ``rank`` orders a turn's texts alike."""
+    one = Window.partitionBy("turn_id", "text").orderBy(F.desc(_strength()), F.desc("score"), "pos")
     kept = candidates.withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r")
-    order = Window.partitionBy("turn_id").orderBy(F.desc(_strength()), F.desc("score"), "text")
-    return kept.withColumn("rank", F.row_number().over(order))
+    first = candidates.groupBy("turn_id", "text").agg(F.min("pos").alias("first"))
+    order = Window.partitionBy("turn_id").orderBy(F.desc(_strength()), F.desc("score"), "first", "text")
+    return kept.join(first, ["turn_id", "text"]).withColumn("rank", F.row_number().over(order))
 
 
 def _best(label: str) -> Column:
-    pick = F.struct(F.col("score"), F.col("text"), F.col("source"))
-    return F.max_by(F.when(F.col("label") == label, pick), F.when(F.col("label") == label, F.struct("score", "text")))
+    return F.min_by(F.when(F.col("label") == label, F.struct("score", "text", "source")), F.when(F.col("label") == label, F.col("rank")))
 
 
 def preference_pairs(candidates: DataFrame) -> DataFrame:
-    """(turn_id, chosen, rejected, sources and scores): the best preferred and the worst-rated rejected text of each turn that has both."""
+    """(turn_id, chosen, rejected, sources and scores): the first preferred and the first rejected text of each turn that has both."""
     both = candidates.groupBy("turn_id").agg(_best("preferred").alias("c"), _best("rejected").alias("r")).where("c is not null and r is not null")
-    return both.select("turn_id", F.col("c.text").alias("chosen"), F.col("c.source").alias("chosen_source"), F.col("c.score").alias("chosen_score"), F.col("r.text").alias("rejected"), F.col("r.source").alias("rejected_source")).where("chosen <> rejected")
+    return both.select("turn_id", F.col("c.text").alias("chosen"), F.col("c.source").alias("chosen_source"), F.col("c.score").alias("chosen_score"), F.col("r.text").alias("rejected"), F.col("r.source").alias("rejected_source"))
 
 
 def sft_rows(turns: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(turn_id, prompt, response, source): the best preferred text."""
+    """(turn_id, prompt, response, source): the first preferred text."""
     best = candidates.groupBy("turn_id").agg(_best("preferred").alias("c")).where("c is not null")
     return turns.select("turn_id", F.col("question").alias("prompt")).join(best, "turn_id").select("turn_id", "prompt", F.col("c.text").alias("response"), F.col("c.source").alias("source"))
 
 
-def turn_meta(turns: DataFrame, reviews: DataFrame, feedback: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(turn_id, verdicts, kinds, sources, reviews, rating)."""
+def turn_meta(turns: DataFrame, reviews: DataFrame, variants: DataFrame, feedback: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(turn_id, verdicts, kinds, sources, reviews, rating), of the reviews of ``turn_reviews``."""
+    reviews = turn_reviews(turns, reviews, variants).join(reviews.withColumnRenamed("turn_id", "review_turn"), ["review_turn", "seq"])
+    reviews = reviews.withColumns({c: F.when(F.trim(c) != "", F.trim(c)) for c in ("verdict", "review_kind")})
     r = reviews.groupBy("turn_id").agg(F.sort_array(F.collect_set("verdict")).alias("verdicts"), F.sort_array(F.collect_set("review_kind")).alias("kinds"), F.count("*").alias("reviews"))
     s = candidates.groupBy("turn_id").agg(F.sort_array(F.collect_set("source")).alias("sources"))
     f = turn_feedback(turns, feedback).select("turn_id", "rating")
@@ -153,17 +192,23 @@ def reward_examples(pairs: DataFrame, questions: DataFrame) -> DataFrame:
     return rows.select("question", each.alias("e")).select("question", "e.answer", "e.label").distinct()
 
 
-def reward(question: Column, answer: Column) -> Column:
-    """.45 + .25 coverage of the question's tokens + .12 for 6 to 80 words + .10 focus - .20 for under 3 words - .10 for over 160, between 0 and 1.
+def reward(question: Column, answer: Column, length: Column, stopwords: tuple[str, ...] = STOPWORDS, direct: tuple[str, ...] = DIRECT, evasive: tuple[str, ...] = EVASIVE, nothing: str = NOTHING) -> Column:
+    """.45 + .24 of the question's tokens that the answer holds + .18 for brevity + focus times 1.4 (.18 at most), less penalties, between 0 and 1.
 
-    ``question`` and ``answer`` are columns of the normalised texts.
+    ``question`` and ``answer`` are columns of the normalised texts without accents, ``length`` the answer's characters. Brevity is 1 up to 220 characters, .82 up to 600, .62 up to 1200, then .42;
+    focus is the share of the answer's tokens that the question has. A direct question with an evasive answer loses .28, an answer that found nothing and covers under a quarter .18, one of
+    two distinct tokens or fewer .15. An empty answer has 0.
     """
-    q, a = (F.regexp_extract_all(x, F.lit("[a-z0-9]{2,}"), F.lit(0)) for x in (question, answer))
-    n = F.size(F.filter(F.split(answer, " "), lambda t: t != ""))
-    both = F.size(F.array_intersect(q, a))
-    cover, focus = both / F.greatest(F.lit(1), F.size(F.array_distinct(q))), both / F.greatest(F.lit(1), F.size(F.array_distinct(a)))
-    raw = 0.45 + 0.25 * cover + F.when((n >= 6) & (n <= 80), 0.12).otherwise(0.0) + 0.10 * focus - F.when(n < 3, 0.20).otherwise(0.0) - F.when(n > 160, 0.10).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
+    stop = F.array(*[F.lit(w) for w in stopwords])
+    q, a = (F.filter(F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t)) for x in (question, answer))
+    q = F.array_distinct(q)
+    cover = F.when(F.size(q) > 0, F.size(F.filter(q, lambda t: answer.contains(t))) / F.size(q)).otherwise(0.0)
+    focus = F.when((F.size(q) > 0) & (F.size(a) > 0), F.size(F.filter(a, lambda t: F.array_contains(q, t))) / F.size(a)).otherwise(0.0)
+    brief = F.when(length <= 220, 1.0).when(length <= 600, 0.82).when(length <= 1200, 0.62).otherwise(0.42)
+    raw = 0.45 + 0.24 * cover + 0.18 * brief + F.least(F.lit(0.18), focus * 1.4)
+    raw = raw - F.when(T.any_hint(question, list(direct)) & T.any_hint(answer, list(evasive)), 0.28).otherwise(0.0)
+    raw = raw - F.when(answer.contains(nothing) & (cover < 0.25), 0.18).otherwise(0.0) - F.when(F.size(F.array_distinct(a)) <= 2, 0.15).otherwise(0.0)
+    return F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
 
 
 def reward_model(examples: DataFrame, text_col: str = "text", label_col: str = "label", features: int = 12000):

@@ -10,17 +10,19 @@ from .common import Plans, d_ascii, d_bucket, d_norm, d_ws
 
 P = Plans()
 QUERIES, ORACLE = P.queries, P.oracle
-VIEWS = ("turns", "reviews_v", "feedback_v", "contrib_v")
+VIEWS = ("turns", "reviews_v", "review_variants_v", "feedback_v", "contrib_v")
 
 P.add("x1_eligible_turns", lambda t: X.eligible_turns(t).select("turn_id"), "turns", sql="SELECT turn_id FROM turns WHERE trim(question) <> '' AND trim(answer) <> ''")
+_named = "SELECT DISTINCT turn_id, trim(variant) AS key FROM review_variants_v WHERE trim(variant) <> ''"
+D_REVIEWS = f"""SELECT t.turn_id, r.turn_id AS review_turn, r.seq FROM turns t JOIN reviews_v r ON t.turn_id = r.turn_id WHERE review_kind = 'answer'
+        UNION SELECT t.turn_id, r.turn_id, r.seq FROM turns t JOIN ({_named}) n ON {d_ws('t.question')} = n.key JOIN reviews_v r ON r.turn_id = n.turn_id WHERE review_kind = 'answer'"""
 P.add(
     "x2_turn_reviews",
     X.turn_reviews,
     "turns",
     "reviews_v",
     "review_variants_v",
-    sql=f"""SELECT DISTINCT t.turn_id, r.turn_id AS review_turn, r.seq FROM turns t JOIN reviews_v r ON t.turn_id = r.turn_id
-        OR r.turn_id IN (SELECT v.turn_id FROM review_variants_v v WHERE {d_norm('v.variant')} = {d_norm('t.question')})""",
+    sql=f"SELECT DISTINCT turn_id, review_turn, seq FROM ({D_REVIEWS})",
 )
 D_LAST = "SELECT * FROM feedback_v QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY updated_at DESC, seq DESC) = 1"
 P.add("x3_turn_feedback", X.turn_feedback, "turns", "feedback_v", sql=f"SELECT t.turn_id, rating, answer_suggestion FROM turns t LEFT JOIN ({D_LAST}) f USING (turn_id)")
@@ -31,23 +33,24 @@ P.add(
     "contrib_v",
     sql=f"SELECT t.turn_id, contribution_id, user_contribution FROM turns t JOIN contrib_v c ON {d_ws('t.question')} = {d_ws('c.original_question')} WHERE status = 'approved' AND {d_ws('t.question')} <> ''",
 )
-D_CAND = f"""et AS (SELECT * FROM turns WHERE trim(question) <> '' AND trim(answer) <> ''), fl AS ({D_LAST}), rv AS (SELECT r.* FROM et JOIN reviews_v r USING (turn_id) WHERE active),
-    fb AS (SELECT et.turn_id, et.answer, fl.rating, fl.answer_suggestion FROM et JOIN fl USING (turn_id)),
-    c0 AS (SELECT turn_id, answer AS text, 'neutral' AS label, 0.4e0 AS score, 'original' AS source FROM et
-        UNION ALL SELECT turn_id, assistant_answer, 'preferred', 0.9, 'review_correct' FROM rv WHERE verdict = 'correct'
-        UNION ALL SELECT turn_id, assistant_answer, 'rejected', 0.15, 'review_rejected' FROM rv WHERE verdict IN ('incorrect', 'missing', 'excessive')
-        UNION ALL SELECT turn_id, approved_answer, 'preferred', 1.0, 'review_approved' FROM rv WHERE trim(approved_answer) <> ''
-        UNION ALL SELECT turn_id, answer, 'preferred', 0.8, 'feedback_high' FROM fb WHERE rating >= 4
-        UNION ALL SELECT turn_id, answer, 'rejected', 0.2, 'feedback_low' FROM fb WHERE rating BETWEEN 1 AND 2
-        UNION ALL SELECT turn_id, answer_suggestion, 'preferred', 0.85, 'feedback_suggestion' FROM fb WHERE trim(answer_suggestion) <> ''
-        UNION ALL SELECT et.turn_id, user_contribution, 'preferred', 0.75, 'contribution' FROM et JOIN contrib_v c ON {d_ws('et.question')} = {d_ws('c.original_question')} WHERE status = 'approved'),
-    cand AS (SELECT turn_id, {d_ws('text')} AS text, label, score, source FROM c0 WHERE {d_ws('text')} <> '')"""
+_order = "lpad(CAST(1000000 - seq AS VARCHAR), 7, '0') || ':' || review_turn"
+D_CAND = f"""et AS (SELECT * FROM turns WHERE trim(question) <> '' AND trim(answer) <> ''), fl AS ({D_LAST}), tr AS ({D_REVIEWS}),
+    rv AS (SELECT tr.turn_id, tr.review_turn, tr.seq, r.verdict, r.approved_answer, r.assistant_answer FROM tr JOIN et ON et.turn_id = tr.turn_id JOIN reviews_v r ON r.turn_id = tr.review_turn AND r.seq = tr.seq),
+    fb AS (SELECT et.turn_id, et.answer, coalesce(fl.rating, 0) AS rating, fl.answer_suggestion FROM et LEFT JOIN fl USING (turn_id)),
+    c0 AS (SELECT turn_id, answer AS text, 'original' AS label, 0.4e0 AS score, 'history' AS source, '0:' AS pos FROM et
+        UNION ALL SELECT turn_id, approved_answer, 'preferred', CASE WHEN verdict IN ('correct', 'missing', 'partial') THEN 0.98 ELSE 0.96 END, 'review', '1:' || {_order} FROM rv
+        UNION ALL SELECT turn_id, assistant_answer, 'rejected', 0.1, 'review', '1:' || {_order} FROM rv WHERE verdict IN ('incorrect', 'excessive', 'missing', 'partial')
+        UNION ALL SELECT turn_id, answer_suggestion, 'preferred', CASE WHEN rating <= 2 THEN 0.88 ELSE 0.7 END, 'feedback', '2:' FROM fb
+        UNION ALL SELECT turn_id, answer, 'preferred', 0.85, 'feedback', '3:' FROM fb WHERE rating >= 4
+        UNION ALL SELECT turn_id, answer, 'rejected', 0.15, 'feedback', '4:' FROM fb WHERE rating <= 2
+        UNION ALL SELECT et.turn_id, user_contribution, 'preferred', 0.88, 'contribution', '5:' || contribution_id FROM et JOIN contrib_v c ON {d_ws('et.question')} = {d_ws('c.original_question')} WHERE status = 'approved'),
+    cand AS (SELECT turn_id, {d_ws('text')} AS text, label, score, source, pos FROM c0 WHERE {d_ws('text')} <> '')"""
 _ST = "CASE label WHEN 'preferred' THEN 3 WHEN 'rejected' THEN 2 ELSE 1 END"
-D_DEDUPE = f"""{D_CAND}, d1 AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY turn_id, text ORDER BY {_ST} DESC, score DESC, source) = 1),
-    ded AS (SELECT *, CAST(row_number() OVER (PARTITION BY turn_id ORDER BY {_ST} DESC, score DESC, text) AS INTEGER) AS rank FROM d1)"""
-D_PAIRS = f"""{D_DEDUPE}, bp AS (SELECT * FROM ded WHERE label = 'preferred' QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY score DESC, text DESC) = 1),
-    br AS (SELECT * FROM ded WHERE label = 'rejected' QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY score DESC, text DESC) = 1),
-    pairs AS (SELECT bp.turn_id, bp.text AS chosen, bp.source AS chosen_source, bp.score AS chosen_score, br.text AS rejected, br.source AS rejected_source FROM bp JOIN br USING (turn_id) WHERE bp.text <> br.text),
+D_DEDUPE = f"""{D_CAND}, d1 AS (SELECT *, min(pos) OVER (PARTITION BY turn_id, text) AS first FROM cand QUALIFY row_number() OVER (PARTITION BY turn_id, text ORDER BY {_ST} DESC, score DESC, pos) = 1),
+    ded AS (SELECT *, CAST(row_number() OVER (PARTITION BY turn_id ORDER BY {_ST} DESC, score DESC, first, text) AS INTEGER) AS rank FROM d1)"""
+D_PAIRS = f"""{D_DEDUPE}, bp AS (SELECT * FROM ded WHERE label = 'preferred' QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY rank) = 1),
+    br AS (SELECT * FROM ded WHERE label = 'rejected' QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY rank) = 1),
+    pairs AS (SELECT bp.turn_id, bp.text AS chosen, bp.source AS chosen_source, bp.score AS chosen_score, br.text AS rejected, br.source AS rejected_source FROM bp JOIN br USING (turn_id)),
     sft AS (SELECT bp.turn_id, et.question AS prompt, bp.text AS response, bp.source FROM bp JOIN et USING (turn_id))"""
 
 
@@ -68,18 +71,18 @@ def sft(*views):
 
 
 P.add("x5_answer_candidates", lambda *v: candidates(*v).groupBy("turn_id", "text", "label", "score", "source").agg(F.count("*").alias("n")), *VIEWS, sql=f"WITH {D_CAND} SELECT turn_id, text, label, score, source, count(*) AS n FROM cand GROUP BY ALL")
-P.add("x6_candidate_dedupe", deduped, *VIEWS, sql=f"WITH {D_DEDUPE} SELECT turn_id, text, label, score, source, rank FROM ded")
+P.add("x6_candidate_dedupe", lambda *v: deduped(*v).select("turn_id", "text", "label", "score", "source", "rank"), *VIEWS, sql=f"WITH {D_DEDUPE} SELECT turn_id, text, label, score, source, rank FROM ded")
 P.add("x7_preference_pairs", pairs, *VIEWS, sql=f"WITH {D_PAIRS} SELECT * FROM pairs")
 P.add("x8_sft_rows", sft, *VIEWS, sql=f"WITH {D_PAIRS} SELECT * FROM sft")
 
 
 def meta(*v):
-    return X.turn_meta(v[0], v[1], v[2], candidates(*v))
+    return X.turn_meta(v[0], v[1], v[2], v[3], candidates(*v))
 
 
-_set = lambda c, t: f"coalesce((SELECT list_sort(list(DISTINCT {c})) FROM {t} x WHERE x.turn_id = et.turn_id), [])"
-D_META = f"""{D_PAIRS}, meta AS (SELECT et.turn_id, {_set('verdict', 'reviews_v')} AS verdicts, {_set('review_kind', 'reviews_v')} AS kinds, {_set('source', 'cand')} AS sources,
-    coalesce((SELECT count(*) FROM reviews_v x WHERE x.turn_id = et.turn_id), 0) AS reviews, fl.rating FROM et LEFT JOIN fl USING (turn_id))"""
+_set = lambda c, t: f"coalesce((SELECT list_sort(list(DISTINCT {c})) FROM {t} x WHERE x.turn_id = et.turn_id AND {c} <> ''), [])"
+D_META = f"""{D_PAIRS}, rm AS (SELECT tr.turn_id, r.verdict, r.review_kind FROM tr JOIN reviews_v r ON r.turn_id = tr.review_turn AND r.seq = tr.seq), meta AS (SELECT et.turn_id, {_set('verdict', 'rm')} AS verdicts, {_set('review_kind', 'rm')} AS kinds, {_set('source', 'cand')} AS sources,
+    coalesce((SELECT count(*) FROM rm x WHERE x.turn_id = et.turn_id), 0) AS reviews, fl.rating FROM et LEFT JOIN fl USING (turn_id))"""
 _join = lambda c: F.array_join(c, ",").alias(c)
 P.add(
     "x9_turn_meta",
@@ -123,23 +126,30 @@ P.add(
 
 
 def with_reward(rows, question, answer, name):
-    rows = rows.withColumns({"_q": T.norm_ascii(question), "_a": T.norm_ascii(answer)})
-    return rows.withColumn(name, X.reward(F.col("_q"), F.col("_a"))).drop("_q", "_a")
+    rows = rows.withColumns({"_q": T.norm_ascii(question), "_a": T.norm_ascii(answer), "_n": F.length(T.ws(answer))})
+    return rows.withColumn(name, X.reward(F.col("_q"), F.col("_a"), F.col("_n"))).drop("_q", "_a", "_n")
 
 
-def d_reward(q: str, a: str) -> str:
-    """The reward of normalised texts."""
-    tq, ta = f"regexp_extract_all({q}, '[a-z0-9]{{2,}}')", f"regexp_extract_all({a}, '[a-z0-9]{{2,}}')"
-    n, both = f"len(list_filter(string_split({a}, ' '), lambda t: t <> ''))", f"len(list_intersect(list_distinct({tq}), list_distinct({ta})))"
-    return f"""greatest(0.0, least(1.0, 0.45 + 0.25 * {both} / greatest(1, len(list_distinct({tq}))) + CASE WHEN {n} BETWEEN 6 AND 80 THEN 0.12 ELSE 0 END
-        + 0.10 * {both} / greatest(1, len(list_distinct({ta}))) - CASE WHEN {n} < 3 THEN 0.20 ELSE 0 END - CASE WHEN {n} > 160 THEN 0.10 ELSE 0 END))"""
+_listed = lambda xs: ", ".join(f"'{x}'" for x in xs)
+
+
+def d_reward(q: str, a: str, n: str) -> str:
+    """The reward of normalised texts and the answer's length."""
+    kept = lambda x: f"list_filter(regexp_extract_all({x}, '[a-z0-9]+'), lambda t: length(t) >= 2 AND t NOT IN ({_listed(X.STOPWORDS)}))"
+    tq, ta = f"list_distinct({kept(q)})", kept(a)
+    cover = f"(len(list_filter({tq}, lambda t: contains({a}, t))) / greatest(1, len({tq})))"
+    focus = f"(len(list_filter({ta}, lambda t: list_contains({tq}, t))) / greatest(1, len({ta})))"
+    has = lambda x, xs: "(" + " OR ".join(f"contains({x}, '{h}')" for h in xs) + ")"
+    return f"""CAST(CASE WHEN {n} = 0 THEN 0 ELSE greatest(0.0, least(1.0, 0.45 + 0.24 * {cover} + 0.18 * CASE WHEN {n} <= 220 THEN 1 WHEN {n} <= 600 THEN 0.82 WHEN {n} <= 1200 THEN 0.62 ELSE 0.42 END
+        + least(0.18, 1.4 * {focus}) - CASE WHEN {has(q, X.DIRECT)} AND {has(a, X.EVASIVE)} THEN 0.28 ELSE 0 END
+        - CASE WHEN contains({a}, '{X.NOTHING}') AND {cover} < 0.25 THEN 0.18 ELSE 0 END - CASE WHEN len(list_distinct({ta})) <= 2 THEN 0.15 ELSE 0 END)) END AS DOUBLE)"""
 
 
 P.add(
     "x15_reward_heuristic",
     lambda t: with_reward(t, "question", "answer", "reward").select("turn_id", F.round("reward", 6).alias("reward")),
     "turns",
-    sql=f"SELECT turn_id, round(CAST({d_reward('q', 'a')} AS DOUBLE), 6) AS reward FROM (SELECT turn_id, {d_ascii('question')} AS q, {d_ascii('answer')} AS a FROM turns)",
+    sql=f"SELECT turn_id, round({d_reward('q', 'a', 'n')}, 6) AS reward FROM (SELECT turn_id, {d_ascii('question')} AS q, {d_ascii('answer')} AS a, length({d_ws('answer')}) AS n FROM turns)",
 )
 
 
@@ -160,13 +170,13 @@ def scored_pairs(*v):
     return rows.select("turn_id", F.col("chosen").alias("generated"), F.col("rejected").alias("baseline"), "generated_reward", "baseline_reward", (F.length("chosen") > 20).alias("evidence"))
 
 
-D_SCORED = f"""{D_PAIRS}, sp AS (SELECT turn_id, chosen AS generated, rejected AS baseline, {d_reward('q', 'c')} AS gr, {d_reward('q', 'r')} AS br_, length(chosen) > 20 AS evidence
+D_SCORED = f"""{D_PAIRS}, sp AS (SELECT turn_id, chosen AS generated, rejected AS baseline, {d_reward('q', 'c', 'length(chosen)')} AS gr, {d_reward('q', 'r', 'length(rejected)')} AS br_, length(chosen) > 20 AS evidence
     FROM (SELECT p.*, {d_ascii('et.question')} AS q, {d_ascii('chosen')} AS c, {d_ascii('rejected')} AS r FROM pairs p JOIN et USING (turn_id)))"""
 P.add(
     "x17_self_preference",
-    lambda *v: X.self_preference(scored_pairs(*v), 0.02, 0.4).select("turn_id", "winner", F.round("gap", 6).alias("gap")),
+    lambda *v: X.self_preference(scored_pairs(*v)).select("turn_id", "winner", F.round("gap", 6).alias("gap")),
     *VIEWS,
-    sql=f"""WITH {D_SCORED} SELECT turn_id, CASE WHEN gr - br_ >= 0.02 AND gr >= 0.4 AND evidence THEN 'generated' WHEN br_ - gr >= 0.02 AND br_ >= 0.4 THEN 'baseline' END AS winner, round(CAST(abs(gr - br_) AS DOUBLE), 6) AS gap
+    sql=f"""WITH {D_SCORED} SELECT turn_id, CASE WHEN gr - br_ >= 0.08 AND gr >= 0.52 AND evidence THEN 'generated' WHEN br_ - gr >= 0.08 AND br_ >= 0.52 THEN 'baseline' END AS winner, round(CAST(abs(gr - br_) AS DOUBLE), 6) AS gap
         FROM sp WHERE winner IS NOT NULL ORDER BY round(abs(gr - br_), 9) DESC, turn_id LIMIT 50""",
 )
 
@@ -183,5 +193,5 @@ P.add(
     "x19_reward_audit",
     lambda *v: with_reward(ppo(*v).orderBy("id").limit(40), "prompt", "reference", "reward").select("id", F.round("reward", 6).alias("reward")),
     *VIEWS,
-    sql=f"WITH {D_PPO}, s AS (SELECT id, {d_ascii('prompt')} AS q, {d_ascii('reference')} AS a FROM ppo ORDER BY id LIMIT 40) SELECT id, round(CAST({d_reward('q', 'a')} AS DOUBLE), 6) AS reward FROM s",
+    sql=f"WITH {D_PPO}, s AS (SELECT id, {d_ascii('prompt')} AS q, {d_ascii('reference')} AS a, length({d_ws('reference')}) AS n FROM ppo ORDER BY id LIMIT 40) SELECT id, round({d_reward('q', 'a', 'n')}, 6) AS reward FROM s",
 )

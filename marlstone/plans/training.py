@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
+from ..operators import classify as Q
 from ..operators import entities as N
 from ..operators import evaluate as E
 from ..operators import index as I
@@ -16,6 +17,7 @@ from .common import Plans, d_alnum, d_ascii, d_bucket, d_norm, d_words, d_ws
 from .corpus import D_LINES
 from .preference import D_CAND as D_XCAND
 from .preference import D_DEDUPE, D_LAST, D_PAIRS, d_reward, deduped, pairs, with_reward
+from .sessions import STEPS, d_rule
 from .retrieval import D_CAND, D_FUSED, D_HITS, D_MERGED, D_SEED_SCORE, _merged, _seed_score, candidates, fused, hits
 
 P = Plans()
@@ -243,49 +245,66 @@ P.add(
     sql=f"WITH {D_CHECKED} SELECT turn_id, round({d_cover('qt', 'a')}, 6) AS query_coverage, round({d_cover('ant', 'q')}, 6) AS context_coverage FROM ck",
 )
 P.add("e7_focus", lambda t: checked(t).select("turn_id", F.round(E.focus(F.col("at"), F.col("qt")), 6).alias("focus")), "turns", sql=f"WITH {D_CHECKED} SELECT turn_id, round({D_FOCUS}, 6) AS focus FROM ck")
-_X = ("turns", "reviews_v", "feedback_v", "contrib_v")
+_X = ("turns", "reviews_v", "review_variants_v", "feedback_v", "contrib_v")
+_KEPT = r"^(how|steps?)\b"
+
+
+def _guarded(x: str, y: str) -> str:
+    """DuckDB: whether the important tokens ``x`` of an answer are held by those of its context ``y``."""
+    return f"(len(list_filter({x}, lambda t: (contains(t, '@') OR contains(t, 'http') OR regexp_matches(t, '[0-9]')) AND NOT list_contains({y}, t))) = 0 AND len(list_filter({x}, lambda t: NOT list_contains({y}, t))) <= greatest(4, len({x}) // 3))"
 
 
 def ranked_answers(*v):
-    """Candidates of a turn by support, relevance, focus, brevity and reward; another answer than the original needs a lead of .08."""
+    """The answer to keep for each turn, of its candidates; the turn's own answer is their context."""
     rows = deduped(*v).join(v[0].select("turn_id", "question", F.col("answer").alias("given")), "turn_id")
     rows = with_reward(rows, "question", "text", "reward").withColumns({"q": T.norm_ascii("question"), "a": T.norm_ascii("text"), "g": T.norm_ascii("given")})
     rows = rows.withColumns({"qt": F.regexp_extract_all("q", F.lit("[a-z0-9]{3,}"), F.lit(0)), "at": F.regexp_extract_all("a", F.lit("[a-z0-9]{3,}"), F.lit(0))})
-    brief = F.when(F.size(T.words("text")) <= 60, 1.0).otherwise(0.5)
-    score = 0.35 * E.coverage(F.col("at"), F.col("g")) + 0.22 * E.coverage(F.col("qt"), F.col("a")) + 0.18 * E.focus(F.col("at"), F.col("qt")) + 0.13 * brief + 0.12 * (F.col("reward") - 0.5)
-    rows = rows.withColumn("total", F.round(score, 9)).withColumn("original", T.ws("given") == F.col("text"))
-    by = rows.groupBy("turn_id").agg(F.max_by("text", F.struct("total", "text")).alias("best"), F.max("total").alias("top"), F.max(F.when(F.col("original"), F.col("total"))).alias("base"), F.max(F.when(F.col("original"), F.col("text"))).alias("own"))
-    switch = F.col("own").isNull() | (F.col("top") >= F.col("base") + 0.08)
-    return by.select("turn_id", F.when(switch, F.col("best")).otherwise(F.col("own")).alias("answer"), F.round("top", 6).alias("top"))
+    rows = rows.withColumn("source", F.when(T.ws("given") == F.col("text"), "original").when(F.col("source") == "feedback", "fallback").otherwise("rule"))
+    rows = rows.withColumns({"intent": F.when(F.col("q").rlike(_KEPT), "howto").when(F.length("q") < 60, "factoid").otherwise("list"), "guarded": E.grounded(F.col("text"), F.col("given"))})
+    steps = rows.withColumn("x", F.col("a")).withColumn("steps", Q.score(F.col("x"), STEPS))
+    parts = (F.col("guarded"), E.coverage(F.col("at"), F.col("g")), E.coverage(F.col("qt"), F.col("a")), E.focus(F.col("at"), F.col("qt")), F.length("text"), F.col("intent"), F.col("steps"), F.col("reward"), F.col("source"))
+    scored = steps.withColumn("total", F.round(E.answer_score(*parts), 9)).withColumn("pos", F.col("rank"))
+    return E.choose_answer(scored, "turn_id").select("turn_id", "answer", F.round("top", 6).alias("top"))
 
 
+_STEPS = " + ".join(f"CASE WHEN {d_rule(r)} THEN {r.delta} ELSE 0 END" for r in STEPS)
 P.add(
     "e8_candidate_rank",
     ranked_answers,
     *_X,
-    sql=f"""WITH {D_DEDUPE}, a0 AS (SELECT d.turn_id, d.text, t.answer AS given, {d_ascii('t.question')} AS q, {d_ascii('d.text')} AS a, {d_ascii('t.answer')} AS g FROM ded d JOIN turns t USING (turn_id)),
-        a1 AS (SELECT *, regexp_extract_all(q, '[a-z0-9]{{3,}}') AS qt, regexp_extract_all(a, '[a-z0-9]{{3,}}') AS ant FROM a0),
-        a2 AS (SELECT *, {d_ws('given')} = text AS original, round(CAST(0.35 * {d_cover('ant', 'g')} + 0.22 * {d_cover('qt', 'a')} + 0.18 * {D_FOCUS} + 0.13 * CASE WHEN len({d_words('text')}) <= 60 THEN 1 ELSE 0.5 END + 0.12 * ({d_reward('q', 'a')} - 0.5) AS DOUBLE), 9) AS total FROM a1),
-        b AS (SELECT turn_id, arg_max(text, (total, text)) AS best, max(total) AS top, max(CASE WHEN original THEN total END) AS base, max(CASE WHEN original THEN text END) AS own FROM a2 GROUP BY turn_id)
-        SELECT turn_id, CASE WHEN own IS NULL OR top >= base + 0.08 THEN best ELSE own END AS answer, round(top, 6) AS top FROM b""",
+    sql=f"""WITH {D_DEDUPE}, a0 AS (SELECT d.turn_id, d.text, d.rank AS pos, d.source AS came, t.answer AS given, {d_ascii('t.question')} AS q, {d_ascii('d.text')} AS a, {d_ascii('t.answer')} AS g, {_IMP('d.text')} AS o, {_IMP('t.answer')} AS k FROM ded d JOIN turns t USING (turn_id)),
+        a1 AS (SELECT *, a AS x, regexp_extract_all(q, '[a-z0-9]{{3,}}') AS qt, regexp_extract_all(a, '[a-z0-9]{{3,}}') AS ant, CASE WHEN {d_ws('given')} = text THEN 'original' WHEN came = 'feedback' THEN 'fallback' ELSE 'rule' END AS source,
+            CASE WHEN regexp_matches(q, '{_KEPT}') THEN 'howto' WHEN length(q) < 60 THEN 'factoid' ELSE 'list' END AS intent, {_guarded('o', 'k')} AS guarded, length(text) AS n FROM a0),
+        a2 AS (SELECT *, {d_cover('ant', 'g')} AS support, CAST({_STEPS} AS DOUBLE) AS steps FROM a1),
+        a3 AS (SELECT *, round(CAST(0.35 * CASE WHEN guarded THEN greatest(support, 0.85) ELSE support END + 0.22 * {d_cover('qt', 'a')} + 0.18 * {D_FOCUS} + 0.13 * CASE WHEN intent IN ('factoid', 'contact', 'howto') THEN least(1.0, 220.0e0 / greatest(220, n)) ELSE 1 END
+            + 0.12 * ({d_reward('q', 'a', 'n')} - 0.5) + CASE source WHEN 'rule' THEN 0.18 ELSE 0.02 END + CASE WHEN intent = 'howto' THEN least(0.35, 0.12 * steps) ELSE 0 END AS DOUBLE), 9) AS total FROM a2),
+        b AS (SELECT turn_id, arg_min(text, (-total, pos)) AS best, arg_min(source, (-total, pos)) AS came, max(total) AS top, coalesce(max(CASE WHEN source = 'original' THEN total END), 0) AS base,
+            max(CASE WHEN source = 'original' THEN text END) AS own, coalesce(bool_or(CASE WHEN source = 'original' THEN guarded END), false) AS held FROM a3 GROUP BY turn_id)
+        SELECT turn_id, CASE WHEN came <> 'original' AND (top >= base + 0.08 OR (NOT held AND top >= 0.3)) THEN best ELSE own END AS answer, round(top, 6) AS top FROM b""",
 )
 
 
 def replacement(*v):
-    """Whether the chosen text should replace the rejected one: no worse focus and coverage, not over twice as long, a reward at least as high."""
-    rows = pairs(*v).join(v[0].select("turn_id", "question"), "turn_id")
+    """Whether the chosen text should replace the turn's answer, which is its context."""
+    rows = pairs(*v).join(v[0].select("turn_id", "question", F.col("answer").alias("given")), "turn_id")
     rows = with_reward(with_reward(rows, "question", "chosen", "rc"), "question", "rejected", "rr").withColumns({"q": T.norm_ascii("question"), "c": T.norm_ascii("chosen"), "r": T.norm_ascii("rejected")})
     rows = rows.withColumns({f"{n}t": F.regexp_extract_all(n, F.lit("[a-z0-9]{3,}"), F.lit(0)) for n in ("q", "c", "r")})
-    better = (E.coverage(F.col("qt"), F.col("c")) >= E.coverage(F.col("qt"), F.col("r")) - 0.5) & (F.length("chosen") <= 2 * F.length("rejected")) & (F.col("rc") >= F.col("rr") - 0.05)
-    return rows.select("turn_id", better.alias("replace"))
+    gain = lambda f, g: F.round(f - g, 9)
+    focus = gain(E.focus(F.col("ct"), F.col("qt")), E.focus(F.col("rt"), F.col("qt")))
+    cover = gain(E.coverage(F.col("qt"), F.col("c")), E.coverage(F.col("qt"), F.col("r")))
+    out = E.replaces(E.grounded(F.col("chosen"), F.col("given")), F.col("c") == F.col("r"), focus, cover, F.length("chosen"), F.length("rejected"), gain(F.col("rc"), F.col("rr")))
+    return rows.select("turn_id", out.alias("replace"))
 
 
+_focus_of = lambda t: f"(len(list_filter({t}, lambda t: list_contains(qt, t))) / greatest(1, len({t})))"
 P.add(
     "e9_replacement_check",
     replacement,
     *_X,
-    sql=f"""WITH {D_PAIRS}, a0 AS (SELECT p.*, {d_ascii('et.question')} AS q, {d_ascii('chosen')} AS c, {d_ascii('rejected')} AS r FROM pairs p JOIN et USING (turn_id)), a1 AS (SELECT *, regexp_extract_all(q, '[a-z0-9]{{3,}}') AS qt FROM a0)
-        SELECT turn_id, {d_cover('qt', 'c')} >= {d_cover('qt', 'r')} - 0.5 AND length(chosen) <= 2 * length(rejected) AND {d_reward('q', 'c')} >= {d_reward('q', 'r')} - 0.05 AS replace FROM a1""",
+    sql=f"""WITH {D_PAIRS}, a0 AS (SELECT p.*, {d_ascii('et.question')} AS q, {d_ascii('chosen')} AS c, {d_ascii('rejected')} AS r, {_IMP('chosen')} AS o, {_IMP('et.answer')} AS k FROM pairs p JOIN et USING (turn_id)),
+        a1 AS (SELECT *, regexp_extract_all(q, '[a-z0-9]{{3,}}') AS qt, regexp_extract_all(c, '[a-z0-9]{{3,}}') AS ct, regexp_extract_all(r, '[a-z0-9]{{3,}}') AS rt FROM a0),
+        a2 AS (SELECT *, round(CAST({_focus_of('ct')} - {_focus_of('rt')} AS DOUBLE), 9) AS df, round(CAST({d_cover('qt', 'c')} - {d_cover('qt', 'r')} AS DOUBLE), 9) AS dc, round({d_reward('q', 'c', 'length(chosen)')} - {d_reward('q', 'r', 'length(rejected)')}, 9) AS dr FROM a1)
+        SELECT turn_id, {_guarded('o', 'k')} AND c <> r AND length(chosen) > 0 AND (df >= 0.03 OR dc >= 0.15 OR length(chosen) + 80 < length(rejected) OR (dr >= 0.12 AND df + dc >= -0.08)) AS replace FROM a2""",
 )
 P.add(
     "e10_skip_generation",
