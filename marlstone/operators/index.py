@@ -78,15 +78,21 @@ def index_report(docs: DataFrame, by: tuple[str, ...], vectors: str = "none") ->
     return docs.groupBy(*by).agg(F.count("*").alias("chunks"), F.lit(vectors).alias("vectors"))
 
 
-def lookups(corpus: DataFrame) -> DataFrame:
-    """(key_kind, key, id): the keys by which a logged context finds its corpus row."""
-    keys = {
-        "dedupe": F.col("dedupe_key"),
-        "text": F.md5(T.ws("text")),
-        "doc_text": F.md5(F.concat(F.col("entity_name"), F.lit("\0"), T.ws("text"))),
-        "title": T.norm("title"),
-        "entity": T.norm("entity_name"),
+def context_keys(dedupe_key: Column, doc_id: Column, text: Column, title: Column, question: Column) -> dict[str, Column]:
+    """The keys that a logged context and its corpus row may share; blank where there is nothing to share. Texts are normalised, and stand as digests."""
+    digest = lambda x: F.when(x != "", F.md5(x))
+    return {
+        "dedupe": F.trim(dedupe_key),
+        "text": digest(text),
+        "doc_text": F.when(text != "", F.md5(F.concat(doc_id.cast("string"), F.lit("::"), text))),
+        "title": title,
+        "question": question,
     }
+
+
+def lookups(corpus: DataFrame) -> DataFrame:
+    """(key_kind, key, id): the keys by which a logged context finds its corpus row (id, dedupe_key, doc_id, text, title, question)."""
+    keys = context_keys(F.col("dedupe_key"), F.col("doc_id"), T.norm_ascii("text"), T.norm_ascii("title"), T.norm_ascii("question"))
     pairs = F.array(*[F.struct(F.lit(k).alias("key_kind"), v.alias("key")) for k, v in keys.items()])
     return corpus.select("id", F.explode(pairs).alias("p")).where("p.key <> ''").select("p.key_kind", "p.key", "id").distinct()
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .index import context_keys
 from .search import top
 
 
@@ -14,33 +15,94 @@ def corpus_union(seed: DataFrame, local: DataFrame) -> DataFrame:
     return seed.unionByName(local, allowMissingColumns=True).where(F.trim(F.coalesce("text", F.lit(""))) != "")
 
 
-def usable_turns(turns: DataFrame, bad_verdicts: DataFrame, ratings: DataFrame, least: int = 2) -> DataFrame:
-    """(turn_id, usable, reason): by text, verdicts, rating and confidence (1 for a question, 1 for a long answer, 1 for a rating of 3 or more)."""
-    rows = turns.join(bad_verdicts.select("turn_id").distinct().withColumn("_bad", F.lit(True)), "turn_id", "left").join(ratings.select("turn_id", "rating"), "turn_id", "left")
-    sure = (F.trim("question") != "").cast("int") + (F.length("answer") >= 80).cast("int") + F.coalesce(F.col("rating") >= 3, F.lit(False)).cast("int")
-    reason = F.when(F.trim("question") == "", "no_question").when(F.col("_bad"), "bad_review").when(F.col("rating") <= 2, "low_rating").when(sure < least, "low_confidence").otherwise("ok")
+#: Routes whose answers teach nothing, verdicts that reject a turn or support it, and the domain that counts as none.
+BAD_ROUTES = ("admin_review_override", "clarification", "control", "meta", "out_of_scope", "partial_scope", "policy_block", "sensitive_block")
+REJECTED, CORRECT, HALF = ("incorrect", "excessive"), "correct", ("partial", "missing")
+NO_DOMAIN = "general_docs"
+#: Chunk types that answer a type of query.
+ACCEPTED = {
+    "contact": ("contact", "location"),
+    "location": ("location", "contact", "overview"),
+    "role": ("role", "record"),
+    "howto": ("howto",),
+    "history": ("history", "overview"),
+    "function": ("function", "duty", "overview"),
+    "generic": ("overview", "fact", "contact", "location", "role", "history", "function", "duty", "howto", "record"),
+}
+
+
+def verdicts_of(reviews: DataFrame) -> DataFrame:
+    """(turn_id, verdicts) of answer reviews."""
+    answers = reviews.where("coalesce(nullif(review_kind, ''), 'answer') = 'answer'")
+    return answers.groupBy("turn_id").agg(F.collect_set(F.trim("verdict")).alias("verdicts"))
+
+
+def _any(verdicts: Column, names: tuple[str, ...]) -> Column:
+    return F.coalesce(F.arrays_overlap(verdicts, F.array(*[F.lit(n) for n in names])), F.lit(False))
+
+
+def usable_turns(turns: DataFrame, reviews: DataFrame, ratings: DataFrame, least: int = 2) -> DataFrame:
+    """(turn_id, usable, reason) of turns (turn_id, question, route, domain, top_score), where top_score is the best score of the turn's contexts, null if it has none.
+
+    Confidence is 2 for a rating of 4 or more (1 for 3), 2 for a correct verdict (1 for a half right one), 2 for a top score of .75 (1 for .55) and 1 for a domain; ``least`` is needed.
+    """
+    rows = turns.join(verdicts_of(reviews), "turn_id", "left").join(ratings.select("turn_id", "rating"), "turn_id", "left")
+    rating, top = F.coalesce("rating", F.lit(0)), F.col("top_score")
+    right, half = _any(F.col("verdicts"), (CORRECT,)), _any(F.col("verdicts"), HALF)
+    sure = F.when(rating >= 4, 2).when(rating == 3, 1).otherwise(0) + F.when(right, 2).when(half, 1).otherwise(0) + F.when(top >= 0.75, 2).when(top >= 0.55, 1).otherwise(0)
+    sure = sure + F.when(~F.coalesce("domain", F.lit("")).isin("", NO_DOMAIN), 1).otherwise(0)
+    reason = (
+        F.when(T.ws("question") == "", "empty_question")
+        .when(top.isNull(), "no_contexts")
+        .when(F.col("route").isin(*BAD_ROUTES), F.concat(F.lit("bad_route:"), "route"))
+        .when(_any(F.col("verdicts"), REJECTED), "review_rejected")
+        .when((rating != 0) & (rating <= 2), "feedback_rejected")
+        .when(sure < least, "low_confidence")
+        .otherwise("ok")
+    )
     return rows.select("turn_id", (reason == "ok").alias("usable"), reason.alias("reason"))
 
 
 def query_quality(rows: DataFrame) -> DataFrame:
-    """(turn_id, quality): .45 + .25 for a rating of 4 or more (.1 for 3) + .2 for a good verdict + .1 for evidence, rounded to four digits."""
-    q = 0.45 + F.when(F.col("rating") >= 4, 0.25).when(F.col("rating") == 3, 0.10).otherwise(0.0) + F.when(F.col("verdict") == "correct", 0.20).otherwise(0.0) + F.when(F.col("evidence"), 0.10).otherwise(0.0)
-    return rows.select("turn_id", F.round(F.least(F.lit(1.0), q), 4).alias("quality"))
+    """(turn_id, quality) of (turn_id, origin, rating, verdicts, top_score): 1 for seed questions; else .45 + .20 for a rating of 4 or more (.08 for 3)
+    + .22 for a correct verdict (.10 for a half right one) + .13, .08 or .04 for a top score of 1, .7 or .5; four digits."""
+    rating, top = F.coalesce("rating", F.lit(0)), F.coalesce("top_score", F.lit(0.0))
+    q = 0.45 + F.when(rating >= 4, 0.20).when(rating == 3, 0.08).otherwise(0.0)
+    q = q + F.when(_any(F.col("verdicts"), (CORRECT,)), 0.22).when(_any(F.col("verdicts"), HALF), 0.10).otherwise(0.0)
+    q = q + F.when(top >= 1.0, 0.13).when(top >= 0.7, 0.08).when(top >= 0.5, 0.04).otherwise(0.0)
+    return rows.select("turn_id", F.when(F.col("origin") == "seed_qa", 1.0).otherwise(F.round(F.least(F.lit(1.0), q), 4)).alias("quality"))
+
+
+#: What a shared field counts when the corpus row of a logged context is chosen.
+MATCH = {"doc_id": 1.0, "kind": 0.6, "title": 0.9, "question": 1.2, "answer": 1.0, "text": 0.8}
 
 
 def resolve_contexts(contexts: DataFrame, lookups: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(context_id, id, score): the corpus row of a logged context (dedupe_key, entity_name, title, text), by the keys that it shares; the best, ties to the greater id."""
-    keys = F.array(
-        F.struct(F.lit("dedupe").alias("key_kind"), F.col("dedupe_key").alias("key")),
-        F.struct(F.lit("text").alias("key_kind"), F.md5(T.ws("text")).alias("key")),
-        F.struct(F.lit("doc_text").alias("key_kind"), F.md5(F.concat("entity_name", F.lit("\0"), T.ws("text"))).alias("key")),
-    )
-    asked = contexts.select("context_id", F.col("entity_name").alias("c_entity"), F.col("domain").alias("c_domain"), F.explode(keys).alias("k"))
-    hits = asked.select("context_id", "c_entity", "c_domain", "k.key_kind", "k.key").join(lookups, ["key_kind", "key"]).groupBy("context_id", "c_entity", "c_domain", "id").agg(F.count("*").alias("keys"))
-    rows = hits.join(corpus.select("id", "entity_name", "domain"), "id")
-    rows = rows.withColumn("score", F.col("keys") + (F.col("entity_name") == F.col("c_entity")).cast("int") + (F.col("domain") == F.col("c_domain")).cast("int"))
+    """(context_id, id, score): the corpus row of a logged context (context_id, source_id, kind, title, question, answer, dedupe_key, doc_id, text).
+
+    A source_id that the corpus has is the answer (score null). Otherwise rows are found by question, title, dedupe key, document and text, text, or the answer as text, and scored by MATCH; the best
+    with a positive score stays, ties to the greater id.
+    """
+    known = contexts.join(corpus.select(F.col("id").alias("source_id"), "id"), "source_id").select("context_id", "id", F.lit(None).cast("double").alias("score"))
+    rest = contexts.join(known.select("context_id"), "context_id", "left_anti")
+    rest = rest.withColumns({f"_{c}": T.norm_ascii(c) for c in ("title", "question", "answer", "text")})
+    keys = context_keys(F.coalesce("dedupe_key", F.lit("")), F.col("doc_id"), F.col("_text"), F.col("_title"), F.col("_question"))
+    keys = [(k, v) for k, v in keys.items()] + [("text", F.when(F.col("_answer") != "", F.md5("_answer")))]
+    digests = {c: F.md5(f"_{c}") for c in ("title", "question", "answer", "text")}
+    asked = rest.withColumns({f"h_{c}": F.when(F.col(f"_{c}") != "", v) for c, v in digests.items()}).withColumns({"h_doc_id": F.col("doc_id").cast("string"), "h_kind": F.when(F.col("kind") != "", F.col("kind"))})
+    shown = [f"h_{c}" for c in MATCH]
+    asked = asked.select("context_id", *shown, F.explode(F.array(*[F.struct(F.lit(k).alias("key_kind"), v.alias("key")) for k, v in keys])).alias("k"))
+    found = asked.select("context_id", *shown, "k.key_kind", "k.key").where("key <> ''").join(lookups, ["key_kind", "key"]).select("context_id", *shown, "id").distinct()
+    own = corpus.select(
+        "id", F.col("doc_id").cast("string").alias("c_doc_id"), F.col("source_kind").alias("c_kind"), F.md5(T.norm_ascii("title")).alias("c_title"),
+        F.md5(T.norm_ascii("question")).alias("c_question"), F.md5(T.norm_ascii("text")).alias("c_text"),
+    ).withColumn("c_answer", F.col("c_text"))
+    score = F.lit(0.0)
+    for c, value in MATCH.items():
+        score = score + F.when(F.col(f"h_{c}") == F.col(f"c_{c}"), value).otherwise(0.0)
+    rows = found.join(own, "id").withColumn("score", F.round(score, 6))
     w = Window.partitionBy("context_id").orderBy(F.desc("score"), F.desc("id"))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1 and score > 0").select("context_id", "id", "score")
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1 and score > 0").select("context_id", "id", "score").unionByName(known)
 
 
 def history_positives(contexts: DataFrame, n: int = 2, floor: float = 0.32, share: float = 0.68) -> DataFrame:
@@ -59,13 +121,32 @@ def positive_match(rows: DataFrame, tokens: Column, common: tuple[str, ...]) ->
     return rows.withColumn("_own", own).withColumn("_all", both).where((F.size("_own") == 0) | F.exists("_own", lambda t: F.col("_all").contains(t))).drop("_own", "_all")
 
 
-def positive_expand(positives: DataFrame, corpus: DataFrame, types: tuple[str, ...], n: int = 3) -> DataFrame:
-    """(query_id, id): up to ``n`` other chunks of a positive's domain and entity with an accepted type, by priority."""
-    base = positives.join(corpus.select("id", "domain", "entity_name"), "id").select("query_id", "domain", "entity_name").distinct()
-    more = base.join(corpus.where(F.col("chunk_type").isin(*types)).select("id", "domain", "entity_name", "priority"), ["domain", "entity_name"])
-    new = more.join(positives.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    w = Window.partitionBy("query_id").orderBy(F.desc("priority"), "id")
-    return new.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select("query_id", "id")
+def _accepts(query_type: Column, chunk_type: Column, table: dict[str, tuple[str, ...]]) -> Column:
+    """Whether a chunk type answers a query type; unknown query types are generic."""
+    out = chunk_type.isin(*table["generic"])
+    for name, types in table.items():
+        if name != "generic":
+            out = F.when(query_type == name, chunk_type.isin(*types)).otherwise(out)
+    return out
+
+
+def positive_expand(positives: DataFrame, queries: DataFrame, corpus: DataFrame, common: tuple[str, ...], accepted: dict[str, tuple[str, ...]] = ACCEPTED, n: int = 3) -> DataFrame:
+    """(query_id, id): up to ``n`` other chunks of the positives' entities and domains, of an accepted type or none, that match the query (``positive_match``).
+
+    .25 for seed chunks, .30 for an accepted type, .35 for the very type asked for, .05 for a text that is not just its summary; ties to the greater id. queries: query_id, query_type, tokens.
+    """
+    base = positives.join(corpus.select("id", "domain", T.norm_ascii("entity_name").alias("entity_n")), "id")
+    entities = base.where("entity_n <> ''").select("query_id", "entity_n").distinct()
+    domains = base.where("domain <> ''").select("query_id", "domain").distinct()
+    own = corpus.withColumns({"entity_n": T.norm_ascii("entity_name"), "title_n": T.norm_ascii("title"), "body": T.norm_ascii("text")})
+    own = own.select("id", "domain", "entity_n", "title_n", "body", "chunk_type", "source_kind", F.length("body").alias("_len"), T.norm_ascii("summary").alias("_summary"))
+    more = entities.join(own, "entity_n").join(domains, ["query_id", "domain"], "left_semi").join(positives.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    more = more.join(queries.select("query_id", F.col("query_type").alias("asked"), "tokens"), "query_id").withColumn("fits", _accepts(F.col("asked"), F.col("chunk_type"), accepted))
+    more = positive_match(more.where((F.col("chunk_type") == "") | F.col("fits")), F.col("tokens"), common)
+    score = F.when(F.col("source_kind") == "seed", 0.25).otherwise(0.0) + F.when(F.col("fits"), 0.30).otherwise(0.0)
+    score = score + F.when((F.col("asked") != "generic") & (F.col("chunk_type") == F.col("asked")), 0.35).otherwise(0.0) + F.when((F.col("body") != "") & (F.col("body") != F.col("_summary")), 0.05).otherwise(0.0)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round(score, 6)), F.desc("id"))
+    return more.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select("query_id", "id")
 
 
 def seed_queries(qa: DataFrame, n: int = 3) -> DataFrame:
@@ -77,24 +158,42 @@ def seed_queries(qa: DataFrame, n: int = 3) -> DataFrame:
 
 
 def lexical_negatives(queries: DataFrame, q_tokens: Column, corpus: DataFrame, c_tokens: Column, positives: DataFrame, least: float = 0.18) -> DataFrame:
-    """(query_id, id, score): chunks that share tokens with a query: overlap + .18 same domain + .16 its type - .22 a positive's entity; no positives, no copies of them."""
+    """(query_id, id, score, source): chunks that share tokens with a query: overlap + .18 same domain + .16 its type - .22 a positive's entity + .05 a positive's domain; no positives, no copies of them.
+
+    ``source`` is the last of lexical, same_domain, same_type that holds. Queries meet chunks on hashes of their tokens only.
+    """
     q = queries.select("query_id", F.col("domain").alias("q_domain"), F.col("query_type").alias("asked"), F.array_distinct(q_tokens).alias("t")).withColumn("n", F.size("t"))
     d = corpus.select("id", F.explode(F.array_distinct(c_tokens)).alias("term"))
-    share = q.select("query_id", "q_domain", "asked", "n", F.explode("t").alias("term")).join(d, "term").groupBy("query_id", "q_domain", "asked", "id").agg((F.count("*") / F.first("n")).alias("overlap"))
-    named = positives.join(corpus.select("id", "entity_name", "dedupe_key"), "id")
-    rows = share.join(corpus.select("id", "domain", "chunk_type", "entity_name", "dedupe_key"), "id")
-    same = named.select("query_id", "entity_name").distinct().withColumn("_same", F.lit(0.22))
-    rows = rows.join(same, ["query_id", "entity_name"], "left")
-    rows = rows.join(positives.select("query_id", "id"), ["query_id", "id"], "left_anti").join(named.select("query_id", "dedupe_key"), ["query_id", "dedupe_key"], "left_anti")
-    score = F.col("overlap") + F.when(F.col("domain") == F.col("q_domain"), 0.18).otherwise(0.0) + F.when(F.col("chunk_type") == F.col("asked"), 0.16).otherwise(0.0) - F.coalesce("_same", F.lit(0.0))
-    return rows.withColumn("score", score).where(F.col("score") >= least).select("query_id", "id", "score")
+    each = q.select("query_id", "n", F.explode("t").alias("term"))
+    d = d.join(each.select("term").distinct(), "term", "left_semi")
+    share = each.join(d, "term").groupBy("query_id", "id").agg((F.count("*") / F.first("n")).alias("overlap"))
+    named = positives.join(corpus.select("id", "domain", T.norm_ascii("entity_name").alias("entity_n"), "dedupe_key"), "id")
+    sets = named.groupBy("query_id").agg(F.collect_set("domain").alias("p_domains"), F.collect_set("entity_n").alias("p_entities"), F.collect_set("dedupe_key").alias("p_keys"), F.collect_set("id").alias("p_ids"))
+    rows = share.join(corpus.select("id", "domain", "chunk_type", T.norm_ascii("entity_name").alias("entity_n"), "dedupe_key"), "id")
+    rows = rows.join(q.select("query_id", "q_domain", "asked").join(sets, "query_id", "left"), "query_id")  # a query has two positives or so
+    in_ = lambda name, value: F.coalesce(F.array_contains(name, F.col(value)), F.lit(False))
+    rows = rows.where(~in_("p_ids", "id") & ~in_("p_keys", "dedupe_key"))
+    domain, kind = F.col("domain") == F.col("q_domain"), F.col("chunk_type") == F.col("asked")
+    score = F.col("overlap") + F.when(domain, 0.18).otherwise(0.0) + F.when(kind, 0.16).otherwise(0.0) - F.when((F.col("entity_n") != "") & in_("p_entities", "entity_n"), 0.22).otherwise(0.0) + F.when(in_("p_domains", "domain"), 0.05).otherwise(0.0)
+    source = F.when(kind, "same_type").when(domain, "same_domain").otherwise("lexical")
+    return rows.withColumns({"score": F.round(score, 9), "source": source}).where(F.col("score") >= least).select("query_id", "id", "score", "source")
+
+
+def retrieved_negatives(retrieved: DataFrame, queries: DataFrame, corpus: DataFrame, positives: DataFrame, accepted: dict[str, tuple[str, ...]] = ACCEPTED) -> DataFrame:
+    """Retrieved (query_id, id, score) that are no positives, no copies of one, and no chunk of a positive's entity with a type that answers the query."""
+    named = positives.join(corpus.select("id", T.norm_ascii("entity_name").alias("entity_n"), "dedupe_key"), "id")
+    rows = retrieved.join(corpus.select("id", "chunk_type", T.norm_ascii("entity_name").alias("entity_n"), "dedupe_key"), "id").join(queries.select("query_id", "query_type"), "query_id")
+    rows = rows.join(positives.select("query_id", "id"), ["query_id", "id"], "left_anti").join(named.where("dedupe_key <> ''").select("query_id", "dedupe_key"), ["query_id", "dedupe_key"], "left_anti")
+    same = named.where("entity_n <> ''").select("query_id", "entity_n").distinct().withColumn("_same", F.lit(True))
+    rows = rows.join(same, ["query_id", "entity_n"], "left").where(~(F.coalesce("_same", F.lit(False)) & _accepts(F.col("query_type"), F.col("chunk_type"), accepted)))
+    return rows.select("query_id", "id", "score")
 
 
 def hard_negatives(retrieved: DataFrame, lexical: DataFrame, n: int = 8) -> DataFrame:
-    """(query_id, id, source, score, rank): retrieved negatives first, then lexical ones, one for each id."""
-    rows = retrieved.select("query_id", "id", "score", F.lit("retrieval").alias("source"), F.lit(0).alias("_s")).unionByName(lexical.select("query_id", "id", "score", F.lit("lexical").alias("source"), F.lit(1).alias("_s")))
+    """(query_id, id, source, score, rank): retrieved negatives first, then lexical ones, each by score (ties among the former to the smaller id, among the latter to the greater), one for each id."""
+    rows = retrieved.select("query_id", "id", "score", F.lit("retrieval").alias("source"), F.lit(0).alias("_s")).unionByName(lexical.select("query_id", "id", "score", "source", F.lit(1).alias("_s")))
     one = Window.partitionBy("query_id", "id").orderBy("_s")
-    order = Window.partitionBy("query_id").orderBy("_s", F.desc(F.round("score", 9)), "id")
+    order = Window.partitionBy("query_id").orderBy("_s", F.desc(F.round("score", 9)), F.when(F.col("_s") == 0, F.col("id")), F.desc("id"))
     kept = rows.withColumn("_r", F.row_number().over(one)).where("_r = 1").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     return kept.select("query_id", "id", "source", "score", "rank")
 
@@ -136,8 +235,9 @@ def difficulty(scores: Column) -> Column:
 
 
 def weight(quality: Column, hard: Column, origin: Column) -> Column:
-    """quality (.75 + .5 difficulty), times .92 for history, between 0 and 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), quality * (0.75 + 0.5 * hard) * F.when(origin == "history", 0.92).otherwise(1.0)))
+    """quality (.75 + .5 difficulty), times .92 for all but seed questions, between .15 and 1.25, six digits."""
+    raw = quality * (0.75 + 0.5 * F.round(hard, 6)) * F.when(origin == "seed_qa", 1.0).otherwise(0.92)
+    return F.round(F.greatest(F.lit(0.15), F.least(F.lit(1.25), raw)), 6)
 
 
 def bi_encoder(queries: DataFrame, positives: DataFrame, negatives: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -153,10 +253,12 @@ def bi_encoder(queries: DataFrame, positives: DataFrame, negatives: DataFrame, c
     return rows.select("query_id", "query", "positives", "negatives", "difficulty", weight(F.col("quality"), F.col("difficulty"), F.col("origin")).alias("weight"))
 
 
-def cross_encoder(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(pair_id, query, text, label, weight)."""
-    rows = pairs.join(queries.select("query_id", "query", "quality"), "query_id").join(corpus.select("id", "text"), "id", "left")
-    return rows.select("pair_id", "query", F.coalesce("text", F.lit("")).alias("text"), "label", F.col("quality").alias("weight"))
+def cross_encoder(pairs: DataFrame, negatives: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(pair_id, query_id, query, text, label, quality, weight): a pair is as difficult as its own negative score says; positives are half difficult."""
+    scores = negatives.select("query_id", "id", F.lit(0).alias("label"), F.when(F.col("score") > 0, F.array("score")).alias("scores"))
+    rows = pairs.join(scores, ["query_id", "id", "label"], "left").join(queries.select("query_id", "query", "quality", "origin"), "query_id").join(corpus.select("id", "text"), "id", "left")
+    hard = difficulty(F.coalesce("scores", F.array().cast("array<double>")))
+    return rows.select("pair_id", "query_id", "query", F.coalesce("text", F.lit("")).alias("text"), "label", "quality", weight(F.col("quality"), hard, F.col("origin")).alias("weight"))
 
 
 def curriculum(rows: DataFrame, least: float = 0.9) -> DataFrame:

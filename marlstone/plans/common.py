@@ -20,6 +20,11 @@ VIEWS = {
         CASE WHEN (conv_id + turn) % 3 = 0 THEN concat('suggest ', substr(question, 1, 40)) ELSE '' END AS answer_suggestion,
         concat('2026-01-0', r.seq, 'T00:00:00Z') AS updated_at FROM turns CROSS JOIN (SELECT 1 AS seq UNION ALL SELECT 2) r
         WHERE (conv_id + turn) % 2 = 0 AND (r.seq = 1 OR conv_id % 3 = 0)""",
+    "facts_v": """SELECT turn_id, question, CASE (conv_id + turn) % 9 WHEN 0 THEN 'meta' WHEN 1 THEN 'partial_scope' WHEN 2 THEN 'admin_review_override' ELSE 'document_answer' END AS route,
+        CASE conv_id % 5 WHEN 0 THEN 'general_docs' WHEN 1 THEN '' ELSE 'sales' END AS domain, CASE WHEN length(answer) >= 20 THEN CAST(length(answer) % 120 AS DOUBLE) / 100.0e0 END AS top_score FROM turns""",
+    "contexts_v": """SELECT concat('x', doc_id) AS context_id, CASE WHEN doc_id % 4 = 0 THEN id ELSE '' END AS source_id, source_kind AS kind, CASE WHEN doc_id % 7 = 0 THEN '' ELSE title END AS title,
+        question, CASE WHEN doc_id % 5 = 0 THEN text ELSE '' END AS answer, CASE WHEN doc_id % 2 = 0 THEN dedupe_key ELSE '' END AS dedupe_key, CASE WHEN doc_id % 3 <> 1 THEN doc_id END AS doc_id,
+        CASE WHEN doc_id % 3 <> 2 THEN text ELSE '' END AS text FROM corpus_v""",
     "reviews_v": """SELECT turn_id, question AS user_question, answer AS assistant_answer, r.seq,
         CASE (conv_id + turn + r.seq) % 6 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'missing' WHEN 3 THEN 'excessive' WHEN 4 THEN 'partial' ELSE 'unknown' END AS verdict,
         CASE WHEN conv_id % 11 = 0 THEN 'policy' ELSE 'answer' END AS review_kind,
@@ -33,7 +38,8 @@ VIEWS = {
         CASE conv_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'pending' WHEN 2 THEN 'rejected' ELSE 'bogus' END AS status FROM turns WHERE turn % 4 = 1""",
     "corpus_v": """SELECT concat('d', doc_id) AS id, doc_id, lang AS domain, source AS entity_name, substr(text, 1, 60) AS title, text,
         CASE WHEN n_chars < 500 THEN 'fact' WHEN n_chars < 2000 THEN 'overview' WHEN n_chars < 5000 THEN 'history' ELSE 'generic' END AS chunk_type,
-        CAST(doc_id % 101 AS INT) AS priority, sha1(text) AS dedupe_key, CASE WHEN doc_id % 2 = 0 THEN 'seed' ELSE 'local' END AS source_kind FROM documents""",
+        CAST(doc_id % 101 AS INT) AS priority, sha1(text) AS dedupe_key, CASE WHEN doc_id % 2 = 0 THEN 'seed' ELSE 'local' END AS source_kind,
+        CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 50) ELSE '' END AS question FROM documents""",
     "queries_v": """SELECT concat('q', item_id) AS query_id, item_id, substr(text, 1, 80) AS query, 'en' AS domain,
         CASE WHEN item_id % 2 = 0 THEN 'seed_qa' ELSE 'history' END AS origin,
         CASE item_id % 3 WHEN 0 THEN 'contact' WHEN 1 THEN 'history' ELSE 'generic' END AS query_type,

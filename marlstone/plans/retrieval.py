@@ -78,13 +78,14 @@ P.add(
     sql=f"SELECT source, count(*) AS chunks, sha1(concat_ws(':', {_SUMS})) AS signature FROM (SELECT source, sha1(doc_id || chr(0) || text || chr(0)) AS h FROM documents) GROUP BY source",
 )
 P.add("i7_index_report", lambda c: I.index_report(c, ("domain",), "lsa"), "corpus_v", sql="SELECT domain, count(*) AS chunks, 'lsa' AS vectors FROM corpus_v GROUP BY domain")
+D_KEYS = f"""SELECT 'dedupe' AS key_kind, trim(dedupe_key) AS key, id FROM corpus_v UNION ALL SELECT 'text', md5(t), id FROM (SELECT id, {d_ascii('text')} AS t FROM corpus_v) WHERE t <> ''
+    UNION ALL SELECT 'doc_text', md5(doc_id || '::' || t), id FROM (SELECT id, doc_id, {d_ascii('text')} AS t FROM corpus_v) WHERE t <> ''
+    UNION ALL SELECT 'title', {d_ascii('title')}, id FROM corpus_v UNION ALL SELECT 'question', {d_ascii('question')}, id FROM corpus_v"""
 P.add(
     "i8_lookup_indexes",
     I.lookups,
     "corpus_v",
-    sql=f"""SELECT DISTINCT key_kind, key, id FROM (SELECT 'dedupe' AS key_kind, dedupe_key AS key, id FROM corpus_v UNION ALL SELECT 'text', md5({d_ws('text')}), id FROM corpus_v
-        UNION ALL SELECT 'doc_text', md5(entity_name || chr(0) || {d_ws('text')}), id FROM corpus_v UNION ALL SELECT 'title', {d_norm('title')}, id FROM corpus_v
-        UNION ALL SELECT 'entity', {d_norm('entity_name')}, id FROM corpus_v) WHERE key <> ''""",
+    sql=f"SELECT DISTINCT key_kind, key, id FROM ({D_KEYS}) WHERE key <> ''",
 )
 
 Q_TOKENS = lambda: T.alnum_tokens("query", 2)

@@ -18,11 +18,12 @@ from .corpus import D_LINES
 from .preference import D_CAND as D_XCAND
 from .preference import D_DEDUPE, D_LAST, D_PAIRS, d_reward, deduped, pairs, with_reward
 from .sessions import STEPS, d_rule
-from .retrieval import D_CAND, D_FUSED, D_HITS, D_MERGED, D_SEED_SCORE, _merged, _seed_score, candidates, fused, hits
+from .retrieval import D_CAND, D_FUSED, D_HITS, D_KEYS, D_MERGED, D_SEED_SCORE, _merged, _seed_score, candidates, fused, hits
 
 P = Plans()
 QUERIES, ORACLE = P.queries, P.oracle
 _CAND = ("queries_v", "documents", "corpus_v")
+COMMON = ("the", "of", "and", "to", "in", "is", "a")
 _join = lambda c: F.array_join(c, "|")
 _toks = lambda x: T.alnum_tokens(x, 2)
 d_toks = lambda x: f"list_filter({d_alnum(x)}, lambda t: length(t) >= 2)"
@@ -38,36 +39,48 @@ P.add(
 def usable(t, r, f):
     from ..operators.preference import latest
 
-    return D.usable_turns(t, r.where("verdict in ('incorrect', 'excessive')"), latest(f, "turn_id", "updated_at", "seq"))
+    return D.usable_turns(t, r, latest(f, "turn_id", "updated_at", "seq"))
 
 
-D_USABLE = f"""us AS (SELECT t.turn_id, CASE WHEN trim(t.question) = '' THEN 'no_question' WHEN t.turn_id IN (SELECT turn_id FROM reviews_v WHERE verdict IN ('incorrect', 'excessive')) THEN 'bad_review' WHEN f.rating <= 2 THEN 'low_rating'
-    WHEN CAST(trim(t.question) <> '' AS INT) + CAST(length(t.answer) >= 80 AS INT) + CAST(coalesce(f.rating >= 3, false) AS INT) < 2 THEN 'low_confidence' ELSE 'ok' END AS reason FROM turns t LEFT JOIN ({D_LAST}) f USING (turn_id))"""
-_TRF = ("turns", "reviews_v", "feedback_v")
+_has = lambda *xs: f"list_has_any(coalesce(v.verdicts, []), [{', '.join(repr(x) for x in xs)}])"
+D_FACTS = f"""vd AS (SELECT turn_id, list(DISTINCT verdict) AS verdicts FROM reviews_v WHERE review_kind = 'answer' GROUP BY turn_id),
+    ft AS (SELECT t.*, coalesce(f.rating, 0) AS rating, {_has('correct')} AS correct, {_has('partial', 'missing')} AS half, {_has('incorrect', 'excessive')} AS bad FROM facts_v t LEFT JOIN ({D_LAST}) f USING (turn_id) LEFT JOIN vd v USING (turn_id))"""
+D_USABLE = f"""{D_FACTS}, us AS (SELECT turn_id, CASE WHEN {d_ws('question')} = '' THEN 'empty_question' WHEN top_score IS NULL THEN 'no_contexts' WHEN route IN ({', '.join(repr(x) for x in D.BAD_ROUTES)}) THEN 'bad_route:' || route
+    WHEN bad THEN 'review_rejected' WHEN rating IN (1, 2) THEN 'feedback_rejected'
+    WHEN CASE WHEN rating >= 4 THEN 2 WHEN rating = 3 THEN 1 ELSE 0 END + CASE WHEN correct THEN 2 WHEN half THEN 1 ELSE 0 END + CASE WHEN top_score >= 0.75 THEN 2 WHEN top_score >= 0.55 THEN 1 ELSE 0 END
+        + CASE WHEN domain IN ('', 'general_docs') THEN 0 ELSE 1 END < 2 THEN 'low_confidence' ELSE 'ok' END AS reason FROM ft)"""
+_TRF = ("facts_v", "reviews_v", "feedback_v")
 P.add("d2_usable_turns", usable, *_TRF, sql=f"WITH {D_USABLE} SELECT turn_id, reason = 'ok' AS usable, reason FROM us")
 
 
 def quality(t, r, f):
     from ..operators.preference import latest
 
-    rows = t.join(latest(f, "turn_id", "updated_at", "seq").select("turn_id", "rating"), "turn_id", "left").join(latest(r, "turn_id", "updated_at", "seq").select("turn_id", "verdict"), "turn_id", "left")
-    return D.query_quality(rows.withColumn("evidence", F.length("answer") >= 100))
+    rows = t.join(latest(f, "turn_id", "updated_at", "seq").select("turn_id", "rating"), "turn_id", "left").join(D.verdicts_of(r), "turn_id", "left")
+    return D.query_quality(rows.withColumn("origin", F.when(F.col("domain") == "general_docs", "seed_qa").otherwise("history")))
 
 
 P.add(
     "d3_query_quality",
     lambda t, r, f: quality(t, r, f).select("turn_id", F.round("quality", 4).alias("quality")),
     *_TRF,
-    sql=f"""SELECT t.turn_id, round(CAST(least(1.0, 0.45 + CASE WHEN f.rating >= 4 THEN 0.25 WHEN f.rating = 3 THEN 0.1 ELSE 0 END + CASE WHEN r.verdict = 'correct' THEN 0.2 ELSE 0 END + CASE WHEN length(t.answer) >= 100 THEN 0.1 ELSE 0 END) AS DOUBLE), 4) AS quality
-        FROM turns t LEFT JOIN ({D_LAST}) f USING (turn_id) LEFT JOIN (SELECT * FROM reviews_v QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY updated_at DESC, seq DESC) = 1) r USING (turn_id)""",
+    sql=f"""WITH {D_FACTS} SELECT turn_id, CASE WHEN domain = 'general_docs' THEN 1.0e0 ELSE round(CAST(least(1.0, 0.45 + CASE WHEN rating >= 4 THEN 0.20 WHEN rating = 3 THEN 0.08 ELSE 0 END + CASE WHEN correct THEN 0.22 WHEN half THEN 0.10 ELSE 0 END
+        + CASE WHEN top_score >= 1.0 THEN 0.13 WHEN top_score >= 0.7 THEN 0.08 WHEN top_score >= 0.5 THEN 0.04 ELSE 0 END) AS DOUBLE), 4) END AS quality FROM ft""",
 )
-_KEYS = [("dedupe", "dedupe_key"), ("text", f"md5({d_ws('text')})"), ("doc_text", f"md5(entity_name || chr(0) || {d_ws('text')})")]
 P.add(
     "d4_context_resolve",
-    lambda c: D.resolve_contexts(c.withColumnRenamed("id", "context_id"), I.lookups(c), c),
+    lambda x, c: D.resolve_contexts(x, I.lookups(c), c).select("context_id", "id", "score"),
+    "contexts_v",
     "corpus_v",
-    sql=f"""WITH k AS ({' UNION ALL '.join(f"SELECT id, domain, entity_name, '{n}' AS kind, {e} AS key FROM corpus_v" for n, e in _KEYS)}), h AS (SELECT a.id AS context_id, b.id, count(*) + any_value(CAST(a.entity_name = b.entity_name AS INT)) + any_value(CAST(a.domain = b.domain AS INT)) AS score
-        FROM k a JOIN (SELECT DISTINCT * FROM k) b USING (kind, key) GROUP BY a.id, b.id) SELECT context_id, id, score FROM h QUALIFY row_number() OVER (PARTITION BY context_id ORDER BY score DESC, id DESC) = 1""",
+    sql=f"""WITH k AS ({D_KEYS}), kn AS (SELECT context_id, source_id AS id FROM contexts_v WHERE source_id IN (SELECT id FROM corpus_v)),
+        x AS (SELECT *, {d_ascii('title')} AS t, {d_ascii('question')} AS q, {d_ascii('answer')} AS a, {d_ascii('text')} AS b FROM contexts_v WHERE context_id NOT IN (SELECT context_id FROM kn)),
+        c AS (SELECT *, {d_ascii('title')} AS ct, {d_ascii('question')} AS cq, {d_ascii('text')} AS cb FROM corpus_v),
+        ak AS (SELECT context_id, 'dedupe' AS key_kind, dedupe_key AS key FROM x UNION ALL SELECT context_id, 'text', md5(b) FROM x WHERE b <> '' UNION ALL SELECT context_id, 'text', md5(a) FROM x WHERE a <> ''
+            UNION ALL SELECT context_id, 'doc_text', md5(doc_id || '::' || b) FROM x WHERE b <> '' AND doc_id IS NOT NULL UNION ALL SELECT context_id, 'title', t FROM x UNION ALL SELECT context_id, 'question', q FROM x),
+        f AS (SELECT DISTINCT context_id, id FROM ak JOIN k USING (key_kind, key) WHERE key <> ''),
+        s AS (SELECT f.context_id, f.id, round(CAST(CASE WHEN x.doc_id = c.doc_id THEN 1.0 ELSE 0 END + CASE WHEN x.kind = c.source_kind THEN 0.6 ELSE 0 END + CASE WHEN t <> '' AND t = ct THEN 0.9 ELSE 0 END + CASE WHEN q <> '' AND q = cq THEN 1.2 ELSE 0 END
+            + CASE WHEN a <> '' AND a = cb THEN 1.0 ELSE 0 END + CASE WHEN b <> '' AND b = cb THEN 0.8 ELSE 0 END AS DOUBLE), 6) AS score FROM f JOIN x USING (context_id) JOIN c ON c.id = f.id)
+        SELECT context_id, id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY context_id ORDER BY score DESC, id DESC) = 1 UNION ALL SELECT context_id, id, NULL FROM kn""",
 )
 
 
@@ -78,7 +91,6 @@ def positives(q, d):
 D_POS = f"""{D_HITS}, h8 AS (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS t FROM hits WHERE rank <= 8),
     pos AS (SELECT query_id, 'd' || id AS id, rank FROM h8 WHERE (rank = 1 OR score >= greatest(0.32, 0.68 * t)) AND rank <= 2)"""
 P.add("d5_history_positives", positives, "queries_v", "documents", sql=f"WITH {D_POS} SELECT query_id, id, rank FROM pos")
-COMMON = ("the", "of", "and", "to", "in", "is", "a")
 _own = f"list_filter(q_tokens, lambda t: t NOT IN ({', '.join(repr(c) for c in COMMON)}))"
 P.add(
     "d6_positive_match",
@@ -89,15 +101,22 @@ P.add(
 
 
 def expanded(q, d, c):
-    return D.positive_expand(positives(q, d), c, ("fact", "overview"))
+    asked = q.select("query_id", "query_type", T.alnum_tokens("query").alias("tokens"))
+    return D.positive_expand(positives(q, d), asked, c.withColumn("summary", F.substring("text", 1, 100)), COMMON)
 
 
+_types = lambda t, c: "CASE " + " ".join(f"WHEN {t} = '{n}' THEN {c} IN ({', '.join(repr(x) for x in xs)})" for n, xs in D.ACCEPTED.items() if n != "generic") + f" ELSE {c} IN ({', '.join(repr(x) for x in D.ACCEPTED['generic'])}) END"
 P.add(
     "d7_positive_expand",
     expanded,
     *_CAND,
-    sql=f"""WITH {D_POS}, b AS (SELECT DISTINCT query_id, domain, entity_name FROM pos JOIN corpus_v USING (id)), m AS (SELECT query_id, c.id, priority FROM b JOIN corpus_v c USING (domain, entity_name) WHERE chunk_type IN ('fact', 'overview'))
-        SELECT query_id, id FROM m WHERE (query_id, id) NOT IN (SELECT query_id, id FROM pos) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, id) <= 3""",
+    sql=f"""WITH {D_POS}, b AS (SELECT query_id, domain, {d_ascii('entity_name')} AS e FROM pos JOIN corpus_v USING (id)),
+        c AS (SELECT *, {d_ascii('entity_name')} AS entity_n, {d_ascii('title')} AS title_n, {d_ascii('text')} AS body, {d_ascii('substr(text, 1, 100)')} AS summary FROM corpus_v),
+        m AS (SELECT q.query_id, q.query_type, c.*, {d_alnum('q.query')} AS q_tokens, {_types('q.query_type', 'c.chunk_type')} AS fits FROM (SELECT DISTINCT query_id, e FROM b WHERE e <> '') x JOIN c ON c.entity_n = x.e JOIN queries_v q USING (query_id)
+            WHERE (query_id, c.domain) IN (SELECT query_id, domain FROM b) AND (query_id, c.id) NOT IN (SELECT query_id, id FROM pos)),
+        k AS (SELECT query_id, id, round(CAST(CASE WHEN source_kind = 'seed' THEN 0.25 ELSE 0 END + CASE WHEN fits THEN 0.30 ELSE 0 END + CASE WHEN query_type <> 'generic' AND chunk_type = query_type THEN 0.35 ELSE 0 END + CASE WHEN body <> '' AND body <> summary THEN 0.05 ELSE 0 END AS DOUBLE), 6) AS score
+            FROM m WHERE (chunk_type = '' OR fits) AND (len({_own}) = 0 OR len(list_filter({_own}, lambda t: contains(title_n || ' ' || entity_n || ' ' || body, t))) > 0))
+        SELECT query_id, id FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) <= 3""",
 )
 
 
@@ -126,28 +145,40 @@ P.add("d9_history_queries", history_queries, *_TRF, "documents", sql=f"WITH {D_U
 P.add("d10_candidate_pool", lambda q, d, c: _merged(q, d, c, 8).select("query_id", "id", "key", "rank", F.round("score", 6).alias("score")), *_CAND, sql=f"WITH {D_MERGED} SELECT query_id, id, key, rank, round(score, 6) AS score FROM merged")
 
 
+_long = lambda x: F.filter(F.split(T.norm_ascii(x), " "), lambda t: F.length(t) >= 3)
+_whole = lambda: F.concat_ws(" ", "title", "entity_name", "text", "question")
+
+
 def lexical(q, d, c):
-    return D.lexical_negatives(q, T.alnum_tokens("query", 3), c, T.alnum_tokens("text", 3), positives(q, d), 0.4)
+    return D.lexical_negatives(q, _long("query"), c, _long(_whole()), positives(q, d))
 
 
-_D3 = lambda x: f"list_distinct(list_filter({d_alnum(x)}, lambda t: length(t) >= 3))"
-D_LEX = f"""{D_POS}, lq AS (SELECT query_id, domain AS q_domain, query_type AS asked, {_D3('query')} AS t FROM queries_v), ld AS (SELECT id, unnest({_D3('text')}) AS term FROM corpus_v),
+_D3 = lambda x: f"list_distinct(list_filter(string_split({d_ascii(x)}, ' '), lambda t: length(t) >= 3))"
+D_LEX = f"""{D_POS}, lq AS (SELECT query_id, domain AS q_domain, query_type AS asked, {_D3('query')} AS t FROM queries_v), ld AS (SELECT id, unnest({_D3("title || ' ' || entity_name || ' ' || text || ' ' || question")}) AS term FROM corpus_v),
     ls AS (SELECT query_id, q_domain, asked, id, count(*) / any_value(n) AS overlap FROM (SELECT *, len(t) AS n, unnest(t) AS term FROM lq) JOIN ld USING (term) GROUP BY ALL),
-    np AS (SELECT query_id, c.* FROM pos JOIN corpus_v c USING (id)),
-    lx0 AS (SELECT ls.query_id, ls.id, overlap + CASE WHEN c.domain = q_domain THEN 0.18 ELSE 0 END + CASE WHEN c.chunk_type = asked THEN 0.16 ELSE 0 END - CASE WHEN EXISTS (SELECT 1 FROM np WHERE np.query_id = ls.query_id AND np.entity_name = c.entity_name) THEN 0.22 ELSE 0 END AS score
-        FROM ls JOIN corpus_v c USING (id) WHERE NOT EXISTS (SELECT 1 FROM np WHERE np.query_id = ls.query_id AND (np.id = ls.id OR np.dedupe_key = c.dedupe_key))),
-    lex AS (SELECT * FROM lx0 WHERE score >= 0.4)"""
-P.add("d11_lexical_negatives", lambda q, d, c: lexical(q, d, c).select("query_id", "id", F.round("score", 6).alias("score")), *_CAND, sql=f"WITH {D_LEX} SELECT query_id, id, round(CAST(score AS DOUBLE), 6) AS score FROM lex")
+    np AS (SELECT query_id, c.*, {d_ascii('entity_name')} AS e FROM pos JOIN corpus_v c USING (id)),
+    lx0 AS (SELECT ls.query_id, ls.id, round(CAST(overlap + CASE WHEN c.domain = q_domain THEN 0.18 ELSE 0 END + CASE WHEN c.chunk_type = asked THEN 0.16 ELSE 0 END
+        - CASE WHEN {d_ascii('c.entity_name')} <> '' AND (ls.query_id, {d_ascii('c.entity_name')}) IN (SELECT query_id, e FROM np) THEN 0.22 ELSE 0 END + CASE WHEN (ls.query_id, c.domain) IN (SELECT query_id, domain FROM np) THEN 0.05 ELSE 0 END AS DOUBLE), 9) AS score,
+        CASE WHEN c.chunk_type = asked THEN 'same_type' WHEN c.domain = q_domain THEN 'same_domain' ELSE 'lexical' END AS source
+        FROM ls JOIN corpus_v c USING (id) WHERE (ls.query_id, ls.id) NOT IN (SELECT query_id, id FROM np) AND (ls.query_id, c.dedupe_key) NOT IN (SELECT query_id, dedupe_key FROM np)),
+    lex AS (SELECT * FROM lx0 WHERE score >= 0.18)"""
+P.add("d11_lexical_negatives", lambda q, d, c: lexical(q, d, c).select("query_id", "id", "source", F.round("score", 6).alias("score")), *_CAND, sql=f"WITH {D_LEX} SELECT query_id, id, source, round(score, 6) AS score FROM lex")
+#: Retrieved candidates of a query: six for each negative wanted.
+POOL = 48
 
 
 def negatives(q, d, c):
     pos = positives(q, d)
-    got = hits(q, d, 5).select("query_id", F.concat(F.lit("d"), F.col("id")).alias("id"), "score").join(pos.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    return D.hard_negatives(got, lexical(q, d, c))
+    got = hits(q, d, POOL).select("query_id", F.concat(F.lit("d"), F.col("id")).alias("id"), "score")
+    return D.hard_negatives(D.retrieved_negatives(got, q, c, pos), lexical(q, d, c))
 
 
-D_NEG = f"""{D_LEX}, n0 AS (SELECT query_id, 'd' || id AS id, 'retrieval' AS source, score, 0 AS s FROM hits WHERE rank <= 5 AND (query_id, 'd' || id) NOT IN (SELECT query_id, id FROM pos) UNION ALL SELECT query_id, id, 'lexical', score, 1 FROM lex),
-    n1 AS (SELECT * FROM n0 QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY s) = 1), neg AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s, round(score, 9) DESC, id) AS INTEGER) AS rank FROM n1 QUALIFY rank <= 8)"""
+D_NEG = f"""{D_LEX}, pool AS (SELECT query_id, 'd' || id AS id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, bm.id) <= {POOL}),
+    rn AS (SELECT p.query_id, p.id, p.score FROM pool p JOIN corpus_v c USING (id) JOIN queries_v q USING (query_id) WHERE (p.query_id, p.id) NOT IN (SELECT query_id, id FROM np) AND (p.query_id, c.dedupe_key) NOT IN (SELECT query_id, dedupe_key FROM np)
+        AND NOT ((p.query_id, {d_ascii('c.entity_name')}) IN (SELECT query_id, e FROM np WHERE e <> '') AND {_types('q.query_type', 'c.chunk_type')})),
+    n0 AS (SELECT query_id, id, 'retrieval' AS source, score, 0 AS s FROM rn UNION ALL SELECT query_id, id, source, score, 1 FROM lex),
+    n1 AS (SELECT * FROM n0 QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY s) = 1),
+    neg AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s, round(score, 9) DESC, CASE WHEN s = 0 THEN id END, id DESC) AS INTEGER) AS rank FROM n1 QUALIFY rank <= 8)"""
 P.add("d12_hard_negatives", lambda q, d, c: negatives(q, d, c).select("query_id", "id", "source", "rank", F.round("score", 6).alias("score")), *_CAND, sql=f"WITH {D_NEG} SELECT query_id, id, source, rank, round(CAST(score AS DOUBLE), 6) AS score FROM neg")
 P.add("d13_id_split", lambda q: q.select("query_id", D.id_split(F.col("query_id")).alias("split")), "queries_v", sql=f"SELECT query_id, CASE WHEN {d_bucket('query_id')} % 10000 < 1500 THEN 'val' ELSE 'train' END AS split FROM queries_v")
 P.add("d14_qrels", lambda q, d: D.qrels(positives(q, d)), "queries_v", "documents", sql=f"WITH {D_POS} SELECT DISTINCT query_id, id, 1 AS label FROM pos")
@@ -162,7 +193,8 @@ P.add(
     sql=f"""WITH {D_NEG}, j AS (SELECT neg.source, q.* FROM neg JOIN queries_v q USING (query_id)) SELECT 'all' AS dim, '' AS value, count(*) AS n FROM j UNION ALL {' UNION ALL '.join(f"SELECT '{x}', {x}, count(*) FROM j GROUP BY {x}" for x in ('source', 'origin', 'query_type', 'domain'))}""",
 )
 D_HARD = """(SELECT query_id, CASE WHEN count(CASE WHEN score > 0 THEN 1 END) = 0 THEN 0.5 ELSE greatest(0.0, least(1.0, ln(1 + avg(CASE WHEN score > 0 THEN score END)) / ln(4))) END AS hard FROM neg GROUP BY query_id)"""
-D_WEIGHT = "round(CAST(greatest(0.0, least(1.0, quality * (0.75 + 0.5 * hard) * CASE WHEN origin = 'history' THEN 0.92 ELSE 1 END)) AS DOUBLE), 6) AS weight"
+_weight = lambda hard: f"round(CAST(greatest(0.15, least(1.25, quality * (0.75 + 0.5 * round({hard}, 6)) * CASE WHEN origin = 'seed_qa' THEN 1 ELSE 0.92 END)) AS DOUBLE), 6)"
+D_WEIGHT = f"{_weight('hard')} AS weight"
 P.add(
     "d18_difficulty_weight",
     lambda q, d, c: negatives(q, d, c)
@@ -197,16 +229,34 @@ P.add(
 
 
 def cross(q, d, c):
-    return D.cross_encoder(D.reranker_pairs(positives(q, d), negatives(q, d, c)), q, c)
+    neg = negatives(q, d, c)
+    return D.cross_encoder(D.reranker_pairs(positives(q, d), neg), neg, q, c)
 
 
+_hard_of = "CASE WHEN n.score > 0 THEN greatest(0.0, least(1.0, ln(1 + n.score) / ln(4))) ELSE 0.5 END"
+D_CROSS = f"""{D_PAIRED}, ce AS (SELECT pr.pair_id, pr.query_id, pr.label, c.text, q.quality, {_weight(_hard_of)} AS weight FROM pr JOIN queries_v q USING (query_id) LEFT JOIN neg n ON pr.label = 0 AND n.query_id = pr.query_id AND n.id = pr.id LEFT JOIN corpus_v c ON c.id = pr.id)"""
 P.add(
     "d21_cross_encoder_export",
     lambda q, d, c: cross(q, d, c).select("pair_id", "label", F.md5("text").alias("text"), F.round("weight", 6).alias("weight")),
     *_CAND,
-    sql=f"WITH {D_PAIRED} SELECT pair_id, label, md5(coalesce(text, '')) AS text, round(quality, 6) AS weight FROM pr JOIN queries_v USING (query_id) LEFT JOIN corpus_v USING (id)",
+    sql=f"WITH {D_CROSS} SELECT pair_id, label, md5(coalesce(text, '')) AS text, round(weight, 6) AS weight FROM ce",
+)
+
+
+def curriculum(q, d, c):
+    """Rows of both exports that are sure enough, of queries to train on."""
+    of = q.select("query_id", "quality", D.id_split(F.col("query_id")).alias("split"))
+    rows = bi(q, d, c).select("query_id", F.lit("bi_encoder").alias("part"), F.col("query_id").alias("row_id"), "weight").unionByName(cross(q, d, c).select("query_id", F.lit("cross_encoder").alias("part"), F.col("pair_id").alias("row_id"), "weight"))
+    return D.curriculum(rows.join(of, "query_id"))
+
+
+P.add(
+    "d22_curriculum_slice",
+    lambda q, d, c: curriculum(q, d, c).select("part", "row_id", F.round("weight", 6).alias("weight")),
+    *_CAND,
+    sql=f"""WITH {D_CROSS}, hard AS {D_HARD}, sure AS (SELECT * FROM queries_v WHERE {d_bucket('query_id')} % 10000 >= 1500 AND quality >= 0.9)
+        SELECT 'bi_encoder' AS part, query_id AS row_id, {_weight('hard')} AS weight FROM sure JOIN hard USING (query_id) WHERE query_id IN (SELECT query_id FROM pos) UNION ALL SELECT 'cross_encoder', pair_id, round(weight, 6) FROM ce WHERE query_id IN (SELECT query_id FROM sure)""",
 )
-P.add("d22_curriculum_slice", lambda q: D.curriculum(q.withColumn("split", D.id_split(F.col("query_id")))).select("query_id", "quality"), "queries_v", sql=f"SELECT query_id, quality FROM queries_v WHERE {d_bucket('query_id')} % 10000 >= 1500 AND quality >= 0.9")
 
 # E: an answer against the messages before it
 
