@@ -67,7 +67,7 @@ STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "was", "are")
 
 def keyword_terms(x: Column | str, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Terms of at least three characters: no stopwords, no numbers, at most two characters that are neither letter nor digit."""
-    bare = F.transform(F.split(norm_ascii(x), " "), lambda t: F.regexp_replace(t, "^[@./:+_-]+|[@./:+_-]+$", ""))
+    bare = F.transform(F.split(norm_ascii(x), " "), lambda t: F.regexp_replace(t, "^[./:+-]+|[./:+-]+$", ""))
     stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
 
     def good(t: Column) -> Column:
@@ -78,10 +78,10 @@ def keyword_terms(x: Column | str, stopwords: tuple[str, ...] = STOPWORDS) -> Co
 
 
 def keyword_id(term: Column | str) -> Column:
-    """``kw-`` with the term's safe beginning and ten hexadecimal digits."""
-    t = norm_ascii(term)
-    safe = F.regexp_replace(F.regexp_replace(t, "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.concat(F.lit("kw-"), F.substring(F.when(safe == "", F.lit("term")).otherwise(safe), 1, 24), F.lit("-"), F.substring(F.sha1(t), 1, 10))
+    """``kw-``, 24 characters of the term with runs of others than letters, digits and ``._-`` as ``_`` (``default`` if nothing is left), and ten hexadecimal digits."""
+    t = text(term)
+    safe = F.regexp_replace(F.regexp_replace(F.lower(t), "[^a-z0-9._-]+", "_"), "^_+|_+$", "")
+    return F.concat(F.lit("kw-"), F.substring(F.when(safe == "", F.lit("default")).otherwise(safe), 1, 24), F.lit("-"), F.substring(F.sha1(t), 1, 10))
 
 
 def alnum_tokens(x: Column | str, least: int = 1, without: tuple[str, ...] = ()) -> Column:

@@ -41,19 +41,30 @@ def keyword_weights(docs: DataFrame, terms: Column, id_col: str = "id", by: tupl
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(*by, "id", "term", "idf", "weight", "rank")
 
 
+def tfidf_idf(tf: DataFrame, docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., term, idf) of postings: ln((1 + N) / (1 + df)) + 1."""
+    df = tf.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    return _with_total(df, document_counts(docs, by), by).select(*by, "term", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def tfidf_norms(tf: DataFrame, idf: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., id, norm): length of each document's vector of tf idf."""
+    w = F.col("tf") * F.col("idf")
+    return tf.join(idf, [*by, "term"]).groupBy(*by, "id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+
+
 def tfidf(docs: DataFrame, grams: Column, id_col: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
     """(by.., id, term, idf, weight): tf (ln((1 + N) / (1 + df)) + 1), each document's weights of length 1."""
     tf = postings(docs, grams, id_col, by)
-    df = tf.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    idf = _with_total(df, document_counts(docs, by), by).select(*by, "term", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, [*by, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, "id")))
-    return raw.select(*by, "id", "term", "idf", (F.col("w") / length).alias("weight"))
+    idf = tfidf_idf(tf, docs, by)
+    raw = tf.join(idf, [*by, "term"]).join(tfidf_norms(tf, idf, by), [*by, "id"])
+    return raw.select(*by, "id", "term", "idf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
 
 
-def bm25_terms(docs: DataFrame, tokens: Column, id_col: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
-    """(by.., term, df, idf): ln(N - df + .5) - ln(df + .5); negative values become a quarter of the index's mean."""
-    df = postings(docs, tokens, id_col, by).groupBy(*by, "term").agg(F.count("*").alias("df"))
+def bm25_terms(docs: DataFrame, tokens: Column, id_col: str = "id", by: tuple[str, ...] = (), tf: DataFrame | None = None) -> DataFrame:
+    """(by.., term, df, idf): ln(N - df + .5) - ln(df + .5); negative values become a quarter of the index's mean. ``tf`` are the postings, where they are made already."""
+    tf = postings(docs, tokens, id_col, by) if tf is None else tf
+    df = tf.groupBy(*by, "term").agg(F.count("*").alias("df"))
     raw = _with_total(df, document_counts(docs, by), by).withColumn("raw", F.log(F.col("N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*by).agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw"))

@@ -250,12 +250,12 @@ P.add(
 PREFIXES, SUFFIXES = ("the", "of", "and"), ("the", "of")
 
 
-def d_sanitize(x):
-    out = d_norm(x)
+def d_sanitize(x: str) -> str:
+    out = d_ascii(x)
     for p in PREFIXES:
-        out = f"regexp_replace({out}, '^{p} ', '')"
+        out = f"CASE WHEN starts_with({out}, '{p} ') THEN trim(substr({out}, {len(p) + 1})) ELSE {out} END"
     for s in SUFFIXES:
-        out = f"regexp_replace({out}, ' {s}$', '')"
+        out = f"trim(regexp_replace({out}, '{s}$', ''))"
     return f"CASE WHEN length({out}) >= 4 THEN {out} END"
 
 
@@ -277,21 +277,21 @@ def qa(t, odd):
     return t.where(f"conv_id % 3 <> {odd}").select(F.concat(F.lit("d"), F.col("conv_id") % 4).alias("domain"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "question", "answer", F.array(F.concat(F.lit("k"), F.col("turn"))).alias("keywords"))
 
 
-D_QA = lambda odd, s: f"SELECT 'd' || conv_id % 4 AS domain, {s} AS s, conv_id * 1000 + turn AS seq, question, answer, 'k' || turn AS kw, {d_norm('question')} AS key FROM turns WHERE conv_id % 3 <> {odd}"
+D_QA = lambda odd, s: f"SELECT 'd' || conv_id % 4 AS domain, {s} AS s, conv_id * 1000 + turn AS seq, question, answer, 'k' || turn AS kw, {d_ascii('question')} AS key FROM turns WHERE conv_id % 3 <> {odd}" + (" AND trim(question) <> '' AND trim(answer) <> ''" if s else "")
 P.add(
     "k3_faq_upsert",
     lambda t: K.faq_upsert(qa(t, 0), qa(t, 1)).withColumn("keywords", _list("keywords")),
     "turns",
     sql=f"""WITH a AS (SELECT * FROM ({D_QA(0, 0)} UNION ALL {D_QA(1, 1)}) WHERE key <> '') SELECT domain, key, arg_max(question, s * 1000000000 + seq) AS question, arg_max(answer, s * 1000000000 + seq) AS answer,
-        array_to_string(list_sort(list(DISTINCT kw))[1:24], '|') AS keywords FROM a GROUP BY domain, key""",
+        array_to_string(list_filter(list(kw ORDER BY s, seq), lambda x, i: list_position(list(kw ORDER BY s, seq), x) = i)[1:24], '|') AS keywords FROM a GROUP BY domain, key""",
 )
 
 
 def facts(d, odd):
-    return d.where(f"doc_id % 2 = {odd}").select(F.col("lang").alias("domain"), F.col("doc_id").alias("seq"), F.substring("text", 1, 200).alias("text"))
+    return d.where(f"doc_id % 2 = {odd}").select(F.col("lang").alias("domain"), F.col("doc_id").alias("seq"), F.trim("text").alias("text"))
 
 
-D_FACTS = f"fa AS (SELECT lang AS domain, doc_id AS seq, substr(text, 1, 200) AS text, {d_norm('substr(text, 1, 200)')} AS key FROM documents)"
+D_FACTS = f"fa AS (SELECT lang AS domain, doc_id AS seq, trim(text) AS text, {d_ascii('text')} AS key FROM documents)"
 D_APPENDED = f"""{D_FACTS}, ap AS (SELECT domain, seq, text FROM fa WHERE seq % 2 = 0 UNION ALL (SELECT domain, seq, text FROM fa o WHERE seq % 2 = 1 AND key <> '' AND NOT EXISTS (SELECT 1 FROM fa e WHERE e.seq % 2 = 0 AND e.domain = o.domain AND e.key = o.key)
     QUALIFY row_number() OVER (PARTITION BY domain, key ORDER BY seq) = 1))"""
 P.add("k4_fact_append", lambda d: K.fact_append(facts(d, 0), facts(d, 1)).select("domain", "seq"), "documents", sql=f"WITH {D_APPENDED} SELECT domain, seq FROM ap")
@@ -310,16 +310,44 @@ P.add(
 )
 QA_RULES = [("contact", ("by",), ("@",)), ("howto", ("for",), ("with the",)), ("fact", ("that",), ("this",))]
 D_QATYPE = "CASE " + " ".join(f"WHEN {d_hints(d_norm('question'), s)} OR {d_hints(d_norm('answer'), b)} THEN '{n}'" for n, s, b in QA_RULES) + " ELSE 'generic' END"
+D_QATYPE_ASCII = D_QATYPE.replace(d_norm("question"), d_ascii("question")).replace(d_norm("answer"), d_ascii("answer"))
 P.add("k6_record_type", lambda t: t.select("turn_id", C.typed(T.norm("question"), T.norm("answer"), QA_RULES).alias("kind")), "turns", sql=f"SELECT turn_id, {D_QATYPE} AS kind FROM turns")
 
 
-def seed(s, d, t):
-    return K.seed_chunks(records(s.select("s_suppkey", "s_name", "s_nationkey", F.lit("").alias("s_acctbal"))), K.fact_append(facts(d, 0), facts(d, 1)), K.faq_upsert(qa(t, 0), qa(t, 1)).withColumn("seq", F.lit(0)))
-
-
-P.add("k7_seed_chunks", lambda s, d, t: seed(s, d, t).groupBy("domain", "kind").agg(F.count("*").alias("n")), "supplier", "documents", "turns", sql=f"""WITH {D_APPENDED}, a AS (SELECT * FROM ({D_QA(0, 0)} UNION ALL {D_QA(1, 1)}) WHERE key <> ''), q AS (SELECT domain, key, arg_max(question, s * 1000000000 + seq) || chr(10) || arg_max(answer, s * 1000000000 + seq) AS text FROM a GROUP BY domain, key),
-    u AS (SELECT 'n' || s_nationkey AS domain, 'record' AS kind, 0 AS k, concat_ws(' | ', nullif(trim(s_name), ''), CAST(s_nationkey AS VARCHAR)) AS text FROM supplier UNION ALL SELECT domain, 'fact', 1, trim(text) FROM ap UNION ALL SELECT domain, 'qa', 2, trim(text) FROM q),
-    o AS (SELECT domain, kind FROM u WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY domain, {d_norm('text')} ORDER BY k) = 1) SELECT domain, kind, count(*) AS n FROM o GROUP BY ALL""")
+def seed(s, d, t, c, n):
+    told = s.select(F.concat(F.lit("n"), F.col("s_nationkey")).alias("domain"), F.col("s_suppkey").alias("seq"), K.record_text(F.col("s_name"), F.col("s_nationkey")).alias("text"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, "agent").otherwise("").alias("role"))
+    places = c.where("c_custkey % 50 = 0").select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("domain"), F.col("c_custkey").alias("seq"), K.record_text(F.col("c_name"), F.col("c_mktsegment")).alias("text"), F.col("c_mktsegment").alias("city"), F.lit("").alias("address"))
+    titles = n.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("domain"), F.col("n_name").alias("domain_title"))
+    fact_meta = d.where("doc_id % 10 = 0").groupBy(T.norm_ascii("text").alias("key")).agg(F.min("source").alias("title"))
+    qa_meta = t.where("turn % 4 = 1").groupBy(T.norm_ascii("question").alias("key")).agg(F.lit("").alias("unit_name"), F.min(F.concat(F.lit("t"), "turn")).alias("topic"), F.array(F.lit("asked")).alias("keywords"))
+    by_fact, by_qa = C.typed(T.norm_ascii("text"), T.norm_ascii("text"), SEED_RULES), C.typed(T.norm_ascii("question"), T.norm_ascii("answer"), QA_RULES)
+    return K.seed_chunks(told, places, K.fact_append(facts(d, 0), facts(d, 1)), K.faq_upsert(qa(t, 0), qa(t, 1)).withColumn("seq", F.lit(0)), titles, by_fact, by_qa, fact_meta, qa_meta)
+
+
+SEED_RULES = [("contact", ("@",), ("@",)), ("history", ("license",), ("license",))]
+D_SEED_TYPE = "CASE WHEN contains(key, '@') THEN 'contact' WHEN contains(key, 'license') THEN 'history' ELSE 'generic' END"
+_prio = "CASE coalesce(p.kind, '') " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.PRIORITY.items()) + f" ELSE {K.PRIORITY['generic']} END"
+D_SEED = f"""{D_APPENDED}, a AS (SELECT * FROM ({D_QA(0, 0)} UNION ALL {D_QA(1, 1)}) WHERE key <> ''),
+    q AS (SELECT domain, key, arg_max(question, s * 1000000000 + seq) AS question, arg_max(answer, s * 1000000000 + seq) AS answer, list(kw ORDER BY s, seq) AS kws FROM a GROUP BY domain, key),
+    fm AS (SELECT {d_ascii('text')} AS key, min(source) AS title FROM documents WHERE doc_id % 10 = 0 GROUP BY 1), qm AS (SELECT {d_ascii('question')} AS key, min('t' || turn) AS topic FROM turns WHERE turn % 4 = 1 GROUP BY 1),
+    tt AS (SELECT 'n' || n_nationkey AS domain, n_name AS domain_title FROM nation),
+    u0 AS (SELECT 'n' || s_nationkey AS domain, 'record' AS kind, 0 AS k, s_suppkey AS seq, concat_ws(' | ', nullif(trim(s_name), ''), CAST(s_nationkey AS VARCHAR)) AS text, CASE WHEN s_suppkey % 3 = 0 THEN 'role' ELSE 'record' END AS chunk_type, NULL AS title, nullif(trim(s_name), '') AS entity, [s_name, CASE WHEN s_suppkey % 3 = 0 THEN 'agent' ELSE '' END] AS kws FROM supplier
+        UNION ALL SELECT 'n' || c_nationkey, 'location', 1, c_custkey, concat_ws(' | ', nullif(trim(c_name), ''), nullif(trim(c_mktsegment), '')), 'location', NULL, nullif(trim(c_mktsegment), ''), [c_mktsegment] FROM customer WHERE c_custkey % 50 = 0
+        UNION ALL SELECT domain, 'fact', 2, seq, text, {D_SEED_TYPE}, NULL, title, [coalesce(title, '')] FROM (SELECT ap.*, {d_ascii('text')} AS key FROM ap) LEFT JOIN fm USING (key)
+        UNION ALL SELECT domain, 'qa', 3, 0, answer, {D_QATYPE_ASCII}, nullif(trim(question), ''), topic, CASE WHEN topic IS NULL THEN kws ELSE list_append(kws, 'asked') END FROM q LEFT JOIN qm USING (key)),
+    u AS (SELECT u0.domain, kind, k, seq, {d_ws('text')} AS text, chunk_type, coalesce(title, domain_title, u0.domain) AS title, coalesce(entity, domain_title, u0.domain) AS entity_name, list_filter(kws, lambda x: x <> '') AS kws FROM u0 LEFT JOIN tt USING (domain)),
+    o AS (SELECT * FROM u WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY domain, {d_ascii('chunk_type')}, {d_ascii('entity_name')}, {d_ascii('text')} ORDER BY k, seq) = 1)"""
+P.add(
+    "k7_seed_chunks",
+    lambda s, d, t, c, n: seed(s, d, t, c, n).select("domain", "kind", "chunk_type", F.md5("title").alias("title"), "entity_name", F.md5("text").alias("text"), F.col("priority").cast("int").alias("priority"), _list("keywords").alias("keywords")),
+    "supplier",
+    "documents",
+    "turns",
+    "customer",
+    "nation",
+    sql=f"""WITH {D_SEED}, p AS (SELECT *, CASE WHEN kind = 'qa' THEN 'qa' ELSE chunk_type END AS pk FROM o) SELECT domain, kind, chunk_type, md5(title) AS title, entity_name, md5(text) AS text, {_prio.replace("coalesce(p.kind, '')", 'pk')} AS priority,
+        array_to_string(list_filter(kws, lambda x, i: list_position(kws, x) = i)[1:24], '|') AS keywords FROM p""",
+)
 P.add(
     "k8_dedupe_first",
     lambda d: K.dedupe_first(d.withColumn("key", F.sha1("text")), ["lang", "key"], F.col("doc_id") % 2, "doc_id").select("doc_id"),
@@ -330,5 +358,5 @@ P.add(
     "k9_chunk_order",
     lambda c: K.chunk_order(c).select("id", "rank", "chunks"),
     "corpus_v",
-    sql="SELECT id, CAST(row_number() OVER (PARTITION BY domain ORDER BY priority DESC, source_kind DESC, chunk_type, id) AS INTEGER) AS rank, count(*) OVER (PARTITION BY domain) AS chunks FROM corpus_v",
+    sql="SELECT id, CAST(row_number() OVER (PARTITION BY domain ORDER BY priority DESC, chunk_type DESC, entity_name DESC, id DESC) AS INTEGER) AS rank, count(*) OVER (PARTITION BY domain) AS chunks FROM corpus_v",
 )

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import index as I
 from ..operators import search as S
-from .common import Plans, d_alnum, d_ascii, d_norm, d_terms, d_trimmed, d_ws
+from .common import Plans, d_alnum, d_ascii, d_keyword_id, d_terms
 
 P = Plans()
 QUERIES, ORACLE = P.queries, P.oracle
@@ -23,7 +23,7 @@ D_KW = f"""ktf AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id
     kidf AS (SELECT term, count(*) AS df, greatest(0.0, ln((SELECT count(*) FROM documents) / (1 + count(*))) + 1) AS idf FROM ktf GROUP BY term),
     kw AS (SELECT id, term, idf, (1 + ln(tf)) * idf AS weight, row_number() OVER (PARTITION BY id ORDER BY round((1 + ln(tf)) * idf, 9) DESC, round(idf, 9) DESC, term DESC) AS rank
         FROM ktf JOIN kidf USING (term) WHERE idf > 0 QUALIFY rank <= 12)"""
-D_KEY = f"'kw-' || substr(coalesce(nullif({d_trimmed(d_ascii('term'))}, ''), 'term'), 1, 24) || '-' || substr(sha1({d_ascii('term')}), 1, 10)"
+D_KEY = d_keyword_id("term")
 
 P.add(
     "i1_keyword_dictionary",
@@ -139,10 +139,10 @@ P.add(
 )
 P.add(
     "r4_vector_search",
-    lambda e: S.vector_search(e, e.where("vec_id < 20"), 5).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
+    lambda e: S.vector_search(e, e.where("vec_id % 50 = 0"), 5).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
     "embeddings",
     sql="""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id AS id, list_cosine_similarity(q.e, d.e) AS score
-        FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id < 20)
+        FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 5""",
 )
 
@@ -192,7 +192,7 @@ P.add(
     lambda q, docs: S.keyword_rerank(q, Q_TERMS(), I.keyword_weights(docs, TERMS(), "doc_id"), I.keyword_dictionary(docs, TERMS(), "doc_id")).select("query_id", "id", F.round("score", 6).alias("score")),
     "queries_v",
     "documents",
-    sql=f"""WITH {D_KW}, q AS (SELECT query_id, term, sum(greatest(0.05, idf)) OVER (PARTITION BY query_id) AS norm FROM (SELECT query_id, unnest(list_distinct({D_QTERMS})) AS term FROM queries_v) JOIN kidf USING (term))
+    sql=f"""WITH {D_KW}, q AS (SELECT query_id, term, sum(greatest(0.05, coalesce(idf, 0))) OVER (PARTITION BY query_id) AS norm FROM (SELECT query_id, unnest(list_distinct({D_QTERMS})) AS term FROM queries_v) LEFT JOIN kidf USING (term))
         SELECT query_id, id, round(sum(weight) / any_value(norm), 6) AS score FROM q JOIN kw USING (term) GROUP BY query_id, id""",
 )
 
@@ -201,13 +201,13 @@ def candidates(q, docs, corpus, k=20):
     """Hits with the texts of query and chunk, normalised."""
     rows = hits(q, docs, k).withColumn("id", F.concat(F.lit("d"), F.col("id")))
     rows = rows.join(q.select("query_id", F.col("query").alias("q_raw"), F.col("query_type").alias("asked"), F.col("domain").alias("q_domain")), "query_id").join(corpus, "id")
-    return rows.withColumns({"query": T.norm_ascii("q_raw"), "body": T.norm_ascii("text"), "title_n": T.norm_ascii("title"), "entity_n": T.norm_ascii("entity_name")}).withColumn("q_tokens", F.regexp_extract_all("query", F.lit("[a-z0-9]+"), F.lit(0)))
+    return rows.withColumns({"query": T.norm_ascii("q_raw"), "body": T.norm_ascii("text"), "title_n": T.norm_ascii("title"), "entity_n": T.norm_ascii("entity_name")}).withColumns({"q_tokens": F.regexp_extract_all("query", F.lit("[a-z0-9]+"), F.lit(0)), "q_words": F.split("query", " ")})
 
 
 D_CAND = f"""{D_HITS}, cand AS (SELECT h.query_id, c.id, h.score, h.rank, q.query AS q_raw, q.query_type AS asked, q.domain AS q_domain, c.* EXCLUDE (id), {d_ascii('q.query')} AS query, {d_ascii('c.text')} AS body,
-    {d_ascii('c.title')} AS title_n, {d_ascii('c.entity_name')} AS entity_n, {d_alnum('q.query')} AS q_tokens FROM hits h JOIN queries_v q USING (query_id) JOIN corpus_v c ON c.id = 'd' || h.id)"""
+    {d_ascii('c.title')} AS title_n, {d_ascii('c.entity_name')} AS entity_n, {d_alnum('q.query')} AS q_tokens, string_split({d_ascii('q.query')}, ' ') AS q_words FROM hits h JOIN queries_v q USING (query_id) JOIN corpus_v c ON c.id = 'd' || h.id)"""
 _CAND = ("queries_v", "documents", "corpus_v")
-_first = "q_tokens[1:6]"
+_first = "q_words[1:6]"
 
 
 def d_some(x: str) -> str:
@@ -219,36 +219,63 @@ def d_hits(tokens: str, x: str) -> str:
 
 
 D_FIELD = f"""(CASE WHEN {d_some('title_n')} THEN 0.08 ELSE 0.0 END + CASE WHEN {d_some('chunk_type')} THEN 0.08 ELSE 0.0 END + CASE WHEN {d_some('entity_n')} THEN 0.10 ELSE 0.0 END
-    + least(0.16, 0.03 * {d_hits("list_filter(list_distinct(q_tokens), lambda t: length(t) >= 6)", 'body')}))"""
+    + least(0.16, 0.03 * {d_hits("list_filter(q_words, lambda t: length(t) >= 5)", 'body')}))"""
 
 
 def _field():
-    return S.field_boost(F.col("q_tokens"), F.col("title_n"), F.col("chunk_type"), F.col("entity_n"), F.col("body"))
+    return S.field_boost(F.col("q_words"), F.col("title_n"), F.col("chunk_type"), F.col("entity_n"), F.col("body"))
 
 
 P.add("r8_field_boost", lambda q, d, c: candidates(q, d, c).select("query_id", "id", F.round(_field(), 6).alias("boost")), *_CAND, sql=f"WITH {D_CAND} SELECT query_id, id, round(CAST({D_FIELD} AS DOUBLE), 6) AS boost FROM cand")
-_ENT = "regexp_replace(entity_n, '^[^ ]+ ', '')"
-D_ENTITY = f"""CASE WHEN entity_n = '' THEN 0.0 WHEN contains(query, entity_n) THEN 0.3 WHEN {_ENT} <> entity_n AND contains(query, {_ENT}) THEN 0.2
-    WHEN {d_hits("string_split(entity_n, ' ')", 'query')} = len(string_split(entity_n, ' ')) THEN 0.18 WHEN {d_hits("string_split(entity_n, ' ')", 'query')} * 2 > len(string_split(entity_n, ' ')) THEN 0.12 ELSE 0.0 END"""
+#: The query's own prefixes; the entity is a few words of the text, so that names occur in queries.
+PREFIXES = ("the ", "der ", "la ", "el ")
+_ENT = "CASE " + " ".join(f"WHEN starts_with(entity_n, '{p}') THEN trim(substr(entity_n, {len(p) + 1}))" for p in PREFIXES) + " ELSE entity_n END"
+_etoks = "list_filter(string_split(entity_n, ' '), lambda t: length(t) >= 3)"
+D_ENTITY = f"""CASE WHEN entity_n = '' THEN 0.0 WHEN contains(query, entity_n) THEN 0.3 WHEN {_ENT} <> '' AND contains(query, {_ENT}) THEN 0.2 WHEN len({_etoks}) = 0 THEN 0.0
+    WHEN {d_hits(_etoks, 'query')} = len({_etoks}) THEN 0.18 WHEN {d_hits(_etoks, 'query')} >= greatest(2, len({_etoks}) - 1) THEN 0.12 ELSE 0.0 END"""
 P.add(
     "r9_entity_boost",
-    lambda q, d, c: candidates(q, d, c).withColumn("entity_n", F.regexp_replace(F.substring("body", 1, 9), " +$", "")).select("query_id", "id", F.round(S.entity_boost(F.col("query"), F.col("entity_n")), 6).alias("boost")),
+    lambda q, d, c: candidates(q, d, c).withColumn("entity_n", F.regexp_replace(F.substring("body", 1, 14), " +$", "")).select("query_id", "id", F.round(S.entity_boost(F.col("query"), F.col("entity_n"), PREFIXES), 6).alias("boost")),
     *_CAND,
-    sql=f"WITH {D_CAND}, c2 AS (SELECT * REPLACE (rtrim(substr(body, 1, 9)) AS entity_n) FROM cand) SELECT query_id, id, round(CAST({D_ENTITY} AS DOUBLE), 6) AS boost FROM c2",
+    sql=f"WITH {D_CAND}, c2 AS (SELECT * REPLACE (rtrim(substr(body, 1, 14)) AS entity_n) FROM cand) SELECT query_id, id, round(CAST({D_ENTITY} AS DOUBLE), 6) AS boost FROM c2",
 )
-D_TYPE = "CASE WHEN asked = chunk_type THEN 0.12 WHEN chunk_type IN ('overview', 'fact') THEN 0.03 ELSE 0.0 END"
-P.add("r10_type_boost", lambda q, d, c: candidates(q, d, c).select("query_id", "id", S.type_boost(F.col("asked"), F.col("chunk_type")).alias("boost")), *_CAND, sql=f"WITH {D_CAND} SELECT query_id, id, CAST({D_TYPE} AS DOUBLE) AS boost FROM cand")
-_QT, _DT = "list_distinct(q_terms)", "terms"
-D_META = f"""least(0.10, 0.02 * len(list_intersect(q_terms, terms))) + least(0.04, 0.01 * len(list_filter({_QT}, lambda q: NOT list_contains(terms, q) AND len(list_filter(terms, lambda t: contains(t, q))) > 0)))
-    + CASE WHEN asked = chunk_type THEN 0.05 ELSE 0.0 END + CASE WHEN q_domain = domain THEN 0.04 ELSE 0.0 END"""
+#: Marks that occur in these tables' queries.
+TYPE_MARKS = {"history": ("the ", "of "), "overview": (" in ", " to "), "fact": ("and",), "generic": ("license",)}
+INTENT_MARKS = {"history": (0.08, ("the ",)), "overview": (0.10, (" in ",))}
+TOPIC_MARKS = {"en": (0.04, ("and",))}
+_has = lambda x, words: "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+def d_type(marks: dict) -> str:
+    return "CASE WHEN " + " OR ".join(f"(chunk_type = '{n}' AND {_has('query', ws)})" for n, ws in marks.items()) + " THEN 0.12 WHEN chunk_type IN ('overview', 'fact') THEN 0.03 ELSE 0.0 END"
+
+
+D_TYPE = d_type(TYPE_MARKS)
+P.add("r10_type_boost", lambda q, d, c: candidates(q, d, c).select("query_id", "id", S.type_boost(F.col("query"), F.col("chunk_type"), TYPE_MARKS).alias("boost")), *_CAND, sql=f"WITH {D_CAND} SELECT query_id, id, CAST({D_TYPE} AS DOUBLE) AS boost FROM cand")
+
+
+def _terms(rows):
+    """Search terms and bigrams of the text, normalised, as the metadata's terms."""
+    rows = rows.withColumn("_w", F.slice(F.array_distinct(T.keyword_terms("text")), 1, 28))
+    pairs = F.when(F.size("_w") >= 2, F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(" ", F.element_at("_w", i), F.element_at("_w", i + 1)))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("terms", F.concat("_w", pairs)).drop("_w")
+
+
+def _metadata():
+    return S.metadata_boost(F.col("query"), F.col("terms"), F.array("chunk_type"), F.array("domain"), INTENT_MARKS, TOPIC_MARKS)
+
+
+_parts = "list_filter(string_split(t, ' '), lambda x: length(x) >= 3)"
+_held = f"((contains(t, ' ') AND contains(query, t)) OR (len({_parts}) > 0 AND len(list_filter({_parts}[1:4], lambda x: NOT contains(query, x))) = 0))"
+D_META = f"""least(0.18, 0.06 * len(list_filter(terms, lambda t: length(t) >= 3 AND {_held}))) + least(0.10, 0.025 * len(list_filter(terms, lambda t: length(t) >= 3 AND NOT {_held} AND len(list_filter({_parts}, lambda x: contains(query, x))) > 0)))
+    + {' + '.join(f"CASE WHEN {c} = '{n}' AND {_has('query', ws)} THEN {v} ELSE 0.0 END" for c, table in (('chunk_type', INTENT_MARKS), ('domain', TOPIC_MARKS)) for n, (v, ws) in table.items())}"""
+D_TERMED = f"""c1 AS (SELECT *, {d_terms('text', STOP)} AS w0 FROM cand), c3 AS (SELECT * EXCLUDE (w0), list_filter(w0, lambda x, i: list_position(w0, x) = i)[1:28] AS w FROM c1),
+        c2 AS (SELECT *, list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS terms FROM c3)"""
 P.add(
     "r11_metadata_boost",
-    lambda q, d, c: candidates(q, d, c)
-    .withColumns({"q_terms": T.keyword_terms("q_raw"), "terms": F.slice(F.array_distinct(T.keyword_terms("text")), 1, 28)})
-    .select("query_id", "id", F.round(S.metadata_boost(F.col("q_terms"), F.col("terms"), F.col("asked") == F.col("chunk_type"), F.col("q_domain") == F.col("domain")), 6).alias("boost")),
+    lambda q, d, c: _terms(candidates(q, d, c)).select("query_id", "id", F.round(_metadata(), 6).alias("boost")),
     *_CAND,
-    sql=f"""WITH {D_CAND}, c1 AS (SELECT *, {d_terms('q_raw', STOP)} AS q_terms, {d_terms('text', STOP)} AS w FROM cand), c2 AS (SELECT *, list_filter(w, lambda x, i: list_position(w, x) = i)[1:28] AS terms FROM c1)
-        SELECT query_id, id, round(CAST({D_META} AS DOUBLE), 6) AS boost FROM c2""",
+    sql=f"WITH {D_CAND}, {D_TERMED} SELECT query_id, id, round(CAST({D_META} AS DOUBLE), 6) AS boost FROM c2",
 )
 P.add("r12_priority_boost", lambda c: c.select("id", S.priority_boost(F.col("priority")).alias("boost")), "corpus_v", sql="SELECT id, greatest(0, least(100, priority)) / 1000 AS boost FROM corpus_v")
 
@@ -260,7 +287,7 @@ CONTRAST = [
 
 
 def d_any(x: str, words: list[str]) -> str:
-    return "(" + " OR ".join(f"regexp_matches(' ' || {x} || ' ', '[^a-z0-9]{w}[^a-z0-9]')" for w in words) + ")"
+    return _has(x, words)
 
 
 def d_contrast() -> str:
@@ -280,12 +307,13 @@ def _contrast(rows):
 
 
 P.add("r13_contrast_boost", lambda q, d, c: _contrast(candidates(q, d, c)).select("query_id", "id", F.round("contrast", 6).alias("boost")), *_CAND, sql=f"WITH {D_CAND} SELECT query_id, id, round(CAST({d_contrast()} AS DOUBLE), 6) AS boost FROM cand")
-D_SEED_SCORE = f"""{d_hits('list_distinct(q_tokens)', 'both_')} / greatest(1, len(list_distinct(q_tokens))) + CASE WHEN query <> '' AND contains(both_, query) THEN 0.25 ELSE 0.0 END
-    + 0.06 * {d_hits("list_filter(list_distinct(q_tokens), lambda t: length(t) >= 6)", 'both_')} + CASE WHEN source_kind = 'seed' THEN 0.1 ELSE 0.05 END"""
+_qd = "list_distinct(list_filter(q_words, lambda t: t <> ''))"
+D_SEED_SCORE = f"""(len(list_intersect({_qd}, string_split(both_, ' '))) / greatest(1, len({_qd})) + CASE WHEN query <> '' AND contains(both_, query) THEN 0.25 ELSE 0.0 END
+    + 0.06 * {d_hits("list_filter(q_words, lambda t: length(t) >= 4)", 'both_')} + CASE WHEN source_kind = 'seed' THEN 0.1 ELSE 0.05 END)"""
 
 
 def _seed_score():
-    return S.lexical_seed_score(F.col("query"), F.col("q_tokens"), F.col("title_n"), F.col("body"), F.when(F.col("source_kind") == "seed", 0.1).otherwise(0.05))
+    return S.lexical_seed_score(F.col("query"), F.col("q_words"), F.concat_ws(" ", "title_n", "body"), F.when(F.col("source_kind") == "seed", 0.1).otherwise(0.05))
 
 
 P.add(
@@ -304,19 +332,27 @@ def _pool(q, docs, corpus):
 P.add("r15_diversified_topk", lambda q, d, c: S.diversified(_pool(q, d, c), 5).select("query_id", "id", "rank", F.round("score", 6).alias("score")), *_CAND)
 
 
-def chunk_search(q, docs, corpus, scope=None, k=5):
-    """Fusion of the text signals over the chunks in scope, all boosts, greedy pick."""
+def chunk_search(q, docs, corpus, scope=None, k=5, vectors=None):
+    """Fusion of the text signals (and of ``vectors``: query_id, id, score, where there are any) over the chunks in scope, all boosts on every chunk that shares a term, greedy pick."""
     inside = corpus if scope is None else corpus.where(scope)
     docs = docs.join(inside.select("doc_id"), "doc_id", "left_semi")
-    rows = S.top(fused(q, docs), 60).withColumn("id", F.concat(F.lit("d"), F.col("id")))
-    rows = rows.join(q.select("query_id", F.col("query").alias("q_raw"), F.col("query_type").alias("asked"), F.col("domain").alias("q_domain")), "query_id").join(inside, "id")
-    rows = rows.withColumns({"query": T.norm_ascii("q_raw"), "body": T.norm_ascii("text"), "title_n": T.norm_ascii("title"), "entity_n": T.norm_ascii("entity_name"), "q_terms": T.keyword_terms("q_raw"), "terms": F.array_distinct(T.keyword_terms("text"))})
-    rows = rows.withColumn("q_tokens", F.regexp_extract_all("query", F.lit("[a-z0-9]+"), F.lit(0)))
-    boost = _field() + S.entity_boost(F.col("query"), F.col("entity_n")) + S.type_boost(F.col("asked"), F.col("chunk_type")) + S.priority_boost(F.col("priority"))
-    boost = boost + S.metadata_boost(F.col("q_terms"), F.col("terms"), F.col("asked") == F.col("chunk_type"), F.col("q_domain") == F.col("domain"))
-    rows = _contrast(rows.withColumn("boost", boost)).withColumn("score", F.col("score") + F.col("boost") + F.col("contrast"))
-    rows = rows.select("query_id", "id", "score", "dedupe_key", F.lit("").alias("parent"), F.col("entity_name").alias("entity"), "chunk_type")
-    return S.diversified(rows, k)
+    plain = lambda rows, x: rows.withColumn("toks", F.regexp_extract_all(T.norm(x), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0)))
+    signals = {
+        "tfidf": S.tfidf(plain(q, "query"), GRAMS(), plain(docs, "text"), GRAMS(), "doc_id"),
+        "tfidf_ascii": S.tfidf(with_tokens(q, Q_TOKENS()), GRAMS(), with_tokens(docs), GRAMS(), "doc_id"),
+        "overlap": overlap(q, docs),
+        "bm25": bm25(q, docs),
+    }
+    signals |= {} if vectors is None else {"vector": vectors}
+    rows = S.fuse({n: unit(v, docs) for n, v in signals.items()})
+    rows = rows.join(S.keyword_rerank(q, Q_TERMS(), I.keyword_weights(docs, TERMS(), "doc_id"), I.keyword_dictionary(docs, TERMS(), "doc_id")).withColumnRenamed("score", "keyword"), ["query_id", "id"], "left")
+    rows = rows.withColumn("id", F.concat(F.lit("d"), F.col("id"))).join(q.select("query_id", T.norm_ascii("query").alias("query")), "query_id").withColumn("q_words", F.split("query", " "))
+    own = _terms(inside).withColumns({"body": T.norm_ascii("text"), "title_n": T.norm_ascii("title"), "entity_n": T.norm_ascii("entity_name")}).drop("text", "title", "question")
+    rows = rows.join(own, "id")
+    boost = _field() + S.entity_boost(F.col("query"), F.col("entity_n"), PREFIXES) + S.type_boost(F.col("query"), F.col("chunk_type"), TYPE_MARKS) + S.priority_boost(F.col("priority")) + _metadata()
+    boost = boost + F.least(F.lit(0.22), 0.22 * F.coalesce("keyword", F.lit(0.0)))
+    rows = S.contrast_boost(rows.withColumn("boost", boost).withColumnRenamed("body", "text"), CONTRAST).withColumn("score", F.col("score") + F.col("boost") + F.col("contrast"))
+    return S.diversified(rows.select("query_id", "id", "score", "dedupe_key", F.lit("").alias("parent"), F.col("entity_name").alias("entity"), "chunk_type"), k)
 
 
 P.add("r16_chunk_search", lambda q, d, c: chunk_search(q, d, c, F.col("domain") == "en").select("query_id", "id", "rank", F.round("score", 6).alias("score")), *_CAND)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .common import Plans, d_alnum, d_ascii, d_norm, d_slug, d_terms, d_trimmed, d_words, d_ws
+from .common import Plans, d_alnum, d_ascii, d_keyword_id, d_norm, d_slug, d_terms, d_words, d_ws
 
 P = Plans()
 QUERIES, ORACLE = P.queries, P.oracle
@@ -34,7 +34,7 @@ P.add(
     "u3_keyword_id",
     lambda docs: _terms(docs).select("term", T.keyword_id("term").alias("keyword_id")),
     "documents",
-    sql=f"SELECT term, 'kw-' || substr(coalesce(nullif({d_trimmed(d_ascii('term'))}, ''), 'term'), 1, 24) || '-' || substr(sha1({d_ascii('term')}), 1, 10) AS keyword_id FROM {_D_TERMS}",
+    sql=f"SELECT term, {d_keyword_id('term')} AS keyword_id FROM {_D_TERMS}",
 )
 
 P.add(
