@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, exact_dedup, minhash, mixing, toxicity
 from marlstone.llm.common import cut, learns
@@ -28,8 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at .8 or more, the document with the least id."""
-    dropped = minhash.near_dedup(docs, size=5, percent=80).where("not kept").select(F.col("doc_id").alias("id"))
-    return exact_dedup.drop_ids(docs, dropped)
+    return minhash.drop_near_copies(docs, size=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 #: A group with more than 1/HOT of all rows is hot; so there are HOT hot groups at most.
 HOT = 1000
+#: Groups that are broadcast whole, after a count: some MB at most.
+FEW = 40_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; a temporary one only where none is set."""
+    """The checkpoint folder that driver and executors share; a temporary one only where none is set and all runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marlstone-"))
     return sc.getCheckpointDir()
 
 
@@ -27,22 +32,36 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` has written, once all that reads them is written itself."""
+    for df in tables:
+        path = getattr(df, "cut_path", None)
+        if path is not None:
+            sc = df.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
     """Join ``rows`` with ``groups`` (one row a key, ``size`` its number of rows), spread evenly.
 
-    Groups of more than 1/HOT of all rows number HOT at most whatever the input, so
+    FEW groups or fewer, counted first, are broadcast. Of more, those of more than 1/HOT of all rows number HOT at most whatever the input, so
     they are broadcast; the others shuffle, and none of them is large.
     ``rows`` and ``groups`` are read twice: pass tables that are cheap to read.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    count, total = groups.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    extra = [c for c in groups.columns if c not in keys]
+    out = rows.columns + extra
+    if count <= FEW:
+        return rows.join(F.broadcast(groups), keys, how).select(*out)
     hot = groups.where(F.col(size) * HOT > total)
     cold = groups.where(F.col(size) * HOT <= total)
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    extra = [c for c in groups.columns if c not in keys]
-    out = rows.columns + extra
     found = marked.where("_hot").select(*out)
     rest = marked.where("_hot is null").select(*rows.columns).join(cold, keys, how).select(*out)
     return found.unionByName(rest)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_groups
+from .common import cut, join_groups, release
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step on distinct links (u, v), u > v.
+    """One large-star or small-star step on distinct links (u, v), u > v, which are deleted.
 
     large: every larger neighbour of a node is linked to the least of the node's neighbours and itself.
     small: the node and its smaller neighbours are linked to the least of these.
@@ -25,27 +25,24 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         own = least.select("u", F.col("m").alias("v"))
         new = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
-    return cut(new.where("u > v").distinct())
+    out = cut(new.where("u > v").distinct())
+    release(least, links)
+    return out
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every id that has a link; component is the least id that can be reached.
 
-    links: (a, b), any order, repeats and loops allowed; null ends are left out. Stops when a round changes
-    nothing; after ``rounds`` rounds without that it raises, rather than give a part.
+    links: (a, b) of any type that has an order, repeats and loops allowed; null ends are left out. Stops when every id is linked to one
+    root that is linked to no other; after ``rounds`` rounds without that it raises, rather than give a part.
     """
     ordered = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = cut(ordered.distinct())
-
-    def mark(df):
-        return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
-
-    seen = mark(now)
     for _ in range(rounds):
-        now = _star(_star(now, True), False)
-        state = mark(now)
-        if state == seen:
+        ends = now.select(F.col("u").alias("id"), F.lit(1).alias("up")).unionByName(now.select(F.col("v").alias("id"), F.lit(0).alias("up")))
+        open_ = ends.groupBy("id").agg(F.sum("up").alias("ups"), F.min("up").alias("root")).where("ups > 1 or (ups = 1 and root = 0)")
+        if open_.isEmpty():
             roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
-        seen = state
+        now = _star(_star(now, True), False)
     raise RuntimeError("components did not settle")

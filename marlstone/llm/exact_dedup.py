@@ -62,11 +62,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other (keep_id is null only where all ids of the group are). An empty table gives no rows.
     Other columns are ignored, whatever their names.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    n = filter_size(docs.select(id_col).count())
-    bitmaps = cut(repeated_cells(rows, "h", n))
-    marked = maybe_repeated(rows, "h", n, bitmaps)
+    marked = mark_repeated(rows, "h")
     sha = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
     through = marked.where(~F.col("repeated")).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha
@@ -79,24 +77,39 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return through.unionByName(exact).withColumnRenamed("id", id_col)
 
 
-def split_by_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` parted by a Bloom filter of ``ids`` (one column, id): those surely not among them, and the rest. No shuffle."""
-    ids = ids.select(F.xxhash64("id").alias("h"))
-    n = filter_size(ids.count())
-    bitmaps = cut(repeated_cells(ids.unionByName(ids), "h", n))  # the filter holds cells hit twice, so each id counts twice
+def mark_repeated(rows: DataFrame, h: str, count: int | None = None, out: str = "repeated") -> DataFrame:
+    """``rows`` with the flag ``out``: false if no other row has the hash ``h``. Both passes over the rows, without their shuffle. ``count`` is about their number."""
+    n = filter_size(rows.count() if count is None else count)
+    return maybe_repeated(rows, h, n, cut(repeated_cells(rows, h, n)), out)
+
+
+def split_by_keys(rows: DataFrame, keys: DataFrame, names: list[str], count: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` parted by a Bloom filter of ``keys`` (columns ``names``, of the same types; ``count`` is about their number): those surely not among them, and the rest. No shuffle."""
+    own = keys.select(F.xxhash64(*names).alias("h"))
+    n = filter_size(own.count() if count is None else count)
+    bitmaps = cut(repeated_cells(own.unionByName(own), "h", n))  # the filter holds cells hit twice, so each key counts twice
     h, flag = f"{MARK}h", f"{MARK}maybe"
-    marked = maybe_repeated(rows.withColumn(h, F.xxhash64(F.col(id_col).cast("long"))), h, n, bitmaps, flag)
+    marked = maybe_repeated(rows.withColumn(h, F.xxhash64(*names)), h, n, bitmaps, flag)
     return marked.where(~F.col(flag)).select(*rows.columns), marked.where(flag).select(*rows.columns)
 
 
-def drop_ids(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``rows`` without those whose id is in ``ids`` (one column, id); only rows that may be among them shuffle."""
-    ids = cut(ids.select(F.col("id").cast("long").alias("id")))
-    out, maybe = split_by_ids(rows, ids, id_col)
-    return out.unionByName(maybe.join(ids.withColumnRenamed("id", f"{MARK}drop"), F.col(id_col).cast("long") == F.col(f"{MARK}drop"), "left_anti"))
+def drop_keys(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` without those whose columns ``names`` are a row of ``keys`` (null equals null); only rows that may be among them shuffle."""
+    keys = cut(keys.select(*names))
+    out, maybe = split_by_keys(rows, keys, names)
+    gone = keys.select(*[F.col(k).alias(f"{MARK}{k}") for k in names])
+    same = [F.col(k).eqNullSafe(F.col(f"{MARK}{k}")) for k in names]
+    return out.unionByName(maybe.join(gone, same, "left_anti"))
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs``, all their columns, without the rows (id_col, text_sha256) of ``dropped``: rows that share an id are told apart by their text."""
+    sha = f"{MARK}sha"
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.withColumn(sha, F.sha2(text, 256))
+    return drop_keys(rows, dropped.select(F.col(id_col), F.col("text_sha256").alias(sha)), [id_col, sha]).select(*docs.columns)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all their columns, that exact_dedup keeps."""
-    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("id"))
-    return drop_ids(docs, dropped, id_col)
+    """The rows of ``docs``, all their columns, that exact_dedup keeps: at least one of every text, and all rows that repeat the kept id with that text."""
+    return drop_rows(docs, exact_dedup(docs, id_col, text_col).where(~F.col("kept")), id_col, text_col)
