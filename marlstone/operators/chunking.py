@@ -11,11 +11,13 @@ SIZE, OVERLAP, LEAST = 170, 35, 220
 
 
 def is_heading(x: Column, hints: tuple[str, ...] = ()) -> Column:
-    """Numbered, ten words at most with a section hint, or ALL CAPS of 2 to 12 words."""
-    n, words = T.norm(x), F.size(T.words(x))
-    numbered = x.rlike(r"^(?:[0-9]+(?:\.[0-9]+)*[.)]|[IVX]+\.)\s+\S")
+    """A number (``1`` or ``1.2``) before text, ten words at most with a section hint, or ALL CAPS of 2 to 12 words. Words and hints are those of the form without accents."""
+    n = T.norm_ascii(x)
+    words = F.size(F.filter(F.split(n, " "), lambda t: t != ""))
+    numbered = n.rlike(r"^[0-9]+(?:\.[0-9]+)?\s*[.)]?\s+")
     caps = (x == F.upper(x)) & x.rlike(r"\p{Lu}") & words.between(2, 12)
-    return numbered | caps | ((words <= 10) & T.any_hint(n, list(hints))) if hints else numbered | caps
+    hinted = (words <= 10) & T.any_hint(n, list(hints)) if hints else F.lit(False)
+    return (n != "") & (numbered | caps | hinted)
 
 
 def entity_heading(blocks: DataFrame, rules: DataFrame) -> DataFrame:
@@ -96,9 +98,9 @@ def identity(prefix: str, *parts: Column) -> Column:
 
 def summary(x: Column, words: int = 28) -> Column:
     """The first sentence, cut at so many words."""
-    first = F.element_at(F.split(T.ws(x), r"(?<=[.!?;])\s+"), 1)
+    first = F.element_at(F.split(T.ws(x), r"(?<=[.!?;:])\s+"), 1)
     w = T.words(first)
-    return F.when(F.size(w) <= words, first).otherwise(F.concat(F.array_join(F.slice(w, 1, words), " "), F.lit("...")))
+    return F.when(F.size(w) <= words, first).otherwise(F.concat(F.regexp_replace(F.array_join(F.slice(w, 1, words), " "), "[,;:. ]+$", ""), F.lit("...")))
 
 
 def with_priority(chunks: DataFrame, table: DataFrame, default: int = 50) -> DataFrame:
@@ -138,7 +140,7 @@ def text_stats(x: Column) -> list[Column]:
         F.size(T.words(x)).alias("words"),
         F.length(x).alias("chars"),
         some(F.split(x, "\n")).alias("lines"),
-        some(F.split(x, "[.!?;]+")).alias("sentences"),
+        some(F.split(T.ws(x), r"(?<=[.!?;:])\s+")).alias("sentences"),
     ]
 
 

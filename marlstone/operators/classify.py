@@ -67,11 +67,89 @@ def best_topic(x: Column, rules: list[Rule], default: str = "") -> Column:
     return F.when(best.points > 0, best.label).otherwise(default)
 
 
-def low_signal(x: Column, exact: tuple[str, ...], fragments: tuple[str, ...]) -> Column:
-    """Too little to answer: an exact utterance of the list, two words at most without a longer one, or only fragments."""
-    tokens = F.filter(F.split(x, " "), lambda t: t != "")
-    listed = F.array(*[F.lit(t) for t in fragments])
-    return x.isin(*exact) | ((F.size(tokens) <= 2) & F.forall(tokens, lambda t: F.length(t) < 4)) | ((F.size(tokens) > 0) & F.forall(tokens, lambda t: F.array_contains(listed, t)))
+def _tokens(x: Column) -> Column:
+    return F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def _in(t: Column, words: tuple[str, ...]) -> Column:
+    return t.isin(*words) if words else F.lit(False)
+
+
+def person_like(x: Column, titles: tuple[str, ...], units: tuple[str, ...], asking: tuple[str, ...]) -> Column:
+    """A title and a name: two to six tokens, no phrase that asks, the second token no unit, all but the first of letters only."""
+    t = _tokens(x)
+    return F.size(t).between(2, 6) & ~T.any_hint(x, list(asking)) & ~_in(F.get(t, F.lit(1)), units) & _in(F.get(t, F.lit(0)), titles) & F.forall(F.slice(t, 2, 6), lambda w: w.rlike("^[a-z]+$"))
+
+
+def fragment_like(x: Column, terms: tuple[str, ...], asking: tuple[str, ...]) -> Column:
+    """Two to five tokens, all of them listed terms, and no phrase that asks."""
+    t = _tokens(x)
+    return F.size(t).between(2, 5) & ~T.any_hint(x, list(asking)) & F.forall(t, lambda w: _in(w, terms))
+
+
+def low_signal(x: Column, exact: tuple[str, ...], other: Column, titles: tuple[str, ...], units: tuple[str, ...], terms: tuple[str, ...], asking: tuple[str, ...], anchors: tuple[str, ...], short: tuple[str, ...]) -> Column:
+    """Too little to answer: a listed utterance; or, if no ``other`` class applies, a person's name or a fragment alone, or one of the ``short`` utterances of three words at most without an anchor."""
+    words = F.size(F.filter(F.split(x, " "), lambda t: t != ""))
+    alone = person_like(x, titles, units, asking) | fragment_like(x, terms, asking) | ((words <= 3) & ~T.any_hint(x, list(anchors)) & x.isin(*short))
+    return (x != "") & (x.isin(*exact) | (~other & alone))
+
+
+def policy_class(x: Column, verbs: tuple[str, ...], targets: tuple[str, ...], rules: list[Rule]) -> Column:
+    """``harmful_or_violent`` where a verb meets a target, else the first rule's label, else ''."""
+    return F.when(both(x, verbs, targets), "harmful_or_violent").otherwise(first_label(x, rules))
+
+
+@dataclass(frozen=True)
+class Sensitive:
+    """What marks a request for private data: phrases that are allowed, codes of groups and of persons, and what is asked about whom."""
+
+    allowed: tuple[str, ...]
+    hints: tuple[str, ...]
+    group: str
+    group_code: str
+    person_code: str
+    grades: tuple[str, ...]
+    person_info: tuple[str, ...]
+    group_info: tuple[str, ...]
+    persons: tuple[str, ...]
+    counts: tuple[str, ...]
+    group_counts: tuple[str, ...]
+    units: tuple[str, ...]
+
+
+#: The codes of the classes.
+PRIVATE_PERSON, PRIVATE_GROUP, GROUP_SCOPE = "student_private_info", "class_private_info", "class_scope_not_supported"
+
+
+def sensitive_class(x: Column, s: Sensitive) -> Column:
+    """The code of a request for private data, or ''. Hints come first, then codes of persons and groups, then combinations of scope and question."""
+    has = lambda words: T.any_hint(x, list(words))
+    group, person = x.contains(s.group), has(s.persons)
+    return (
+        F.when(has(s.allowed), "")
+        .when(has(s.hints) & group & has(s.group_counts), GROUP_SCOPE)
+        .when(has(s.hints) & group, PRIVATE_GROUP)
+        .when(has(s.hints), PRIVATE_PERSON)
+        .when(x.rlike(s.person_code), PRIVATE_PERSON)
+        .when(x.rlike(s.group_code), PRIVATE_GROUP)
+        .when(person & (has(s.grades) | has(s.person_info)), PRIVATE_PERSON)
+        .when(group & person, PRIVATE_GROUP)
+        .when(group & has(s.counts) & has(s.units), GROUP_SCOPE)
+        .when(group & has(s.counts), PRIVATE_GROUP)
+        .otherwise("")
+    )
+
+
+def reply_class(text: Column, x: Column, decline: tuple[str, ...], other: Column, questionish: tuple[str, ...], cues: tuple[str, ...]) -> Column:
+    """``decline``, ``provide`` or ``other`` for a reply: questions, other classes and fewer than three words are ``other``; a cue or six words provide."""
+    words = F.size(F.filter(F.split(x, " "), lambda t: t != ""))
+    return (
+        F.when(x == "", "other")
+        .when(T.any_hint(x, list(decline)), "decline")
+        .when(other | text.contains("?") | T.any_hint(x, list(questionish)) | (words < 3), "other")
+        .when(T.any_hint(x, list(cues)) | (words >= 6), "provide")
+        .otherwise("other")
+    )
 
 
 def both(x: Column, verbs: tuple[str, ...], targets: tuple[str, ...]) -> Column:
@@ -104,7 +182,13 @@ def expand(query: Column, x: Column, aliases: list[tuple[str, str]], limit: int
     return F.array_join(F.slice(F.array_distinct(F.concat(F.array(query), extra)), 1, limit), " ")
 
 
-def followup(question: Column, x: Column, hints: tuple[str, ...], previous: Column, left: Column) -> Column:
-    """The turn leans on the one before: context is left, and it is short or holds a hint, and names nothing of its own."""
-    short = F.size(F.filter(F.split(x, " "), lambda t: t != "")) <= 6
-    return (left > 0) & (previous != "") & (short | T.any_hint(x, list(hints), "word"))
+def followup(x: Column, left: Column, units: tuple[str, ...], stops: tuple[str, ...], empty: tuple[str, ...], hints: tuple[str, ...], anchors: tuple[str, ...], fields: tuple[str, ...], generic: tuple[str, ...]) -> Column:
+    """The turn leans on the one before: context is ``left``, it names no unit of its own, and it has a hint, or no anchor and a field word or a generic form.
+
+    A unit is named if one of ``units`` is followed by words, up to a phrase of ``stops``, that are not all ``empty``.
+    """
+    named = F.regexp_extract(x, rf"\b(?:{'|'.join(units)})\s+([a-z0-9][a-z0-9\s&.-]*)", 1)
+    named = F.trim(F.regexp_extract(named, rf"^(.*?)(?:\b(?:{'|'.join(stops)})\b|$)", 1))
+    own = F.size(F.filter(F.split(named, " "), lambda t: (t != "") & ~_in(t, empty))) > 0
+    has = lambda words: T.any_hint(x, list(words))
+    return (left > 0) & ~own & (has(hints) | (~has(anchors) & (has(fields) | x.isin(*generic))))

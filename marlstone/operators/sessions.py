@@ -23,10 +23,18 @@ def parse_debug(rows: DataFrame, col: str, schema: str) -> DataFrame:
     return rows.withColumn(col, F.from_json(F.coalesce(col, F.lit("{}")), schema))
 
 
-def feedback_eligible(turns: DataFrame, families: tuple[str, ...], closed: tuple[str, ...]) -> DataFrame:
-    """(turn_id, eligible): turns of an open family with an answer, not on a closed route. ``turns`` has family and route."""
-    ok = F.col("family").isin(*families) & ~F.col("route").isin(*closed) & (F.trim("answer") != "")
-    return turns.select("turn_id", F.coalesce(ok, F.lit(False)).alias("eligible"))
+#: Routes and families that take no feedback, routes that always do, and the domain that counts as none.
+CLOSED_ROUTES = ("meta", "out_of_scope", "control", "clarification", "web_notice_only")
+CLOSED_FAMILIES = ("meta", "out_of_scope", "clarification")
+OPEN_ROUTES = ("policy_block", "sensitive_block", "partial_scope", "admin_review_override")
+NO_DOMAIN = "general_docs"
+
+
+def feedback_eligible(turns: DataFrame) -> DataFrame:
+    """(turn_id, eligible): no closed route or family, and a route that always takes feedback or a domain. ``turns`` has route, family and domain."""
+    route, group, domain = (F.coalesce(c, F.lit("")) for c in ("route", "family", "domain"))
+    ok = ~route.isin(*CLOSED_ROUTES) & ~group.isin(*CLOSED_FAMILIES) & (route.isin(*OPEN_ROUTES) | ~domain.isin("", NO_DOMAIN))
+    return turns.select("turn_id", ok.alias("eligible"))
 
 
 def history_totals(messages: DataFrame) -> DataFrame:

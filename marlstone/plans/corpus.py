@@ -50,8 +50,9 @@ P.add(
 P.add("p7_cache_filename", lambda p: p.select("page_id", G.cache_filename(F.col("url")).alias("name")), "pages", sql=f"SELECT page_id, substr({d_slug('url')}, 1, 80) || '-' || substr(sha1(url), 1, 12) AS name FROM pages")
 
 HINTS = ("the ", "license")
-D_HEAD = rf"""(regexp_matches(text, '^(?:[0-9]+(?:\.[0-9]+)*[.)]|[IVX]+\.)\s+\S') OR (text = upper(text) AND regexp_matches(text, '\p{{Lu}}') AND len({d_words('text')}) BETWEEN 2 AND 12)
-    OR (len({d_words('text')}) <= 10 AND (contains({d_norm('text')}, 'the ') OR contains({d_norm('text')}, 'license'))))"""
+_hn, _hw = d_ascii("text"), f"len(list_filter(string_split({d_ascii('text')}, ' '), lambda t: t <> ''))"
+D_HEAD = rf"""({_hn} <> '' AND (regexp_matches({_hn}, '^[0-9]+(?:\.[0-9]+)?\s*[.)]?\s+') OR (text = upper(text) AND regexp_matches(text, '\p{{Lu}}') AND {_hw} BETWEEN 2 AND 12)
+    OR ({_hw} <= 10 AND (contains({_hn}, 'the ') OR contains({_hn}, 'license')))))"""
 HEAD = lambda: C.is_heading(F.col("text"), HINTS)
 P.add("c1_heading_detect", lambda d: G.lines(d).select("doc_id", "pos", HEAD().alias("heading")), "documents", sql=f"WITH {D_LINES} SELECT doc_id, pos, {D_HEAD} AS heading FROM lines")
 
@@ -97,7 +98,7 @@ P.add(
 D_WINDOWS = f"""ww AS (SELECT doc_id AS id, {d_words('text')} AS w FROM documents), st AS (SELECT id, w, unnest(CASE WHEN len(w) <= 220 THEN [0] ELSE range(0, greatest(1, len(w) - 35), 135) END) AS start FROM ww WHERE len(w) > 0),
     windows AS (SELECT id, CAST(start / 135 AS INTEGER) AS k, CAST(start AS INTEGER) AS start, CASE WHEN len(w) <= 220 THEN w ELSE w[start + 1:start + 170] END AS p FROM st)"""
 P.add("c6_word_windows", lambda d: C.word_windows(d).select("id", "k", "start", "words", F.md5("text").alias("text")), "documents", sql=f"WITH {D_WINDOWS} SELECT id, k, start, CAST(len(p) AS INTEGER) AS words, md5(array_to_string(p, ' ')) AS text FROM windows")
-D_SENT = rf"""ss AS (SELECT doc_id AS id, string_split(regexp_replace(text, '([.!?;])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+D_SENT = rf"""ss AS (SELECT doc_id AS id, string_split(regexp_replace(text, '([.!?;:])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
     sents AS (SELECT id, CAST(pos - 1 AS INTEGER) AS pos, {d_ws('s')} AS text FROM (SELECT id, unnest(s) AS s, generate_subscripts(s, 1) AS pos FROM ss) WHERE {d_ws('s')} <> '')"""
 P.add("c7_sentence_split", lambda d: C.sentences(d).select("id", "pos", F.md5("text").alias("text")), "documents", sql=f"WITH {D_SENT} SELECT id, pos, md5(text) AS text FROM sents")
 P.add(
@@ -139,12 +140,12 @@ P.add(
     "documents",
     sql=f"SELECT doc_id, 'chunk-' || substr(sha1(source || chr(0) || doc_id || chr(0) || text || chr(0)), 1, 12) AS id, substr(sha1({d_norm('text')} || chr(0)), 1, 12) AS dedupe_key FROM documents",
 )
-_FIRST = rf"string_split(regexp_replace({d_ws('text')}, '([.!?;])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1))[1]"
+_FIRST = rf"string_split(regexp_replace({d_ws('text')}, '([.!?;:])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1))[1]"
 P.add(
     "c14_chunk_summary",
     lambda d: d.select("doc_id", C.summary(F.col("text")).alias("summary")),
     "documents",
-    sql=f"SELECT doc_id, CASE WHEN len(w) <= 28 THEN f ELSE array_to_string(w[1:28], ' ') || '...' END AS summary FROM (SELECT doc_id, f, {d_words('f')} AS w FROM (SELECT doc_id, {_FIRST} AS f FROM documents))",
+    sql=f"SELECT doc_id, CASE WHEN len(w) <= 28 THEN f ELSE regexp_replace(array_to_string(w[1:28], ' '), '[,;:. ]+$', '') || '...' END AS summary FROM (SELECT doc_id, f, {d_words('f')} AS w FROM (SELECT doc_id, {_FIRST} AS f FROM documents))",
 )
 
 
@@ -195,7 +196,7 @@ P.add(
     "m4_text_stats",
     lambda d: d.select("doc_id", *C.text_stats(F.col("text"))),
     "documents",
-    sql=f"SELECT doc_id, CAST(len({d_words('text')}) AS INTEGER) AS words, CAST(length(text) AS INTEGER) AS chars, {_some('string_split(text, chr(10))')} AS lines, {_some(chr(115) + 'p')} AS sentences FROM (SELECT *, string_split(regexp_replace(text, '[.!?;]+', chr(1), 'g'), chr(1)) AS sp FROM documents)",
+    sql=f"SELECT doc_id, CAST(len({d_words('text')}) AS INTEGER) AS words, CAST(length(text) AS INTEGER) AS chars, {_some('string_split(text, chr(10))')} AS lines, {_some(chr(115) + 'p')} AS sentences FROM (SELECT *, string_split(regexp_replace({d_ws('text')}, '([.!?;:]) ', '\\1' || chr(1), 'g'), chr(1)) AS sp FROM documents)",
 )
 MARKERS = {"contact": ("@", "tel"), "location": (" in the", "straße"), "role": ("was the", "est le"), "howto": ("for the", "pour")}
 P.add(

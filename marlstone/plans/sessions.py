@@ -21,8 +21,14 @@ DOMAINS = [("alpha", "the"), ("beta", "of the"), ("gamma", "with"), ("delta", "a
 TOPICS = [Rule("law", ("the", "of the", "by")), Rule("trade", ("with", "from")), Rule("place", ("in", "at", "on"), delta=0.5)]
 NOTICE = [Rule("notice", ("is", "was"), ("the",))]
 GAPS = [Rule("gap", ("that", "for"))]
-REPLIES = [Rule("decline", ("not", "this")), Rule("provide", ("the", "of"))]
-EXACT, FRAGMENTS = ("the", "of"), ("the", "of", "and", "to", "in")
+EXACT = ("the", "of")
+TITLES, UNIT_WORDS, TERMS, ASKING, ANCHORS, SHORT = ("the", "of", "by", "ba", "da"), ("and", "same"), ("the", "of", "and", "to", "in"), ("with the", "is a"), ("tion",), ("on and", "so what")
+POLICY = [Rule("self_profile_not_supported", ("from the",), mode="contains"), Rule("academic_material_not_supported", ("ation",), mode="contains"), Rule("academic_detail_not_supported", ("ing ",), mode="contains")]
+PRIVATE = Q.Sensitive(
+    allowed=("are the",), hints=("secret", "ght"), group="er", group_code="[a-z]{2}[0-9]{2}", person_code="[0-9]{4}", grades=("is",), person_info=("was",),
+    group_info=("at",), persons=("ma",), counts=("li", "many"), group_counts=("st",), units=("co", "un"),
+)
+QUESTIONISH, CUES, DECLINE = ("who", "which"), ("the", "es "), ("nein", "not now")
 VERBS, TARGETS = ("by", "from", "for"), ("that", "this")
 COMMON = ("the", "and", "that", "this", "with", "from", "for")
 ALIASES = [("the", "definite"), ("with", "together"), ("of the", "belonging"), ("from", "origin")]
@@ -59,7 +65,6 @@ def d_label(rules: list[Rule], x: str = "x", default: str = "") -> str:
 
 
 X = lambda: F.col("x")
-D_LOW = "(x IN ('the', 'of') OR (len(tk) <= 2 AND len(list_filter(tk, lambda t: length(t) >= 4)) = 0) OR (len(tk) > 0 AND len(list_filter(tk, lambda t: t NOT IN ('the', 'of', 'and', 'to', 'in'))) = 0))"
 _TK = "list_filter(string_split(x, ' '), lambda t: t <> '')"
 _AL = "regexp_extract_all(x, '[a-z0-9]+')"
 _list = lambda ts: "[" + ", ".join(f"'{t}'" for t in ts) + "]"
@@ -71,9 +76,27 @@ def _label(name, column, sql):
 
 
 _label("q1_meta_intent", lambda: Q.first_label(X(), META), d_label(META))
-P.add("q2_low_signal", lambda c: user(c).select("conv_id", "turn", Q.low_signal(X(), EXACT, FRAGMENTS).alias("low")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {D_LOW.replace('tk', _TK)} AS low FROM u")
-P.add("q3_policy_class", lambda c: user(c).select("conv_id", "turn", Q.both(X(), VERBS, TARGETS).alias("harmful")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {D_BOTH} AS harmful FROM u")
-_label("q4_sensitive_class", lambda: F.when(X().rlike("[0-9]{3}"), "code").otherwise(Q.first_label(X(), SENSITIVE)), f"CASE WHEN regexp_matches(x, '[0-9]{{3}}') THEN 'code' ELSE {d_label(SENSITIVE)} END")
+def low():
+    return Q.low_signal(X(), EXACT, (Q.first_label(X(), META) != "") | (POLICY_OF() != "") | (Q.sensitive_class(X(), PRIVATE) != ""), TITLES, UNIT_WORDS, TERMS, ASKING, ANCHORS, SHORT)
+
+
+def POLICY_OF():
+    return Q.policy_class(X(), VERBS, TARGETS, POLICY)
+
+
+_cont = lambda words: d_any("x", words, "contains")
+_sq = lambda words: ", ".join(f"'{w}'" for w in words)
+D_POLICY = f"CASE WHEN {D_BOTH} THEN 'harmful_or_violent' ELSE {d_label(POLICY)} END"
+D_PRIVATE = f"""CASE WHEN {_cont(PRIVATE.allowed)} THEN '' WHEN {_cont(PRIVATE.hints)} AND contains(x, '{PRIVATE.group}') AND {_cont(PRIVATE.group_counts)} THEN 'class_scope_not_supported' WHEN {_cont(PRIVATE.hints)} AND contains(x, '{PRIVATE.group}') THEN 'class_private_info'
+    WHEN {_cont(PRIVATE.hints)} OR regexp_matches(x, '{PRIVATE.person_code}') THEN 'student_private_info' WHEN regexp_matches(x, '{PRIVATE.group_code}') THEN 'class_private_info'
+    WHEN {_cont(PRIVATE.persons)} AND ({_cont(PRIVATE.grades)} OR {_cont(PRIVATE.person_info)}) THEN 'student_private_info' WHEN contains(x, '{PRIVATE.group}') AND {_cont(PRIVATE.persons)} THEN 'class_private_info'
+    WHEN contains(x, '{PRIVATE.group}') AND {_cont(PRIVATE.counts)} AND {_cont(PRIVATE.units)} THEN 'class_scope_not_supported' WHEN contains(x, '{PRIVATE.group}') AND {_cont(PRIVATE.counts)} THEN 'class_private_info' ELSE '' END"""
+_person = f"(len({_AL}) BETWEEN 2 AND 6 AND NOT {_cont(ASKING)} AND {_AL}[2] NOT IN ({_sq(UNIT_WORDS)}) AND {_AL}[1] IN ({_sq(TITLES)}) AND len(list_filter({_AL}[2:], lambda t: NOT regexp_full_match(t, '[a-z]+'))) = 0)"
+_fragment = f"(len({_AL}) BETWEEN 2 AND 5 AND NOT {_cont(ASKING)} AND len(list_filter({_AL}, lambda t: t NOT IN ({_sq(TERMS)}))) = 0)"
+D_LOW = f"(x <> '' AND (x IN ({_sq(EXACT)}) OR (NOT ({d_label(META)} <> '' OR {D_POLICY} <> '' OR {D_PRIVATE} <> '') AND ({_person} OR {_fragment} OR (len({_TK}) <= 3 AND NOT {_cont(ANCHORS)} AND x IN ({_sq(SHORT)}))))))"
+P.add("q2_low_signal", lambda c: user(c).select("conv_id", "turn", low().alias("low")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {D_LOW} AS low FROM u")
+_label("q3_policy_class", lambda: POLICY_OF(), D_POLICY)
+_label("q4_sensitive_class", lambda: Q.sensitive_class(X(), PRIVATE), D_PRIVATE)
 _label("q5_question_type", lambda: Q.first_label(X(), TYPES, "factoid"), d_label(TYPES, default="factoid"))
 _ORDER = [Rule(DOMAINS[k][0], (DOMAINS[k][1],), mode="contains") for k in sorted(range(len(DOMAINS)), key=lambda k: (-len(DOMAINS[k][1]), k))]
 D_DOMAIN = d_label(_ORDER)
@@ -109,8 +132,8 @@ P.add(
         QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY length(n_name) DESC, lower(n_name) DESC) = 1""",
 )
 P.add("q9_notice_query", lambda c: user(c).select("conv_id", "turn", NOTICE[0].holds(X()).alias("notice")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {d_rule(NOTICE[0])} AS notice FROM u")
-CLASSES = lambda: [("meta", Q.first_label(X(), META) != ""), ("clarification", Q.low_signal(X(), EXACT, FRAGMENTS)), ("policy", Q.both(X(), VERBS, TARGETS)), ("sensitive", Q.first_label(X(), SENSITIVE).isin("private_data", "account")), ("domain", Q.longest_hint(X(), DOMAINS) != ""), ("notice", NOTICE[0].holds(X()))]
-D_CLASSES = [("meta", f"{d_label(META)} <> ''"), ("clarification", D_LOW.replace("tk", _TK)), ("policy", D_BOTH), ("sensitive", f"{d_label(SENSITIVE)} IN ('private_data', 'account')"), ("domain", f"{D_DOMAIN} <> ''"), ("notice", d_rule(NOTICE[0]))]
+CLASSES = lambda: [("meta", Q.first_label(X(), META) != ""), ("clarification", low()), ("policy", Q.both(X(), VERBS, TARGETS)), ("sensitive", Q.first_label(X(), SENSITIVE).isin("private_data", "account")), ("domain", Q.longest_hint(X(), DOMAINS) != ""), ("notice", NOTICE[0].holds(X()))]
+D_CLASSES = [("meta", f"{d_label(META)} <> ''"), ("clarification", D_LOW), ("policy", D_BOTH), ("sensitive", f"{d_label(SENSITIVE)} IN ('private_data', 'account')"), ("domain", f"{D_DOMAIN} <> ''"), ("notice", d_rule(NOTICE[0]))]
 SCOPE = lambda: Q.out_of_scope(X(), [c for n, c in CLASSES() if n in ("meta", "policy")], ("by", "at"), COMMON)
 D_SCOPE = f"(NOT {d_any('x', ('by', 'at'), 'word')} AND len(list_filter({_AL}, lambda t: length(t) >= 3 AND t NOT IN ({', '.join(repr(t) for t in COMMON)}))) >= 2 AND NOT ({D_CLASSES[0][1]}) AND NOT {D_BOTH})"
 P.add("q10_out_of_scope", lambda c: user(c).select("conv_id", "turn", SCOPE().alias("out")), *USER, sql=f"WITH {D_USER} SELECT conv_id, turn, {D_SCOPE} AS out FROM u")
@@ -134,16 +157,19 @@ def followup(t):
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = turnsx(t).withColumns({"previous": F.coalesce(F.lag("question").over(w), F.lit("")), "left": F.greatest(F.lit(0), 4 - F.row_number().over(w))})
-    return rows.select("turn_id", Q.followup(F.col("question"), X(), ("this", "that"), F.col("previous"), F.col("left")).alias("followup"))
+    rows = turnsx(t).withColumn("left", F.greatest(F.lit(0), F.least(F.lit(4), F.row_number().over(w) - 1)))
+    return rows.select("turn_id", Q.followup(X(), F.col("left"), *FOLLOW).alias("followup"))
 
 
+#: Units, phrases that end a unit's name, words that name none, hints, anchors, field words, generic forms.
+FOLLOW = (("in", "de"), ("with", "the"), ("a", "this", "la"), ("this", "that"), ("license",), ("an", "er"), ("and then",))
+_unit = rf"trim(regexp_extract(regexp_extract(x, '\b(?:{'|'.join(FOLLOW[0])})\s+([a-z0-9][a-z0-9\s&.-]*)', 1), '^(.*?)(?:\b(?:{'|'.join(FOLLOW[1])})\b|$)', 1))"
 P.add(
     "q13_followup_detect",
     followup,
     "turns",
-    sql=f"""WITH {D_TURNX}, w AS (SELECT *, coalesce(lag(question) OVER o, '') AS previous, greatest(0, 4 - row_number() OVER o) AS lft FROM tx WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
-        SELECT turn_id, lft > 0 AND previous <> '' AND (len({_TK}) <= 6 OR {d_any('x', ('this', 'that'), 'word')}) AS followup FROM w""",
+    sql=f"""WITH {D_TURNX}, w AS (SELECT *, greatest(0, least(4, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)) AS lft FROM tx)
+        SELECT turn_id, lft > 0 AND len(list_filter(string_split({_unit}, ' '), lambda t: t <> '' AND t NOT IN ({_sq(FOLLOW[2])}))) = 0 AND ({_cont(FOLLOW[3])} OR (NOT {_cont(FOLLOW[4])} AND ({_cont(FOLLOW[5])} OR x IN ({_sq(FOLLOW[6])})))) AS followup FROM w""",
 )
 ROUTE = lambda: F.when(F.col("family").isin("meta", "clarification", "policy", "sensitive", "out_of_scope"), F.col("family")).otherwise("answer")
 
@@ -163,7 +189,17 @@ P.add(
     "queries_v",
     sql=f"WITH q AS (SELECT query_id, {d_ascii('query')} AS x FROM queries_v) SELECT query_id, {d_label(KINDS, default='generic')} AS kind FROM q",
 )
-_label("q16_reply_class", lambda: Q.first_label(X(), REPLIES, "other"), d_label(REPLIES, default="other"))
+def REPLY(text, x):
+    return Q.reply_class(text, x, DECLINE, Q.first_label(x, META) != "", QUESTIONISH, CUES)
+
+
+def d_reply(text: str, x: str) -> str:
+    has = lambda words: d_any(x, words, "contains")
+    n = f"len(list_filter(string_split({x}, ' '), lambda t: t <> ''))"
+    return f"CASE WHEN {x} = '' THEN 'other' WHEN {has(DECLINE)} THEN 'decline' WHEN {d_label(META, x)} <> '' OR contains({text}, '?') OR {has(QUESTIONISH)} OR {n} < 3 THEN 'other' WHEN {has(CUES)} OR {n} >= 6 THEN 'provide' ELSE 'other' END"
+
+
+_label("q16_reply_class", lambda: REPLY(F.col("text"), X()), d_reply("text", "x"))
 P.add(
     "q17_gap_detect",
     lambda t: routed(t).withColumn("a", T.norm_ascii("answer")).select("turn_id", (F.col("route").isin("answer", "out_of_scope") & GAPS[0].holds(F.col("a"))).alias("gap")),
@@ -194,8 +230,12 @@ P.add(
     "events",
     sql="SELECT event_id, json_extract_string(props, '$.page') AS page, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
 )
-OPEN, CLOSED = ("domain", "notice", "general", "out_of_scope"), ("out_of_scope",)
-P.add("j3_feedback_eligible", lambda t: J.feedback_eligible(routed(t), OPEN, CLOSED), "turns", sql=f"WITH {D_ROUTED} SELECT turn_id, family IN ('domain', 'notice', 'general', 'out_of_scope') AND route <> 'out_of_scope' AND trim(answer) <> '' AS eligible FROM routed")
+P.add(
+    "j3_feedback_eligible",
+    lambda t: J.feedback_eligible(routed(t)),
+    "turns",
+    sql=f"WITH {D_ROUTED} SELECT turn_id, route NOT IN ({_sq(J.CLOSED_ROUTES)}) AND family NOT IN ({_sq(J.CLOSED_FAMILIES)}) AND (route IN ({_sq(J.OPEN_ROUTES)}) OR domain NOT IN ('', '{J.NO_DOMAIN}')) AS eligible FROM routed",
+)
 P.add("j4_history_totals", J.history_totals, "conversations", sql="SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS messages, CAST(sum(n // 2) AS BIGINT) AS turns FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id)")
 P.add(
     "j5_top_counters",
@@ -258,8 +298,8 @@ P.add(
 )
 P.add(
     "j13_contribution_capture",
-    lambda c: J.contribution_capture(c, GAPS[0].holds(T.norm_ascii("text")), Q.first_label(T.norm_ascii("_text"), REPLIES, "other")),
+    lambda c: J.contribution_capture(c, GAPS[0].holds(T.norm_ascii("text")), REPLY(F.coalesce("_text", F.lit("")), T.norm_ascii("_text"))),
     "conversations",
     sql=f"""WITH w AS (SELECT *, lead(role) OVER o AS r2, lead(text) OVER o AS t2 FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
-        SELECT conv_id, turn, t2 AS user_contribution, 'pending' AS status FROM (SELECT *, {d_ascii('text')} AS x, {d_ascii("coalesce(t2, '')")} AS y FROM w) WHERE role = 'assistant' AND r2 = 'user' AND {d_rule(GAPS[0], 'x')} AND {d_label(REPLIES, 'y', 'other')} = 'provide'""",
+        SELECT conv_id, turn, t2 AS user_contribution, 'pending' AS status FROM (SELECT *, {d_ascii('text')} AS x, {d_ascii("coalesce(t2, '')")} AS y FROM w) WHERE role = 'assistant' AND r2 = 'user' AND {d_rule(GAPS[0], 'x')} AND {d_reply("coalesce(t2, '')", 'y')} = 'provide'""",
 )

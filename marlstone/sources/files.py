@@ -51,7 +51,8 @@ def read_histories(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_page_cache(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, title, blocks) of cached pages, the manifest left out, absent fields empty."""
-    rows = _json(spark, folder, "doc_id string, title string, blocks array<string>", multiLine="true", pathGlobFilter="[!m]*.json")
+    rows = _json(spark, folder, "doc_id string, title string, blocks array<string>", multiLine="true", pathGlobFilter="*.json")
+    rows = rows.where("_file <> 'manifest.json'") if "_file" in rows.columns else rows
     return rows.select(F.coalesce("doc_id", F.lit("")).alias("doc_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("blocks", F.array().cast("array<string>")).alias("blocks"))
 
 
