@@ -150,27 +150,50 @@ def labels(x: Column, hints: list[tuple[str, tuple[str, ...]]], *more: Column, l
     return F.slice(F.array_distinct(F.filter(tags, lambda t: t.isNotNull() & (t != ""))), 1, limit)
 
 
-def metadata(chunks: DataFrame, topics: list[tuple[str, tuple[str, ...]]], markers: dict[str, tuple[str, ...]]) -> DataFrame:
-    """``chunks`` (id, chunk_type, domain, entity_name, title, text) with the struct ``metadata``."""
-    n = T.norm_ascii("text")
+#: Keys of the parsed page that a chunk's metadata passes on.
+PASSED = ("category", "channel", "published_at", "authoritative", "source")
+#: What metadata_text joins: scalars, then lists.
+SCALARS = ("doc_title", "section", "chunk_type", "entity_type", "entity_name", "category", "source_url", "source_file", "published_at")
+LISTS = ("topic_tags", "intent_tags", "search_terms", "keywords", "emails", "urls", "dates", "years")
+
+
+def metadata(chunks: DataFrame, topics: list[tuple[str, tuple[str, ...]]], markers: dict[str, tuple[str, ...]], intents: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``chunks`` (doc_id, title, section, chunk_type, entity_type, entity_name, text, source_kind, source_path, and any of PASSED and keywords) with the struct ``metadata``.
+
+    markers: contact, location, role, howto, each a list of substrings of the text's normal form; they make the flags and, with ``intents`` (tags by chunk type), the intent tags.
+    A source path that begins with http is the url, any other the file. The text's forms are columns of their own, made once.
+    """
+    rows = chunks.withColumns({"_c": T.ws("text")}).withColumns({"_n": T.norm_ascii("_c"), "_p": T.text("source_path")})
+    rows = rows.withColumns({"_url": F.when(F.lower("_p").startswith("http"), F.trim("_p")).otherwise(""), "_dates": dates(F.col("_c")), "_emails": extract(F.col("_c"), EMAIL)})
+    rows = rows.withColumn("_urls", F.slice(F.array_distinct(F.filter(F.concat(extract(F.col("_c"), URL), F.array("_url")), lambda u: u != "")), 1, 12))
+    rows = rows.withColumns({f"_{k}": T.any_hint(F.col("_n"), list(markers[k])) for k in ("contact", "location", "role", "howto")})
+    rows = rows.withColumn("_topics", labels(F.col("_n"), topics, F.col("chunk_type"), F.col("entity_name")))
+    typed_tags = F.array().cast("array<string>")
+    for name, tags in intents.items():
+        typed_tags = F.when(F.col("chunk_type") == name, F.array(*[F.lit(t) for t in tags])).otherwise(typed_tags)
+    found = F.array(*[F.when(F.col(f"_{k}"), tag) for k, tag in (("contact", "contact"), ("location", "location"), ("role", "person_lookup"), ("howto", "howto"))])
+    words, chars, _, sents = text_stats(F.col("_c"))
+    lines = text_stats(F.col("text"))[2]
+    own = F.concat_ws(" ", "title", "section", "entity_name", "chunk_type", F.array_join("_topics", " "), "_c")
     fields = [
-        F.col("domain"),
-        F.col("chunk_type"),
-        F.col("entity_name"),
-        *text_stats(F.col("text")),
-        extract(F.col("text"), EMAIL).alias("emails"),
-        extract(F.col("text"), URL).alias("urls"),
-        *[T.any_hint(n, list(w)).alias(f"has_{k}") for k, w in markers.items()],
-        labels(n, topics, F.col("chunk_type"), F.col("entity_name")).alias("topics"),
-        F.slice(F.array_distinct(T.keyword_terms(F.concat_ws(" ", "title", "entity_name", "text"))), 1, 28).alias("search_terms"),
-    ]
-    return chunks.withColumn("metadata", F.struct(*fields))
-
-
-def metadata_text(scalars: list[Column], lists: list[Column]) -> Column:
-    """Searchable text of scalar and list fields, blanks left out."""
+        F.col("doc_id"), F.col("title").alias("doc_title"), F.col("section"), T.norm_ascii("section").alias("section_norm"), F.col("chunk_type"), T.norm_ascii("chunk_type").alias("chunk_type_norm"),
+        F.col("entity_type"), F.col("entity_name"), T.norm_ascii("entity_name").alias("entity_norm"), F.col("source_kind"), F.col("_url").alias("source_url"), F.when(F.col("_url") == "", F.trim("_p")).otherwise("").alias("source_file"),
+        F.col("_topics").alias("topic_tags"), F.slice(F.array_distinct(F.filter(F.concat(typed_tags, found), lambda t: t.isNotNull())), 1, 10).alias("intent_tags"),
+        F.slice(F.array_distinct(T.keyword_terms(own)), 1, 28).alias("search_terms"),
+        words.alias("word_count"), chars.alias("char_count"), lines.alias("line_count"), sents.alias("sentence_count"),
+        *[F.col(f"_{k}").alias(f"has_{k}") for k in ("contact", "location", "role", "howto")], (F.size("_emails") > 0).alias("has_email"), (F.size("_urls") > 0).alias("has_url"),
+        F.col("_emails").alias("emails"), F.col("_urls").alias("urls"), F.col("_dates").alias("dates"), F.filter("_dates", lambda d: d.rlike("^(?:19|20)[0-9]{2}$")).alias("years"),
+        *[F.col(c) for c in (*PASSED, "keywords") if c in chunks.columns],
+    ]
+    return rows.withColumn("metadata", F.struct(*fields)).select(*chunks.columns, "metadata")
+
+
+def metadata_text(meta: DataFrame, column: str = "metadata") -> Column:
+    """Searchable text of a metadata struct: SCALARS, then LISTS, blanks and absent fields left out."""
+    have = meta.schema[column].dataType.fieldNames()
     empty = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return F.concat_ws(" ", *[empty(c) for c in scalars], *[empty(F.array_join(c, " ")) for c in lists])
+    lists = [F.array_join(F.filter(F.col(f"{column}.{k}"), lambda t: F.trim(t) != ""), " ") for k in LISTS if k in have]
+    return F.concat_ws(" ", *[empty(F.col(f"{column}.{k}").cast("string")) for k in SCALARS if k in have], *[empty(x) for x in lists])
 
 
 def adaptive(docs: DataFrame, hints: tuple[str, ...], rules: list[tuple[str, tuple[str, ...], tuple[str, ...]]]) -> DataFrame:

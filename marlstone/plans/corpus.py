@@ -234,18 +234,51 @@ P.add(
     "corpus_v",
     sql=f"SELECT id, array_to_string(list_filter(w, lambda v, i: list_position(w, v) = i)[1:28], '|') AS terms FROM (SELECT id, {d_terms(_ALL, T.STOPWORDS)} AS w FROM corpus_v)",
 )
+INTENT_TAGS = {"fact": ("lookup", "contact"), "overview": ("summary",), "history": ("timeline", "howto")}
+
+
+def metadata(c):
+    rows = c.select(
+        "id", "doc_id", "title", "text", "chunk_type", "entity_name", "source_kind", F.col("domain").alias("section"), F.lit("source").alias("entity_type"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://docs.example/"), "doc_id")).otherwise(F.concat(F.lit("file-"), "doc_id")).alias("source_path"),
+        F.concat(F.lit("c"), F.col("priority") % 5).alias("category"), F.lit("2026").alias("published_at"), F.array("domain", F.lit("")).alias("keywords"),
+    )
+    return C.metadata(rows, TOPICS, MARKERS, INTENT_TAGS)
+
+
+_uniq = lambda m, n: f"list_filter({m}, lambda v, i: list_position({m}, v) = i)[1:{n}]"
+_em, _ur = f"regexp_extract_all(c, '{D_EMAIL}')", f"list_filter(list_append({_uniq(f'regexp_extract_all(c, {chr(39)}{D_URL}{chr(39)})', 12)}, source_url), lambda u: u <> '')"
+_dt = rf"list_concat(regexp_extract_all(c, '\b[0-9]{{1,2}}/[0-9]{{1,2}}(?:/[0-9]{{2,4}})?\b'), regexp_extract_all(c, '\b(?:19|20)[0-9]{{2}}\b'))"
+_it = "list_filter(list_concat(CASE chunk_type " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(t) for t in ts)}]" for k, ts in INTENT_TAGS.items()) + " ELSE [] END, [" + ", ".join(f"CASE WHEN {d_hints('x', MARKERS[k])} THEN '{t}' END" for k, t in (("contact", "contact"), ("location", "location"), ("role", "person_lookup"), ("howto", "howto"))) + "]), lambda t: t IS NOT NULL)"
+_tt = "list_filter([" + ", ".join([*[f"CASE WHEN {d_hints('x', w)} THEN '{t}' END" for t, w in TOPICS], "chunk_type", "entity_name"]) + "], lambda t: t IS NOT NULL AND t <> '')"
+D_METADATA = f"""m0 AS (SELECT *, domain AS section, {d_ws('text')} AS c, CASE WHEN doc_id % 3 = 0 THEN 'https://docs.example/' || doc_id ELSE '' END AS source_url, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'file-' || doc_id END AS source_file FROM corpus_v),
+    m1 AS (SELECT *, {d_ascii('c')} AS x, {_em} AS em, {_ur} AS ur, {_dt} AS dt FROM m0), m2 AS (SELECT *, {_tt} AS tt, {_it} AS it FROM m1), m3 AS (SELECT *, {_uniq('tt', 12)} AS topic_tags, {_uniq('it', 10)} AS intent_tags FROM m2),
+    m4 AS (SELECT *, {d_terms("concat_ws(' ', title, section, entity_name, chunk_type, array_to_string(topic_tags, ' '), c)", T.STOPWORDS)} AS st, string_split(regexp_replace(c, '([.!?;:]) ', '\\1' || chr(1), 'g'), chr(1)) AS sp FROM m3),
+    md AS (SELECT id, doc_id, title AS doc_title, section, {d_ascii('section')} AS section_norm, chunk_type, {d_ascii('chunk_type')} AS chunk_type_norm, 'source' AS entity_type, entity_name, {d_ascii('entity_name')} AS entity_norm, source_kind, source_url, source_file,
+        topic_tags, intent_tags, {_uniq('st', 28)} AS search_terms, CAST(len({d_words('c')}) AS INTEGER) AS word_count, CAST(length(c) AS INTEGER) AS char_count, {_some('string_split(text, chr(10))')} AS line_count, {_some('sp')} AS sentence_count,
+        {', '.join(f"{d_hints('x', MARKERS[k])} AS has_{k}" for k in ('contact', 'location', 'role', 'howto'))}, len({_uniq('em', 12)}) > 0 AS has_email, len({_uniq('ur', 12)}) > 0 AS has_url, {_uniq('em', 12)} AS emails, {_uniq('ur', 12)} AS urls,
+        {_uniq('dt', 1000)} AS dates, list_filter({_uniq('dt', 1000)}, lambda d: regexp_full_match(d, '(?:19|20)[0-9]{{2}}')) AS years, 'c' || priority % 5 AS category, '2026' AS published_at, [domain, ''] AS keywords FROM m4)"""
+_ARRAYS = ("topic_tags", "intent_tags", "search_terms", "emails", "urls", "dates", "years", "keywords")
 P.add(
     "m9_metadata_struct",
-    lambda c: C.metadata(c, TOPICS, MARKERS).select("id", "metadata.words", "metadata.chars", _list("metadata.emails").alias("emails"), "metadata.has_contact", "metadata.has_howto", _list("metadata.topics").alias("topics")),
+    lambda c: metadata(c).select("id", "metadata.*").select("*", *[F.array_join(k, "|").alias(f"{k}_") for k in _ARRAYS]).drop(*_ARRAYS).withColumn("doc_title", F.md5("doc_title")),
     "corpus_v",
-    sql=f"""SELECT id, CAST(len({d_words('text')}) AS INTEGER) AS words, CAST(length(text) AS INTEGER) AS chars, {d_extract('text', D_EMAIL)} AS emails, {d_hints('x', MARKERS['contact'])} AS has_contact, {d_hints('x', MARKERS['howto'])} AS has_howto,
-        {d_labels('x', TOPICS, 'chunk_type', 'entity_name')} AS topics FROM (SELECT *, {d_ascii('text')} AS x FROM corpus_v)""",
+    sql=f"WITH {D_METADATA} SELECT * EXCLUDE ({', '.join(_ARRAYS)}) REPLACE (md5(doc_title) AS doc_title), {', '.join(f"array_to_string({k}, '|') AS {k}_" for k in _ARRAYS)} FROM md",
 )
+_text = lambda k: f"nullif(trim({k}), '')"
+_flat = lambda k: f"nullif(trim(array_to_string(list_filter({k}, lambda t: trim(t) <> ''), ' ')), '')"
+
+
+def meta_text(c):
+    rows = metadata(c)
+    return rows.select("id", C.metadata_text(rows).alias("t"))
+
+
 P.add(
     "m10_metadata_text",
-    lambda c: c.select("id", C.metadata_text([F.col("title"), F.col("domain"), F.col("chunk_type"), F.col("entity_name")], [F.array("source_kind", F.lit(""))]).alias("t")).select("id", F.md5("t").alias("text")),
+    lambda c: meta_text(c).select("id", F.md5("t").alias("text")),
     "corpus_v",
-    sql="SELECT id, md5(concat_ws(' ', nullif(trim(title), ''), nullif(trim(domain), ''), nullif(trim(chunk_type), ''), nullif(trim(entity_name), ''), nullif(trim(source_kind || ' '), ''))) AS text FROM corpus_v",
+    sql=f"WITH {D_METADATA} SELECT id, md5(concat_ws(' ', {', '.join(_text(k) for k in C.SCALARS)}, {', '.join(_flat(k) for k in C.LISTS)})) AS text FROM md",
 )
 
 PREFIXES, SUFFIXES = ("the", "of", "and"), ("the", "of")
