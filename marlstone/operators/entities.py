@@ -9,9 +9,10 @@ from ..functions import text as T
 
 
 def variant_match(questions: DataFrame, reviews: DataFrame, variants: DataFrame, least: float = 0.75) -> DataFrame:
-    """(turn_id, review_turn, score): best active review of each question: 10 for an equal variant, else token overlap + .5 if one holds the other."""
+    """(turn_id, review_turn, score): best active answer review of each question: 10 for an equal variant, else token overlap + .5 if one holds the other."""
     q = questions.select("turn_id", T.norm_ascii("question").alias("q")).where("q <> ''").withColumn("qt", F.array_distinct(F.split("q", " ")))
-    v = variants.join(reviews.where("active").select("turn_id").distinct(), "turn_id", "left_semi").select(F.col("turn_id").alias("review_turn"), T.norm_ascii("variant").alias("v")).where("v <> ''").distinct()
+    own = reviews.where("active and coalesce(nullif(review_kind, ''), 'answer') = 'answer'")
+    v = variants.join(own.select("turn_id").distinct(), "turn_id", "left_semi").select(F.col("turn_id").alias("review_turn"), T.norm_ascii("variant").alias("v")).where("v <> ''").distinct()
     v = v.withColumn("vt", F.array_distinct(F.split("v", " ")))
     pairs = q.select("turn_id", "q", F.size("qt").alias("n"), F.explode("qt").alias("t")).join(v.select("review_turn", "v", F.explode("vt").alias("t")), "t")
     shared = pairs.groupBy("turn_id", "q", "n", "review_turn", "v").agg(F.count("*").alias("c"))

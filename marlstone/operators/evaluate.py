@@ -40,6 +40,20 @@ def grounded(answer: Column, context: Column) -> Column:
     return (F.size(F.array_except(hard, known)) == 0) & (missing <= F.greatest(F.lit(4), F.floor(F.size(own) / 3).cast("int")))
 
 
+def grounded_in_conversation(messages: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(key, order, grounded) of every assistant message against all messages before it (key, order, role, text).
+
+    A token is known if the conversation had it before: the first place of each token is one row, so no message is collected again for those after it.
+    """
+    rows = messages.select(key, order, "role", T.important_tokens("text").alias("t"))
+    first = rows.select(key, order, F.explode("t").alias("token")).groupBy(key, "token").agg(F.min(order).alias("_first"))
+    own = rows.where("role = 'assistant'").select(key, order, F.explode_outer("t").alias("token"))
+    met = own.join(first, [key, "token"], "left").withColumn("_new", F.col("token").isNotNull() & (F.coalesce("_first", F.col(order)) >= F.col(order)))
+    hard = F.col("token").contains("@") | F.col("token").contains("http") | F.col("token").rlike("[0-9]")
+    by = met.groupBy(key, order).agg(F.count("token").alias("n"), F.sum(F.col("_new").cast("int")).alias("missing"), F.sum((F.col("_new") & F.coalesce(hard, F.lit(False))).cast("int")).alias("hard"))
+    return by.select(key, order, ((F.col("hard") == 0) & (F.col("missing") <= F.greatest(F.lit(4), F.floor(F.col("n") / 3)))).alias("grounded"))
+
+
 def coverage(tokens: Column, x: Column) -> Column:
     """Share of the distinct tokens that are substrings of a text."""
     distinct = F.array_distinct(tokens)

@@ -261,19 +261,11 @@ P.add(
 # E: an answer against the messages before it
 
 
-def with_context(c):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    rows = c.withColumn("context", F.array_join(F.collect_list("text").over(w), " ")).where("role = 'assistant'")
-    return rows.select("conv_id", "turn", F.col("text").alias("answer"), "context")
-
-
 D_CTX = "cx AS (SELECT conv_id, turn, role, text AS answer, coalesce(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context FROM conversations), ctx AS (SELECT * FROM cx WHERE role = 'assistant')"
 _IMP = lambda x: rf"list_distinct(list_filter(regexp_extract_all({d_norm(x)}, '[\p{{L}}\p{{N}}_@./:+-]+'), lambda t: contains(t, '@') OR contains(t, 'http') OR regexp_matches(t, '[0-9]') OR length(t) >= 6))"
 P.add(
     "e5_grounding_guard",
-    lambda c: with_context(c).select("conv_id", "turn", E.grounded(F.col("answer"), F.col("context")).alias("grounded")),
+    E.grounded_in_conversation,
     "conversations",
     sql=f"""WITH {D_CTX}, i AS (SELECT conv_id, turn, {_IMP('answer')} AS o, {_IMP('context')} AS k FROM ctx)
         SELECT conv_id, turn, len(list_filter(o, lambda t: (contains(t, '@') OR contains(t, 'http') OR regexp_matches(t, '[0-9]')) AND NOT list_contains(k, t))) = 0 AND len(list_filter(o, lambda t: NOT list_contains(k, t))) <= greatest(4, len(o) // 3) AS grounded FROM i""",
@@ -371,7 +363,7 @@ P.add(
     "reviews_v",
     "review_variants_v",
     sql=f"""WITH q AS (SELECT turn_id, q, list_distinct(string_split(q, ' ')) AS qt FROM (SELECT turn_id, {d_ascii('question')} AS q FROM turns) WHERE q <> ''),
-        v AS (SELECT DISTINCT turn_id AS review_turn, {d_ascii('variant')} AS v FROM review_variants_v WHERE turn_id IN (SELECT turn_id FROM reviews_v WHERE active) AND {d_ascii('variant')} <> ''),
+        v AS (SELECT DISTINCT turn_id AS review_turn, {d_ascii('variant')} AS v FROM review_variants_v WHERE turn_id IN (SELECT turn_id FROM reviews_v WHERE active AND review_kind = 'answer') AND {d_ascii('variant')} <> ''),
         s AS (SELECT q.turn_id, review_turn, max(CASE WHEN q = v THEN 10.0 ELSE len(list_intersect(qt, list_distinct(string_split(v, ' ')))) / len(qt) + CASE WHEN contains(q, v) OR contains(v, q) THEN 0.5 ELSE 0 END END) AS score FROM q, v GROUP BY ALL)
         SELECT turn_id, review_turn, round(CAST(score AS DOUBLE), 6) AS score FROM s WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY round(score, 9) DESC, review_turn) = 1""",
 )
