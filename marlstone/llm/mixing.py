@@ -19,11 +19,15 @@ from .exact_dedup import MARK
 
 #: Default targets: a value's share of the tokens to this power, rescaled to sum 1 (1 leaves shares as they are, 0 makes them equal).
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-ROUNDS = 8
+#: Raking ends when no factor of a round differs from 1 by more than TOLERANCE, or after ROUNDS rounds where the targets contradict each other.
+ROUNDS = 40
+TOLERANCE = 1e-9
+#: Where full cells keep the targets out of reach, filling ends when the same cells stay full and no margin moves by more than this.
+SETTLED = 1e-3
 #: Share of the tokens that the pipeline's sample has.
 SHARE = 0.5
-#: Tables of cells up to this many rows are raked in one partition, without a shuffle; larger ones shuffle.
-ONE_TASK = 100_000
+#: Cells of a partition of the raked table; and the most cells that are broadcast to the documents (others meet them as groups).
+CELLS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -41,41 +45,36 @@ def tempered_targets(cells: DataFrame, margins: dict[str, float]) -> dict[str, D
     """For each margin a table (value, target) of shares that sum to 1."""
     out = {}
     for name, power in margins.items():
-        sums = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
-        out[name] = sums.select(
-            name, (F.pow("t", F.lit(power)) / F.sum(F.pow("t", F.lit(power))).over(_all(name))).alias("target")
-        )
+        sums = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0").withColumn("t", F.pow("t", F.lit(power)))
+        total = sums.agg(F.sum("t").alias("_all"))  # one row
+        out[name] = sums.crossJoin(F.broadcast(total)).select(name, (F.col("t") / F.col("_all")).alias("target"))
     return out
 
 
-def _all(name: str):
-    from pyspark.sql import Window
-
-    # one row per value of a margin, never per document
-    return Window.partitionBy(F.lit(0)).orderBy(name).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (margins and tokens) with ``weight``, the raked tokens as a share of all.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> tuple[DataFrame, float]:
+    """``cells`` (margins and tokens) with ``weight``, the raked tokens as a share of all; and the largest marginal error of the last round.
 
     A ``weight`` that the cells have is raked further. Values without a target keep their weight in that margin. Every round rakes each margin in
-    turn; the table of cells is written after each round, so the plan stays short.
+    turn; the table of cells is written after each round, so the plan stays short. Ends when the error is TOLERANCE at most.
     """
-    small = cells.count() <= ONE_TASK
-    fitted = cells if "weight" in cells.columns else cells.withColumn("weight", F.col("tokens").cast("double"))
+    parts = -(-cells.count() // CELLS) or 1
+    names = [c for c in cells.columns if c != "weight"]
+    fitted, error = (cells if "weight" in cells.columns else cells.withColumn("weight", F.col("tokens").cast("double"))), 0.0
     for _ in range(rounds):
-        fitted = fitted.coalesce(1) if small else fitted
+        fitted = fitted.coalesce(parts).withColumn("_error", F.lit(0.0))
         for name, target in targets.items():
             sums = fitted.groupBy(name).agg(F.sum("weight").alias("_sum"))
             factor = sums.join(target, name).select(
                 name, F.when(F.col("_sum") > 0, F.col("target") / F.col("_sum")).otherwise(1.0).alias("_factor")
             )
-            fitted = fitted.join(factor, name, "left").withColumn(
-                "weight", F.col("weight") * F.coalesce("_factor", F.lit(1.0))
-            )
-            fitted = fitted.drop("_factor")
-        fitted = cut(fitted)
-    return fitted
+            fitted = fitted.join(factor, name, "left").withColumn("_factor", F.coalesce("_factor", F.lit(1.0)))
+            fitted = fitted.withColumns({"weight": F.col("weight") * F.col("_factor"), "_error": F.greatest("_error", F.abs(F.col("_factor") - 1))}).drop("_factor")
+        done = cut(fitted)
+        error = done.agg(F.max("_error")).first()[0] or 0.0
+        fitted = done.select(*names, "weight")
+        if error <= TOLERANCE:
+            break
+    return fitted, error
 
 
 def fill(fitted: DataFrame, share: float) -> tuple[DataFrame, int]:
@@ -104,12 +103,16 @@ def fill(fitted: DataFrame, share: float) -> tuple[DataFrame, int]:
 
 
 def rake_to_size(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds: int = ROUNDS) -> DataFrame:
-    """``rake`` to a sample of ``share`` of all tokens: cells are filled at most, and while any is full the rest is raked again, ``rounds`` times at most."""
-    fitted, full = fill(rake(cells, targets, rounds), share)
+    """``rake`` to a sample of ``share`` of all tokens: cells are filled at most, and while any is full the rest is raked again, until that moves nothing or ``rounds`` times."""
+    fitted, full = fill(rake(cells, targets, rounds)[0], share)
     for _ in range(rounds):
         if not full:
             break
-        fitted, full = fill(rake(fitted, targets, 1), share)
+        again, error = rake(fitted, targets, 1)
+        fitted, now = fill(again, share)
+        if error <= TOLERANCE or (now == full and error <= SETTLED):
+            break
+        full = now
     return fitted
 
 
@@ -167,14 +170,14 @@ def calibrate(rows: DataFrame, margins: dict[str, float], targets: dict[str, Dat
         fitted = rake_to_size(cells, targets, share, rounds).crossJoin(F.broadcast(total))
         prob = F.least(F.lit(1.0), F.col("weight") * F.lit(share) * F.col("total") / F.col("tokens"))
         return cut(fitted.select(*names, "docs", F.when(F.col("tokens") > 0, prob).otherwise(0.0).alias("prob")))
-    fitted = rake(cells, targets, rounds)
+    fitted, _ = rake(cells, targets, rounds)
     ratio = fitted.select(*names, "docs", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("ratio"))
     top = ratio.agg(F.max("ratio").alias("top"))  # one row
     return cut(ratio.crossJoin(F.broadcast(top)).select(*names, "docs", F.when(F.col("top") > 0, F.col("ratio") / F.col("top")).otherwise(0.0).alias("prob")))
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, margins: dict[str, float] | None = None, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
-    """The rows of ``docs``, all their columns, that mix_weights samples. Cells are broadcast if they are ONE_TASK at most, else joined as groups."""
+    """The rows of ``docs``, all their columns, that mix_weights samples. Cells are broadcast if they are CELLS at most, else joined as groups."""
     margins = margins or TEMPER
     rows = _cells(docs.select(text_col, "source", "lang"), text_col, topic).select(*NAMES, "tokens")
     probs = calibrate(rows, margins, None, rounds, share)
@@ -185,5 +188,5 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topi
     marked = docs.select("*", *[own[n].alias(f"{MARK}{n}") for n in margins], some.alias(f"{MARK}some"))
     probs = probs.select(*[F.col(n).alias(f"{MARK}{n}") for n in margins], F.col("docs").alias(f"{MARK}docs"), F.col("prob").alias(f"{MARK}prob"))
     on = [f"{MARK}{n}" for n in margins]
-    met = marked.join(F.broadcast(probs), on) if probs.count() <= ONE_TASK else join_groups(marked, probs, on, f"{MARK}docs")
+    met = marked.join(F.broadcast(probs), on) if probs.count() <= CELLS else join_groups(marked, probs, on, f"{MARK}docs")
     return met.where(F.col(f"{MARK}some") & (uniform(id_col) < F.col(f"{MARK}prob"))).select(*docs.columns)
