@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: a document is toxic if any of its sentences is.
 
-Sentence scores p are combined by noisy-or, 1 - prod(1 - p), and learned from document labels alone;
-the trained scores then locate the offending sentences. Features of a sentence are its words and
+Sentence scores q are combined by noisy-or, 1 - prod(1 - q), and learned from document labels alone; the same function is trained and served.
+A sentence without any weighed feature has q = 0, so that length alone makes no text toxic. The trained scores then locate the offending sentences. Features of a sentence are its words and
 their beginnings (4 to 6 bytes), hashed, so that inflected forms share weight.
 """
 
@@ -12,13 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, mix, prefix_sums, span_hash, text_blocks, words
+from .common import LOWER, cut, mix, prefix_sums, release, span_hash, text_blocks, words
 
 #: Labelled documents that training reads, at most, taken by a hash of the id, half of them toxic where there are so many;
 #: characters of sentence text it holds per document are not limited.
 MAX_TRAIN = 6000
-#: Features kept: those whose presence in documents tells the labels apart best.
-MAX_FEATURES = 8192
 STARTS = (4, 5, 6)
 THRESHOLD = 0.7
 
@@ -56,49 +54,48 @@ def featurize(data: np.ndarray, bounds: np.ndarray):
     return np.concatenate(hashes), np.concatenate(owners), s_doc, s_start, s_end
 
 
-def _noisy_or(score: np.ndarray, sent_doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sentence probabilities, and the log of each document's chance that no sentence is toxic."""
+def _noisy_or(score: np.ndarray, bias: float, sent_doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sigmoids of sentence scores, and the log of each document's chance that no sentence is toxic: q is how far the sigmoid is above that of the bias."""
     p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-    return p, np.bincount(sent_doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)
+    none = np.log1p(-np.minimum(p, 1 - 1e-12)) - np.log1p(-1 / (1 + np.exp(-bias)))
+    return p, np.minimum(0, np.bincount(sent_doc, weights=none, minlength=n))
 
 
-def train(keep: np.ndarray, features: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, rounds: int = 150, rate: float = 0.25, decay: float = 2e-4) -> dict:
-    """keep: sorted hashes of the features to weigh; features: (hashes, sentence numbers, sentences) of each document. Returns keys, weights and the bias."""
+def train(keep: np.ndarray, features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 150, rate: float = 0.25, decay: float = 2e-4) -> dict:
+    """keep: sorted hashes of the features to weigh; features: (hashes, sentence numbers) of each document. Returns keys, weights and the bias."""
     n = len(labels)
-    if n == 0 or not labels.any():
+    if n == 0 or not labels.any() or not len(keep):
         return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -8.0}
     cols, sents, docs, at = [], [], [], 0
-    for d, (h, s, m) in enumerate(features):
-        if len(keep):
-            c = np.minimum(np.searchsorted(keep, h), len(keep) - 1)
-            hit = keep[c] == h
-            pair = np.unique(np.stack([s[hit] + at, c[hit]], 1), axis=0)  # a feature counts once in a sentence
-            sents.append(pair[:, 0])
-            cols.append(pair[:, 1])
-        docs.append(np.full(m, d))
-        at += m
-    sent_doc = np.concatenate(docs)
-    sent = np.concatenate(sents) if sents else np.zeros(0, np.int64)
-    col = np.concatenate(cols) if cols else np.zeros(0, np.int64)
-    w, b = np.zeros(len(keep)), -6.0
+    for d, (h, s) in enumerate(features):
+        c = np.minimum(np.searchsorted(keep, h), len(keep) - 1)
+        hit = keep[c] == h
+        own, code = np.unique(s[hit], return_inverse=True)
+        pair = np.unique(np.stack([code + at, c[hit]], 1), axis=0)  # a feature counts once in a sentence
+        sents.append(pair[:, 0])
+        cols.append(pair[:, 1])
+        docs.append(np.full(len(own), d))
+        at += len(own)
+    sent_doc, sent, col = np.concatenate(docs), np.concatenate(sents), np.concatenate(cols)
+    w, b = np.ones(len(keep)), -6.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     y = labels.astype(float)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / max(1e-9, 1 - y.mean())) / n
     for t in range(1, rounds + 1):
         score = b + np.bincount(sent, weights=w[col], minlength=at)
-        p, log_none = _noisy_or(score, sent_doc, n)
-        any_ = np.clip(-np.expm1(log_none), 1e-9, 1 - 1e-12)
+        p, log_none = _noisy_or(score, b, sent_doc, n)
+        any_ = np.clip(-np.expm1(log_none), 1e-6, 1 - 1e-12)
         # d(-log likelihood)/d score of a sentence: p for a clean document, -p (1 - P) / P for a toxic one
-        slope = (weight * np.where(y > 0, -np.exp(log_none) / any_, 1.0))[sent_doc] * p
-        gw = np.bincount(col, weights=slope[sent], minlength=len(w)) + decay * w
-        gb = slope.sum()
+        pull = (weight * np.where(y > 0, -np.exp(log_none) / any_, 1.0))[sent_doc]
+        gw = np.bincount(col, weights=(pull * p)[sent], minlength=len(w)) + decay * w
+        gb = (pull * (p - 1 / (1 + np.exp(-b)))).sum()
         mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= rate * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.99**t)) + 1e-8)
         b -= 0.1 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
         w = np.maximum(w, 0)  # a word may make a sentence toxic; none makes it clean
-        b = min(b, -5.0)  # a sentence without any such word is clean, however many of them a document has
-    return {"keys": keep, "weights": w, "bias": float(b)}
+        b = min(b, -5.0)
+    return {"keys": keep[w > 0], "weights": w[w > 0], "bias": float(b)}
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, limit: int) -> DataFrame:
@@ -115,8 +112,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     return texts.join(few, "_id").select("text", "label")
 
 
-def select_features(sample: DataFrame, limit: int = MAX_FEATURES) -> np.ndarray:
-    """Sorted hashes of the features of (text, label) whose presence is the most evidence of label 1. Documents are counted in the cluster; only these hashes come back."""
+def select_features(sample: DataFrame) -> np.ndarray:
+    """Sorted hashes of all features of (text, label) whose presence is evidence of label 1 in two documents or more. Documents are counted in the cluster; only these hashes come back, bounded by the sample."""
 
     def work(batches):
         for batch in batches:
@@ -137,12 +134,12 @@ def select_features(sample: DataFrame, limit: int = MAX_FEATURES) -> np.ndarray:
         return np.zeros(0, np.uint64)
     sums = sample.mapInArrow(work, "h long, pos long, tot long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("tot").alias("tot"))
     gain = F.col("pos") * F.log(((F.col("pos") + 0.5) / (toxic + 1)) / ((F.col("tot") - F.col("pos") + 0.5) / (n - toxic + 1)))
-    best = sums.where(F.col("pos") >= max(2, int(0.002 * toxic))).withColumn("gain", gain).where("gain > 0").orderBy(F.desc("gain"), "h").limit(limit)
+    best = sums.where(F.col("pos") >= max(2, int(0.002 * toxic))).withColumn("gain", gain).where("gain > 0")
     return np.sort(best.select("h").toArrow()["h"].to_numpy().view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_TRAIN) -> dict:
-    """Train on a bounded sample of the labelled documents given (``limit``): features are chosen first, then each text comes back as those that it has."""
+    """Train on a bounded sample of the labelled documents given (``limit``): features are chosen first, then a task trains on each text's chosen features and returns the weights."""
     sample = cut(sample_labelled(docs, labels, label, id_col, text_col, limit))
     keep = select_features(sample)
 
@@ -154,17 +151,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
                 hit = np.isin(h, keep)
                 h, s = h[hit], s[hit]
                 doc = s_doc[s] if len(s) else s
-                first = np.searchsorted(s_doc, np.arange(b - a + 1))
                 order = np.argsort(doc, kind="stable")
                 h, s, cuts = h[order], s[order], np.searchsorted(doc[order], np.arange(b - a + 1))
-                rows = [(h[i:j].tobytes(), (s[i:j] - f).astype(np.uint32).tobytes()) for i, j, f in zip(cuts, cuts[1:], first)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array(np.diff(first).astype(np.int32)), labels.slice(a, b - a)], ["h", "s", "n", "label"]
-                )
+                rows = [(h[i:j].tobytes(), s[i:j].astype(np.uint32).tobytes()) for i, j in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), labels.slice(a, b - a)], ["h", "s", "label"])
+
+    def learn(batches):
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        features = [(np.frombuffer(r["h"], np.uint64), np.frombuffer(r["s"], np.uint32).astype(np.int64)) for r in rows]
+        m = train(keep, features, np.array([r["label"] for r in rows], np.int64))
+        yield pa.RecordBatch.from_pylist([{"keys": m["keys"].tobytes(), "weights": m["weights"].tobytes(), "bias": m["bias"]}])
 
-    rows = sample.mapInArrow(work, "h binary, s binary, n int, label int").toArrow().to_pylist()
-    features = [(np.frombuffer(r["h"], np.uint64), np.frombuffer(r["s"], np.uint32).astype(np.int64), r["n"]) for r in rows]
-    return train(keep, features, np.array([r["label"] for r in rows], np.int64))
+    order = sample.mapInArrow(work, "h binary, s binary, label int").repartition(1).sortWithinPartitions("h", "s")  # the same sums whatever task comes first
+    row = order.mapInArrow(learn, "keys binary, weights binary, bias double").first()
+    release(sample)
+    if row is None:
+        return train(keep, [], np.zeros(0, np.int64))
+    return {"keys": np.frombuffer(row["keys"], np.uint64), "weights": np.frombuffer(row.weights, np.float64), "bias": row.bias}
 
 
 def score_block(model: dict, data: np.ndarray, bounds: np.ndarray):
@@ -180,12 +183,8 @@ def score_block(model: dict, data: np.ndarray, bounds: np.ndarray):
         hit = keys[c] == h
         pair = np.unique(s[hit] * len(keys) + c[hit])
         total = total + np.bincount(pair // len(keys), weights=model["weights"][pair % len(keys)], minlength=len(total))
-    p, log_none = _noisy_or(total, s_doc, len(bounds) - 1)
-    # bias alone doesn't count: a long clean document has many sentences
-    base = 1 / (1 + np.exp(-model["bias"]))
-    count = np.bincount(s_doc, minlength=len(bounds) - 1)
-    score = -np.expm1(np.minimum(0, log_none - count * np.log1p(-base)))
-    return np.clip(score, 0, 1), s_doc, p, s_start, s_end
+    p, log_none = _noisy_or(total, model["bias"], s_doc, len(bounds) - 1)
+    return np.clip(-np.expm1(log_none), 0, 1), s_doc, p, s_start, s_end
 
 
 def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sentences: bool = True) -> DataFrame:
