@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: States kept by a worker, and pieces whose tokens it remembers; beyond these it starts anew.
 MAX_STATES = 130_000
-MAX_PIECES = 200_000
+MAX_PIECES = 100_000
 MAX_PAIRS = 500_000
 NONE = -1
 
@@ -247,8 +247,8 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(load_ranks(path))
         self.split = regex.compile(pattern).findall
-        self.pieces: dict[str, tuple[str, bytes]] = {}
-        self.older: dict[str, tuple[str, bytes]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         text = self.transducer.text
         self.sizes = self.transducer.sizes
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
@@ -269,7 +269,7 @@ class Codec:
             for p in found.intersection(self.older):
                 self.pieces[p] = self.older[p]
         for p, ids in zip(missing, self.transducer.encode_pieces([p.encode("utf-8", "surrogatepass") for p in missing])):
-            self.pieces[p] = (str(ids)[1:-1].replace(" ", ""), array("i", ids).tobytes())
+            self.pieces[p] = array("i", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[tuple[str, np.ndarray]]:
         """(ids as decimal text, ids) of each text."""
@@ -277,14 +277,14 @@ class Codec:
         out, at = [], 0
         while at < len(split):  # so many texts at once that their pieces fit in memory
             end, n = at, 0
-            while end < len(split) and (end == at or n + len(split[end]) <= 200_000):
+            while end < len(split) and (end == at or n + len(split[end]) <= 100_000):
                 n += len(split[end])
                 end += 1
             self.learn(set().union(*split[at:end]))
             get = self.pieces.__getitem__
             for s in split[at:end]:
-                known = [get(p) for p in s]
-                out.append((",".join([k[0] for k in known]), np.frombuffer(b"".join([k[1] for k in known]), np.int32)))
+                ids = np.frombuffer(b"".join(map(get, s)), np.int32)
+                out.append((",".join(map(str, ids.tolist())), ids))
             at = end
         return out
 
