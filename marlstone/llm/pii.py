@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 #: Base kinds in the order of the digest, then the kinds that the method adds.
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "ssn")
+ADDED = ("iban", "ssn", "vat", "tax_id", "bic", "secret")
 
 #: Words that make a kind likelier when they stand within WINDOW characters of a span.
 CONTEXT = {
@@ -19,12 +19,18 @@ CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "téléphone", "teléfono"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta", "bic", "swift"),
     "ssn": ("ssn", "social security", "sécurité sociale", "seguridad social"),
+    "vat": ("vat", "tva", "ust", "iva", "tax"),
+    "tax_id": ("tax id", "tax number", "steuer", "fiscal", "nif", "dni"),
+    "bic": ("bic", "swift", "bank", "iban"),
+    "secret": ("key", "token", "secret", "password", "api", "credential", "passwort", "clé", "clave"),
 }
 WINDOW = 48
 #: Score of a confirmed span without context words, what a context word adds, and the least score of an added span.
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.75, "ssn": 0.2}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.4, "ssn": 0.2, "vat": 0.35, "tax_id": 0.4, "bic": 0.2, "secret": 0.4}
+#: An added span needs context: only a checksum of two digits or more, or a key's known beginning, stands by itself (SURE).
 GAIN = 0.15
 LEAST = 0.5
+SURE = {"iban": 22, "secret": 36}
 
 # A greedy run of a class is matched from the run's first character, so the look-behinds change no match; they keep long runs linear.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,6 +40,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_VAT = re.compile(r"(?<![A-Za-z0-9])(?:DE[0-9]{9}|FR[0-9]{11}|ES[A-Z][0-9]{7}[A-Z0-9])(?![A-Za-z0-9])")
+_TAX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9]{8}[A-Z]|[0-9]{11})(?![A-Za-z0-9])")
+_BIC = re.compile(r"(?<![A-Za-z0-9])[A-Z]{4}(?:DE|FR|ES|GB|US|IT|NL|BE|AT|CH)[A-Z0-9]{2}(?:[A-Z0-9]{3})?(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk[-_][A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|[A-Za-z0-9_/+-]{32,})(?![A-Za-z0-9_-])")
+_KNOWN = re.compile(r"AKIA|gh[pousr]_|sk[-_]|xox[abprs]-")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 
@@ -94,10 +105,64 @@ def _ssns(text: str):
             yield m.span()
 
 
+def mod11_10(digits: str) -> bool:
+    """ISO 7064 MOD 11,10, as in German tax and VAT numbers."""
+    p = 10
+    for c in digits[:-1]:
+        s = (int(c) + p) % 10 or 10
+        p = s * 2 % 11
+    return (11 - p) % 10 == int(digits[-1])
+
+
+#: The control letters of Spanish identity numbers, by the number mod 23.
+_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+def _bics(text: str):
+    for m in _BIC.finditer(text):
+        yield m.span()
+
+
+def _vats(text: str):
+    for m in _VAT.finditer(text):
+        own = m[0][2:]
+        if m[0].startswith("DE") and mod11_10(own):
+            yield m.span()
+        elif m[0].startswith("FR") and (12 + 3 * (int(own[2:]) % 97)) % 97 == int(own[:2]):
+            yield m.span()
+        elif m[0].startswith("ES"):
+            digits = own[1:8]
+            odd = sum(sum(divmod(2 * int(c), 10)) for c in digits[::2])
+            check = -(odd + sum(map(int, digits[1::2]))) % 10
+            if own[8] in (str(check), "JABCDEFGHI"[check]):
+                yield m.span()
+
+
+def _tax_ids(text: str):
+    for m in _TAX.finditer(text):
+        if m[0].isdigit():
+            if m[0][0] != "0" and 2 <= max(m[0][:10].count(c) for c in m[0][:10]) <= 3 and mod11_10(m[0]):
+                yield m.span()
+        elif _LETTERS[int(m[0][:-1]) % 23] == m[0][-1]:
+            yield m.span()
+
+
+def _secrets(text: str):
+    for m in _SECRET.finditer(text):
+        own = m[0]
+        kinds = any(c.isdigit() for c in own) + any(c.islower() for c in own) + any(c.isupper() for c in own)
+        # a long run counts if it looks drawn at random: digits and letters, and many different ones
+        if _KNOWN.match(own) or (kinds >= 2 and any(c.isdigit() for c in own) and len(set(own)) >= 12):
+            yield m.span()
+
+
 def score(kind: str, text: str, start: int, end: int) -> float:
-    """PRIOR plus GAIN for each context word nearby, 1 at most."""
+    """PRIOR plus GAIN for each context word nearby, 1 at most; a span that stands by itself (SURE characters, or a key's known beginning) has LEAST at least."""
     near = f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}".lower()
-    return min(1.0, PRIOR[kind] + GAIN * sum(w in near for w in CONTEXT[kind]))
+    base = PRIOR[kind]
+    if kind in SURE and (end - start >= SURE[kind] or kind == "secret" and _KNOWN.match(text, start)):
+        base = max(base, LEAST)
+    return min(1.0, base + GAIN * sum(w in near for w in CONTEXT[kind]))
 
 
 def find(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -113,6 +178,10 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
         found += [("phone", *x) for x in _phones(text)] if "+" in text else []
         found += [("iban", *x) for x in _ibans(text)]
         found += [("ssn", *x) for x in _ssns(text)]
+        found += [("vat", *x) for x in _vats(text)]
+        found += [("tax_id", *x) for x in _tax_ids(text)]
+        found += [("secret", *x) for x in _secrets(text)]
+    found += [("bic", *x) for x in _bics(text)]
     scored = [(k, a, b, score(k, text, a, b)) for k, a, b in found]
     return [x for x in scored if x[0] in BASE or x[3] >= LEAST]
 
@@ -134,7 +203,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     """One row per input row: id, spans (kind, start, end, score), redacted (null unless asked for).
 
     Positions are code points, the end exclusive. A null or empty text has no spans. One pass, no shuffle;
-    memory is that of an Arrow batch. Rows that repeat are told apart only by their place. Other columns are not read.
+    memory is that of an Arrow batch, and texts of any length are read whole. Base spans stay whatever their score; added ones need LEAST, which context words
+    decide for most. Spans of different kinds may overlap; of one kind they don't. Rows that repeat get the same spans. Other columns are not read. An empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
 
@@ -154,7 +224,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
 
 
 def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the SHA-256 of the base spans, and all spans as text."""
+    """Counts of the base kinds, the SHA-256 of the base spans, all spans as text, how many were added, and the scores of all in the same order, three digits."""
     from pyspark.sql import functions as F
 
     def of(kind):
@@ -163,5 +233,6 @@ def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def joined(kinds):
         return F.array_join(F.flatten(F.array(*[F.transform(of(k), lambda x: F.concat_ws(":", x.kind, x.start, x.end)) for k in kinds])), ",")
 
+    scores = F.array_join(F.flatten(F.array(*[F.transform(of(k), lambda x: F.round(x.score, 3).cast("string")) for k in BASE + ADDED])), ",")
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return spans.select(id_col, *counts, F.sha2(joined(BASE).cast("binary"), 256).alias("base_sha256"), joined(BASE + ADDED).alias("spans"))
+    return spans.select(id_col, *counts, F.sha2(joined(BASE).cast("binary"), 256).alias("base_sha256"), joined(BASE + ADDED).alias("spans"), F.size(F.filter("spans", lambda x: x.kind.isin(*ADDED))).cast("long").alias("n_added"), scores.alias("scores"))
