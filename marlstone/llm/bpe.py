@@ -4,13 +4,14 @@ A token sequence is the BPE encoding of its bytes exactly if no token could have
 and each pair of neighbours, encoded by itself, gives that pair back. So a text is read byte by byte: a state holds
 every place where the token under way may have begun (its vocabulary trie node, and the token that ends there),
 and reading a byte tells the one token that ends the encoding of the bytes read so far. States and moves are made when
-first needed; a token is sure, and is emitted, once all open places share it, at the piece's end at the latest.
+first needed; a token is sure once all open places share it. Pieces up to LONG bytes go through the machine together and are read back
+from their ends; a longer one is streamed: its tokens are emitted as soon as they are sure, after a lookahead of some longest tokens, so memory doesn't grow with the piece.
+Decoding is streamed too: a machine of nine states over bytes holds back the bytes of an unfinished character until the next tokens end it.
 """
 
 from __future__ import annotations
 
 import base64
-import codecs
 import hashlib
 from array import array
 
@@ -25,6 +26,9 @@ MAX_STATES = 130_000
 MAX_PIECES = 100_000
 MAX_PAIRS = 500_000
 NONE = -1
+#: Bytes of a piece from which it is streamed; ids that are decoded at once.
+LONG = 4096
+CHUNK = 4096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,6 +45,7 @@ class Transducer:
         self.text = {i: t for t, i in ranks.items()}
         self.trie: list[dict[int, int]] = [{}]
         self.token = [NONE]
+        self.depth = [0]
         for t, i in ranks.items():
             node = 0
             for b in t:
@@ -49,6 +54,7 @@ class Transducer:
                     nxt = self.trie[node][b] = len(self.trie)
                     self.trie.append({})
                     self.token.append(NONE)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token[node] = i
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -162,6 +168,8 @@ class Transducer:
             whole = self.ranks.get(p)
             if whole is not None:
                 out[k] = [whole]
+            elif len(p) > LONG:
+                out[k] = list(self.stream(p))
             elif p:
                 work.append(k)
             else:
@@ -172,6 +180,49 @@ class Transducer:
             self._encode_group([pieces[k] for k in group], group, out)
         return out
 
+    def stream(self, data, lag: list[int] | None = None):
+        """Token ids of bytes (any iterable), each as soon as it is sure. ``lag`` gets how many bytes each token waited after its end.
+
+        ``last`` holds, for places since the point that is sure, the token that ends there; a place's tokens are read back by it. What all open places
+        read back to is sure.
+        """
+        state, pos, sure, last = 0, 0, 0, {}
+        longest = max(map(len, self.ranks))
+        for byte in data:
+            if len(self.states) > MAX_STATES:  # a new start keeps the open places
+                key = self.states[state]
+                self._restart()
+                state = self.ids.setdefault(key, len(self.states))
+                if state == len(self.states):
+                    self.states.append(key)
+                    self.last[state] = key[-1][1]
+            self._seat(np.array([byte], np.uint8))
+            nxt = int(self.moves[state, self.column[byte]])
+            state = self._move(state, byte) if nxt == NONE else nxt
+            pos += 1
+            last[pos] = int(self.states[state][-1][1])
+            if pos - sure >= 2 * longest:
+                points = {pos - self.depth[node] for node, _ in self.states[state]}
+                while len(points) > 1:
+                    far = max(points)
+                    points.remove(far)
+                    points.add(far - int(self.sizes[last[far]]))
+                point = points.pop()
+                yield from self._read_back(sure, point, last, pos, lag)
+                for k in range(sure, point + 1):
+                    last.pop(k, None)
+                sure = point
+        yield from self._read_back(sure, pos, last, pos, lag)
+
+    def _read_back(self, start: int, end: int, last: dict[int, int], pos: int, lag: list[int] | None) -> list[int]:
+        out, at = [], end
+        while at > start:
+            out.append(last[at])
+            if lag is not None:
+                lag.append(pos - at)
+            at -= int(self.sizes[last[at]])
+        return out[::-1]
+
     @staticmethod
     def _groups(pieces, work, limit: int = 1 << 20):
         """Pieces by length, so that a group's table of last tokens is about ``limit`` bytes long at most, one piece at least."""
@@ -227,18 +278,72 @@ class Transducer:
             out[k] = token[a:b]
 
 
+def _utf8_machine() -> np.ndarray:
+    """Next state by state and byte. 0: between characters; 1 to 3: so many bytes to come; 4 to 7: second byte after E0, ED, F0, F4, which have ranges of their own; 8: no UTF-8."""
+    t = np.full((9, 256), 8, np.uint8)
+    t[0, :0x80] = 0
+    t[0, 0xC2:0xE0], t[0, 0xE1:0xF0], t[0, 0xF1:0xF4] = 1, 2, 3
+    t[0, 0xE0], t[0, 0xED], t[0, 0xF0], t[0, 0xF4] = 4, 5, 6, 7
+    for k in (1, 2, 3):
+        t[k, 0x80:0xC0] = k - 1
+    t[4, 0xA0:0xC0], t[5, 0x80:0xA0], t[6, 0x90:0xC0], t[7, 0x80:0x90] = 1, 1, 2, 2
+    return t
+
+
 class Utf8Decoder:
-    """Incremental decoding of token ids: bytes of an unfinished character wait for the next tokens."""
+    """Incremental decoding of token ids: ``feed`` gives the bytes of finished characters, those of an unfinished one wait for the next tokens.
 
-    def __init__(self, text: dict[int, bytes], errors: str = "replace"):
-        self.text = text
-        self.machine = codecs.getincrementaldecoder("utf-8")(errors)
+    Nearly all tokens begin and end between characters; only at others the machine goes byte by byte. Bytes that are no UTF-8 pass as they are (``text`` replaces them).
+    """
+
+    table = _utf8_machine()
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, after: np.ndarray):
+        self.flat, self.starts, self.sizes, self.after = flat, starts, sizes, after
+        self.state, self.held = 0, b""
 
-    def feed(self, ids) -> str:
-        return self.machine.decode(b"".join(self.text[i] for i in ids))
+    @classmethod
+    def ends(cls, text: dict[int, bytes], n: int) -> np.ndarray:
+        """The state after each token that begins between characters."""
+        out = np.zeros(n, np.uint8)
+        for i, t in text.items():
+            state = 0
+            for b in t:
+                state = cls.table[state, b]
+            out[i] = state
+        return out
 
-    def end(self) -> str:
-        return self.machine.decode(b"", final=True)
+    def feed(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        data = self.flat[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        odd, state, at = np.flatnonzero(self.after[ids] != 0), self.state, 0
+        while True:
+            if state == 0:  # on to the next token that ends inside a character
+                k = int(np.searchsorted(odd, at))
+                if k == len(odd):
+                    break
+                at = int(odd[k])
+            if at == len(ids):
+                break
+            for b in data[ends[at] - sizes[at] : ends[at]].tolist():
+                step = int(self.table[state, b])
+                state = step if step != 8 else int(self.table[0, b]) % 8  # a wrong byte ends the character and may begin another
+            at += 1
+        self.state, whole = state, self.held + data.tobytes()
+        keep = len(whole)
+        if state:
+            keep -= 1
+            while keep and whole[keep] & 0xC0 == 0x80:
+                keep -= 1
+        self.held = whole[keep:]
+        return whole[:keep]
+
+    def end(self) -> bytes:
+        out, self.held, self.state = self.held, b"", 0
+        return out
 
 
 class Codec:
@@ -253,6 +358,7 @@ class Codec:
         self.sizes = self.transducer.sizes
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
         self.flat = np.frombuffer(b"".join(text.get(i, b"") for i in range(len(self.sizes))), np.uint8)
+        self.after = Utf8Decoder.ends(text, len(self.sizes))
 
     def learn(self, found: set[str]) -> None:
         """Encode the pieces that are not remembered; half of the memory is for those met lately, half for those met again since."""
@@ -288,12 +394,18 @@ class Codec:
             at = end
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        if not len(ids):
-            return b""
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()
+    def decode(self, ids: np.ndarray):
+        """The bytes of the ids, part by part, each of whole characters."""
+        machine = Utf8Decoder(self.flat, self.starts, self.sizes, self.after)
+        for at in range(0, len(ids), CHUNK):
+            yield machine.feed(ids[at : at + CHUNK])
+        yield machine.end()
+
+    def decoded_sha256(self, ids: np.ndarray) -> str:
+        digest = hashlib.sha256()
+        for part in self.decode(ids):
+            digest.update(part)
+        return digest.hexdigest()
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -326,7 +438,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                         pa.array([x[1] if ids else None for x in done], pa.list_(pa.int32())),
                         pa.array([len(x[1]) for x in done], pa.int64()),
                         pa.array([hashlib.sha256(x[0].encode()).hexdigest() for x in done]),
-                        pa.array([hashlib.sha256(own.decode(x[1])).hexdigest() for x in done]),
+                        pa.array([own.decoded_sha256(x[1]) for x in done]),
                     ],
                     ["id", "tokens", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
@@ -336,20 +448,19 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     return rows.mapInArrow(work, schema).withColumnRenamed("id", id_col)
 
 
-def decode_tokens(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "tokens") -> DataFrame:
-    """id and text of arrays of token ids, decoded token by token with an incremental UTF-8 machine; null arrays give ''.
+def decode_tokens(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "tokens") -> DataFrame:
+    """id and text of arrays of token ids, decoded part by part with an incremental UTF-8 machine; null arrays give ''.
 
     Unknown ids fail the task; bytes that are no UTF-8 become U+FFFD.
     """
     kind = dict(rows.dtypes)[id_col]
 
     def work(batches):
-        text = {i: t for t, i in load_ranks(path).items()}
+        own = codec(path, pattern)
         for batch in batches:
             out = []
             for ids in batch.column(1).to_pylist():
-                machine = Utf8Decoder(text)
-                out.append(machine.feed(ids or []) + machine.end())
+                out.append("".join(part.decode("utf-8", "replace") for part in own.decode(np.array(ids or [], np.int64))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "text"])
 
     return rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(work, f"id {kind}, text string").withColumnRenamed("id", id_col)
