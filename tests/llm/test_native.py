@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from marlstone.llm import exact_dedup, mixing
+from marlstone.llm import exact_dedup, minhash, mixing
 from marlstone.llm.common import join_groups
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, repeated string, h string"
@@ -119,3 +119,13 @@ def test_pipeline_mix_is_not_sized_by_the_rarest_source(spark):
 
     rows = [(i, "w " * 100, "en", "src0", 1, "x", "y") for i in range(2000)] + [(2000, "w " * 100, "en", "rare", 1, "x", "y")]
     assert corpus_pipeline.mix(spark, spark.createDataFrame(rows, SCHEMA), "").count() > 800
+
+
+def test_copies_are_dropped_by_id_and_text(spark):
+    rows = [(1, "x"), (1, "y"), (2, "x"), (None, "z"), (None, "z"), (3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in exact_dedup.drop_copies(docs).collect()) == [(1, "y"), (2, "x"), (3, "z")]
+    named = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "w")], "doc_id string, text string")
+    assert sorted(tuple(r) for r in exact_dedup.drop_copies(named).collect()) == [("b", "w"), ("b", "x")]
+    near = minhash.drop_near_copies(spark.createDataFrame([("a", "one two three four five six"), ("b", "One two three four five six"), ("b", "other words stand here now")], "doc_id string, text string"))
+    assert sorted(tuple(r) for r in near.collect()) == [("a", "one two three four five six"), ("b", "other words stand here now")]
