@@ -1,7 +1,7 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
-Every passage (a line, cut at 400 bytes) is encoded as a vector of character shares, word statistics and hashed byte
-pairs; gated attention, softmax of w . (tanh(V h) * sigmoid(U h)), weighs the passages of a document, and a logistic layer
+Every passage (a line, cut at 400 bytes) is encoded as a vector of character shares, word statistics and hashed pairs of character
+classes; gated attention, softmax of w . (tanh(V h) * sigmoid(U h)), weighs the passages of a document, and a logistic layer
 scores the weighted vector. All parameters are learned from document labels.
 """
 
@@ -56,7 +56,9 @@ def encode(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     out = np.zeros((m, WIDTH), np.float32)
     out[:, :_N_CLASS] = np.bincount(number * _N_CLASS + cls, minlength=m * _N_CLASS).reshape(m, -1) / size[:, None]
     pair = (cls[:-1] * 37 + cls[1:] * 11) % BINS
-    out[:, _N_CLASS : _N_CLASS + BINS] = np.bincount(number[:-1] * BINS + pair, minlength=m * BINS).reshape(m, -1) / size[:, None]
+    inside = np.ones(n - 1, bool)  # no pair of a document with the next one
+    inside[bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < n)] - 1] = False
+    out[:, _N_CLASS : _N_CLASS + BINS] = np.bincount((number[:-1] * BINS + pair)[inside], minlength=m * BINS).reshape(m, -1) / size[:, None]
     ws, we, wd = words(data, bounds)
     if len(ws):
         h = span_hash(prefix_sums(LOWER[data]), ws, we)
@@ -146,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
 
 def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: id, score, predicted, passages, attention (the largest weight), focus (the byte-free number of that passage).
+    """One row per input row: id, score, predicted, passages, attention (the largest weight), focus (the number of that passage, the first of equals).
 
     Null and empty texts are one passage of zeros. One pass, no shuffle; a document of any length is scored whole, on all its
     passages. Rows that repeat get the same score. Other columns are not read.
