@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: States kept by a worker, and pieces whose tokens it remembers; beyond these it starts anew.
 MAX_STATES = 130_000
 MAX_PIECES = 100_000
-MAX_PAIRS = 500_000
+MAX_PAIRS = 200_000
 NONE = -1
 #: Bytes of a piece from which it is streamed; ids that are decoded at once.
 LONG = 4096

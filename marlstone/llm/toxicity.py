@@ -19,6 +19,10 @@ from .common import LOWER, cut, mix, prefix_sums, release, span_hash, text_block
 MAX_TRAIN = 6000
 STARTS = (4, 5, 6)
 THRESHOLD = 0.7
+#: What the toxic documents weigh in training, of all: less than half, so that a score of THRESHOLD is seldom a clean document's.
+TOXIC_SHARE = 0.25
+#: Least evidence (log likelihood ratio, in nats) that a feature's presence goes with the label.
+EVIDENCE = 8.0
 
 #: Bytes that end a sentence, and bytes between words (ASCII punctuation and white space).
 _END = np.zeros(256, bool)
@@ -61,7 +65,7 @@ def _noisy_or(score: np.ndarray, bias: float, sent_doc: np.ndarray, n: int) -> t
     return p, np.minimum(0, np.bincount(sent_doc, weights=none, minlength=n))
 
 
-def train(keep: np.ndarray, features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 150, rate: float = 0.25, decay: float = 2e-4) -> dict:
+def train(keep: np.ndarray, features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 150, rate: float = 0.25, decay: float = 2e-4, share: float = TOXIC_SHARE) -> dict:
     """keep: sorted hashes of the features to weigh; features: (hashes, sentence numbers) of each document. Returns keys, weights and the bias."""
     n = len(labels)
     if n == 0 or not labels.any() or not len(keep):
@@ -80,7 +84,7 @@ def train(keep: np.ndarray, features: list[tuple[np.ndarray, np.ndarray]], label
     w, b = np.ones(len(keep)), -6.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     y = labels.astype(float)
-    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / max(1e-9, 1 - y.mean())) / n
+    weight = np.where(y > 0, share / y.mean(), (1 - share) / max(1e-9, 1 - y.mean())) / n
     for t in range(1, rounds + 1):
         score = b + np.bincount(sent, weights=w[col], minlength=at)
         p, log_none = _noisy_or(score, b, sent_doc, n)
@@ -113,7 +117,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
 
 
 def select_features(sample: DataFrame) -> np.ndarray:
-    """Sorted hashes of all features of (text, label) whose presence is evidence of label 1 in two documents or more. Documents are counted in the cluster; only these hashes come back, bounded by the sample."""
+    """Sorted hashes of all features of (text, label) whose presence is evidence of label 1, EVIDENCE nats at least. Documents are counted in the cluster; only these hashes come back, bounded by the sample."""
 
     def work(batches):
         for batch in batches:
@@ -133,8 +137,10 @@ def select_features(sample: DataFrame) -> np.ndarray:
     if not toxic:
         return np.zeros(0, np.uint64)
     sums = sample.mapInArrow(work, "h long, pos long, tot long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("tot").alias("tot"))
-    gain = F.col("pos") * F.log(((F.col("pos") + 0.5) / (toxic + 1)) / ((F.col("tot") - F.col("pos") + 0.5) / (n - toxic + 1)))
-    best = sums.where(F.col("pos") >= max(2, int(0.002 * toxic))).withColumn("gain", gain).where("gain > 0")
+    pos, neg = F.col("pos"), F.col("tot") - F.col("pos")
+    nats = lambda x, share: F.when(x > 0, x * F.log(x / (F.col("tot") * share))).otherwise(0.0)
+    evidence = nats(pos, toxic / n) + nats(neg, max(1e-9, 1 - toxic / n))
+    best = sums.where((pos >= 2) & (pos * n > F.col("tot") * toxic) & (evidence >= EVIDENCE))
     return np.sort(best.select("h").toArrow()["h"].to_numpy().view(np.uint64))
 
 
