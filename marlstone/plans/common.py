@@ -125,8 +125,11 @@ class Plans:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for round trips: in the shared checkpoint folder, or a temporary one where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-")
+    """A new folder for round trips: in the shared checkpoint folder, or a temporary one where none is set and all runs on this machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None and not (spark.sparkContext.master or "").startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    top = top or tempfile.mkdtemp(prefix="marlstone-")
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 

@@ -67,7 +67,7 @@ P.add(
     "documents",
     sql=f"WITH {D_BM} SELECT term, df, round(idf, 6) AS idf FROM idf_",
 )
-P.add("i5_lsa_vectors", lambda docs: I.lsa_vectors(docs, TOKENS(), "doc_id", rank=16, vocabulary=512).select("id", F.size("vector").alias("dim")), "documents")
+P.add("i5_lsa_vectors", lambda docs: I.lsa_vectors(docs, TOKENS(), "doc_id").select("id", F.size("vector").alias("dim"), F.round(F.abs(F.element_at("vector", 1)), 4).alias("first"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm")), "documents")
 
 
 _SUMS = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {k}, 8) AS BIGINT)) AS VARCHAR)" for k in (1, 9, 17))

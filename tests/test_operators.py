@@ -105,7 +105,7 @@ def test_bm25_by_hand(spark):
     assert [(r.id, r.score) for r in got] == [(1, pytest.approx(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 2))))]
 
 
-QUICK = ("u1_", "u4_", "u9_", "c3_", "c6_", "c7_", "p4_", "m5_", "m9_", "k3_", "q7_", "q11_", "q14_", "j1_", "j6_", "j8_", "j9_", "x7_", "x12_", "d8_", "e5_", "r3_", "r28_", "s6_", "s8_")
+QUICK = ("u1_", "u4_", "u9_", "c3_", "c6_", "c7_", "p4_", "m5_", "m9_", "k3_", "q7_", "q11_", "q14_", "j1_", "j6_", "j8_", "j9_", "x7_", "x12_", "d8_", "e5_", "r3_", "d2_", "d4_", "k7_", "q2_", "q4_", "q13_", "r11_", "r13_", "x15_", "e8_", "r28_", "s6_", "s8_")
 
 
 @pytest.fixture(scope="module")
