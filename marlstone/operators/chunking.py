@@ -196,17 +196,55 @@ def metadata_text(meta: DataFrame, column: str = "metadata") -> Column:
     return F.concat_ws(" ", *[empty(F.col(f"{column}.{k}").cast("string")) for k in SCALARS if k in have], *[empty(x) for x in lists])
 
 
-def adaptive(docs: DataFrame, hints: tuple[str, ...], rules: list[tuple[str, tuple[str, ...], tuple[str, ...]]]) -> DataFrame:
-    """(doc_id, grp, k, chunk_type, id, text): lines, headings, sections, types, then windows and bullet children of each section."""
+#: Types of sections whose lines are bullets, and types whose sentences are not searched for training.
+BULLETED = ("function", "duty", "function_duty", "howto")
+PLAIN = ("contact", "location")
+
+
+def adaptive(
+    docs: DataFrame,
+    hints: tuple[str, ...],
+    rules: list[tuple[str, tuple[str, ...], tuple[str, ...]]],
+    entity: Column,
+    teach: tuple[str, ...] = (),
+    leads: tuple[str, ...] = (),
+    train: tuple[str, ...] = (),
+    roles: tuple[str, ...] = (),
+    places: tuple[str, ...] = (),
+) -> DataFrame:
+    """(doc_id, grp, part, k, chunk_type, entity, section, text, id, parent_id, summary, priority) of documents (doc_id, text).
+
+    Lines, headings and entity headings (``entity``, a condition on ``text``) give sections and their types. A section gives windows, and children with the first window as parent: sentences with a marker of
+    ``teach`` (the sentence before put in front where it has a lead) or ``train``, bullets where the type has these, and short lines with a role, a contact or a place.
+    Of chunks of a document with the same type, entity and text the first stays.
+    """
+    from .knowledge import dedupe_first, priority
     from .pages import lines
 
-    rows = lines(docs)
-    carried = section_carry(rows, is_heading(F.col("text"), hints), F.lit(False))
-    sections = section_assemble(carried).withColumn("chunk_type", typed(T.norm("section"), T.norm("text"), rules))
+    carried = section_carry(lines(docs), is_heading(F.col("text"), hints), entity)
+    sections = section_assemble(carried).withColumn("base", typed(T.norm("section"), T.norm("text"), rules))
     keyed = sections.withColumn("sid", F.concat_ws(":", "doc_id", "grp"))
+    about = ["sid", "doc_id", "grp", "section", "entity", "base"]
     windows = word_windows(keyed, "sid").select(F.col("id").alias("sid"), "k", "text")
-    parents = keyed.select("sid", "doc_id", "grp", "chunk_type").join(windows, "sid").select("doc_id", "grp", "k", "chunk_type", "text")
-    bullets = keyed.select("doc_id", "grp", F.posexplode(F.split("text", "\n")).alias("k", "text"))
-    children = bullet_children(bullets, F.lit("howto"), ("doc_id", "grp")).select("doc_id", "grp", "k", F.col("kind").alias("chunk_type"), "text")
-    out = parents.unionByName(children)
-    return out.withColumn("id", identity("c", F.col("doc_id"), F.col("grp"), F.col("chunk_type"), F.col("k"), F.col("text")))
+    parents = keyed.select(*about).join(windows, "sid").withColumns({"part": F.lit("window"), "chunk_type": F.col("base"), "_o": F.lit(0)})
+    told = sentences(keyed, "sid").withColumn("_b", F.coalesce(F.lag("text").over(Window.partitionBy("id").orderBy("pos")), F.lit("")))
+    n = T.norm("text")
+    is_teach = T.any_hint(n, list(teach))
+    told = told.join(keyed.select("sid", "base"), F.col("id") == F.col("sid")).where(is_teach | (T.any_hint(n, list(train)) & ~F.col("base").isin(*PLAIN)))
+    said = F.when(is_teach & T.any_hint(T.norm("_b"), list(leads)), F.concat_ws(" ", "_b", "text")).otherwise(F.col("text"))
+    told = told.select("sid", F.col("pos").alias("k"), F.when(is_teach, "teaching").otherwise("training").alias("chunk_type"), said.alias("text"))
+    told = keyed.select(*about).join(told, "sid").withColumns({"part": F.lit("sentence"), "_o": F.lit(1)})
+    each = keyed.select(*about, F.posexplode(F.split("text", "\n")).alias("k", "text"))
+    bullets = bullet_children(each.where(F.col("base").isin(*BULLETED)), F.when(F.col("base") == "howto", "howto").otherwise("fact"), ("doc_id", "grp"))
+    bullets = bullets.withColumnRenamed("kind", "chunk_type").withColumns({"part": F.lit("bullet"), "_o": F.lit(2)})
+    short = each.where(F.size(T.words("text")) >= 3).withColumn("chunk_type", line_kind(F.col("text"), roles, places))
+    short = short.where((F.col("chunk_type") != "") & ~((F.col("chunk_type") == "location") & (F.col("base") == "history"))).withColumns({"part": F.lit("line"), "_o": F.lit(3)})
+    shown = [*about, "part", "_o", "k", "chunk_type", "text"]
+    rows = parents.select(*shown).unionByName(told.select(*shown)).unionByName(bullets.select(*shown)).unionByName(short.select(*shown))
+    own = lambda kind, k, text: identity("c", F.col("doc_id"), F.col("grp"), kind, k, text)
+    first = parents.where("k = 0").select("sid", own(F.col("base"), F.lit(0), F.col("text")).alias("_first"))
+    rows = rows.join(first, "sid", "left").withColumn("parent_id", F.when(F.col("part") != "window", F.col("_first")))
+    rows = rows.withColumns({"_e": T.norm_ascii("entity"), "_t": F.sha1(T.norm_ascii("text"))})
+    one = dedupe_first(rows, ["doc_id", "chunk_type", "_e", "_t"], "grp", "_o", "k")
+    one = one.withColumns({"id": own(F.col("chunk_type"), F.col("k"), F.col("text")), "summary": summary(F.col("text")), "priority": priority(F.col("chunk_type"))})
+    return one.select("doc_id", "grp", "part", "k", "chunk_type", "entity", "section", "text", "id", "parent_id", "summary", "priority")

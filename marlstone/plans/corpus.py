@@ -98,7 +98,7 @@ P.add(
 D_WINDOWS = f"""ww AS (SELECT doc_id AS id, {d_words('text')} AS w FROM documents), st AS (SELECT id, w, unnest(CASE WHEN len(w) <= 220 THEN [0] ELSE range(0, greatest(1, len(w) - 35), 135) END) AS start FROM ww WHERE len(w) > 0),
     windows AS (SELECT id, CAST(start / 135 AS INTEGER) AS k, CAST(start AS INTEGER) AS start, CASE WHEN len(w) <= 220 THEN w ELSE w[start + 1:start + 170] END AS p FROM st)"""
 P.add("c6_word_windows", lambda d: C.word_windows(d).select("id", "k", "start", "words", F.md5("text").alias("text")), "documents", sql=f"WITH {D_WINDOWS} SELECT id, k, start, CAST(len(p) AS INTEGER) AS words, md5(array_to_string(p, ' ')) AS text FROM windows")
-D_SENT = rf"""ss AS (SELECT doc_id AS id, string_split(regexp_replace(text, '([.!?;:])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+D_SENT = rf"""ss AS (SELECT doc_id AS id, string_split(regexp_replace(text, '([.!?;])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
     sents AS (SELECT id, CAST(pos - 1 AS INTEGER) AS pos, {d_ws('s')} AS text FROM (SELECT id, unnest(s) AS s, generate_subscripts(s, 1) AS pos FROM ss) WHERE {d_ws('s')} <> '')"""
 P.add("c7_sentence_split", lambda d: C.sentences(d).select("id", "pos", F.md5("text").alias("text")), "documents", sql=f"WITH {D_SENT} SELECT id, pos, md5(text) AS text FROM sents")
 P.add(
@@ -161,15 +161,28 @@ P.add(
     "documents",
     sql="SELECT doc_id, CASE WHEN s < 10 THEN 'web' ELSE 'local' END AS source_kind, s % 3 = 0 AS is_authoritative, CASE WHEN s % 2 = 0 THEN 'unit' ELSE 'document' END AS entity_type FROM (SELECT doc_id, CAST(substr(source, 4, 9) AS INT) AS s FROM documents)",
 )
-D_CARRY0 = D_CARRY.replace("starts_with(lower(text), 'the ') AND len(" + d_words("text") + ") <= 12 AS e", "false AS e")
+#: What the children of a section are found by: markers and leads of two kinds of sentences, markers of roles and places in lines.
+TEACH, LEADS, TRAIN, ROLES, PLACES = ("with the", "avec"), ("that", "que"), ("license", "and the"), ("was", "est "), ("in", "at", "on")
+_entity = lambda: F.lower("text").startswith("the ") & (F.size(T.words("text")) <= 12)
+_kind = f"""CASE WHEN len({d_words('t')}) > 14 THEN '' WHEN {d_hints(d_norm('t'), ROLES)} THEN 'role' WHEN contains({d_norm('t')}, '@') OR regexp_matches(t, '[0-9]{{6}}') THEN 'contact'
+    WHEN {' + '.join(f"CAST(contains({d_norm('t')}, '{p}') AS INT)" for p in PLACES)} >= 2 THEN 'location' ELSE '' END"""
 P.add(
     "c17_adaptive_chunk",
-    lambda d: C.adaptive(d, HINTS, RULES).groupBy("doc_id", "chunk_type").agg(F.count("*").alias("n")),
+    lambda d: C.adaptive(d, HINTS, RULES, _entity(), TEACH, LEADS, TRAIN, ROLES, PLACES).groupBy("doc_id", "part", "chunk_type").agg(F.count("*").alias("n"), F.count("parent_id").alias("children"), F.sum("priority").cast("long").alias("priority")),
     "documents",
-    sql=f"""WITH {D_CARRY0}, sections AS (SELECT doc_id, grp, max(section) AS section, string_agg(CASE WHEN NOT heading THEN text END, chr(10) ORDER BY pos) AS text FROM carried GROUP BY doc_id, grp HAVING string_agg(CASE WHEN NOT heading THEN text END, '') <> ''),
-        t AS (SELECT doc_id, grp, {D_TYPED} AS chunk_type, len({d_words('text')}) AS n FROM sections), w AS (SELECT doc_id, chunk_type, CASE WHEN n <= 220 THEN 1 ELSE len(range(0, n - 35, 135)) END AS n FROM t),
-        b AS (SELECT doc_id, 'howto' AS chunk_type, 1 AS n FROM carried WHERE NOT heading AND len({d_words('text')}) >= 4 QUALIFY count(*) OVER (PARTITION BY doc_id, grp) >= 2)
-        SELECT doc_id, chunk_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM w UNION ALL SELECT * FROM b) GROUP BY ALL""",
+    sql=rf"""WITH {D_SECTIONS.replace('max(section) AS section,', 'max(section) AS section, max(entity) AS entity,')}, t AS (SELECT doc_id, grp, entity, text, {D_TYPED} AS base, {d_words('text')} AS w FROM sections),
+        wn AS (SELECT doc_id, grp, entity, base, unnest(CASE WHEN len(w) <= 220 THEN [0] ELSE range(0, len(w) - 35, 135) END) AS start, w FROM t),
+        p AS (SELECT doc_id, grp, entity, 'window' AS part, base AS chunk_type, array_to_string(CASE WHEN len(w) <= 220 THEN w ELSE w[start + 1:start + 170] END, ' ') AS text, start AS k FROM wn),
+        sn AS (SELECT doc_id, grp, entity, base, unnest(x) AS s, generate_subscripts(x, 1) AS k FROM (SELECT *, string_split(regexp_replace(text, '([.!?;])[\s]+', '' || chr(1), 'g'), chr(1)) AS x FROM t)),
+        sl AS (SELECT *, {d_ws('s')} AS t, coalesce(lag({d_ws('s')}) OVER (PARTITION BY doc_id, grp ORDER BY k), '') AS b FROM sn WHERE {d_ws('s')} <> ''),
+        sc AS (SELECT doc_id, grp, entity, 'sentence' AS part, CASE WHEN {d_hints(d_norm('t'), TEACH)} THEN 'teaching' ELSE 'training' END AS chunk_type, CASE WHEN {d_hints(d_norm('t'), TEACH)} AND {d_hints(d_norm('b'), LEADS)} THEN b || ' ' || t ELSE t END AS text, k
+            FROM sl WHERE {d_hints(d_norm('t'), TEACH)} OR ({d_hints(d_norm('t'), TRAIN)} AND base NOT IN ('contact', 'location'))),
+        ln AS (SELECT doc_id, grp, entity, base, unnest(x) AS t, generate_subscripts(x, 1) AS k FROM (SELECT *, string_split(text, chr(10)) AS x FROM t)),
+        bl AS (SELECT doc_id, grp, entity, 'bullet' AS part, CASE WHEN base = 'howto' THEN 'howto' ELSE 'fact' END AS chunk_type, t AS text, k FROM ln WHERE base IN ('function', 'duty', 'function_duty', 'howto') AND len({d_words('t')}) >= 4 QUALIFY count(*) OVER (PARTITION BY doc_id, grp) >= 2),
+        lc AS (SELECT doc_id, grp, entity, 'line' AS part, {_kind} AS chunk_type, t AS text, k FROM ln WHERE len({d_words('t')}) >= 3 AND {_kind} <> '' AND NOT ({_kind} = 'location' AND base = 'history')),
+        u AS (SELECT *, 0 AS o FROM p UNION ALL SELECT *, 1 FROM sc UNION ALL SELECT *, 2 FROM bl UNION ALL SELECT *, 3 FROM lc),
+        one AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_type, {d_ascii('entity')}, {d_ascii('text')} ORDER BY grp, o, k) = 1)
+        SELECT doc_id, part, chunk_type, count(*) AS n, count(CASE WHEN part <> 'window' THEN 1 END) AS children, CAST(sum(CASE chunk_type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in K.PRIORITY.items())} ELSE {K.PRIORITY['generic']} END) AS BIGINT) AS priority FROM one GROUP BY ALL""",
 )
 
 _list = lambda c: F.array_join(c, "|")
