@@ -22,14 +22,42 @@ def variant_match(questions: DataFrame, reviews: DataFrame, variants: DataFrame,
     return best.where(F.col("score") >= least).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def entity_match(questions: DataFrame, names: DataFrame, least: float = 0.6) -> DataFrame:
-    """(question_id, name, score): share of a name's tokens in the question, + .3 if it holds the whole name; the best at ``least`` or more."""
-    q = questions.select("question_id", T.norm_ascii("question").alias("q")).select("question_id", "q", F.explode(F.array_distinct(F.split("q", " "))).alias("t"))
-    n = names.select("name", T.norm_ascii("name").alias("nn")).withColumn("nt", F.array_distinct(F.split("nn", " ")))
-    hits = q.join(n.select("name", "nn", F.size("nt").alias("n"), F.explode("nt").alias("t")), "t").groupBy("question_id", "q", "name", "nn", "n").agg(F.count("*").alias("c"))
-    rows = hits.withColumn("score", F.col("c") / F.col("n") + F.when(F.col("q").contains(F.col("nn")), 0.3).otherwise(0.0)).where(F.col("score") >= least)
-    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "name")
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("question_id", "name", "score")
+def entity_fragment(x: Column, units: tuple[str, ...], heads: tuple[str, ...], stops: tuple[str, ...]) -> Column:
+    """What follows a unit's word (a head's before it comes first) in a normalised text, up to a phrase of ``stops``; '' if nothing does."""
+    unit, stop = "|".join(units), "|".join(stops)
+    out = F.lit("")
+    for lead in (rf"\b(?:{unit})\s+", rf"\b(?:{'|'.join(heads)})\s+(?:{unit})\s+"):
+        found = F.regexp_extract(x, lead + r"([a-z0-9][a-z0-9\s&.-]*)", 1)
+        found = F.trim(F.regexp_extract(found, rf"^(.*?)(?:\b(?:{stop})\b|$)", 1))
+        out = F.when(found != "", found).otherwise(out)
+    return out
+
+
+def entity_match(questions: DataFrame, names: DataFrame, units: tuple[str, ...], heads: tuple[str, ...], stops: tuple[str, ...], common: tuple[str, ...]) -> DataFrame:
+    """(question_id, name, score): the best name of each question (question_id, question), of those that share a word with it.
+
+    4 for the whole name in the question, 3 for the name without its unit's word, 3.5 for the question's fragment in that, each and a hundredth of its length; the share of the name's tokens
+    that the question (its fragment, if there is one) has, .6 for each, 2.2 if the question's are all among them, 1.4 for each shared phrase of two to four tokens. Tokens have two
+    characters and are not ``common``. Kept with 3 points, two shared tokens (or all of the question's), a shared phrase, or all of the question's tokens; ties go to the first name.
+    """
+    listed = F.array(*[F.lit(t) for t in common]) if common else F.array().cast("array<string>")
+    own = lambda x: F.filter(F.split(x, " "), lambda t: (F.length(t) >= 2) & ~F.array_contains(listed, t))
+    q = questions.select("question_id", T.norm_ascii("question").alias("q")).where("q <> ''").withColumn("f", entity_fragment(F.col("q"), units, heads, stops))
+    q = q.withColumn("qt", own(F.when(F.col("f") != "", F.col("f")).otherwise(F.col("q")))).withColumns({"qs": F.array_distinct("qt"), "qp": F.array_distinct(T.ngrams(F.col("qt"), 2, 4))})
+    n = names.select("name", T.norm_ascii("name").alias("nn")).where("nn <> ''").distinct().withColumn("short", F.trim(F.regexp_replace("nn", rf"^(?:{'|'.join(units)})\s+", "")))
+    n = n.withColumn("nt", own(F.col("short"))).withColumns({"ns": F.array_distinct("nt"), "np": F.array_distinct(T.ngrams(F.col("nt"), 2, 4))})
+    words = lambda x: F.explode(F.array_distinct(F.filter(F.split(x, " "), lambda t: (F.length(t) >= 2) & ~F.array_contains(listed, t)))).alias("t")
+    pairs = q.select("question_id", words(F.col("q"))).join(n.select("name", words(F.col("nn"))), "t").select("question_id", "name").distinct()
+    rows = pairs.join(q, "question_id").join(n, "name")
+    hits, phrases = F.size(F.array_intersect("qs", "ns")), F.size(F.array_intersect("qp", "np"))
+    size, inside = F.size("qs"), (F.size("qs") > 0) & (F.size(F.array_except("qs", "ns")) == 0)
+    some = lambda ok, base, x: F.when(ok, base + F.length(x) / 100.0).otherwise(0.0)
+    score = some(F.col("q").contains(F.col("nn")), 4.0, "nn") + some((F.col("short") != "") & F.col("q").contains(F.col("short")), 3.0, "short") + some((F.col("f") != "") & F.col("short").contains(F.col("f")), 3.5, "f")
+    score = score + F.when(F.size("ns") > 0, hits / F.size("ns") + 0.6 * hits + F.when(inside, 2.2).otherwise(0.0)).otherwise(0.0) + 1.4 * phrases
+    enough = (F.size("ns") > 0) & ((hits >= F.greatest(F.lit(1), F.least(F.lit(2), size))) | (phrases >= 1) | inside)
+    kept = rows.withColumns({"score": F.round(score, 9), "_ok": enough}).where((F.col("score") > 0) & ((F.col("score") >= 3.0) | F.col("_ok")))
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "name")
+    return kept.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("question_id", "name", "score")
 
 
 def entity_profiles(blocks: DataFrame, starts: Column, contact: Column, key: str = "doc_id") -> DataFrame:

@@ -367,14 +367,25 @@ P.add(
         s AS (SELECT q.turn_id, review_turn, max(CASE WHEN q = v THEN 10.0 ELSE len(list_intersect(qt, list_distinct(string_split(v, ' ')))) / len(qt) + CASE WHEN contains(q, v) OR contains(v, q) THEN 0.5 ELSE 0 END END) AS score FROM q, v GROUP BY ALL)
         SELECT turn_id, review_turn, round(CAST(score AS DOUBLE), 6) AS score FROM s WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY round(score, 9) DESC, review_turn) = 1""",
 )
+#: Words of units and heads, phrases that end a name, and words that name nothing, for the parts' names.
+UNITS, HEADS, STOPS, PLAINWORDS = ("green", "blue"), ("large", "small"), ("steel", "tin"), ("economy", "standard")
+_toks2 = lambda x: f"list_filter(string_split({x}, ' '), lambda t: length(t) >= 2 AND t NOT IN ({', '.join(repr(w) for w in PLAINWORDS)}))"
+_grams = lambda t: f"list_distinct(flatten([list_transform(range(1, greatest(len({t}) - k + 2, 1)), lambda i: array_to_string({t}[i:i + k - 1], ' ')) for k in [2, 3, 4]]))"
+_frag = lambda lead: rf"trim(regexp_extract(regexp_extract(q, '{lead}([a-z0-9][a-z0-9\s&.-]*)', 1), '^(.*?)(?:\b(?:{'|'.join(STOPS)})\b|$)', 1))"
+_lead1, _lead2 = rf"\b(?:{'|'.join(HEADS)})\s+(?:{'|'.join(UNITS)})\s+", rf"\b(?:{'|'.join(UNITS)})\s+"
 P.add(
     "r24_entity_match",
-    lambda p: N.entity_match(p.select(F.col("p_partkey").alias("question_id"), F.concat_ws(" ", "p_name", "p_type").alias("question")), p.select(F.col("p_name").alias("name")).distinct()).select("question_id", "name", F.round("score", 6).alias("score")),
+    lambda p: N.entity_match(p.select(F.col("p_partkey").alias("question_id"), F.concat_ws(" ", "p_name", "p_type").alias("question")), p.select(F.col("p_name").alias("name")).distinct(), UNITS, HEADS, STOPS, PLAINWORDS).select("question_id", "name", F.round("score", 6).alias("score")),
     "part",
-    sql=f"""WITH q AS (SELECT p_partkey AS question_id, {d_ascii("p_name || ' ' || p_type")} AS q FROM part), qt AS (SELECT question_id, q, unnest(list_distinct(string_split(q, ' '))) AS t FROM q),
-        n AS (SELECT DISTINCT p_name AS name, {d_ascii('p_name')} AS nn FROM part), nt AS (SELECT name, nn, len(list_distinct(string_split(nn, ' '))) AS n, unnest(list_distinct(string_split(nn, ' '))) AS t FROM n),
-        s AS (SELECT question_id, name, count(*) / any_value(n) + CASE WHEN contains(any_value(q), any_value(nn)) THEN 0.3 ELSE 0 END AS score FROM qt JOIN nt USING (t) GROUP BY question_id, name)
-        SELECT question_id, name, round(CAST(score AS DOUBLE), 6) AS score FROM s WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, name) = 1""",
+    sql=rf"""WITH q0 AS (SELECT p_partkey AS question_id, {d_ascii("p_name || ' ' || p_type")} AS q FROM part), q1 AS (SELECT *, coalesce(nullif({_frag(_lead1)}, ''), {_frag(_lead2)}) AS f FROM q0),
+        q2 AS (SELECT *, {_toks2("CASE WHEN f <> '' THEN f ELSE q END")} AS qt FROM q1), q AS (SELECT *, list_distinct(qt) AS qs, {_grams('qt')} AS qp, list_distinct({_toks2('q')}) AS qw FROM q2),
+        n0 AS (SELECT DISTINCT p_name AS name, {d_ascii('p_name')} AS nn FROM part), n1 AS (SELECT *, trim(regexp_replace(nn, '^(?:{'|'.join(UNITS)})\s+', '')) AS short FROM n0), n2 AS (SELECT *, {_toks2('short')} AS nt FROM n1),
+        n AS (SELECT *, list_distinct(nt) AS ns, {_grams('nt')} AS np, list_distinct({_toks2('nn')}) AS nw FROM n2),
+        pr AS (SELECT DISTINCT question_id, name FROM (SELECT question_id, unnest(qw) AS t FROM q) JOIN (SELECT name, unnest(nw) AS t FROM n) USING (t)),
+        r AS (SELECT *, len(list_intersect(qs, ns)) AS hits, len(list_intersect(qp, np)) AS ph, len(qs) > 0 AND len(list_filter(qs, lambda t: NOT list_contains(ns, t))) = 0 AS inside FROM pr JOIN q USING (question_id) JOIN n USING (name)),
+        s AS (SELECT question_id, name, round(CAST(CASE WHEN contains(q, nn) THEN 4 + length(nn) / 100 ELSE 0 END + CASE WHEN short <> '' AND contains(q, short) THEN 3 + length(short) / 100 ELSE 0 END + CASE WHEN f <> '' AND contains(short, f) THEN 3.5 + length(f) / 100 ELSE 0 END
+            + CASE WHEN len(ns) > 0 THEN hits / len(ns) + 0.6 * hits + CASE WHEN inside THEN 2.2 ELSE 0 END ELSE 0 END + 1.4 * ph AS DOUBLE), 9) AS score, len(ns) > 0 AND (hits >= greatest(1, least(2, len(qs))) OR ph >= 1 OR inside) AS ok FROM r)
+        SELECT question_id, name, round(score, 6) AS score FROM s WHERE score > 0 AND (score >= 3 OR ok) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, name) = 1""",
 )
 P.add(
     "r25_entity_profiles",
