@@ -56,13 +56,13 @@ def test_difficulty_weight_priority(spark):
     arr = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<double>")
     assert one(spark, retriever_data.difficulty(arr())) == 0.5
     assert one(spark, retriever_data.difficulty(arr(1.0))) == pytest.approx(0.5)
-    assert one(spark, retriever_data.weight(F.lit(1.0), F.lit(0.5), F.lit("seed"))) == pytest.approx(1.0)
+    assert one(spark, retriever_data.weight(F.lit(1.0), F.lit(0.5), F.lit("seed_qa"))) == pytest.approx(1.0)
     assert one(spark, retriever_data.weight(F.lit(1.0), F.lit(0.5), F.lit("history"))) == pytest.approx(0.92)
     assert [one(spark, search.priority_boost(F.lit(p))) for p in (250, -3, 98)] == [0.1, 0, 0.098]
 
 
 def test_rejected_beats_original(spark):
-    rows = spark.createDataFrame([("t", "same", "neutral", 0.4, "original"), ("t", "same", "rejected", 0.15, "feedback_low")], "turn_id string, text string, label string, score double, source string")
+    rows = spark.createDataFrame([("t", "same", "original", 0.4, "history", "0:"), ("t", "same", "rejected", 0.15, "feedback", "4:")], "turn_id string, text string, label string, score double, source string, pos string")
     got = preference.candidate_dedupe(rows).collect()
     assert [(r.label, r.score) for r in got] == [("rejected", 0.15)]
 
