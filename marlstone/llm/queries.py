@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, exact_dedup, langid, minhash, mixing, pii, quality, suffix, toxicity
+from . import bpe, covertree, exact_dedup, langid, minhash, mixing, pii, quality, suffix, tokencount, toxicity
 from .common import learns
 
 #: The vocabulary of the BPE queries; another file is another parameter.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: The model of the token counts.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,7 +69,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(_load(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_topk, op3_pii, op4_language, op5_mixing, op6_bpe, op7_toxicity, op8_exact_dedup, op9_suffix, op10_minhash)}
+def op12_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(_load(spark, sf_dir, "documents"), PIECES)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_topk, op3_pii, op4_language, op5_mixing, op6_bpe, op7_toxicity, op8_exact_dedup, op9_suffix, op10_minhash, op12_tokencount)}
 
 
 def _mixing_sql(rounds: int = mixing.ROUNDS) -> str:
