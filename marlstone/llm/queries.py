@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, exact_dedup, langid, minhash, mixing, pii, quality, suffix, tokencount, toxicity
+from . import bpe, covertree, exact_dedup, langid, minhash, mixing, pii, quality, rangemax, suffix, tokencount, toxicity
 from .common import learns
 
 #: The vocabulary of the BPE queries; another file is another parameter.
@@ -69,11 +69,15 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(_load(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangemax.search(_load(spark, sf_dir, "documents"), _load(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_load(spark, sf_dir, "documents"), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_topk, op3_pii, op4_language, op5_mixing, op6_bpe, op7_toxicity, op8_exact_dedup, op9_suffix, op10_minhash, op12_tokencount)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_topk, op3_pii, op4_language, op5_mixing, op6_bpe, op7_toxicity, op8_exact_dedup, op9_suffix, op10_minhash, op11_lexical, op12_tokencount)}
 
 
 def _mixing_sql(rounds: int = mixing.ROUNDS) -> str:
@@ -103,6 +107,13 @@ def _mixing_sql(rounds: int = mixing.ROUNDS) -> str:
     return f"WITH {', '.join(steps)} SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round({p}, 6) AS prob, {u} < {p} AS sampled FROM docs d JOIN prob USING (source, lang, topic)"
 
 
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _terms_sql(text: str) -> str:
+    return rf"regexp_extract_all(translate({text}, '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
 ORACLE = {
     "op2_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
@@ -115,4 +126,13 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_lexical": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms_sql("coalesce(text, '')")} AS t FROM documents),
+        tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+        g AS (SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(g.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf CROSS JOIN g GROUP BY term),
+        m AS (SELECT r, doc_id, 10 + (90 * len(t) * g.n) // g.l AS m FROM d CROSS JOIN g),
+        q AS (SELECT DISTINCT item_id, unnest({_terms_sql("coalesce(text, '')")}) AS term FROM benchmark),
+        s AS (SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10""",
 }

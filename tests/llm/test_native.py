@@ -71,7 +71,9 @@ def test_raking_reaches_the_targets(spark):
         "lang": spark.createDataFrame([("x", 0.3), ("y", 0.7)], "lang string, target double"),
         "topic": spark.createDataFrame([("t", 1.0)], "topic string, target double"),
     }
-    rows = mixing.rake(cells, targets, 6).collect()
+    fitted, error = mixing.rake(cells, targets, 6)
+    rows = fitted.collect()
+    assert error < 1e-4
     share = lambda f: sum(r.weight for r in rows if f(r))
     assert share(lambda r: r.source == "a") == pytest.approx(0.5, abs=1e-4)
     assert share(lambda r: r.lang == "x") == pytest.approx(0.3, abs=1e-4)
