@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, exact_dedup, langid, minhash, mixing, pii, quality, rangemax, suffix, tokencount, toxicity
+from . import bpe, covertree, exact_dedup, langid, minhash, mixing, phrases, pii, quality, rangemax, suffix, tokencount, toxicity
 from .common import learns
 
 #: The vocabulary of the BPE queries; another file is another parameter.
@@ -77,7 +77,11 @@ def op12_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_load(spark, sf_dir, "documents"), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_topk, op3_pii, op4_language, op5_mixing, op6_bpe, op7_toxicity, op8_exact_dedup, op9_suffix, op10_minhash, op11_lexical, op12_tokencount)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_load(spark, sf_dir, "documents"), least=100, longest=5, inside=100, top=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_topk, op3_pii, op4_language, op5_mixing, op6_bpe, op7_toxicity, op8_exact_dedup, op9_suffix, op10_minhash, op11_lexical, op12_tokencount, op13_collocations)}
 
 
 def _mixing_sql(rounds: int = mixing.ROUNDS) -> str:
@@ -135,4 +139,19 @@ ORACLE = {
         q AS (SELECT DISTINCT item_id, unnest({_terms_sql("coalesce(text, '')")}) AS term FROM benchmark),
         s AS (SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL)
         SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10""",
+    "op13_collocations": rf"""
+        WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+            unnest(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+        t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+            FROM p CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+        x AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+        y AS (SELECT x.lang, x.phrase, x.a, x.k, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * x.a * t.n) // (l.f::HUGEINT * r.f) AS score FROM x JOIN t USING (lang)
+            JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.k], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.k + 1:], ' ')),
+        b AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        i AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, a AS f, unnest(flatten(list_transform(range(2, size), lambda k: list_transform(range(1, size - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))))) AS phrase FROM c)
+            GROUP BY ALL)
+        SELECT b.lang, row_number() OVER o AS rank, b.phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.f IS NULL OR 100 * i.f < 100 * a
+        WINDOW o AS (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) QUALIFY row_number() OVER o <= 2000""",
 }
