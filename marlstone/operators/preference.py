@@ -25,7 +25,7 @@ HIGH, LOW = 4, 2
 #: Words without weight, marks of a direct question, and texts that answer none.
 STOPWORDS = (
     "ban", "toi", "minh", "cho", "hoi", "ve", "la", "gi", "nao", "o", "dau", "co", "cua", "trong", "va", "hoac", "thi", "nhu", "the", "can", "hay", "duoc", "khong", "mot",
-    "cac", "nhung", "nay", "do", "day", "uneti", "truong",
+    "cac", "nhung", "nay", "do", "day", "truong",
 )
 DIRECT = (" la gi", " o dau", " day mon gi", " dao tao gi", " ai")
 EVASIVE = ("lich su hinh thanh", "ngay nay da co lich su", "song song voi viec giang day", "khong tim thay du thong tin")
@@ -185,6 +185,26 @@ def formats(pairs: DataFrame, questions: DataFrame) -> DataFrame:
     return rows.select("turn_id", each.alias("f")).select("turn_id", "f.framework", "f.row")
 
 
+def framework_rows(pairs: DataFrame, sft: DataFrame, questions: DataFrame, frameworks: tuple[str, ...] = ("trl", "axolotl", "unsloth")) -> DataFrame:
+    """(turn_id, framework, task, row): what each framework trains on, in JSON text: ``sft`` as messages or instructions, ``preference`` as prompt / chosen / rejected."""
+    chat = lambda role, x: F.struct(F.lit(role).alias("role"), F.col(x).alias("content"))
+    messages = F.array(chat("user", "prompt"), chat("assistant", "response")).alias("messages")
+    one = {
+        "trl": F.struct(messages, "prompt", F.col("response").alias("completion")),
+        "axolotl": F.struct(F.col("prompt").alias("instruction"), F.lit("").alias("input"), F.col("response").alias("output")),
+        "unsloth": F.struct(messages),
+    }
+    wrong = set(frameworks) - set(one)
+    if wrong:
+        raise ValueError(f"unknown frameworks {sorted(wrong)}")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("framework"), F.to_json(one[k]).alias("row")) for k in frameworks]))
+    told = sft.select("turn_id", F.lit("sft").alias("task"), each.alias("f"))
+    pair = F.to_json(F.struct(F.col("question").alias("prompt"), "chosen", "rejected"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("framework"), pair.alias("row")) for k in frameworks]))
+    compared = pairs.join(questions.select("turn_id", "question"), "turn_id").select("turn_id", F.lit("preference").alias("task"), each.alias("f"))
+    return told.unionByName(compared).select("turn_id", "f.framework", "task", "f.row")
+
+
 def reward_examples(pairs: DataFrame, questions: DataFrame) -> DataFrame:
     """Distinct (question, answer, label): 1 for chosen, 0 for rejected."""
     rows = pairs.join(questions.select("turn_id", "question"), "turn_id")

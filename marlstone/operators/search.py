@@ -192,7 +192,7 @@ TYPE_MARKS = {
     "teaching": ("day mon", "mon gi", "mon nao", "giang day", "hoc phan", "day hoc"),
     "training": ("dao tao gi", "nganh nao", "nganh gi", "chuong trinh dao tao", "ma nganh", "tin chi"),
     "history": ("lich su", "thanh lap", "tien than", "giai doan"),
-    "overview": ("tong quan", "gioi thieu", "uneti", "truong co"),
+    "overview": ("tong quan", "gioi thieu", "truong co"),
     "function": ("lam gi", "chuc nang", "nhiem vu"),
     "duty": ("lam gi", "nhiem vu", "phu trach"),
     "function_duty": ("lam gi", "chuc nang", "nhiem vu"),
@@ -267,7 +267,6 @@ CONTRAST = (
     _rule(_TRAIN, 0.10, ("khoa hoc du lieu",)),
     _rule(_TRAIN, -0.18, ("dieu chinh chuong trinh", "quy che hoat dong")),
     _rule(_FOUNDED, 0.12, ("duoc thanh lap",)),
-    _rule(_FOUNDED, 0.22, ("truong dai hoc kinh te ky thuat cong nghiep duoc thanh lap",)),
     _rule(_FOUNDED, 0.10, ("quyet dinh",)),
     _rule(_FOUNDED, 0.08, type="overview"),
     _rule(_FOUNDED, -0.05, _BEFORE, (), _BEFORE),
@@ -275,6 +274,12 @@ CONTRAST = (
 )
 
 
+def named(full: str, *short: str) -> dict:
+    """Keyword arguments of ``type_boost`` and ``contrast_boost`` for one institution: its short names ask for an overview, and a text that tells of the founding of its ``full`` name gets .22 more. All are normal forms."""
+    marks = TYPE_MARKS | {"overview": (*TYPE_MARKS["overview"], *short)}
+    return {"marks": marks, "rules": (*CONTRAST, _rule(_FOUNDED, 0.22, (f"{full} duoc thanh lap",)))}
+
+
 def contrast_boost(pairs: DataFrame, rules: tuple[dict, ...] = CONTRAST) -> DataFrame:
     """``pairs`` (query and text normalised, chunk_type) with ``contrast``, the sum of the deltas of all rules that hold.
 

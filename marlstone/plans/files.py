@@ -8,9 +8,10 @@ from ..operators import pages as G
 from ..operators import preference as X
 from ..operators import retriever_data as D
 from ..sources import files as S
+from ..sources import published as R
 from ..streaming import stateful as T
 from .common import Plans, d_bucket, scratch
-from .preference import D_PAIRS, pairs
+from .preference import D_PAIRS, VIEWS, pairs, sft
 from .sessions import D_FEEDBACK, with_domain
 
 P = Plans()
@@ -90,19 +91,29 @@ P.add(
 
 
 def layout(*v):
-    rows = X.formats(pairs(*v), v[0]).withColumn("split", X.salted_split(F.col("turn_id"), "dpo", 0.3))
-    path = scratch(v[0].sparkSession, "layout")
-    S.write_partitioned(rows.withColumn("task", F.lit("preference")), path, "framework", "task", "split")
-    back = S.read_partitioned(v[0].sparkSession, path, "turn_id string, row string, framework string, task string, split string")
-    return back.groupBy("framework", "task", "split").agg(F.count("*").alias("rows"))
-
-
-_V = ("turns", "reviews_v", "feedback_v", "contrib_v")
+    """Published by framework, task and split; the rows that are there, and those that the manifest lists."""
+    rows = X.framework_rows(pairs(*v), sft(*v), v[0])
+    salted = {task: X.salted_split(F.col("turn_id"), salt, 0.3) for task, salt in (("sft", "sft"), ("preference", "pref"))}
+    rows = rows.withColumn("split", F.when(F.col("task") == "sft", salted["sft"]).otherwise(salted["preference"]))
+    spark, path, keys = v[0].sparkSession, scratch(v[0].sparkSession, "layout"), ("framework", "task", "split")
+    R.publish_layout(rows, path, *keys)
+    back = R.read_layout(spark, path, "turn_id string, row string, framework string, task string, split string")
+    digest = F.sum(F.conv(F.substring(F.md5("row"), 1, 8), 16, 10).cast("long")).alias("digest")
+    return back.groupBy(*keys).agg(F.count("*").alias("rows"), digest).join(R.read_manifest(spark, path, *keys).select(*keys, F.col("rows").alias("listed")), list(keys))
+
+
+_salted = lambda salt: f"CASE WHEN {d_bucket(chr(39) + salt + ':' + chr(39) + ' || turn_id')} / 4294967295.0e0 < 0.3 THEN 'val' ELSE 'train' END"
+_chat = "[{'role': 'user', 'content': prompt}, {'role': 'assistant', 'content': response}]"
 P.add(
     "s9_framework_layout_sink",
     layout,
-    *_V,
-    sql=f"WITH {D_PAIRS} SELECT framework, 'preference' AS task, CASE WHEN {d_bucket(chr(39) + 'dpo:' + chr(39) + ' || turn_id')} / 4294967295.0e0 < 0.3 THEN 'val' ELSE 'train' END AS split, count(*) AS rows FROM pairs CROSS JOIN (SELECT unnest(['messages', 'instruction', 'dpo']) AS framework) GROUP BY ALL",
+    *VIEWS,
+    sql=f"""WITH {D_PAIRS}, j AS (SELECT p.*, et.question FROM pairs p JOIN et USING (turn_id)),
+        r AS (SELECT 'trl' AS framework, 'sft' AS task, {_salted('sft')} AS split, CAST(to_json({{'messages': {_chat}, 'prompt': prompt, 'completion': response}}) AS VARCHAR) AS row FROM sft
+            UNION ALL SELECT 'axolotl', 'sft', {_salted('sft')}, CAST(to_json({{'instruction': prompt, 'input': '', 'output': response}}) AS VARCHAR) FROM sft
+            UNION ALL SELECT 'unsloth', 'sft', {_salted('sft')}, CAST(to_json({{'messages': {_chat}}}) AS VARCHAR) FROM sft
+            UNION ALL SELECT f.framework, 'preference', {_salted('pref')}, CAST(to_json({{'prompt': question, 'chosen': chosen, 'rejected': rejected}}) AS VARCHAR) FROM j CROSS JOIN (SELECT unnest(['trl', 'axolotl', 'unsloth']) AS framework) f)
+        SELECT framework, task, split, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(row), 1, 8) AS BIGINT)) AS BIGINT) AS digest, count(*) AS listed FROM r GROUP BY ALL""",
 )
 P.add("s10_seed_chunk_export", _trip("chunks", lambda c, p: c.select("id", "text").write.json(p), lambda s, p: S.manifest(S.read_jsonl(s, p, "id string, text string"))), "corpus_v", sql="SELECT count(*) AS chunks, '1' AS schema_version FROM corpus_v")
 
