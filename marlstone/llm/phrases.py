@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,9 +151,38 @@ def _counted(rows: DataFrame, k: int, known, buckets: int) -> DataFrame:
     return rows.mapInArrow(work, filters.PACKED)
 
 
+TEXTS = "lang string, bucket long, phrases binary, size long, counts binary"
+
+
+def _pack_texts(rows: pa.Table, buckets: int) -> pa.RecordBatch:
+    """One row for each language and bucket of phrases: their texts, a line each, and their counts, compressed."""
+    rows = rows.combine_chunks()
+    lang = rows["lang"].combine_chunks().dictionary_encode()
+    texts = rows["phrase"].combine_chunks().cast(pa.binary())
+    _, _, data, bounds = next(text_blocks(pa.RecordBatch.from_arrays([texts], ["phrase"]), "phrase", 1 << 40))
+    bucket, _ = filters.place(span_hash(prefix_sums(data), bounds[:-1], bounds[1:]), buckets)
+    key = lang.indices.to_numpy().astype(np.int64) * buckets + bucket
+    order = np.argsort(key, kind="stable")
+    key, lines, counts = key[order], texts.take(pa.array(order)).to_pylist(), rows["n"].to_numpy()[order].astype(np.uint64)
+    cuts = np.flatnonzero(np.diff(key, prepend=-1))
+    whole = [b"\n".join(lines[i:j]) for i, j in zip(cuts, [*cuts[1:], len(key)])]
+    packed = [filters.squeeze(counts[i:j]) for i, j in zip(cuts, [*cuts[1:], len(key)])]
+    return pa.RecordBatch.from_arrays(
+        [
+            lang.dictionary.take(pa.array(key[cuts] // buckets)),
+            pa.array(key[cuts] % buckets),
+            pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in whole], pa.binary()),
+            pa.array([len(x) for x in whole], pa.int64()),
+            pa.array(packed, pa.binary()),
+        ],
+        ["lang", "bucket", "phrases", "size", "counts"],
+    )
+
+
 def _texts(rows: DataFrame, longest: int, known: np.ndarray) -> DataFrame:
-    """(lang, phrase, n) of the phrases that pass the filter, summed in each task."""
+    """Rows of TEXTS: the phrases that pass the filter with their counts, summed in each task and packed by bucket."""
     sent = rows.sparkSession.sparkContext.broadcast(known)
+    buckets = len(known)
 
     def work(batches):
         held, size = [], 0
@@ -174,12 +204,27 @@ def _texts(rows: DataFrame, longest: int, known: np.ndarray) -> DataFrame:
                 held = [_summed(held)]
                 size = held[0].num_rows
                 if size > GATHER // 2:
-                    yield from held[0].to_batches()
+                    yield _pack_texts(held[0], buckets)
                     held, size = [], 0
         if held:
-            yield from _summed(held).to_batches()
+            yield _pack_texts(_summed(held), buckets)
+
+    return rows.mapInArrow(work, TEXTS)
+
+
+def _unpacked(packed: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, f) of packed texts: exact sums of ``least`` and more."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        parts = []
+        for texts, size, counts in zip(table["phrases"].to_pylist(), table["size"].to_pylist(), table["counts"].to_pylist()):
+            lines = pa.decompress(texts, decompressed_size=size, codec="zstd", asbytes=True).split(b"\n")
+            parts.append(pa.table({"phrase": pa.array(lines, pa.binary()), "f": filters.spread(counts, [np.uint64])[0].astype(np.int64)}))
+        sums = pa.concat_tables(parts).group_by("phrase").aggregate([("f", "sum")])
+        sums = sums.filter(pc.greater_equal(sums["f_sum"], least))
+        return pa.table({"lang": pa.array([table["lang"][0].as_py()] * sums.num_rows, pa.string()), "phrase": sums["phrase"].cast(pa.string()), "f": sums["f_sum"]})
 
-    return rows.mapInArrow(work, "lang string, phrase string, n long")
+    return packed.groupBy("lang", "bucket").applyInArrow(meet, "lang string, phrase string, f long")
 
 
 def _summed(tables: list[pa.Table]) -> pa.Table:
@@ -198,8 +243,7 @@ def frequent(rows: DataFrame, least: int = 100, longest: int = 5) -> DataFrame:
         if not new.any():
             break
         known |= new
-    sums = _texts(rows, longest, known).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-    return sums.where(F.col("f") >= least)
+    return _unpacked(_texts(rows, longest, known), least)
 
 
 def collocations(
