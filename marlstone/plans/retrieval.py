@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import index as I
+from ..operators import inverted as V
 from ..operators import search as S
+from ..sources.tables import stored
 from .common import Plans, d_alnum, d_ascii, d_keyword_id, d_terms
 
 P = Plans()
@@ -96,13 +98,19 @@ D_SCORE = f"""{D_BM}, {D_QTOK}, qtf AS (SELECT query_id, term, count(*) AS qtf F
 D_HITS = D_SCORE + ", hits AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM bm QUALIFY rank <= 20)"
 
 
-def bm25(queries, docs):
-    return S.bm25(queries, Q_TOKENS(), docs, TOKENS(), "doc_id")
+def kept(rows, *indexes):
+    """A search's few rows, written, and the index released."""
+    out = stored(rows, "hits")
+    for index in indexes:
+        index.release()
+    return out
 
 
 def hits(queries, docs, k=20):
     """The candidates that rerankers work on: the k best of BM25."""
-    return S.top(bm25(queries, docs), k)
+    index = V.build(docs, TOKENS(), "doc_id")
+    rows = V.search(index, queries, Q_TOKENS(), k).select("query_id", "id", "score")
+    return S.top(kept(rows, index), k)
 
 
 P.add(
@@ -112,9 +120,16 @@ P.add(
     "documents",
     sql=f"WITH {D_HITS} SELECT query_id, id, rank, round(score, 6) AS score FROM hits WHERE rank <= 10",
 )
+
+
+def tfidf_hits(queries, docs, k):
+    index = V.build(docs, TOKENS(), "doc_id", grams=2, norms=True)
+    return S.top(kept(V.search(index, queries, Q_TOKENS(), k, "tfidf").select("query_id", "id", "score"), index), k)
+
+
 P.add(
     "r1_tfidf_search",
-    lambda q, docs: S.top(S.tfidf(with_tokens(q, Q_TOKENS()), GRAMS(), with_tokens(docs), GRAMS(), "doc_id"), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
+    lambda q, docs: tfidf_hits(q, docs, 10).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
     "queries_v",
     "documents",
     sql=f"""WITH {D_TFIDF}, {D_QTOK}, q0 AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({D_GRAMS}) AS term FROM qtok) GROUP BY ALL),
@@ -126,13 +141,14 @@ D_OVER = f"""{D_QTOK}, ov AS (SELECT query_id, id, count(*) / any_value(n) AS sc
     JOIN (SELECT doc_id AS id, unnest(list_distinct({D_TOKENS})) AS term FROM documents) USING (term) GROUP BY ALL)"""
 
 
-def overlap(q, docs, keep=()):
-    return S.overlap(q, Q_TOKENS(), docs, TOKENS(), "doc_id", keep)
+def overlap_hits(q, docs, k):
+    index = V.build(docs, TOKENS(), "doc_id")
+    return S.top(kept(V.search(index, q, Q_TOKENS(), k, "overlap").select("query_id", "id", "score"), index), k)
 
 
 P.add(
     "r2_overlap_search",
-    lambda q, docs: S.top(overlap(q, docs), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
+    lambda q, docs: overlap_hits(q, docs, 10).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
     "queries_v",
     "documents",
     sql=f"WITH {D_OVER} SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank, round(score, 6) AS score FROM ov QUALIFY rank <= 10",
@@ -147,8 +163,13 @@ P.add(
 )
 
 
-def unit(rows, docs):
-    return S.minmax(rows, ("query_id",), docs.agg(F.count("*").alias("N")))
+def unit_hits(q, docs, k):
+    """The k best of BM25 with ``unit``, the score between the query's least and greatest."""
+    index = V.build(docs, TOKENS(), "doc_id")
+    rows = V.search(index, q, Q_TOKENS(), k).join(V.ranges(index, q, Q_TOKENS(), ("bm25",)), "query_id")
+    span = F.col("high") - F.col("low")
+    unit = F.when(span < 1e-9, F.when(F.col("high") > 0, 1.0).otherwise(0.0)).otherwise((F.col("score") - F.col("low")) / span)
+    return kept(rows.select("query_id", "id", unit.alias("unit")), index)
 
 
 def d_unit(name: str) -> str:
@@ -160,16 +181,21 @@ def d_unit(name: str) -> str:
 
 P.add(
     "r5_minmax_normalize",
-    lambda q, docs: S.top(unit(bm25(q, docs), docs), 20).select("query_id", "id", F.round("unit", 6).alias("unit")),
+    lambda q, docs: unit_hits(q, docs, 20).select("query_id", "id", F.round("unit", 6).alias("unit")),
     "queries_v",
     "documents",
     sql=f"WITH {D_SCORE}, {d_unit('bm')} SELECT query_id, id, round(unit, 6) AS unit FROM u_bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 20",
 )
 
 
-def fused(q, docs):
-    signals = {"tfidf": S.tfidf(with_tokens(q, Q_TOKENS()), GRAMS(), with_tokens(docs), GRAMS(), "doc_id"), "overlap": overlap(q, docs), "bm25": bm25(q, docs)}
-    return S.fuse({k: unit(v, docs) for k, v in signals.items()})
+#: The text signals of one index; the vectors' share goes to them.
+SIGNALS = {name: S.FUSION[name] for name in ("tfidf", "overlap", "bm25")}
+
+
+def fused(q, docs, k, weights=SIGNALS, tier=None):
+    """The k best of the fused signals."""
+    index = V.build(docs, TOKENS(), "doc_id", grams=2 if "tfidf" in weights else 1, norms="tfidf" in weights)
+    return kept(V.fused(index, q, Q_TOKENS(), k, weights, tier).select("query_id", "id", "score"), index)
 
 
 D_FUSED = f"""{D_SCORE}, {D_TFIDF}, q0 AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({D_GRAMS}) AS term FROM qtok) GROUP BY ALL),
@@ -180,7 +206,7 @@ D_FUSED = f"""{D_SCORE}, {D_TFIDF}, q0 AS (SELECT query_id, term, count(*) AS qt
         UNION ALL SELECT query_id, id, unit * 0.18 / 0.64 FROM u_bm) GROUP BY ALL)"""
 P.add(
     "r6_hybrid_fusion",
-    lambda q, docs: S.top(fused(q, docs), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
+    lambda q, docs: S.top(fused(q, docs, 10), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
     "queries_v",
     "documents",
     sql=f"WITH {D_FUSED} SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank, round(score, 6) AS score FROM fused QUALIFY rank <= 10",
@@ -325,7 +351,7 @@ P.add(
 
 
 def _pool(q, docs, corpus):
-    rows = fused(q, docs).withColumn("id", F.concat(F.lit("d"), F.col("id")))
+    rows = fused(q, docs, 20).withColumn("id", F.concat(F.lit("d"), F.col("id")))  # max(4 * 5, 12)
     return rows.join(corpus.select("id", "dedupe_key", F.lit("").alias("parent"), F.col("entity_name").alias("entity"), "chunk_type"), "id")
 
 
@@ -336,15 +362,16 @@ def chunk_search(q, docs, corpus, scope=None, k=5, vectors=None):
     """Fusion of the text signals (and of ``vectors``: query_id, id, score, where there are any) over the chunks in scope, all boosts on every chunk that shares a term, greedy pick."""
     inside = corpus if scope is None else corpus.where(scope)
     docs = docs.join(inside.select("doc_id"), "doc_id", "left_semi")
-    plain = lambda rows, x: rows.withColumn("toks", F.regexp_extract_all(T.norm(x), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0)))
-    signals = {
-        "tfidf": S.tfidf(plain(q, "query"), GRAMS(), plain(docs, "text"), GRAMS(), "doc_id"),
-        "tfidf_ascii": S.tfidf(with_tokens(q, Q_TOKENS()), GRAMS(), with_tokens(docs), GRAMS(), "doc_id"),
-        "overlap": overlap(q, docs),
-        "bm25": bm25(q, docs),
-    }
-    signals |= {} if vectors is None else {"vector": vectors}
-    rows = S.fuse({n: unit(v, docs) for n, v in signals.items()})
+    plain = lambda x: F.regexp_extract_all(T.norm(x), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0))
+    bare, full = V.build(docs, TOKENS(), "doc_id", 2, True), V.build(docs, plain("text"), "doc_id", 2, True)
+    own = {"tfidf": S.FUSION["tfidf_ascii"], "overlap": S.FUSION["overlap"], "bm25": S.FUSION["bm25"]}
+    parts = [(V.fused(bare, q, Q_TOKENS(), None, own), sum(own.values())), (V.fused(full, q, plain("query"), None, {"tfidf": S.FUSION["tfidf"]}), S.FUSION["tfidf"])]
+    parts += [] if vectors is None else [(S.minmax(vectors, ("query_id",)).select("query_id", "id", F.col("unit").alias("score")), S.FUSION["vector"])]
+    total, rows = sum(w for _, w in parts), None
+    for part, w in parts:
+        part = part.select("query_id", "id", (F.col("score") * (w / total)).alias("score"))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.groupBy("query_id", "id").agg(F.sum("score").alias("score"))
     rows = rows.join(S.keyword_rerank(q, Q_TERMS(), I.keyword_weights(docs, TERMS(), "doc_id"), I.keyword_dictionary(docs, TERMS(), "doc_id")).withColumnRenamed("score", "keyword"), ["query_id", "id"], "left")
     rows = rows.withColumn("id", F.concat(F.lit("d"), F.col("id"))).join(q.select("query_id", T.norm_ascii("query").alias("query")), "query_id").withColumn("q_words", F.split("query", " "))
     own = _terms(inside).withColumns({"body": T.norm_ascii("text"), "title_n": T.norm_ascii("title"), "entity_n": T.norm_ascii("entity_name")}).drop("text", "title", "question")
@@ -364,7 +391,7 @@ P.add(
 )
 P.add(
     "r18_tiered_search",
-    lambda q, docs: S.tiered(unit(bm25(q, docs), docs).select("query_id", "id", F.col("unit").alias("score"), (F.col("id") % 3 + 1).alias("tier"))).select("query_id", "tier", "id", "rank", F.round("score", 6).alias("score")),
+    lambda q, docs: S.tiered(fused(q, docs, 5, {"bm25": 1.0}, F.col("id") % 3).select("query_id", "id", "score", (F.col("id") % 3 + 1).alias("tier"))).select("query_id", "tier", "id", "rank", F.round("score", 6).alias("score")),
     "queries_v",
     "documents",
     sql=f"""WITH {D_SCORE}, {d_unit('bm')}, t AS (SELECT query_id, id, unit AS score, id % 3 + 1 AS tier, CAST(row_number() OVER (PARTITION BY query_id, id % 3 ORDER BY round(unit, 9) DESC, id) AS INTEGER) AS rank FROM u_bm QUALIFY rank <= 5),
@@ -385,7 +412,7 @@ D_MERGED = f"""{D_CAND}, c2 AS (SELECT *, title_n || ' ' || body AS both_ FROM c
     b1 AS (SELECT * FROM un QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY round(score, 9) DESC, id) = 1),
     merged AS (SELECT query_id, id, key, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM b1 QUALIFY rank <= 8)"""
 P.add("r19_merge_dedupe", lambda q, d, c: _merged(q, d, c).select("query_id", "id", "rank", F.round("score", 6).alias("score")), *_CAND, sql=f"WITH {D_MERGED} SELECT query_id, id, rank, round(score, 6) AS score FROM merged")
-P.add("r20_strong_evidence", lambda q, d: S.strong(fused(q, d), 0.6).select("query_id", F.round("top", 6).alias("top")), "queries_v", "documents", sql=f"WITH {D_FUSED} SELECT query_id, round(max(score), 6) AS top FROM fused GROUP BY query_id HAVING max(score) >= 0.6")
+P.add("r20_strong_evidence", lambda q, d: S.strong(fused(q, d, 1), 0.6).select("query_id", F.round("top", 6).alias("top")), "queries_v", "documents", sql=f"WITH {D_FUSED} SELECT query_id, round(max(score), 6) AS top FROM fused GROUP BY query_id HAVING max(score) >= 0.6")
 P.add(
     "r21_keyword_facets",
     lambda q, d: S.keyword_facets(hits(q, d, 10), I.keyword_weights(d, TERMS(), "doc_id")).select("query_id", "term", "keyword_id", "hits", F.round("weight", 6).alias("weight"), "rank"),
