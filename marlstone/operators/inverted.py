@@ -1,7 +1,7 @@
 """An inverted index in files, and ranked search over it that skips blocks of documents by their highest possible scores.
 
 Documents stand in shards of some thousand. A shard's postings are made in one task without a shuffle: one row for each term with its documents (places in the
-shard, in order of id) and counts. A search reads the rows of its terms only. In a shard, the documents stand in blocks; a
+shard) and counts. A search reads the rows of its terms only. In a shard, like documents stand together (by their most frequent token, then by length), in blocks; a
 query's bound for a block is the sum of its terms' greatest impacts there. Blocks are scored whole, in order of their bounds, until no
 block can hold one of the k best; the shards' best meet in a window. Scores of several signals with their weights are summed before the blocks are ranked, so a
 fusion is pruned as one search is.
@@ -23,7 +23,7 @@ from ..sources.tables import release, spread, stored
 
 K1, B = 1.5, 0.75
 #: Documents of a shard and of a block; queries whose terms a pass over the index takes along.
-SHARD, BLOCK, QUERIES = 8192, 64, 4096
+SHARD, BLOCK, QUERIES = 8192, 16, 4096
 #: Scores are compared to so many digits.
 DIGITS = 9
 
@@ -57,16 +57,24 @@ def _cells(data: np.ndarray, size: np.ndarray) -> pa.Array:
 
 
 def _invert(shard: int, ids: pa.Array, tokens: pa.Array, grams: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
-    """The shard's document row and its posting rows, for rows of ids and token lists; documents in order of id."""
-    order = pc.sort_indices(ids)
-    ids, tokens = ids.take(order), tokens.take(order)
+    """The shard's document row and its posting rows, for rows of ids and token lists."""
     size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = tokens.flatten().dictionary_encode()
     words, code = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     doc = np.repeat(np.arange(len(size)), size)
+    # the most frequent token of each document, the first in the dictionary of equal ones
+    key, count = np.unique(doc * max(1, len(words)) + code, return_counts=True)
+    own, term = key // max(1, len(words)), key % max(1, len(words))
+    last = np.lexsort((-term, count, own))
+    lead = np.full(len(size), -1)
+    lead[own[last]] = term[last]
+    place = np.empty(len(size), np.int64)
+    order = np.lexsort((size, lead))
+    place[order] = np.arange(len(size))
+    ids, size, doc = ids.take(pa.array(order)), size[order], place[doc]
+    same = np.diff(doc) == 0
     names, keys, docs = [words], [code], [doc]
     if grams > 1:
-        same = doc[1:] == doc[:-1]
         pair, inverse = np.unique(code[:-1][same] * max(1, len(words)) + code[1:][same], return_inverse=True)
         left, right = words.take(pa.array(pair // max(1, len(words)))), words.take(pa.array(pair % max(1, len(words))))
         names.append(pc.binary_join_element_wise(left, right, " "))
@@ -92,7 +100,7 @@ def build(docs: DataFrame, tokens: Column, id_col: str = "id", grams: int = 1, n
 
     Each text is read once. Rows without an id take no part; a null array is an empty text; ids that repeat are documents of their own.
     """
-    rows = spread(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), docs_tokens(tokens)))
+    rows = spread(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), docs_tokens(tokens))  # spread first, then made
     kind = dict(rows.dtypes)["id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +126,7 @@ def build(docs: DataFrame, tokens: Column, id_col: str = "id", grams: int = 1, n
             yield from shards(SHARD)
         yield from shards(0)
 
-    made = stored(rows.mapInArrow(work, f"shard long, term string, n int, places binary, counts binary, ids array<{kind}>, head boolean"), "index", "head")
+    made = stored(rows.mapInArrow(work, f"shard long, term string, n int, places binary, counts binary, ids array<{kind}>, head boolean"), "index")
     again = made.sparkSession.read.schema(made.schema).parquet(made.stored_path)  # columns of its own, so that both sides can meet
     heads = again.where("head").select("shard", "ids", F.col("places").alias("lengths"))
     lists = made.where("not head").select("shard", "term", "n", "places", "counts")
@@ -169,8 +177,10 @@ def weigh(index: Index) -> Index:
 class Shard:
     """A shard's documents and the posting lists of the terms of a group of queries, with the greatest impact of each list in each block."""
 
-    def __init__(self, size: int, lists: dict[int, tuple[np.ndarray, np.ndarray]], impacts: dict[str, dict[int, np.ndarray]]):
+    def __init__(self, size: int, lists: dict[int, tuple[np.ndarray, np.ndarray]], impacts: dict[str, dict[int, np.ndarray]], rank: np.ndarray | None = None):
+        """rank: the order of the documents' ids, by which ties are told; their places if it is None."""
         self.size, self.places, self.impacts = size, {t: p for t, (p, _) in lists.items()}, impacts
+        self.rank = np.arange(size) if rank is None else rank
         self.blocks = -(-size // BLOCK)
         edges = np.arange(self.blocks + 1) * BLOCK
         self.cuts = {t: np.searchsorted(p, edges) for t, p in self.places.items()}
@@ -198,7 +208,7 @@ class Shard:
         return at, score[at]
 
     def best(self, parts: list[tuple[str, int, float]], k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(places, scores, postings read) of the k highest scores; equal ones (to DIGITS) by place."""
+        """(places, scores, postings read) of the k highest scores; equal ones (to DIGITS) in order of id."""
         bound, some = np.zeros(self.blocks), np.zeros(self.blocks, bool)
         for s, t, w in parts:
             bound += w * self.top(s, t)
@@ -223,8 +233,8 @@ class Shard:
             own, inverse = np.unique(place, return_inverse=True)
             score = np.bincount(inverse, weights=np.concatenate(value), minlength=len(own))
             places, scores = np.concatenate([places, own]), np.concatenate([scores, score])
-            rank = np.lexsort((places, -np.round(scores, DIGITS)))[:k]
-            places, scores = places[rank], scores[rank]
+            best = np.lexsort((self.rank[places], -np.round(scores, DIGITS)))[:k]
+            places, scores = places[best], scores[best]
         return places, scores, read
 
 
@@ -315,7 +325,9 @@ def _over_shards(index: Index, group: _Group, work, schema: str) -> DataFrame:
                 impacts["overlap"][t] = np.ones(len(tf))
             if "tfidf" in impacts:
                 impacts["tfidf"][t] = tf / norm[place]
-        return work(docs["shard"][0].as_py(), ids, Shard(len(length), lists, impacts))
+        rank = np.empty(len(length), np.int64)
+        rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(length))
+        return work(docs["shard"][0].as_py(), ids, Shard(len(length), lists, impacts, rank))
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -367,8 +379,8 @@ def _search(index: Index, group: _Group, weights: list[tuple[str, np.ndarray | N
                 at, value = own.all(some)
                 seen = everything
                 if keep is not None:
-                    rank = np.lexsort((at, -np.round(value, DIGITS)))[:keep]
-                    at, value = at[rank], value[rank]
+                    first = np.lexsort((own.rank[at], -np.round(value, DIGITS)))[:keep]
+                    at, value = at[first], value[first]
             else:
                 at, value, seen = own.best(some, keep)
             which.append(np.full(len(at), q, np.int32))

@@ -16,10 +16,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top or tempfile.mkdtemp(prefix='marlstone-')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "table", *parts: str) -> DataFrame:
-    """The table, written to the shared folder and read back: a lost executor recomputes nothing before it. ``parts``: columns whose values get folders."""
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """The table, written to the shared folder and read back: a lost executor recomputes nothing before it."""
     path = shared_folder(df.sparkSession, name)
-    df.write.partitionBy(*parts).parquet(path) if parts else df.write.parquet(path)
+    df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
