@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import index as I
+from .vectors import vector_search  # noqa: F401
 
 K1, B = 1.5, 0.75
 #: Weights of the signals in the fusion.
@@ -55,61 +56,6 @@ def overlap(queries: DataFrame, q_tokens: Column, docs: DataFrame, d_tokens: Col
     return hits.groupBy("query_id", "id", *keep).agg((F.count("*") / F.first("n")).alias("score"))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank): cosine of each query with all vectors but itself; those of another length, null ids and null vectors take no part.
-
-    Queries and vectors are packed into rows of at most QUERY_BLOCK and VECTOR_BLOCK, each pair of rows meets in a task
-    and keeps its k best per query, then these are merged: any number of queries, none of them on the driver.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def pack(limit):
-        def work(batches):
-            for pdf in batches:
-                for _, same in pdf.groupby(pdf.v.map(len)):
-                    for at in range(0, len(same), limit):
-                        part = same.iloc[at : at + limit].sort_values("id", kind="stable")
-                        x = np.array(part.v.to_list(), dtype=float).reshape(len(part), -1)
-                        x = x / np.maximum(1e-12, np.sqrt((x * x).sum(1, keepdims=True)))
-                        yield pd.DataFrame({"ids": [part.id.to_numpy(np.int64).tobytes()], "xs": [x.tobytes()]})
-
-        return work
-
-    def best(ids, others, s):
-        s = np.round(s, 9)
-        s[ids[:, None] == others[None, :]] = -np.inf
-        m = min(k, s.shape[1])
-        kth = np.partition(s, s.shape[1] - m, axis=1)[:, -m][:, None]
-        above, equal = s > kth, s == kth
-        # others are in order of id, so the first of equal scores stay
-        row, col = np.nonzero((above | (equal & (np.cumsum(equal, axis=1) <= m - above.sum(1, keepdims=True)))) & np.isfinite(s))
-        return pd.DataFrame({"query_id": ids[row], "id": others[col], "score": s[row, col]})
-
-    def meet(batches):
-        for pdf in batches:
-            for q_ids, q_xs, ids, xs in zip(*(pdf[c] for c in ("q_ids", "q_xs", "ids", "xs"))):
-                a, b = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                q, x = np.frombuffer(q_xs).reshape(len(a), -1), np.frombuffer(xs).reshape(len(b), -1)
-                if q.shape[1] == x.shape[1]:
-                    yield best(a, b, q @ x.T)
-
-    def packed(rows, limit):
-        rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-        return rows.mapInPandas(pack(limit), "ids binary, xs binary")
-
-    left = packed(queries, QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"))
-    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    right = packed(vectors, VECTOR_BLOCK).repartition(tasks)
-    # a product of partitions: neither side is broadcast, whatever its size
-    pairs = left.repartition(max(1, tasks // 16)).hint("shuffle_replicate_nl").crossJoin(right)
-    return top(pairs.mapInPandas(meet, "query_id long, id long, score double"), k)
-
-
-#: Rows of a block of queries and of vectors.
-QUERY_BLOCK, VECTOR_BLOCK = 512, 2048
-
-
 def minmax(rows: DataFrame, keys: tuple[str, ...], totals: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with ``unit``, the score between the group's least and greatest. A range under 1e-9 gives 1 where the greatest is over 0, else 0.
 
