@@ -11,6 +11,8 @@ so the rarest value sets the size: one document of a new source or without a lan
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,6 +133,7 @@ def mix_weights(
     targets: dict[str, DataFrame] | None = None,
     rounds: int = ROUNDS,
     share: float | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """One row per input row: id, source, lang, topic, tokens, prob, sampled.
 
@@ -138,11 +141,12 @@ def mix_weights(
     of all, and have the target marginals as far as the tokens suffice; without it the most wanted cell
     has probability 1, and the sample's size is that of the rarest value. Null margins count as ''.
     Documents without tokens weigh nothing and have probability 0. An empty table gives no rows.
+    ``strict`` raises where targets contradict each other, which only warns otherwise (with ``share`` they are met as far as they can be).
     ``targets`` holds a table (value, target) per margin; the default tempers the table's own shares.
     """
     margins = margins or TEMPER
     rows = cut(_cells(docs.select(F.col(id_col).alias("id"), text_col, "source", "lang"), text_col, topic).select("id", *NAMES, "tokens"))
-    probs = calibrate(rows, margins, targets, rounds, share)
+    probs = calibrate(rows, margins, targets, rounds, share, strict)
     out = join_groups(rows, probs, list(margins), "docs")
     prob = F.when(F.col("tokens") > 0, F.col("prob")).otherwise(0.0)
     return out.select(F.col("id").alias(id_col), *NAMES, "tokens", prob.alias("prob"), (uniform("id") < prob).alias("sampled"))
@@ -158,8 +162,8 @@ def _cells(docs: DataFrame, text_col: str, topic: Column | None) -> DataFrame:
     return docs.withColumns(blank | {"topic": kind, "tokens": words(text)})
 
 
-def calibrate(rows: DataFrame, margins: dict[str, float], targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
-    """Margins, docs and prob of each cell of ``rows`` (margins and tokens); ``share`` is in (0, 1]."""
+def calibrate(rows: DataFrame, margins: dict[str, float], targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, share: float | None = None, strict: bool = False) -> DataFrame:
+    """Margins, docs and prob of each cell of ``rows`` (margins and tokens); ``share`` is in (0, 1]. Where a margin is off by more than SETTLED at the end, ``strict`` raises; else it warns."""
     names = list(margins)
     cells = cut(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
     targets = targets or {name: cut(target) for name, target in tempered_targets(cells, margins).items()}
@@ -170,7 +174,11 @@ def calibrate(rows: DataFrame, margins: dict[str, float], targets: dict[str, Dat
         fitted = rake_to_size(cells, targets, share, rounds).crossJoin(F.broadcast(total))
         prob = F.least(F.lit(1.0), F.col("weight") * F.lit(share) * F.col("total") / F.col("tokens"))
         return cut(fitted.select(*names, "docs", F.when(F.col("tokens") > 0, prob).otherwise(0.0).alias("prob")))
-    fitted, _ = rake(cells, targets, rounds)
+    fitted, error = rake(cells, targets, rounds)
+    if error > SETTLED:
+        if strict:
+            raise ValueError(f"the targets contradict each other: a margin is still off by the factor {1 + error:.6g} after {rounds} rounds")
+        warnings.warn(f"raking ended after {rounds} rounds with a margin off by the factor {1 + error:.6g}", stacklevel=2)
     ratio = fitted.select(*names, "docs", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("ratio"))
     top = ratio.agg(F.max("ratio").alias("top"))  # one row
     return cut(ratio.crossJoin(F.broadcast(top)).select(*names, "docs", F.when(F.col("top") > 0, F.col("ratio") / F.col("top")).otherwise(0.0).alias("prob")))

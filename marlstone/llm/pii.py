@@ -11,21 +11,30 @@ from pyspark.sql import DataFrame
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "vat", "tax_id", "bic", "secret")
 
-#: Words that make a kind likelier when they stand within WINDOW characters of a span.
+#: Whole words, or runs of them, that make a kind likelier when they stand within WINDOW characters of a span, and such that speak against it.
 CONTEXT = {
-    "email": ("mail", "contact", "write to", "@"),
+    "email": ("mail", "mails", "email", "emails", "contact", "write to", "correo", "courriel"),
     "ip": ("ip", "server", "host", "address", "login"),
-    "card": ("card", "visa", "mastercard", "credit", "payment", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "téléphone", "teléfono"),
+    "card": ("card", "cards", "visa", "mastercard", "credit", "payment", "karte", "kreditkarte", "carte", "tarjeta"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile", "fax", "telefon", "telefonnummer", "téléphone", "teléfono"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta", "bic", "swift"),
     "ssn": ("ssn", "social security", "sécurité sociale", "seguridad social"),
-    "vat": ("vat", "tva", "ust", "iva", "tax"),
-    "tax_id": ("tax id", "tax number", "steuer", "fiscal", "nif", "dni"),
+    "vat": ("vat", "tva", "ust", "ustid", "iva", "tax"),
+    "tax_id": ("tax id", "tax number", "steuer", "steuernummer", "fiscal", "nif", "dni"),
     "bic": ("bic", "swift", "bank", "iban"),
-    "secret": ("key", "token", "secret", "password", "api", "credential", "passwort", "clé", "clave"),
+    "secret": ("key", "keys", "token", "secret", "password", "api", "credential", "credentials", "passwort", "clé", "clave"),
+}
+AGAINST = {
+    "ip": ("version", "release", "chapter", "section"),
+    "card": ("order", "invoice", "isbn", "serial", "tracking"),
+    "phone": ("order", "invoice", "isbn", "version"),
+    "ssn": ("part", "serial", "model", "order"),
+    "vat": ("serial", "model", "order"),
+    "tax_id": ("isbn", "serial", "model", "order"),
+    "secret": ("hash", "sha256", "sha1", "md5", "checksum", "digest", "commit"),
 }
 WINDOW = 48
-#: Score of a confirmed span without context words, what a context word adds, and the least score of an added span.
+#: Score of a confirmed span without context words, what a context word adds or takes, and the least score of an added span.
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.4, "ssn": 0.2, "vat": 0.35, "tax_id": 0.4, "bic": 0.2, "secret": 0.4}
 #: An added span needs context: only a checksum of two digits or more, or a key's known beginning, stands by itself (SURE).
 GAIN = 0.15
@@ -156,13 +165,27 @@ def _secrets(text: str):
             yield m.span()
 
 
+_WORD = re.compile(r"\w+")
+
+
+def _words_near(text: str, start: int, end: int) -> str:
+    """The words within WINDOW characters on both sides, a blank around each; those that the window cuts are left out."""
+    a, b = max(0, start - WINDOW), min(len(text), end + WINDOW)
+    while 0 < a < start and text[a - 1].isalnum() and text[a].isalnum():
+        a += 1
+    while end < b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+        b -= 1
+    return f" {' '.join(_WORD.findall(text[a:start].lower()))} | {' '.join(_WORD.findall(text[end:b].lower()))} "
+
+
 def score(kind: str, text: str, start: int, end: int) -> float:
-    """PRIOR plus GAIN for each context word nearby, 1 at most; a span that stands by itself (SURE characters, or a key's known beginning) has LEAST at least."""
-    near = f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}".lower()
+    """PRIOR plus GAIN for each word of CONTEXT nearby and less GAIN for each of AGAINST, between 0 and 1; a span that stands by itself (SURE characters, or a key's known beginning) starts from LEAST at least."""
+    near = _words_near(text, start, end)
     base = PRIOR[kind]
     if kind in SURE and (end - start >= SURE[kind] or kind == "secret" and _KNOWN.match(text, start)):
         base = max(base, LEAST)
-    return min(1.0, base + GAIN * sum(w in near for w in CONTEXT[kind]))
+    held = lambda words: sum(f" {w} " in near for w in words)
+    return max(0.0, min(1.0, base + GAIN * (held(CONTEXT[kind]) - held(AGAINST.get(kind, ())))))
 
 
 def find(text: str | None) -> list[tuple[str, int, int, float]]:

@@ -79,6 +79,15 @@ def test_raking_reaches_the_targets(spark):
     assert share(lambda r: r.lang == "x") == pytest.approx(0.3, abs=1e-4)
 
 
+def test_contradicting_targets_are_told(spark):
+    docs = spark.createDataFrame([(0, "w " * 50, "x", "a", 1, "x", "y"), (1, "w " * 50, "y", "b", 1, "x", "y")], SCHEMA)
+    targets = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, target double"), "lang": spark.createDataFrame([("x", 0.1), ("y", 0.9)], "lang string, target double")}
+    with pytest.raises(ValueError, match="contradict"):
+        mixing.mix_weights(docs, margins={"source": 1.0, "lang": 1.0}, targets=targets, rounds=3, strict=True)
+    with pytest.warns(UserWarning, match="margin off"):
+        mixing.mix_weights(docs, margins={"source": 1.0, "lang": 1.0}, targets=targets, rounds=3)
+
+
 def test_mixing_samples_by_probability(spark):
     rows = table(spark, [(i, "w " * (1 + i % 50)) for i in range(400)] + [(400, None), (401, "")])
     got = mixing.mix_weights(rows, rounds=3).collect()

@@ -25,6 +25,28 @@ def table(spark, rows):
     return spark.createDataFrame([(i, t, "en", "a", "b") for i, t in rows], SCHEMA)
 
 
+def test_letters_of_all_planes_are_letters():
+    blank, table_ = langid.BLANK, langid._Letters.get()
+    for c in (0x20001, 0x20002, 0x10010, 0x1D400, 0x1F600, ord("a"), ord("漢"), 0xE9):
+        assert (table_[c] != blank) == chr(c).isalpha()
+    above = [c for c in range(0x10000, 0x32000) if chr(c).isalpha()]
+    assert len(above) > 50000 and (table_[above] >= 0xD800).all() and (table_[above] < 0xF900).all()
+    model = langid.Model(["en", "zh"], [_counted("the cat and the hat"), _counted("\U00020001\U00020002 漢字")])
+    h, letters = model.entropies(*_block(["\U00020001\U00020002", "\U00010010", "the"]))
+    assert letters.tolist() == [2, 1, 3] and h.argmin(1).tolist()[0] == 1 and h.argmin(1).tolist()[2] == 0
+
+
+def _block(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def _counted(text):
+    key, _, _ = langid.grams(*_block([text]))
+    g, n = np.unique(key, return_counts=True)
+    return g, n
+
+
 # --- PII -------------------------------------------------------------------
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -69,6 +91,17 @@ def test_pii_context_decides_added_spans():
     assert pii.mod11_10("136695976") and not pii.mod11_10("136695975")
 
 
+def test_pii_context_is_whole_words_and_may_speak_against():
+    kinds = lambda t: {x[0] for x in pii.find(t)} & set(pii.ADDED)
+    assert kinds("private offer DE136695976") == set() and kinds("a monkey a1B2c3D4e5F6a1B2c3D4e5F6a1B2c3D4") == set()
+    assert kinds("the key a1B2c3D4e5F6a1B2c3D4e5F6a1B2c3D4") == {"secret"} and kinds("the key of the sha256 hash a1B2c3D4e5F6a1B2c3D4e5F6a1B2c3D4") == set()
+    value = lambda t, k: next(x[3] for x in pii.find(t) if x[0] == k)
+    assert value("the hotel +1 555 123 4567", "phone") == pii.PRIOR["phone"] == value("x +1 555 123 4567", "phone")
+    assert value("tel +1 555 123 4567", "phone") > pii.PRIOR["phone"] > value("order +1 555 123 4567", "phone")
+    assert value("the ship 10.0.0.1", "ip") == pii.PRIOR["ip"] > value("version 10.0.0.1", "ip")
+    assert value("social security 123-45-6789 ssn", "ssn") == pii.PRIOR["ssn"] + 2 * pii.GAIN
+
+
 def test_pii_query(spark):
     rows = [*EDGES, (20, "a@b.co 10.0.0.1 +1 555 123 4567 4111-1111-1111-1111"), (21, "1.2.3.4.5 300.1.1.1 x@y")]
     got = pii.digest(pii.find_pii(table(spark, rows))).collect()
