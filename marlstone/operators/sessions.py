@@ -51,22 +51,46 @@ def top_counters(rows: DataFrame, metrics: dict[str, Column], limit: int = 12) -
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def session_state(turns: DataFrame, window: int = 3) -> DataFrame:
-    """(conv_id, turns_left, domain, last_question, last_answer): the fold of a conversation's turns in order.
+#: Marks of a question about a unit, which gives two turns of context, and domains that give one.
+CONTEXT_MARKS = ("khoa ", "phong ", "hieu truong", "pho hieu truong", "ban giam hieu", "co so", "cong sinh vien")
+CONTEXT_DOMAINS = ("khoa_chuyen_mon", "phong_ban_va_chuc_nang", "ban_giam_hieu", "co_so_vat_chat", "portal_howto")
 
-    A turn with a domain sets it and gives ``window`` turns of context; one without uses up a turn, and the domain goes with the last. A true
-    recursion, so a fold over the ordered array of one conversation; very long conversations belong in the stateful stream form.
-    """
-    item = F.struct("turn", "domain", "question", "answer")
-    start = F.struct(F.lit(0).alias("left"), F.lit("").alias("domain"), F.lit("").alias("question"), F.lit("").alias("answer"))
 
-    def step(s: Column, x: Column) -> Column:
-        named = x.domain != ""
-        left = F.when(named, F.lit(window)).otherwise(F.greatest(F.lit(0), s.left - 1))
-        return F.struct(left.alias("left"), F.when(named, x.domain).when(left > 0, s.domain).otherwise("").alias("domain"), x.question.alias("question"), x.answer.alias("answer"))
+def session_memory(turns: DataFrame, marks: tuple[str, ...] = CONTEXT_MARKS, domains: tuple[str, ...] = CONTEXT_DOMAINS) -> DataFrame:
+    """What a session remembers after its last turn, one row for each conv_id.
 
-    folded = turns.groupBy("conv_id").agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step).alias("s"))
-    return folded.select("conv_id", F.col("s.left").alias("turns_left"), "s.domain", F.col("s.question").alias("last_question"), F.col("s.answer").alias("last_answer"))
+    turns: conv_id, turn, answered, domain, doc, entity, unit, qtype, retrieved (array), topic, channel, use_history, question, question_n (its normal form), answer.
+    The last answered turn gives domain, doc, entity, unit, type, six retrieved ids and topic; every turn gives query and channel, and its answer unless it has none
+    and is not answered. Turns of context: an answered turn that asks without history sets them to 2 (a mark in the question), 1 (its domain is listed) or 0; any other
+    turn takes one. So only the last two turns decide them, and all else is the latest of something: partial aggregates, no conversation is gathered.
+    """
+    found = F.struct("domain", "doc", "entity", "unit", "qtype", F.array_join(F.slice("retrieved", 1, 6), ",").alias("ids"), "topic")
+    sets = F.col("answered") & ~F.col("use_history")
+    value = F.when(T.any_hint(F.col("question_n"), list(marks)), 2).when(F.col("domain").isin(*domains), 1).otherwise(0)
+    latest = turns.groupBy("conv_id").agg(
+        F.max_by(F.when(F.col("answered"), found), F.when(F.col("answered"), F.col("turn"))).alias("f"),
+        F.max_by(F.struct("question", "channel"), "turn").alias("s"),
+        F.max_by(F.when(F.col("answered") | (F.col("answer") != ""), F.col("answer")), F.when(F.col("answered") | (F.col("answer") != ""), F.col("turn"))).alias("answer"),
+    )
+    after = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))) - 1
+    tail = turns.select("conv_id", "turn", F.when(sets, value).alias("v")).withColumn("after", after).where("after < 2")
+    left = tail.groupBy("conv_id").agg(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("after"))).alias("v"), F.min(F.when(F.col("v").isNotNull(), F.col("after"))).alias("after"))
+    rows = latest.join(left, "conv_id")
+    text = lambda c, none="": F.coalesce(c, F.lit(none))
+    return rows.select(
+        "conv_id",
+        text("f.domain").alias("active_domain"),
+        text("f.doc").alias("active_doc"),
+        text("f.entity").alias("last_entity"),
+        text("f.unit").alias("last_named_unit"),
+        text("f.qtype", "factoid").alias("last_question_type"),
+        text("f.ids").alias("last_retrieved_ids"),
+        text("f.topic").alias("last_topic"),
+        F.col("s.question").alias("last_user_query"),
+        text("answer").alias("last_assistant_answer"),
+        F.col("s.channel").alias("last_channel"),
+        F.coalesce(F.greatest(F.lit(0), F.col("v") - F.col("after")), F.lit(0)).cast("int").alias("context_turns"),
+    )
 
 
 def file_samples(turns: DataFrame, k: int = 6) -> DataFrame:

@@ -26,6 +26,10 @@ VIEWS = {
     "contexts_v": """SELECT concat('x', doc_id) AS context_id, CASE WHEN doc_id % 4 = 0 THEN id ELSE '' END AS source_id, source_kind AS kind, CASE WHEN doc_id % 7 = 0 THEN '' ELSE title END AS title,
         question, CASE WHEN doc_id % 5 = 0 THEN text ELSE '' END AS answer, CASE WHEN doc_id % 2 = 0 THEN dedupe_key ELSE '' END AS dedupe_key, CASE WHEN doc_id % 3 <> 1 THEN doc_id END AS doc_id,
         CASE WHEN doc_id % 3 <> 2 THEN text ELSE '' END AS text FROM corpus_v""",
+    "session_turns_v": """SELECT conv_id, turn, (conv_id + turn) % 5 <> 0 AS answered, CASE (conv_id + turn) % 3 WHEN 0 THEN 'gamma' WHEN 1 THEN 'eps' ELSE '' END AS domain,
+        concat('doc', conv_id % 7) AS doc, split_part(answer, ' ', 1) AS entity, substr(question, 1, 12) AS unit, CASE WHEN contains(lower(question), ' how ') THEN 'howto' ELSE 'factoid' END AS qtype,
+        concat('d', conv_id * 3 + turn) AS first_id, concat('t', length(question) % 4) AS topic, CASE WHEN turn % 4 = 3 THEN 'web' ELSE 'docs' END AS channel, contains(lower(question), 'that') AS use_history,
+        question, lower(question) AS question_n, CASE WHEN (conv_id + turn) % 10 = 0 THEN '' ELSE answer END AS answer FROM turns""",
     "reviews_v": """SELECT turn_id, question AS user_question, answer AS assistant_answer, r.seq,
         CASE (conv_id + turn + r.seq) % 6 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'missing' WHEN 3 THEN 'excessive' WHEN 4 THEN 'partial' ELSE 'unknown' END AS verdict,
         CASE WHEN conv_id % 11 = 0 THEN 'policy' ELSE 'answer' END AS review_kind,

@@ -10,9 +10,10 @@ from ..operators import retriever_data as D
 from ..sources import files as S
 from ..sources import published as R
 from ..streaming import stateful as T
+from ..streaming import upserts as U
 from .common import Plans, d_bucket, scratch
 from .preference import D_PAIRS, VIEWS, pairs, sft
-from .sessions import D_FEEDBACK, with_domain
+from .sessions import D_FEEDBACK, MEMORY, session_turns
 
 P = Plans()
 QUERIES, ORACLE = P.queries, P.oracle
@@ -131,8 +132,7 @@ def stream_turns(c):
 
 def stream_sessions(t):
     folder = scratch(t.sparkSession, "stream")
-    turns = with_domain(t).select("conv_id", "turn", "domain", "question", "answer")
-    stream = T.stream_session_state(_stream(turns, folder))
+    stream = T.stream_session_memory(_stream(session_turns(t), folder), **MEMORY)
     spark, out = t.sparkSession, f"{folder}/out"
     q = stream.writeStream.outputMode("update").foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -141,14 +141,14 @@ def stream_sessions(t):
 
 def stream_feedback(f):
     folder = scratch(f.sparkSession, "stream")
-    T.upsert_feedback(_stream(f, folder), folder).awaitTermination()
-    return T.feedback_table(f.sparkSession, folder)
+    U.keep(_stream(f, folder), folder, U.FEEDBACK).awaitTermination()
+    return U.table(f.sparkSession, folder, U.FEEDBACK)
 
 
 from .sessions import ORACLE as _BATCH  # noqa: E402
 
 P.add("t1_stream_turn_pairing", stream_turns, "conversations", sql=_BATCH["j1_turn_pairing"])
-P.add("t2_stream_session_state", stream_sessions, "turns", sql=None)
+P.add("t2_stream_session_state", stream_sessions, "session_turns_v", sql=None)
 ORACLE["t2_stream_session_state"] = _BATCH["j6_session_state"]
 ORACLE["t1_stream_turn_pairing"] = _BATCH["j1_turn_pairing"]
 P.add("t3_stream_feedback_upsert", stream_feedback, "feedback_v", sql=D_FEEDBACK)

@@ -246,14 +246,23 @@ P.add(
 )
 
 
-def with_domain(t):
-    return turnsx(t).withColumn("domain", Q.longest_hint(X(), [("gamma", "with"), ("eps", "this")]))
+#: Marks and domains that occur in these tables.
+MEMORY = {"marks": ("with ", "from "), "domains": ("gamma",)}
 
 
-P.add("j6_session_state", lambda t: J.session_state(with_domain(t)), "turns", sql=f"""WITH RECURSIVE {D_TURNX}, o AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS n, {d_label([Rule('gamma', ('with',), mode='contains'), Rule('eps', ('this',), mode='contains')])} AS d, question, answer FROM tx),
-    s AS (SELECT conv_id, 0 AS n, 0 AS lft, '' AS domain, '' AS question, '' AS answer FROM (SELECT DISTINCT conv_id FROM o) UNION ALL
-        SELECT o.conv_id, o.n, CASE WHEN o.d <> '' THEN 3 ELSE greatest(0, s.lft - 1) END, CASE WHEN o.d <> '' THEN o.d WHEN s.lft - 1 > 0 THEN s.domain ELSE '' END, o.question, o.answer FROM s JOIN o ON o.conv_id = s.conv_id AND o.n = s.n + 1)
-    SELECT conv_id, lft AS turns_left, domain, question AS last_question, answer AS last_answer FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1""")
+def session_turns(t):
+    """Turns with their eight best ids."""
+    return t.withColumn("retrieved", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.concat("first_id", F.lit("-"), i))).drop("first_id")
+
+
+D_MEMORY = """WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS after, array_to_string(list_transform(range(1, 7), lambda i: first_id || '-' || i), ',') AS ids,
+        CASE WHEN answered AND NOT use_history THEN CASE WHEN contains(question_n, 'with ') OR contains(question_n, 'from ') THEN 2 WHEN domain = 'gamma' THEN 1 ELSE 0 END END AS v FROM session_turns_v),
+    f AS (SELECT * FROM n WHERE answered QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY after) = 1), a AS (SELECT * FROM n WHERE answered OR answer <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY after) = 1),
+    r AS (SELECT conv_id, greatest(0, v - after) AS left_ FROM n WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY after) = 1), l AS (SELECT * FROM n WHERE after = 0)
+    SELECT l.conv_id, coalesce(f.domain, '') AS active_domain, coalesce(f.doc, '') AS active_doc, coalesce(f.entity, '') AS last_entity, coalesce(f.unit, '') AS last_named_unit, coalesce(f.qtype, 'factoid') AS last_question_type,
+        coalesce(f.ids, '') AS last_retrieved_ids, coalesce(f.topic, '') AS last_topic, l.question AS last_user_query, coalesce(a.answer, '') AS last_assistant_answer, l.channel AS last_channel, CAST(coalesce(left_, 0) AS INTEGER) AS context_turns
+    FROM l LEFT JOIN f USING (conv_id) LEFT JOIN a USING (conv_id) LEFT JOIN r USING (conv_id)"""
+P.add("j6_session_state", lambda t: J.session_memory(session_turns(t), **MEMORY), "session_turns_v", sql=D_MEMORY)
 P.add("j7_per_file_samples", J.file_samples, "turns", sql="SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS n, substr(question, 1, 100) AS question, substr(answer, 1, 60) AS extra FROM turns QUALIFY n <= 6")
 P.add(
     "j8_review_current",

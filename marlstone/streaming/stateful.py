@@ -1,12 +1,10 @@
-"""Keyed state over message and feedback streams; each form agrees with its batch twin."""
+"""Keyed state over message streams; each form agrees with its batch twin. ``upserts`` has the keyed tables."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.query import StreamingQuery
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,68 +34,59 @@ class TurnPairing(StatefulProcessor):
         pass
 
 
-class SessionState(StatefulProcessor):
-    """The fold of session_state over a stream of turns; with ``ttl_ms``, state expires so long after its last change."""
+class SessionMemory(StatefulProcessor):
+    """The fold of ``session_memory`` over a stream of turns, in three keyed parts: what the last answered turn found, what was said last, and the
+    turns of context left. With ``ttl_ms`` each part expires so long after its last change."""
 
-    window = 3
+    FOUND = ("active_domain", "active_doc", "last_entity", "last_named_unit", "last_question_type", "last_retrieved_ids", "last_topic")
 
-    def __init__(self, ttl_ms: int | None = None) -> None:
-        self.ttl_ms = ttl_ms
+    def __init__(self, marks: tuple[str, ...], domains: tuple[str, ...], ttl_ms: int | None = None) -> None:
+        self.marks, self.domains, self.ttl_ms = marks, domains, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "left int, domain string, question string, answer string", self.ttl_ms)
+        self.found = handle.getValueState("found", ", ".join(f"{c} string" for c in self.FOUND), self.ttl_ms)
+        self.said = handle.getValueState("said", "query string, answer string, channel string", self.ttl_ms)
+        self.left = handle.getValueState("left", "turns int", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows)).sort_values("turn")
-        left, domain, question, answer = self.state.get() if self.state.exists() else (0, "", "", "")
-        for d, q, a in zip(pdf.domain, pdf.question, pdf.answer):
-            left = self.window if d else max(0, left - 1)
-            domain = d or (domain if left > 0 else "")
-            question, answer = q, a
-        self.state.update((int(left), domain, question, answer))
-        yield pd.DataFrame([(key[0], left, domain, question, answer)], columns=["conv_id", "turns_left", "domain", "last_question", "last_answer"])
+        found = self.found.get() if self.found.exists() else ("", "", "", "", "factoid", "", "")
+        query, answer, channel = self.said.get() if self.said.exists() else ("", "", "docs")
+        left = self.left.get()[0] if self.left.exists() else 0
+        for r in pdf.itertuples():
+            if r.answered:
+                found = (r.domain, r.doc, r.entity, r.unit, r.qtype, ",".join(list(r.retrieved)[:6]), r.topic)
+            answer = r.answer if r.answered or r.answer else answer
+            query, channel = r.question, r.channel
+            if not r.answered or r.use_history:
+                left = max(0, left - 1)
+            else:
+                left = 2 if any(m in r.question_n for m in self.marks) else 1 if r.domain in self.domains else 0
+        self.found.update(tuple(found))
+        self.said.update((query, answer, channel))
+        self.left.update((int(left),))
+        yield pd.DataFrame([(key[0], *found, query, answer, channel, left)], columns=["conv_id", *self.FOUND, "last_user_query", "last_assistant_answer", "last_channel", "context_turns"])
 
     def close(self) -> None:
         pass
 
 
+def stream_session_memory(turns: DataFrame, marks: tuple[str, ...], domains: tuple[str, ...], ttl_ms: int | None = None) -> DataFrame:
+    """Session memory after each batch. Expiry needs processing time, which keeps a query running: leave it out for ``availableNow``."""
+    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    schema = ", ".join(["conv_id long", *(f"{c} string" for c in SessionMemory.FOUND), "last_user_query string, last_assistant_answer string, last_channel string, context_turns int"])
+    return turns.groupBy("conv_id").transformWithStateInPandas(statefulProcessor=SessionMemory(marks, domains, ttl_ms), outputStructType=schema, outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None")
+
+
 def stream_turn_pairing(messages: DataFrame) -> DataFrame:
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     schema = "conv_id long, turn long, turn_id string, user_turn long, question string, answer string"
     return messages.groupBy("conv_id").transformWithStateInPandas(statefulProcessor=TurnPairing(), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
-def stream_session_state(turns: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Session state after each batch. Expiry needs processing time, which keeps a query running: leave it out for ``availableNow``."""
-    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    schema = "conv_id long, turns_left int, domain string, last_question string, last_answer string"
-    return turns.groupBy("conv_id").transformWithStateInPandas(statefulProcessor=SessionState(ttl_ms), outputStructType=schema, outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None")
-
-
 def run_to_files(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """All rows that the stream has now, written as Parquet and read back."""
     spark = stream.sparkSession
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
-
-
-def upsert_feedback(changes: DataFrame, folder: str) -> StreamingQuery:
-    """Keeps the current feedback of each turn: every batch is folded with the table of the last one and written as the next version."""
-    from ..operators.sessions import feedback_current
-
-    spark = changes.sparkSession
-    raw = "turn_id string, student_id string, question string, answer string, seq int, rating int, answer_suggestion string, updated_at string"
-
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.select(*[c.split()[0] for c in raw.split(", ")])
-        if number > 0:
-            rows = rows.unionByName(spark.read.schema(raw).parquet(f"{folder}/log-{number - 1}"))
-        rows.write.mode("overwrite").parquet(f"{folder}/log-{number}")
-        feedback_current(spark.read.schema(raw).parquet(f"{folder}/log-{number}")).write.mode("overwrite").parquet(f"{folder}/state")
-
-    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
-
-
-def feedback_table(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/state").select("turn_id", "student_id", F.col("rating"), "answer_suggestion", "created_at", "updated_at")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone import registry
 from marlstone.functions import text as T
-from marlstone.operators import chunking, evaluate, pages, preference, retriever_data, search, sessions
+from marlstone.operators import chunking, evaluate, pages, preference, retriever_data, search
 from marlstone.plans.common import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -83,13 +83,6 @@ def test_html_blocks(spark):
     assert [(r.page_id, r.title, r.text) for r in rows] == [(1, "A & B | Site", "Headline"), (1, "A & B | Site", "One two"), (2, "", "only text")]
 
 
-def test_session_state(spark):
-    turns = spark.createDataFrame([(1, k, d, f"q{k}", f"a{k}") for k, d in enumerate(["x", "", "", "", "y"])], "conv_id long, turn long, domain string, question string, answer string")
-    assert tuple(sessions.session_state(turns.where("turn < 3")).first()) == (1, 1, "x", "q2", "a2")
-    assert tuple(sessions.session_state(turns.where("turn < 4")).first()) == (1, 0, "", "q3", "a3")
-    assert tuple(sessions.session_state(turns).first()) == (1, 3, "y", "q4", "a4")
-
-
 def test_reward_model_prefers_chosen(spark):
     rows = [(f"good answer with reasons {k}", 1) for k in range(20)] + [(f"zzz qqq xxx {k}", 0) for k in range(20)]
     df = spark.createDataFrame(rows, "text string, label int")
@@ -105,7 +98,7 @@ def test_bm25_by_hand(spark):
     assert [(r.id, r.score) for r in got] == [(1, pytest.approx(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 2))))]
 
 
-QUICK = ("u1_", "u4_", "u9_", "c3_", "c6_", "c7_", "p4_", "m5_", "m9_", "k3_", "q7_", "q11_", "q14_", "j1_", "j6_", "j8_", "j9_", "x7_", "x12_", "d8_", "e5_", "r3_", "d2_", "d4_", "k7_", "q2_", "q4_", "q13_", "r11_", "r13_", "x15_", "e8_", "r28_", "s6_", "s8_")
+QUICK = ("u1_", "u4_", "u9_", "c3_", "c6_", "c7_", "p4_", "m5_", "m9_", "k3_", "q7_", "q11_", "q14_", "j1_", "j6_", "j8_", "j9_", "x7_", "x12_", "d8_", "e5_", "r3_", "d2_", "d4_", "k7_", "q2_", "q4_", "q13_", "r11_", "r13_", "x15_", "e8_", "r28_", "s6_", "s8_", "s9_")
 
 
 @pytest.fixture(scope="module")
