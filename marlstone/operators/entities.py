@@ -88,13 +88,3 @@ def field_proximity(blocks: DataFrame, role: Column, field: Column, reach: int =
     rows = blocks.withColumn("_hit", F.when(field, F.col("pos")))
     near = F.coalesce(F.col("_hit"), *[F.lead("_hit", k).over(w) for k in range(1, reach + 1)])
     return rows.withColumn("found_pos", near).withColumn("_role", role).where("_role and found_pos is not null").select(key, "pos", "found_pos")
-
-
-def qa_match(queries: DataFrame, qa: DataFrame, tokens, floor: float = 0.25) -> DataFrame:
-    """(query_id, qa_id, score): the best QA row of a query by shared tokens, those of the question counting double."""
-    q = queries.select("query_id", F.array_distinct(tokens("query")).alias("qt")).withColumn("n", F.size("qt"))
-    a = qa.select("qa_id", F.array_distinct(tokens("question")).alias("a"), F.array_distinct(tokens("answer")).alias("b"))
-    terms = a.select("qa_id", F.explode("a").alias("t"), F.lit(2.0).alias("w")).unionByName(a.select("qa_id", F.explode("b").alias("t"), F.lit(1.0).alias("w")))
-    rows = q.select("query_id", "n", F.explode("qt").alias("t")).join(terms, "t").groupBy("query_id", "qa_id").agg((F.sum("w") / (3 * F.first("n"))).alias("score")).where(F.col("score") >= floor)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "qa_id")
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

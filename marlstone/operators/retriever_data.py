@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import inverted as V
 from .index import context_keys
 from .search import top
 
@@ -114,10 +115,10 @@ def history_positives(contexts: DataFrame, n: int = 2, floor: float = 0.32, shar
 
 
 def positive_match(rows: DataFrame, tokens: Column, common: tuple[str, ...]) -> DataFrame:
-    """Rows where a query token that is not common is a substring of title, entity or text; all if there is no such token. Text columns are normalised."""
+    """Rows where a query token of three characters that is not common is a substring of title, entity, text or question; all if there is no such token. Text columns are normalised."""
     listed = F.array(*[F.lit(t) for t in common])
-    own = F.filter(tokens, lambda t: ~F.array_contains(listed, t))
-    both = F.concat_ws(" ", "title_n", "entity_n", "body")
+    own = F.filter(tokens, lambda t: (F.length(t) >= 3) & ~F.array_contains(listed, t))
+    both = F.concat_ws(" ", "title_n", "entity_n", "body", "question_n")
     return rows.withColumn("_own", own).withColumn("_all", both).where((F.size("_own") == 0) | F.exists("_own", lambda t: F.col("_all").contains(t))).drop("_own", "_all")
 
 
@@ -138,8 +139,8 @@ def positive_expand(positives: DataFrame, queries: DataFrame, corpus: DataFrame,
     base = positives.join(corpus.select("id", "domain", T.norm_ascii("entity_name").alias("entity_n")), "id")
     entities = base.where("entity_n <> ''").select("query_id", "entity_n").distinct()
     domains = base.where("domain <> ''").select("query_id", "domain").distinct()
-    own = corpus.withColumns({"entity_n": T.norm_ascii("entity_name"), "title_n": T.norm_ascii("title"), "body": T.norm_ascii("text")})
-    own = own.select("id", "domain", "entity_n", "title_n", "body", "chunk_type", "source_kind", F.length("body").alias("_len"), T.norm_ascii("summary").alias("_summary"))
+    own = corpus.withColumns({"entity_n": T.norm_ascii("entity_name"), "title_n": T.norm_ascii("title"), "body": T.norm_ascii("text"), "question_n": T.norm_ascii("question")})
+    own = own.select("id", "domain", "entity_n", "title_n", "body", "question_n", "chunk_type", "source_kind", F.length("body").alias("_len"), T.norm_ascii("summary").alias("_summary"))
     more = entities.join(own, "entity_n").join(domains, ["query_id", "domain"], "left_semi").join(positives.select("query_id", "id"), ["query_id", "id"], "left_anti")
     more = more.join(queries.select("query_id", F.col("query_type").alias("asked"), "tokens"), "query_id").withColumn("fits", _accepts(F.col("asked"), F.col("chunk_type"), accepted))
     more = positive_match(more.where((F.col("chunk_type") == "") | F.col("fits")), F.col("tokens"), common)
@@ -160,17 +161,16 @@ def seed_queries(qa: DataFrame, n: int = 3) -> DataFrame:
 def lexical_negatives(queries: DataFrame, q_tokens: Column, corpus: DataFrame, c_tokens: Column, positives: DataFrame, least: float = 0.18) -> DataFrame:
     """(query_id, id, score, source): chunks that share tokens with a query: overlap + .18 same domain + .16 its type - .22 a positive's entity + .05 a positive's domain; no positives, no copies of them.
 
-    ``source`` is the last of lexical, same_domain, same_type that holds. Queries meet chunks on hashes of their tokens only.
+    ``source`` is the last of lexical, same_domain, same_type that holds. Overlaps come from an index of the chunks, shard by shard, so no word makes
+    pairs of queries and chunks; every chunk with a shared token is judged, as a domain alone reaches ``least``.
     """
-    q = queries.select("query_id", F.col("domain").alias("q_domain"), F.col("query_type").alias("asked"), F.array_distinct(q_tokens).alias("t")).withColumn("n", F.size("t"))
-    d = corpus.select("id", F.explode(F.array_distinct(c_tokens)).alias("term"))
-    each = q.select("query_id", "n", F.explode("t").alias("term"))
-    d = d.join(each.select("term").distinct(), "term", "left_semi")
-    share = each.join(d, "term").groupBy("query_id", "id").agg((F.count("*") / F.first("n")).alias("overlap"))
+    q = queries.select("query_id", F.col("domain").alias("q_domain"), F.col("query_type").alias("asked"))
+    index = V.build(corpus, c_tokens)
+    share = V.search(index, queries, q_tokens, None, "overlap").select("query_id", "id", F.col("score").alias("overlap"))
     named = positives.join(corpus.select("id", "domain", T.norm_ascii("entity_name").alias("entity_n"), "dedupe_key"), "id")
     sets = named.groupBy("query_id").agg(F.collect_set("domain").alias("p_domains"), F.collect_set("entity_n").alias("p_entities"), F.collect_set("dedupe_key").alias("p_keys"), F.collect_set("id").alias("p_ids"))
     rows = share.join(corpus.select("id", "domain", "chunk_type", T.norm_ascii("entity_name").alias("entity_n"), "dedupe_key"), "id")
-    rows = rows.join(q.select("query_id", "q_domain", "asked").join(sets, "query_id", "left"), "query_id")  # a query has two positives or so
+    rows = rows.join(q.join(sets, "query_id", "left"), "query_id")  # a query has two positives or so
     in_ = lambda name, value: F.coalesce(F.array_contains(name, F.col(value)), F.lit(False))
     rows = rows.where(~in_("p_ids", "id") & ~in_("p_keys", "dedupe_key"))
     domain, kind = F.col("domain") == F.col("q_domain"), F.col("chunk_type") == F.col("asked")

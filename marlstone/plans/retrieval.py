@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import index as I
 from ..operators import inverted as V
+from ..operators import scan as C
 from ..operators import search as S
 from ..sources.tables import stored
 from .common import Plans, d_alnum, d_ascii, d_keyword_id, d_terms
@@ -227,11 +228,11 @@ def candidates(q, docs, corpus, k=20):
     """Hits with the texts of query and chunk, normalised."""
     rows = hits(q, docs, k).withColumn("id", F.concat(F.lit("d"), F.col("id")))
     rows = rows.join(q.select("query_id", F.col("query").alias("q_raw"), F.col("query_type").alias("asked"), F.col("domain").alias("q_domain")), "query_id").join(corpus, "id")
-    return rows.withColumns({"query": T.norm_ascii("q_raw"), "body": T.norm_ascii("text"), "title_n": T.norm_ascii("title"), "entity_n": T.norm_ascii("entity_name")}).withColumns({"q_tokens": F.regexp_extract_all("query", F.lit("[a-z0-9]+"), F.lit(0)), "q_words": F.split("query", " ")})
+    return rows.withColumns({"query": T.norm_ascii("q_raw"), "body": T.norm_ascii("text"), "title_n": T.norm_ascii("title"), "entity_n": T.norm_ascii("entity_name"), "question_n": T.norm_ascii("question")}).withColumns({"q_tokens": F.regexp_extract_all("query", F.lit("[a-z0-9]+"), F.lit(0)), "q_words": F.split("query", " ")})
 
 
 D_CAND = f"""{D_HITS}, cand AS (SELECT h.query_id, c.id, h.score, h.rank, q.query AS q_raw, q.query_type AS asked, q.domain AS q_domain, c.* EXCLUDE (id), {d_ascii('q.query')} AS query, {d_ascii('c.text')} AS body,
-    {d_ascii('c.title')} AS title_n, {d_ascii('c.entity_name')} AS entity_n, {d_alnum('q.query')} AS q_tokens, string_split({d_ascii('q.query')}, ' ') AS q_words FROM hits h JOIN queries_v q USING (query_id) JOIN corpus_v c ON c.id = 'd' || h.id)"""
+    {d_ascii('c.title')} AS title_n, {d_ascii('c.entity_name')} AS entity_n, {d_ascii('c.question')} AS question_n, {d_alnum('q.query')} AS q_tokens, string_split({d_ascii('q.query')}, ' ') AS q_words FROM hits h JOIN queries_v q USING (query_id) JOIN corpus_v c ON c.id = 'd' || h.id)"""
 _CAND = ("queries_v", "documents", "corpus_v")
 _first = "q_words[1:6]"
 
@@ -411,6 +412,28 @@ def _merged(q, docs, corpus, k=8):
 D_MERGED = f"""{D_CAND}, c2 AS (SELECT *, title_n || ' ' || body AS both_ FROM cand), un AS (SELECT query_id, id, dedupe_key AS key, score / 100 AS score FROM c2 UNION ALL SELECT query_id, id, dedupe_key, {D_SEED_SCORE} FROM c2),
     b1 AS (SELECT * FROM un QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY round(score, 9) DESC, id) = 1),
     merged AS (SELECT query_id, id, key, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM b1 QUALIFY rank <= 8)"""
+
+
+def pooled(q, docs, corpus, k):
+    """Seed search over all seeds of the query's domain and fused search over all chunks, the k best of each, merged."""
+    both = F.concat_ws(" ", T.norm_ascii("title"), T.norm_ascii("text"))
+    seeds = C.seed_search(corpus.where("source_kind = 'seed'"), q, both, F.lit(0.1), k)
+    chunks = fused(q, docs, k).select("query_id", F.concat(F.lit("d"), F.col("id")).alias("id"), "score")
+    rows = seeds.unionByName(chunks).join(corpus.select("id", F.col("dedupe_key").alias("key")), "id")
+    return S.merge_dedupe([rows.select("query_id", "id", "key", "score")], k)
+
+
+def d_pooled(k: int) -> str:
+    """CTEs up to pool: the k best of pooled."""
+    own = D_SEED_SCORE.replace("CASE WHEN source_kind = 'seed' THEN 0.1 ELSE 0.05 END", "0.1")
+    return f"""sq AS (SELECT query_id, domain, {d_ascii('query')} AS query, string_split({d_ascii('query')}, ' ') AS q_words FROM queries_v), sb AS (SELECT id, domain, {d_ascii('title')} || ' ' || {d_ascii('text')} AS both_ FROM corpus_v WHERE source_kind = 'seed'),
+    ss AS (SELECT query_id, id, CAST({own} AS DOUBLE) AS score FROM sq JOIN sb USING (domain)), s1 AS (SELECT * FROM ss QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= {k}),
+    f1 AS (SELECT query_id, 'd' || id AS id, score FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, fused.id) <= {k}),
+    pu AS (SELECT u.*, coalesce(nullif(c.dedupe_key, ''), u.id) AS key FROM (SELECT * FROM s1 UNION ALL SELECT * FROM f1) u JOIN corpus_v c USING (id)),
+    p1 AS (SELECT * FROM pu QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY round(score, 9) DESC, id) = 1),
+    pool AS (SELECT query_id, id, key, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM p1 QUALIFY rank <= {k})"""
+
+
 P.add("r19_merge_dedupe", lambda q, d, c: _merged(q, d, c).select("query_id", "id", "rank", F.round("score", 6).alias("score")), *_CAND, sql=f"WITH {D_MERGED} SELECT query_id, id, rank, round(score, 6) AS score FROM merged")
 P.add("r20_strong_evidence", lambda q, d: S.strong(fused(q, d, 1), 0.6).select("query_id", F.round("top", 6).alias("top")), "queries_v", "documents", sql=f"WITH {D_FUSED} SELECT query_id, round(max(score), 6) AS top FROM fused GROUP BY query_id HAVING max(score) >= 0.6")
 P.add(

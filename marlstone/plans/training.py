@@ -12,13 +12,16 @@ from ..operators import evaluate as E
 from ..operators import index as I
 from ..operators import pages as G
 from ..operators import retriever_data as D
+from ..operators import scan as A
 from ..operators import search as S
+from ..operators.classify import Rule
+from ..sources.tables import stored
 from .common import Plans, d_alnum, d_ascii, d_bucket, d_norm, d_words, d_ws
 from .corpus import D_LINES
 from .preference import D_CAND as D_XCAND
 from .preference import D_DEDUPE, D_LAST, D_PAIRS, d_reward, deduped, pairs, with_reward
-from .sessions import STEPS, d_rule
-from .retrieval import D_CAND, D_FUSED, D_HITS, D_KEYS, D_MERGED, D_SEED_SCORE, _merged, _seed_score, candidates, fused, hits
+from .sessions import STEPS, d_label, d_rule
+from .retrieval import D_CAND, D_FUSED, D_HITS, D_KEYS, D_MERGED, D_SEED_SCORE, _merged, _seed_score, candidates, d_pooled, fused, hits, pooled
 
 P = Plans()
 QUERIES, ORACLE = P.queries, P.oracle
@@ -91,12 +94,12 @@ def positives(q, d):
 D_POS = f"""{D_HITS}, h8 AS (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS t FROM hits WHERE rank <= 8),
     pos AS (SELECT query_id, 'd' || id AS id, rank FROM h8 WHERE (rank = 1 OR score >= greatest(0.32, 0.68 * t)) AND rank <= 2)"""
 P.add("d5_history_positives", positives, "queries_v", "documents", sql=f"WITH {D_POS} SELECT query_id, id, rank FROM pos")
-_own = f"list_filter(q_tokens, lambda t: t NOT IN ({', '.join(repr(c) for c in COMMON)}))"
+_own = f"list_filter(q_tokens, lambda t: length(t) >= 3 AND t NOT IN ({', '.join(repr(c) for c in COMMON)}))"
 P.add(
     "d6_positive_match",
     lambda q, d, c: D.positive_match(candidates(q, d, c), F.col("q_tokens"), COMMON).select("query_id", "id"),
     *_CAND,
-    sql=f"WITH {D_CAND} SELECT query_id, id FROM cand WHERE len({_own}) = 0 OR len(list_filter({_own}, lambda t: contains(title_n || ' ' || entity_n || ' ' || body, t))) > 0",
+    sql=f"WITH {D_CAND} SELECT query_id, id FROM cand WHERE len({_own}) = 0 OR len(list_filter({_own}, lambda t: contains(title_n || ' ' || entity_n || ' ' || body || ' ' || question_n, t))) > 0",
 )
 
 
@@ -111,11 +114,11 @@ P.add(
     expanded,
     *_CAND,
     sql=f"""WITH {D_POS}, b AS (SELECT query_id, domain, {d_ascii('entity_name')} AS e FROM pos JOIN corpus_v USING (id)),
-        c AS (SELECT *, {d_ascii('entity_name')} AS entity_n, {d_ascii('title')} AS title_n, {d_ascii('text')} AS body, {d_ascii('substr(text, 1, 100)')} AS summary FROM corpus_v),
+        c AS (SELECT *, {d_ascii('entity_name')} AS entity_n, {d_ascii('title')} AS title_n, {d_ascii('text')} AS body, {d_ascii('question')} AS question_n, {d_ascii('substr(text, 1, 100)')} AS summary FROM corpus_v),
         m AS (SELECT q.query_id, q.query_type, c.*, {d_alnum('q.query')} AS q_tokens, {_types('q.query_type', 'c.chunk_type')} AS fits FROM (SELECT DISTINCT query_id, e FROM b WHERE e <> '') x JOIN c ON c.entity_n = x.e JOIN queries_v q USING (query_id)
             WHERE (query_id, c.domain) IN (SELECT query_id, domain FROM b) AND (query_id, c.id) NOT IN (SELECT query_id, id FROM pos)),
         k AS (SELECT query_id, id, round(CAST(CASE WHEN source_kind = 'seed' THEN 0.25 ELSE 0 END + CASE WHEN fits THEN 0.30 ELSE 0 END + CASE WHEN query_type <> 'generic' AND chunk_type = query_type THEN 0.35 ELSE 0 END + CASE WHEN body <> '' AND body <> summary THEN 0.05 ELSE 0 END AS DOUBLE), 6) AS score
-            FROM m WHERE (chunk_type = '' OR fits) AND (len({_own}) = 0 OR len(list_filter({_own}, lambda t: contains(title_n || ' ' || entity_n || ' ' || body, t))) > 0))
+            FROM m WHERE (chunk_type = '' OR fits) AND (len({_own}) = 0 OR len(list_filter({_own}, lambda t: contains(title_n || ' ' || entity_n || ' ' || body || ' ' || question_n, t))) > 0))
         SELECT query_id, id FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) <= 3""",
 )
 
@@ -142,15 +145,20 @@ def history_queries(t, r, f, d):
 
 _D_HQ = D_POS.replace("SELECT query_id, list_filter", "SELECT turn_id AS query_id, list_filter").replace(d_alnum("query"), d_alnum("question")).replace("FROM queries_v)", "FROM turns WHERE turn_id IN (SELECT turn_id FROM us WHERE reason = 'ok'))")
 P.add("d9_history_queries", history_queries, *_TRF, "documents", sql=f"WITH {D_USABLE}, {_D_HQ} SELECT query_id, id, rank FROM pos")
-P.add("d10_candidate_pool", lambda q, d, c: _merged(q, d, c, 8).select("query_id", "id", "key", "rank", F.round("score", 6).alias("score")), *_CAND, sql=f"WITH {D_MERGED} SELECT query_id, id, key, rank, round(score, 6) AS score FROM merged")
+P.add(
+    "d10_candidate_pool",
+    lambda q, d, c: pooled(q, d, c, 8).select("query_id", "id", "key", "rank", F.round("score", 6).alias("score")),
+    *_CAND,
+    sql=f"WITH {D_FUSED}, {d_pooled(8)} SELECT query_id, id, key, rank, round(score, 6) AS score FROM pool",
+)
 
 
 _long = lambda x: F.filter(F.split(T.norm_ascii(x), " "), lambda t: F.length(t) >= 3)
 _whole = lambda: F.concat_ws(" ", "title", "entity_name", "text", "question")
 
 
-def lexical(q, d, c):
-    return D.lexical_negatives(q, _long("query"), c, _long(_whole()), positives(q, d))
+def lexical(q, d, c, pos=None):
+    return D.lexical_negatives(q, _long("query"), c, _long(_whole()), positives(q, d) if pos is None else pos)
 
 
 _D3 = lambda x: f"list_distinct(list_filter(string_split({d_ascii(x)}, ' '), lambda t: length(t) >= 3))"
@@ -168,12 +176,13 @@ POOL = 48
 
 
 def negatives(q, d, c):
-    pos = positives(q, d)
-    got = hits(q, d, POOL).select("query_id", F.concat(F.lit("d"), F.col("id")).alias("id"), "score")
-    return D.hard_negatives(D.retrieved_negatives(got, q, c, pos), lexical(q, d, c))
+    pos = stored(positives(q, d), "positives")
+    got = pooled(q, d, c, POOL).select("query_id", "id", "score")
+    return stored(D.hard_negatives(D.retrieved_negatives(got, q, c, pos), lexical(q, d, c, pos)), "negatives")
 
 
-D_NEG = f"""{D_LEX}, pool AS (SELECT query_id, 'd' || id AS id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, bm.id) <= {POOL}),
+_lex_after = D_LEX[len(D_HITS) + 2 :]  # D_FUSED has the first steps of D_HITS
+D_NEG = f"""{D_FUSED}, hits AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM bm QUALIFY rank <= 20), {_lex_after}, {d_pooled(POOL)},
     rn AS (SELECT p.query_id, p.id, p.score FROM pool p JOIN corpus_v c USING (id) JOIN queries_v q USING (query_id) WHERE (p.query_id, p.id) NOT IN (SELECT query_id, id FROM np) AND (p.query_id, c.dedupe_key) NOT IN (SELECT query_id, dedupe_key FROM np)
         AND NOT ((p.query_id, {d_ascii('c.entity_name')}) IN (SELECT query_id, e FROM np WHERE e <> '') AND {_types('q.query_type', 'c.chunk_type')})),
     n0 AS (SELECT query_id, id, 'retrieval' AS source, score, 0 AS s FROM rn UNION ALL SELECT query_id, id, source, score, 1 FROM lex),
@@ -410,13 +419,31 @@ P.add(
     sql=f"""WITH {D_LINES}, h AS (SELECT *, CASE WHEN contains(text, 'was the') THEN pos END AS hit FROM lines), n AS (SELECT *, coalesce(hit, lead(hit, 1) OVER w, lead(hit, 2) OVER w, lead(hit, 3) OVER w) AS found_pos FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
         SELECT doc_id, pos, found_pos FROM n WHERE contains({d_norm('text')}, 'was') AND found_pos IS NOT NULL""",
 )
+#: Topics, marks and steps that occur in these tables.
+QA_TOPICS, QA_ADJUST, QA_STEPS = [Rule("from", ("from",)), Rule("with", ("with",)), Rule("that", ("that",))], {"from": (("and", "the"), 2.0), "with": (("the",), -1.0)}, ("that",)
+
+
+def qa_rows(t):
+    rows = t.select(F.col("turn_id").alias("qa_id"), "question", "answer").withColumn("x", F.concat_ws(" ", T.norm_ascii("question"), T.norm_ascii("answer")))
+    words = F.slice(F.array_distinct(F.filter(F.split("x", " "), lambda w: F.length(w) >= 6)), 1, 3)
+    return rows.select("qa_id", "question", "answer", Q.first_label(F.col("x"), QA_TOPICS, "").alias("topic"), words.alias("keywords"), Q.score(T.norm_ascii("answer"), STEPS).alias("specificity"))
+
+
+def qa_queries(q):
+    x = T.norm_ascii("query")
+    return q.select("query_id", "query", Q.first_label(x, QA_TOPICS, "").alias("topic"), x.contains("in").alias("howto"))
+
+
+_added = " + ".join(f"CASE WHEN a.topic = '{t}' AND ({' OR '.join(f'contains(q.x, {m!r})' for m in marks)}) THEN {v} ELSE 0 END" for t, (marks, v) in QA_ADJUST.items())
 P.add(
     "r29_qa_match",
-    lambda q, t: N.qa_match(q, t.withColumnRenamed("turn_id", "qa_id"), _toks).select("query_id", "qa_id", F.round("score", 6).alias("score")),
+    lambda q, t: A.qa_match(qa_queries(q), qa_rows(t), QA_ADJUST, QA_STEPS).select("query_id", "qa_id", F.round("score", 6).alias("score")),
     "queries_v",
     "turns",
-    sql=f"""WITH q AS (SELECT query_id, len(t) AS n, unnest(t) AS t FROM (SELECT query_id, list_distinct({d_toks('query')}) AS t FROM queries_v)),
-        a AS (SELECT turn_id AS qa_id, unnest(list_distinct({d_toks('question')})) AS t, 2.0e0 AS w FROM turns UNION ALL SELECT turn_id, unnest(list_distinct({d_toks('answer')})), 1.0e0 FROM turns),
-        s AS (SELECT query_id, qa_id, sum(w) / (3 * any_value(n)) AS score FROM q JOIN a USING (t) GROUP BY ALL)
-        SELECT query_id, qa_id, round(score, 6) AS score FROM s WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, qa_id) = 1""",
+    sql=f"""WITH q0 AS (SELECT query_id, {d_ascii('query')} AS x FROM queries_v), q AS (SELECT *, {d_label(QA_TOPICS)} AS topic, contains(x, 'in') AS howto, list_filter(string_split(x, ' '), lambda w: length(w) >= 4) AS w FROM q0),
+        a0 AS (SELECT turn_id AS qa_id, {d_ascii('question')} || ' ' || {d_ascii('answer')} AS x, {d_ascii('answer')} AS y FROM turns), a1 AS (SELECT *, list_filter(string_split(x, ' '), lambda w: length(w) >= 6) AS k FROM a0),
+        a AS (SELECT *, {d_label(QA_TOPICS)} AS topic, list_filter(k, lambda w, i: list_position(k, w) = i)[1:3] AS kw, {' + '.join(f"CASE WHEN {d_rule(r, 'y')} THEN {r.delta} ELSE 0 END" for r in STEPS)} AS spec FROM a1),
+        s AS (SELECT query_id, qa_id, CAST(CASE WHEN a.topic <> '' AND a.topic = q.topic THEN 3 ELSE 0 END + 1.5 * len(list_filter(kw, lambda k: contains(q.x, k))) + 0.25 * len(list_filter(q.w, lambda w: contains(a.x, w))) + {_added}
+            + CASE WHEN howto THEN 0.9 * spec + CASE WHEN a.topic IN ({', '.join(repr(t) for t in QA_STEPS)}) THEN 0.25 ELSE 0 END ELSE 0 END AS DOUBLE) AS score FROM q CROSS JOIN a)
+        SELECT query_id, qa_id, round(score, 6) AS score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, qa_id) = 1""",
 )
