@@ -10,14 +10,28 @@ from ..functions import text as T
 SIZE, OVERLAP, LEAST = 170, 35, 220
 
 
-def is_heading(x: Column, hints: tuple[str, ...] = ()) -> Column:
-    """A number (``1`` or ``1.2``) before text, ten words at most with a section hint, or ALL CAPS of 2 to 12 words. Words and hints are those of the form without accents."""
+#: Words that begin a heading, and titles that are headings in documents of that name only.
+HEADING_PREFIXES = ("giai doan ",)
+TITLES = ("lich su hinh thanh", "khoa chuyen mon", "phong ban va chuc nang", "co so vat chat")
+
+
+def is_heading(x: Column, hints: tuple[str, ...] = (), prefixes: tuple[str, ...] = HEADING_PREFIXES, titled: Column | None = None, titles: tuple[str, ...] = TITLES) -> Column:
+    """A number (``1`` or ``1.2``) before text, a known prefix, ten words at most with a section hint, ALL CAPS of 2 to 12 words, or one of ``titles`` where ``titled`` holds (the document goes by a title).
+
+    Words, hints, prefixes and titles are those of the form without accents.
+    """
     n = T.norm_ascii(x)
     words = F.size(F.filter(F.split(n, " "), lambda t: t != ""))
     numbered = n.rlike(r"^[0-9]+(?:\.[0-9]+)?\s*[.)]?\s+")
     caps = (x == F.upper(x)) & x.rlike(r"\p{Lu}") & words.between(2, 12)
-    hinted = (words <= 10) & T.any_hint(n, list(hints)) if hints else F.lit(False)
-    return (n != "") & (numbered | caps | hinted)
+    out = numbered | caps
+    for p in prefixes:
+        out = out | n.startswith(p)
+    if hints:
+        out = out | ((words <= 10) & T.any_hint(n, list(hints)))
+    if titled is not None:
+        out = out | (titled & n.isin(*titles))
+    return (n != "") & out
 
 
 def entity_heading(blocks: DataFrame, rules: DataFrame) -> DataFrame:
@@ -218,12 +232,13 @@ def adaptive(
     ``teach`` (the sentence before put in front where it has a lead) or ``train``, bullets where the type has these, and short lines with a role, a contact or a place.
     Of chunks of a document with the same type, entity and text the first stays.
     """
+    from ..sources.tables import spread, stored
     from .knowledge import dedupe_first, priority
     from .pages import lines
 
-    carried = section_carry(lines(docs), is_heading(F.col("text"), hints), entity)
+    carried = section_carry(lines(spread(docs)), is_heading(F.col("text"), hints), entity)
     sections = section_assemble(carried).withColumn("base", typed(T.norm("section"), T.norm("text"), rules))
-    keyed = sections.withColumn("sid", F.concat_ws(":", "doc_id", "grp"))
+    keyed = stored(sections.withColumn("sid", F.concat_ws(":", "doc_id", "grp")), "sections")  # four branches read it
     about = ["sid", "doc_id", "grp", "section", "entity", "base"]
     windows = word_windows(keyed, "sid").select(F.col("id").alias("sid"), "k", "text")
     parents = keyed.select(*about).join(windows, "sid").withColumns({"part": F.lit("window"), "chunk_type": F.col("base"), "_o": F.lit(0)})

@@ -99,6 +99,34 @@ def choose_answer(candidates: DataFrame, key: str) -> DataFrame:
     return by.select(key, F.when(switch, F.col("best")).otherwise(F.col("own")).alias("answer"), "top")
 
 
+#: By how much a rule's answer must be more specific in how-to questions, and more to the point in others.
+STEP_LEAD, FOCUS_LEAD = 0.4, 0.03
+
+
+def rule_first(same: Column, intent: Column, guarded: Column, rule_steps: Column, steps: Column, rule_focus: Column, focused: Column, rule_length: Column, length: Column) -> Column:
+    """What a rule's answer does before any ranking: ``keep`` the given answer (the same words), ``rule`` (take the rule's), or null (rank).
+
+    Lists take the rule's answer. Under SHORT_INTENTS it is taken where the given answer is not grounded, is less specific by STEP_LEAD in a how-to
+    question, has less focus by FOCUS_LEAD, or is twice as long.
+    """
+    short = ~guarded | ((intent == "howto") & (rule_steps >= steps + STEP_LEAD)) | (rule_focus >= focused + FOCUS_LEAD) | (rule_length * 2 <= F.greatest(F.lit(1), length))
+    return F.when(same, "keep").when((intent == "list") | (intent.isin(*SHORT_INTENTS) & short), "rule")
+
+
+def verified_answer(candidates: DataFrame, key: str) -> DataFrame:
+    """(key, answer, how): of candidates (those of ``choose_answer``, and norm, intent, steps, focus, length) the answer after all rules.
+
+    The first candidate whose source is ``rule`` (by ``pos``) is the rule's answer. ``how`` is rule, keep or ranked. Without an original answer the best stays.
+    """
+    fields = F.struct("pos", "text", "norm", "intent", "guarded", "steps", "focus", "length")
+    two = candidates.groupBy(key).agg(F.min(F.when(F.col("source") == "rule", fields)).alias("r"), F.min(F.when(F.col("source") == "original", fields)).alias("o"))
+    way = rule_first(F.col("r.norm") == F.col("o.norm"), F.col("o.intent"), F.col("o.guarded"), F.col("r.steps"), F.col("o.steps"), F.col("r.focus"), F.col("o.focus"), F.col("r.length"), F.col("o.length"))
+    way = F.when(F.col("r").isNotNull() & F.col("o").isNotNull(), way)
+    rows = choose_answer(candidates, key).join(two.select(key, "r", "o", way.alias("way")), key)
+    answer = F.when(F.col("way") == "keep", F.col("o.text")).when(F.col("way") == "rule", F.col("r.text")).otherwise(F.col("answer"))
+    return rows.select(key, answer.alias("answer"), F.coalesce("way", F.lit("ranked")).alias("how"), "top")
+
+
 def replaces(guarded: Column, same: Column, focus_gain: Column, coverage_gain: Column, length: Column, answer_length: Column, reward_gain: Column) -> Column:
     """Whether a grounded candidate of other words takes an answer's place: more focus (.03) or coverage (.15), 80 characters shorter, or a better reward (.12) at hardly less of both (.08)."""
     better = (focus_gain >= 0.03) | (coverage_gain >= 0.15) | (length + 80 < answer_length) | ((reward_gain >= 0.12) & (focus_gain + coverage_gain >= -0.08))

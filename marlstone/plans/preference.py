@@ -77,18 +77,20 @@ P.add("x8_sft_rows", sft, *VIEWS, sql=f"WITH {D_PAIRS} SELECT * FROM sft")
 
 
 def meta(*v):
-    return X.turn_meta(v[0], v[1], v[2], v[3], candidates(*v))
+    return X.turn_meta(*v[:5], candidates(*v[:5]), v[5] if len(v) > 5 else None)
 
 
 _set = lambda c, t: f"coalesce((SELECT list_sort(list(DISTINCT {c})) FROM {t} x WHERE x.turn_id = et.turn_id AND {c} <> ''), [])"
 D_META = f"""{D_PAIRS}, rm AS (SELECT tr.turn_id, r.verdict, r.review_kind FROM tr JOIN reviews_v r ON r.turn_id = tr.review_turn AND r.seq = tr.seq), meta AS (SELECT et.turn_id, {_set('verdict', 'rm')} AS verdicts, {_set('review_kind', 'rm')} AS kinds, {_set('source', 'cand')} AS sources,
-    coalesce((SELECT count(*) FROM rm x WHERE x.turn_id = et.turn_id), 0) AS reviews, fl.rating FROM et LEFT JOIN fl USING (turn_id))"""
+    coalesce((SELECT count(*) FROM rm x WHERE x.turn_id = et.turn_id), 0) AS reviews, coalesce(fl.rating, 0) AS rating, fl.turn_id IS NOT NULL AS has_feedback, (SELECT count(*) FROM contrib_v c WHERE status = 'approved' AND """ + f"""{d_ws('et.question')} <> '' AND {d_ws('et.question')} = {d_ws('c.original_question')}) AS contributions FROM et LEFT JOIN fl USING (turn_id))"""
 _join = lambda c: F.array_join(c, ",").alias(c)
 P.add(
     "x9_turn_meta",
-    lambda *v: meta(*v).select("turn_id", _join("verdicts"), _join("kinds"), _join("sources"), "reviews", "rating"),
+    lambda *v: meta(*v).select("turn_id", "domain", "route", "rating", "has_feedback", _join("verdicts"), _join("kinds"), "has_review", "reviews", "contributions", _join("sources")),
     *VIEWS,
-    sql=f"WITH {D_META} SELECT turn_id, array_to_string(verdicts, ',') AS verdicts, array_to_string(kinds, ',') AS kinds, array_to_string(sources, ',') AS sources, reviews, rating FROM meta",
+    "facts_v",
+    sql=f"""WITH {D_META} SELECT m.turn_id, coalesce(f.domain, '') AS domain, coalesce(f.route, '') AS route, m.rating, has_feedback, array_to_string(verdicts, ',') AS verdicts, array_to_string(kinds, ',') AS kinds, reviews > 0 AS has_review, reviews,
+        contributions, array_to_string(sources, ',') AS sources FROM meta m LEFT JOIN facts_v f USING (turn_id)""",
 )
 P.add(
     "x10_rlhf_dataset",
@@ -100,7 +102,7 @@ P.add(
     "x11_preference_filter",
     lambda *v: X.preference_filter(pairs(*v), meta(*v), ["incorrect", "missing", "excessive"], None, 5).select("turn_id", "chosen", "rejected", "rating"),
     *VIEWS,
-    sql=f"WITH {D_META} SELECT turn_id, chosen, rejected, rating FROM pairs JOIN meta USING (turn_id) WHERE list_has_any(verdicts, ['incorrect', 'missing', 'excessive']) AND rating <= 5",
+    sql=f"WITH {D_META} SELECT turn_id, chosen, rejected, rating FROM pairs JOIN meta USING (turn_id) WHERE list_has_any(verdicts, ['incorrect', 'missing', 'excessive']) AND rating > 0 AND rating <= 5",
 )
 P.add(
     "x12_salted_split",

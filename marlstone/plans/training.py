@@ -314,8 +314,8 @@ def ranked_answers(*v):
     rows = rows.withColumns({"intent": F.when(F.col("q").rlike(_KEPT), "howto").when(F.length("q") < 60, "factoid").otherwise("list"), "guarded": E.grounded(F.col("text"), F.col("given"))})
     steps = rows.withColumn("x", F.col("a")).withColumn("steps", Q.score(F.col("x"), STEPS))
     parts = (F.col("guarded"), E.coverage(F.col("at"), F.col("g")), E.coverage(F.col("qt"), F.col("a")), E.focus(F.col("at"), F.col("qt")), F.length("text"), F.col("intent"), F.col("steps"), F.col("reward"), F.col("source"))
-    scored = steps.withColumn("total", F.round(E.answer_score(*parts), 9)).withColumn("pos", F.col("rank"))
-    return E.choose_answer(scored, "turn_id").select("turn_id", "answer", F.round("top", 6).alias("top"))
+    scored = steps.withColumns({"total": F.round(E.answer_score(*parts), 9), "pos": F.col("rank"), "norm": F.col("a"), "focus": E.focus(F.col("at"), F.col("qt")), "length": F.length("text")})
+    return E.verified_answer(scored, "turn_id").select("turn_id", "answer", "how", F.round("top", 6).alias("top"))
 
 
 _STEPS = " + ".join(f"CASE WHEN {d_rule(r)} THEN {r.delta} ELSE 0 END" for r in STEPS)
@@ -330,8 +330,11 @@ P.add(
         a3 AS (SELECT *, round(CAST(0.35 * CASE WHEN guarded THEN greatest(support, 0.85) ELSE support END + 0.22 * {d_cover('qt', 'a')} + 0.18 * {D_FOCUS} + 0.13 * CASE WHEN intent IN ('factoid', 'contact', 'howto') THEN least(1.0, 220.0e0 / greatest(220, n)) ELSE 1 END
             + 0.12 * ({d_reward('q', 'a', 'n')} - 0.5) + CASE source WHEN 'rule' THEN 0.18 ELSE 0.02 END + CASE WHEN intent = 'howto' THEN least(0.35, 0.12 * steps) ELSE 0 END AS DOUBLE), 9) AS total FROM a2),
         b AS (SELECT turn_id, arg_min(text, (-total, pos)) AS best, arg_min(source, (-total, pos)) AS came, max(total) AS top, coalesce(max(CASE WHEN source = 'original' THEN total END), 0) AS base,
-            max(CASE WHEN source = 'original' THEN text END) AS own, coalesce(bool_or(CASE WHEN source = 'original' THEN guarded END), false) AS held FROM a3 GROUP BY turn_id)
-        SELECT turn_id, CASE WHEN came <> 'original' AND (top >= base + 0.08 OR (NOT held AND top >= 0.3)) THEN best ELSE own END AS answer, round(top, 6) AS top FROM b""",
+            max(CASE WHEN source = 'original' THEN text END) AS own, coalesce(bool_or(CASE WHEN source = 'original' THEN guarded END), false) AS held FROM a3 GROUP BY turn_id),
+        fo AS (SELECT *, {D_FOCUS} AS foc FROM a3), ru AS (SELECT * FROM fo WHERE source = 'rule' QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY pos) = 1), og AS (SELECT * FROM fo WHERE source = 'original' QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY pos) = 1),
+        wy AS (SELECT og.turn_id, og.text AS otext, ru.text AS rtext, CASE WHEN ru.a = og.a THEN 'keep' WHEN og.intent = 'list' OR (og.intent IN ('factoid', 'contact', 'howto') AND (NOT og.guarded OR (og.intent = 'howto' AND ru.steps >= og.steps + 0.4)
+            OR ru.foc >= og.foc + 0.03 OR ru.n * 2 <= greatest(1, og.n))) THEN 'rule' END AS way FROM og JOIN ru USING (turn_id))
+        SELECT b.turn_id, CASE WHEN way = 'keep' THEN otext WHEN way = 'rule' THEN rtext WHEN came <> 'original' AND (top >= base + 0.08 OR (NOT held AND top >= 0.3)) THEN best ELSE own END AS answer, coalesce(way, 'ranked') AS how, round(top, 6) AS top FROM b LEFT JOIN wy USING (turn_id)""",
 )
 
 
