@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import spread, stored
 
 SIZE, OVERLAP, LEAST = 170, 35, 220
 
@@ -171,14 +172,20 @@ SCALARS = ("doc_title", "section", "chunk_type", "entity_type", "entity_name", "
 LISTS = ("topic_tags", "intent_tags", "search_terms", "keywords", "emails", "urls", "dates", "years")
 
 
+#: Columns that may name a chunk's page: its own, those of the parsed page.
+URLS = ("source_url", "page_source_url", "page_url")
+
+
 def metadata(chunks: DataFrame, topics: list[tuple[str, tuple[str, ...]]], markers: dict[str, tuple[str, ...]], intents: dict[str, tuple[str, ...]]) -> DataFrame:
     """``chunks`` (doc_id, title, section, chunk_type, entity_type, entity_name, text, source_kind, source_path, and any of PASSED and keywords) with the struct ``metadata``.
 
     markers: contact, location, role, howto, each a list of substrings of the text's normal form; they make the flags and, with ``intents`` (tags by chunk type), the intent tags.
-    A source path that begins with http is the url, any other the file. The text's forms are columns of their own, made once.
+    The url is the chunk's own (URLS, the first that is there and not blank), else a source path that begins with http; where there is none, the path is the file. The text's forms are columns of their own, made once.
     """
-    rows = chunks.withColumns({"_c": T.ws("text")}).withColumns({"_n": T.norm_ascii("_c"), "_p": T.text("source_path")})
-    rows = rows.withColumns({"_url": F.when(F.lower("_p").startswith("http"), F.trim("_p")).otherwise(""), "_dates": dates(F.col("_c")), "_emails": extract(F.col("_c"), EMAIL)})
+    given = [F.nullif(F.trim(F.col(c)), F.lit("")) for c in URLS if c in chunks.columns]
+    url = F.coalesce(*given, F.when(F.lower("_p").startswith("http"), F.trim("_p")), F.lit(""))
+    rows = spread(chunks).withColumns({"_c": T.ws("text")}).withColumns({"_n": T.norm_ascii("_c"), "_p": T.text("source_path")})
+    rows = rows.withColumns({"_url": url, "_dates": dates(F.col("_c")), "_emails": extract(F.col("_c"), EMAIL)})
     rows = rows.withColumn("_urls", F.slice(F.array_distinct(F.filter(F.concat(extract(F.col("_c"), URL), F.array("_url")), lambda u: u != "")), 1, 12))
     rows = rows.withColumns({f"_{k}": T.any_hint(F.col("_n"), list(markers[k])) for k in ("contact", "location", "role", "howto")})
     rows = rows.withColumn("_topics", labels(F.col("_n"), topics, F.col("chunk_type"), F.col("entity_name")))
@@ -232,7 +239,6 @@ def adaptive(
     ``teach`` (the sentence before put in front where it has a lead) or ``train``, bullets where the type has these, and short lines with a role, a contact or a place.
     Of chunks of a document with the same type, entity and text the first stays.
     """
-    from ..sources.tables import spread, stored
     from .knowledge import dedupe_first, priority
     from .pages import lines
 

@@ -67,8 +67,9 @@ def write_jsonl(rows: DataFrame, path: str, *order: str) -> None:
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.json(path)
 
 
-def write_store(rows: DataFrame, path: str, key: str, parts: int = 8) -> None:
-    """Stores of ``{items: [...]}``, one file for each part of the keys; choose ``parts`` by the table's size."""
+def write_store(rows: DataFrame, path: str, key: str, size: int = 10_000) -> None:
+    """Stores of ``{items: [...]}``: so many files, by a hash of the key, that each has about ``size`` items, whatever the table's size."""
+    parts = max(1, -(-rows.count() // size))
     part = F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")
     rows.groupBy(part).agg(F.collect_list(F.struct(*rows.columns)).alias("items")).write.partitionBy("part").json(path)
 
