@@ -117,3 +117,10 @@ def test_replies_and_followups(spark):
 def test_replacement(spark):
     keep = lambda focus, cover, n, m, gain: one(spark, evaluate.replaces(F.lit(True), F.lit(False), F.lit(focus), F.lit(cover), F.lit(n), F.lit(m), F.lit(gain)), k=1)
     assert [keep(0.03, 0.0, 9, 9, 0.0), keep(0.0, 0.1, 9, 9, 0.0), keep(0.0, 0.0, 10, 91, 0.0), keep(-0.05, 0.0, 9, 9, 0.2), keep(-0.1, 0.0, 9, 9, 0.2)] == [True, False, True, True, False]
+
+
+def test_weight_rounds_a_half_as_its_double_lies(spark):
+    at = lambda quality, hard, origin: one(spark, retriever_data.weight(F.col("quality"), F.col("hard"), F.col("origin")), quality=quality, hard=hard, origin=origin)
+    assert 0.75 + 0.5 * 0.003691 < 0.7518455 and (0.75 + 0.5 * 0.003691) * 1e6 == 751845.5
+    assert at(1.0, 0.003691, "seed_qa") == 0.751846 and at(1.0, 0.008409, "seed_qa") == 0.754205
+    assert at(1.0, 0.5, "seed_qa") == 1.0 and at(1.0, 0.5, "history") == 0.92 and at(0.1, 0.0, "seed_qa") == 0.15
