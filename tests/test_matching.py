@@ -2,7 +2,7 @@
 
 import random
 
-from marlstone.operators import retriever_data
+from marlstone.operators import entities, retriever_data
 
 
 def test_contexts_find_the_best_row_of_any_shared_fields(spark):
@@ -28,3 +28,29 @@ def test_contexts_find_the_best_row_of_any_shared_fields(spark):
         if rows:
             want[cid] = max(rows)[::-1]
     assert got == want and len(got) > 100
+
+
+def test_variants_meet_by_rare_words_only(spark):
+    rng = random.Random(7)
+    words = ["the", "of"] * 6 + [f"w{i}" for i in range(40)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))
+    questions = [(f"t{i}", text()) for i in range(150)]
+    variants = [(f"r{i % 50:02}", text()) for i in range(120)] + [(f"r{i:02}", questions[i][1] + " more") for i in range(20)] + [("r30", questions[30][1])]
+    t = spark.createDataFrame(questions, "turn_id string, question string")
+    r = spark.createDataFrame([(f"r{i:02}", i != 3, "answer") for i in range(50)], "turn_id string, active boolean, review_kind string")
+    v = spark.createDataFrame(variants, "turn_id string, variant string")
+    got = {x.turn_id: (x.review_turn, round(x.score, 9)) for x in entities.variant_match(t, r, v).collect()}
+    want = {}
+    for tid, q in questions:
+        rows = []
+        for rid, w in variants:
+            a, b = set(q.split()), set(w.split())
+            score = 10.0 if q == w else len(a & b) / len(a) + 0.5 * (q in w or w in q)
+            if rid != "r03" and a & b and score >= 0.75:
+                rows.append((-round(score, 9), rid))
+        if rows:
+            want[tid] = (min(rows)[1], -min(rows)[0])
+    assert got == want and len(got) > 20
+    a = spark.createDataFrame([(f"the of q{i} x{i} y{i}", f"a{i}") for i in range(300)], "q string, a string")
+    b = spark.createDataFrame([(f"the of q{i} x{i} z{i}", f"b{i}") for i in range(300)], "v string, b string")
+    assert {(x.a[1:], x.b[1:]) for x in entities._near(a, b, 0.75).collect()} == {(str(i), str(i)) for i in range(300)}
