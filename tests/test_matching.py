@@ -2,7 +2,10 @@
 
 import random
 
-from marlstone.operators import entities, retriever_data
+from pyspark.sql import functions as F
+
+from marlstone.functions import text as T
+from marlstone.operators import entities, inverted, retriever_data
 
 
 def test_contexts_find_the_best_row_of_any_shared_fields(spark):
@@ -54,3 +57,16 @@ def test_variants_meet_by_rare_words_only(spark):
     a = spark.createDataFrame([(f"the of q{i} x{i} y{i}", f"a{i}") for i in range(300)], "q string, a string")
     b = spark.createDataFrame([(f"the of q{i} x{i} z{i}", f"b{i}") for i in range(300)], "v string, b string")
     assert {(x.a[1:], x.b[1:]) for x in entities._near(a, b, 0.75).collect()} == {(str(i), str(i)) for i in range(300)}
+
+
+def test_shards_are_cut_by_tokens(spark, monkeypatch):
+    monkeypatch.setattr(inverted, "TOKENS", 50)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(20 if i else 80))) for i in range(30)], "id long, text string").coalesce(1)
+    index = inverted.build(docs, T.alnum_tokens("text"), grams=2, norms=True)
+    sizes = [sum(memoryview(r.lengths).cast("i")) for r in index.docs.select(F.col("lengths")).collect()]
+    assert sum(sizes) == 80 + 29 * 20 and sorted(sizes)[-1] == 80 and sorted(sizes)[-2] <= 50
+    queries = spark.createDataFrame([(1, "w3 w5 w7")], "query_id long, query string")
+    got = [(r.id, round(r.score, 9)) for r in inverted.search(index, queries, T.alnum_tokens("query"), 5, "tfidf").orderBy(F.desc(F.round("score", 9)), "id").collect()]
+    monkeypatch.setattr(inverted, "TOKENS", 1 << 20)
+    whole = inverted.build(docs, T.alnum_tokens("text"), grams=2, norms=True)
+    assert got == [(r.id, round(r.score, 9)) for r in inverted.search(whole, queries, T.alnum_tokens("query"), 5, "tfidf").orderBy(F.desc(F.round("score", 9)), "id").collect()]
