@@ -3,7 +3,7 @@
 Four-grams of lower-case letters (all else is one blank) are counted per language over all training documents, and all are kept: the model
 grows with the distinct four-grams of the corpus (far slower than the corpus). Discounts are estimated for each order and language from its counts of counts.
 The probabilities stand in sorted arrays of n-gram keys; a text belongs to the language with the lowest
-cross-entropy per character, and is rejected if that is above nearly all that a sample of the language's own documents have.
+cross-entropy per character, and is rejected if that is above nearly all that the language's own documents have.
 """
 
 from __future__ import annotations
@@ -14,15 +14,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import cut, release, text_blocks
 
 ORDER = 4
 BITS = np.uint64(16)
 #: Discount of an order in which no count is 1 or none is 2; otherwise n1 / (n1 + 2 n2) within these bounds.
 DISCOUNT, LEAST_DISCOUNT, MOST_DISCOUNT = 0.75, 0.1, 0.95
-#: Training documents that rejection is calibrated on, about (by a hash of the text); the share of a language's own that may be rejected; and nats on top, since
-#: the model has seen these documents.
-CALIBRATE = 20_000
+#: The share of a language's own training documents that may be rejected; and nats on top, since the model has seen these documents.
 REJECTED = 0.005
 SLACK = 0.25
 UNSEEN = "und"
@@ -173,8 +171,38 @@ class Model:
         return -total / size[:, None], letters
 
 
+#: Bins of a nat in which entropies are counted.
+BINS = 4096
+
+
+def _quantiles(rows: DataFrame, share: float) -> dict[str, float]:
+    """The exact percentile of ``entropy`` in each ``lang``, between the two nearest ranks: bins are counted first, then only the values of the ranks' own bins are read."""
+    binned = rows.withColumn("bin", F.floor(F.col("entropy") * BINS))
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in binned.groupBy("lang", "bin").count().collect():
+        counts.setdefault(r["lang"], []).append((r["bin"], r["count"]))
+    places, wanted = {}, F.lit(False)
+    for lang, bins in counts.items():
+        bins.sort()
+        ends = np.cumsum([n for _, n in bins])
+        at = (int(ends[-1]) - 1) * share
+        low, high = (int(np.searchsorted(ends, rank, side="right")) for rank in (int(at), min(int(at) + 1, int(ends[-1]) - 1)))
+        places[lang] = (at, int(ends[low]) - bins[low][1])
+        wanted = wanted | ((F.col("lang") == lang) & F.col("bin").isin(bins[low][0], bins[high][0]))
+    values: dict[str, list[tuple[float, int]]] = {}
+    for r in binned.where(wanted).groupBy("lang", "entropy").count().collect():
+        values.setdefault(r["lang"], []).append((r["entropy"], r["count"]))
+    out = {}
+    for lang, (at, before) in places.items():
+        known = sorted(values[lang])
+        ends = before + np.cumsum([n for _, n in known])
+        low, high = (known[min(int(np.searchsorted(ends, rank, side="right")), len(known) - 1)][0] for rank in (int(at), int(at) + 1))
+        out[lang] = low + (high - low) * (at - int(at))
+    return out
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model | None:
-    """A model of all four-grams of all rows with a language, its rejection calibrated on a sample of them. None without rows.
+    """A model of all four-grams of all rows with a language, its rejection calibrated on all of them. None without rows.
 
     The counts come to the driver, which makes the arrays: 12 bytes a language and four-gram there, and 8 and 4 a language for each n-gram in the model.
     """
@@ -190,10 +218,10 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
         order = np.argsort(gram)
         tables.append((gram[order], own["n"].to_numpy()[order]))
     model = Model(langs, tables)
-    parts = max(1, known.count() // CALIBRATE)
-    own = identify(known.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0), model, "id", "text").withColumnRenamed("id", "doc_id").where("doc_id = lang_pred")
-    for row in own.groupBy("doc_id").agg(F.expr(f"percentile(entropy, {1 - REJECTED})").alias("most")).collect():
-        model.most[langs.index(row.doc_id)] = row.most + SLACK
+    own = cut(identify(known, model, "id", "text").where("id = lang_pred").select(F.col("id").alias("lang"), "entropy"))
+    for lang, most in _quantiles(own, 1 - REJECTED).items():
+        model.most[langs.index(lang)] = most + SLACK
+    release(own)
     return model
 
 
