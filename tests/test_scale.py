@@ -2,6 +2,7 @@
 
 import duckdb
 
+from marlstone.operators import entities
 from marlstone.plans import corpus
 
 
@@ -12,3 +13,10 @@ def test_adaptive_chunks_keep_the_mark_that_ends_a_sentence(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert got == sorted(con.execute(corpus.ORACLE["c17_adaptive_chunk"]).fetchall())
+
+
+def test_equal_questions_get_the_same_name(spark):
+    q = spark.createDataFrame([(i, "Blue  steel anvil" if i % 2 else "blue steel ANVIL!") for i in range(50)] + [(90, "cold"), (91, ""), (92, None)], "question_id long, question string")
+    n = spark.createDataFrame([("blue anvil",), ("cold anvil",), ("steel rod",)], "name string")
+    got = {r.question_id: (r.name, r.score) for r in entities.entity_match(q, n, ("blue",), ("large",), ("tin",), ("standard",)).collect()}
+    assert set(got) == {*range(50), 90} and len({got[i] for i in range(50)}) == 1 and got[90][0] == "cold anvil"
