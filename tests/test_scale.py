@@ -1,8 +1,11 @@
 """Work that copies and long tables made grow: results stay, less moves."""
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
-from marlstone.operators import entities
+from marlstone.functions import text as T
+from marlstone.operators import entities, index, inverted
 from marlstone.plans import corpus
 
 
@@ -20,3 +23,21 @@ def test_equal_questions_get_the_same_name(spark):
     n = spark.createDataFrame([("blue anvil",), ("cold anvil",), ("steel rod",)], "name string")
     got = {r.question_id: (r.name, r.score) for r in entities.entity_match(q, n, ("blue",), ("large",), ("tin",), ("standard",)).collect()}
     assert set(got) == {*range(50), 90} and len({got[i] for i in range(50)}) == 1 and got[90][0] == "cold anvil"
+
+
+def test_vectors_of_shards_are_those_of_the_table(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 7}" for k in range(i))) for i in range(12)] + [(50, None)], "id long, text string").repartition(3)
+    tokens = T.alnum_tokens("text", 2)
+    made = inverted.build(docs, tokens, grams=2)
+    assert dict(made.terms.dtypes)["term"] == "bigint"  # no term moves as text
+    got = {r.id: (len(r.terms), sum(r.weights), max(r.weights)) for r in inverted.vectors(made).collect()}
+    made.release()
+    whole = index.tfidf(docs.withColumn("t", tokens), T.ngrams(F.col("t"), 1, 2)).groupBy("id").agg(F.count("*"), F.sum("weight"), F.max("weight")).collect()
+    assert got == {r[0]: (r[1], pytest.approx(r[2]), pytest.approx(r[3])) for r in whole} and 50 not in got
+
+
+def test_keywords_of_some_documents_are_those_among_all(spark):
+    docs = spark.createDataFrame([(1, "apple pear pear"), (2, "pear plum"), (3, "plum fig fig kiwi"), (4, "kiwi")], "id long, text string")
+    every = sorted(tuple(r) for r in index.keyword_weights(docs, T.keyword_terms("text")).collect())
+    some = index.keyword_weights(docs, T.keyword_terms("text"), only=spark.createDataFrame([(3,), (3,), (9,)], "id long"))
+    assert sorted(tuple(r) for r in some.collect()) == [r for r in every if r[0] == 3]
