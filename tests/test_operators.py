@@ -158,3 +158,41 @@ def test_reward_reads_the_whole_text(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
     got = {r.doc_id: r.reward for r in reward_model(docs, labels).collect()}
     assert got[11] > 0.5 > got[10]
+
+
+def test_reward_grams_are_those_of_the_texts(spark):
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("abÄ😀 \n") for _ in range(n)) for n in (0, 2, 3, 40, 500)]
+    plain = [t.lower().replace("\n", "") for t in texts]
+    want = [Counter(t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)) for t in plain]
+    code = {g: int(next(preference.gram_hashes([g]))[1][-1]) for c in want for g in c}
+    for window in (7, 1 << 20):  # grams over a window's end count once
+        got = [Counter() for _ in texts]
+        for place, h in preference.gram_hashes(plain, window):
+            for p, x in zip(place.tolist(), h.tolist()):
+                got[p][x] += 1
+        assert got == [Counter({code[g]: k for g, k in c.items()}) for c in want]
+    rows = spark.createDataFrame([*enumerate(texts), (9, None)], "id long, text string")
+    words = preference.gram_vocabulary(rows, "text", 50)
+    total = sum(want, Counter())
+    assert sorted(total[g] for g in total if code[g] in set(words.tolist())) == sorted(total.values())[-50:]
+    tf = {x.id: x.tf for x in preference.gram_counts(rows, "text", words).collect()}
+    at = {int(w): k for k, w in enumerate(words)}
+    for k, c in enumerate(want):
+        assert dict(zip(tf[k].indices.tolist(), tf[k].values.tolist())) == {at[code[g]]: n for g, n in c.items() if code[g] in at}
+    assert tf[9].numNonzeros() == 0 and np.all(words[1:] > words[:-1])
+
+
+def test_reward_of_a_row_without_text(spark, tmp_path):
+    rows = [(k, f"good answer with reasons {k}", 1) for k in range(20)] + [(k, f"zzz qqq xxx {k}", 0) for k in range(20, 40)] + [(40, None, 0)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    model = preference.reward_model(df, features=500)
+    got = {r.id: r.probability[1] for r in model.transform(df).collect()}
+    assert len(got) == 41 and min(got[k] for k in range(20)) > max(got[k] for k in range(20, 40))
+    model.save(str(tmp_path / "model"))
+    assert {r.id: r.probability[1] for r in preference.RewardModel.load(str(tmp_path / "model")).transform(df).collect()} == got
