@@ -21,9 +21,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: States kept by a worker, and pieces whose tokens it remembers (those of 40 MB of prose are 0.5 million); beyond these it starts anew.
+#: States kept by a worker, and pieces whose tokens it remembers (twice so many with the older half; 40 MB of prose have 0.5 million); beyond these it starts anew.
 MAX_STATES = 130_000
-MAX_PIECES = 400_000
+MAX_PIECES = 200_000
 MAX_PAIRS = 200_000
 NONE = -1
 #: Bytes of a piece from which it is streamed; ids that are decoded at once.
@@ -57,7 +57,7 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token[node] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.made: dict[int, tuple[int, int] | None] = {}
         self.sizes = np.zeros(max(self.text) + 1, np.int64)
         for i, t in self.text.items():
@@ -67,11 +67,17 @@ class Transducer:
         self._restart()
 
     def _restart(self) -> None:
-        #: A state: the open places (trie node, token that ends there), the longest first; the start has one at the root after no token.
-        self.ids: dict[tuple, int] = {((0, NONE),): 0}
-        self.states: list[tuple] = [((0, NONE),)]
-        self.moves = np.full((1024, max(64, self.columns)), NONE, np.int32)
-        self.last = np.full(1024, NONE, np.int32)
+        #: A state: the open places (trie node, token that ends there), the longest first, as packed integers; the start has one at the root after no token.
+        start = array("i", (0, NONE)).tobytes()
+        self.ids: dict[bytes, int] = {start: 0}
+        self.states: list[bytes] = [start]
+        #: 0: not made yet, for no move leads back to the start. Memory is taken as rows are first written, and none is copied while they suffice.
+        self.moves = np.zeros((MAX_STATES + 1024, max(64, self.columns)), np.int32)
+        self.last = np.full(MAX_STATES + 1024, NONE, np.int32)
+
+    def _places(self, state: int) -> list[tuple[int, int]]:
+        flat = memoryview(self.states[state]).cast("i").tolist()
+        return list(zip(flat[::2], flat[1::2]))
 
     def merge(self, piece: bytes) -> list[int]:
         """The encoding by merges, lowest rank first: the definition, for short byte strings."""
@@ -116,7 +122,7 @@ class Transducer:
             return False
         if left == NONE:
             return True
-        key = (left, right)
+        key = left << 32 | right
         if key in self.pairs:
             return self.pairs[key]
         text, x, y, until_x, until_y, ok = self.text, left, right, None, None, True
@@ -139,22 +145,22 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> int:
         ends, places = NONE, []
-        for node, before in self.states[state]:
+        for node, before in self._places(state):
             nxt = self.trie[node].get(byte)
             if nxt is None:
                 continue
             if ends == NONE and (t := self.token[nxt]) != NONE and self._follows(before, t):
                 ends = t
             if self.trie[nxt]:
-                places.append((nxt, before))
-        key = (*places, (0, ends))
+                places += (nxt, before)
+        key = array("i", (*places, 0, ends)).tobytes()
         to = self.ids.get(key)
         if to is None:
             to = self.ids[key] = len(self.states)
             self.states.append(key)
             if to >= len(self.moves):
                 more = max(1024, len(self.moves) // 4)
-                self.moves = np.concatenate([self.moves, np.full((more, self.moves.shape[1]), NONE, np.int32)])
+                self.moves = np.concatenate([self.moves, np.zeros((more, self.moves.shape[1]), np.int32)])
                 self.last = np.concatenate([self.last, np.full(more, NONE, np.int32)])
             self.last[to] = ends
         self.moves[state, self.column[byte]] = to
@@ -195,14 +201,14 @@ class Transducer:
                 state = self.ids.setdefault(key, len(self.states))
                 if state == len(self.states):
                     self.states.append(key)
-                    self.last[state] = key[-1][1]
+                    self.last[state] = self._places(state)[-1][1]
             self._seat(np.array([byte], np.uint8))
             nxt = int(self.moves[state, self.column[byte]])
-            state = self._move(state, byte) if nxt == NONE else nxt
+            state = nxt or self._move(state, byte)
             pos += 1
-            last[pos] = int(self.states[state][-1][1])
+            last[pos] = int(self.last[state])
             if pos - sure >= 2 * longest:
-                points = {pos - self.depth[node] for node, _ in self.states[state]}
+                points = {pos - self.depth[node] for node, _ in self._places(state)}
                 while len(points) > 1:
                     far = max(points)
                     points.remove(far)
@@ -240,7 +246,10 @@ class Transducer:
             self.column[b] = self.columns
             self.columns += 1
         if self.columns > self.moves.shape[1]:
-            self.moves = np.concatenate([self.moves, np.full((len(self.moves), 32 * -(-(self.columns - self.moves.shape[1]) // 32)), NONE, np.int32)], axis=1)
+            n, wide = len(self.states), self.moves.shape[1]
+            more = np.zeros((len(self.moves), 32 * -(-self.columns // 32)), np.int32)
+            more[:n, :wide] = self.moves[:n]
+            self.moves = more
         return self.column[data]
 
     def _encode_group(self, pieces: list[bytes], group: list[int], out: list) -> None:
@@ -255,7 +264,7 @@ class Transducer:
             byte = data[start[:n] + pos]
             seat = seats[start[:n] + pos]
             nxt = self.moves[state[:n], seat]
-            new = np.flatnonzero(nxt == NONE)
+            new = np.flatnonzero(nxt == 0)
             if len(new):
                 for key in {(a, b) for a, b in zip(state[new].tolist(), byte[new].tolist())}:
                     self._move(*key)
@@ -443,6 +452,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                     ],
                     ["id", "tokens", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+            del batch, texts
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {kind}, tokens array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"

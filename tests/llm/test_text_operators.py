@@ -162,6 +162,16 @@ def test_bpe_remembers_a_worker_s_usual_words(monkeypatch):
     assert len(met) == len(words)
 
 
+def test_bpe_worker_memory_is_bounded(monkeypatch):
+    own = bpe.Codec(PATH, public_tokenizers.PATTERN)
+    monkeypatch.setattr(own.transducer, "encode_pieces", lambda pieces: [[0]] * len(pieces))
+    most = 0
+    for k in range(10):
+        own.learn({f"w{i}" for i in range(k * 100_000, (k + 1) * 100_000)})
+        most = max(most, len(own.pieces) + len(own.older))
+    assert most <= 400_000
+
+
 def test_bpe_streaming_decode():
     text = "héllo 漢字 😀 \U0010ffff\ud7ff" * 20
     ids = np.array(CODEC.encode([text])[0][1])
