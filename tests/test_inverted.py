@@ -193,3 +193,36 @@ def test_chunk_search_by_hand(spark):
                 r["score"] -= sum(v for c_, v in {"dedupe_key": 0.35, "entity": 0.04, "chunk_type": 0.02}.items() if r[c_] == pick[c_])
         assert sorted(got[name]) == want
     assert S.FUSION["vector"] == 0.20
+
+
+def test_boosts_in_one_reading_are_the_column_rules(spark):
+    """``scan.boosted`` against the boosts as column expressions over all pairs, and one row of scores for each document against ``fused``."""
+    from marlstone.operators import scan as C
+    from marlstone.operators import search as S
+
+    rng = random.Random(11)
+    words = ["khoa", "toan hoc", "ha noi", "nam dinh", "hieu truong", "pho", "email", "lien he", "thanh lap", "ab", "hoc phan", "day mon", "nganh nao", "x", "duoc thanh lap", "xem", "tien than"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    kinds = ["contact", "history", "overview", "fact", "teaching", None]
+    chunks = [(f"d{i}", some(12), some(2), rng.choice(["khoa toan hoc", "phong ", "ha noi", "", "ab x", "truong pho ab"]).strip(), kinds[i % 6], rng.choice(["faculty", "en", None]), i % 7 / 100,
+               [some(rng.randint(1, 2)) for _ in range(6)] + ["ab x"], [{"term": "khoa", "weight": 0.4}, {"term": "noi", "weight": 2.0}][: i % 3], [{"query_id": f"q{j}", "score": 0.0} for j in range(8)]) for i in range(40)]
+    d = spark.createDataFrame(chunks, "id string, body string, title string, entity string, chunk_type string, domain string, base double, terms array<string>, keywords array<struct<term: string, weight: double>>, given array<struct<query_id: string, score: double>>")
+    asks = [(f"q{j}", some(rng.randint(1, 5)), ["khoa", "noi"][: j % 3]) for j in range(8)]
+    q = spark.createDataFrame(asks, "query_id string, query string, asked array<string>")
+    intents, topics = {"contact": S.INTENT_MARKS["contact"], "history": (0.1, ("lap",))}, S.TOPIC_MARKS
+    norms = {n: 1.7 for n, _, _ in asks}
+    got = {(r.query_id, r.id): r.score for r in C.boosted(d, q, [n for n, _, _ in asks], {}, norms, 99, S.PREFIXES, S.TYPE_MARKS, intents, topics, S.CONTRAST).collect()}
+    both = S.contrast_boost(d.crossJoin(q).withColumn("text", F.col("body")), S.CONTRAST)
+    x = F.col
+    word = F.aggregate(F.filter("keywords", lambda t: F.array_contains(x("asked"), t.term)), F.lit(0.0), lambda a, t: a + t.weight) / 1.7
+    score = x("base") + x("contrast") + S.field_boost(F.split("query", " "), x("title"), x("chunk_type"), x("entity"), x("body")) + S.entity_boost(x("query"), x("entity")) + S.type_boost(x("query"), x("chunk_type"))
+    score = score + S.metadata_boost(x("query"), x("terms"), F.array("chunk_type"), F.array("domain"), intents, topics) + F.least(F.lit(0.22), 0.22 * word)
+    want = {(r.query_id, r.id): r.score for r in both.select("query_id", "id", score.alias("score")).collect()}
+    assert len(got) == 320 and got == pytest.approx(want, abs=1e-9)
+
+    d, q = tables(spark, [(i, some(9)) for i in range(50)], [(f"q{j}", some(2)) for j in range(5)])
+    index = V.build(d, T.alnum_tokens("text", 2), "doc_id", 2, True)
+    names, weights = [f"q{j}" for j in range(6)], {"tfidf": 0.3, "bm25": 0.2}
+    rows = V.fused_vectors(index, q, T.alnum_tokens("query", 2), weights, names).collect()
+    own = {(n, r.id): s for r in rows for n, s in zip(names, np.frombuffer(r.scores).tolist()) if s == s}
+    assert own and own == pytest.approx({(r.query_id, r.id): r.score for r in V.fused(index, q, T.alnum_tokens("query", 2), None, weights).collect()}, abs=1e-9)
