@@ -1,12 +1,17 @@
 """Work that copies and long tables made grow: results stay, less moves."""
 
+from pathlib import Path
+
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import entities, index, inverted
 from marlstone.plans import corpus
+from marlstone.sources import tables
 
 
 def test_adaptive_chunks_keep_the_mark_that_ends_a_sentence(spark, tmp_path):
@@ -41,3 +46,22 @@ def test_keywords_of_some_documents_are_those_among_all(spark):
     every = sorted(tuple(r) for r in index.keyword_weights(docs, T.keyword_terms("text")).collect())
     some = index.keyword_weights(docs, T.keyword_terms("text"), only=spark.createDataFrame([(3,), (3,), (9,)], "id long"))
     assert sorted(tuple(r) for r in some.collect()) == [r for r in every if r[0] == 3]
+
+
+def test_long_rows_go_to_python_and_to_files_a_few_at_a_time(spark):
+    rows = spark.range(12).repartition(1).withColumn("blob", F.expr("unhex(array_join(transform(sequence(1, 32768), i -> sha2(concat(id, ':', i), 256)), ''))"))
+    table = tables.stored(rows, "rows", True)
+    files = [pq.ParquetFile(f).metadata for f in Path(table.stored_path.removeprefix("file:")).glob("*.parquet")]
+    assert max(m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)) <= 5  # one group before
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    before = spark.conf.get(tables._LIMIT)
+    met = tables.stored(spark.read.parquet(table.stored_path).coalesce(1).mapInArrow(sizes, "n long"), "sizes")
+    assert max(r.n for r in met.collect()) <= 5 and spark.conf.get(tables._LIMIT) == before
+    assert met.agg(F.sum("n")).first()[0] == 12
+    with pytest.raises(ZeroDivisionError), tables.small_batches(spark):
+        1 / 0
+    assert spark.conf.get(tables._LIMIT) == before
