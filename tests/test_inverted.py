@@ -226,3 +226,28 @@ def test_boosts_in_one_reading_are_the_column_rules(spark):
     rows = V.fused_vectors(index, q, T.alnum_tokens("query", 2), weights, names).collect()
     own = {(n, r.id): s for r in rows for n, s in zip(names, np.frombuffer(r.scores).tolist()) if s == s}
     assert own and own == pytest.approx({(r.query_id, r.id): r.score for r in V.fused(index, q, T.alnum_tokens("query", 2), None, weights).collect()}, abs=1e-9)
+
+
+@pytest.mark.parametrize("tokens", [1 << 18, 90])
+def test_many_queries_at_once_find_what_each_finds_alone(spark, monkeypatch, tokens):
+    monkeypatch.setattr(V, "TOKENS", tokens)
+    monkeypatch.setattr(V, "STEP", 300)  # some queries at a time
+    docs, queries = corpus(11)
+    docs += [(i + 10_000, "common " + (docs[i][1] or "")) for i in range(len(docs))]  # a word that most have: weights may be 0 or less
+    queries = [(f"{name}-{k}", f"{text} {'common' if k % 3 == 0 else ''}" if k else text) for name, text in queries for k in range(5)] + [("only", "common"), ("none", "nowhere"), ("blank", "")]
+    d, q = tables(spark, docs, queries)
+    index = V.build(d, T.alnum_tokens("text"), "doc_id", grams=2, norms=True)
+    weights = {"tfidf": 0.28, "overlap": 0.18, "bm25": 0.18}
+
+    def found():
+        one = [ranked(V.search(index, q, T.alnum_tokens("query"), 6, s)) for s in weights]
+        spans = {(r.query_id, r.signal): (r.high, r.low) for r in V.ranges(index, q, T.alnum_tokens("query"), tuple(weights)).collect()}
+        return *one, ranked(V.fused(index, q, T.alnum_tokens("query"), 6, weights)), spans
+
+    monkeypatch.setattr(V, "MANY", 1 << 30)
+    alone = found()
+    met = []
+    monkeypatch.setattr(V, "_over_flat", lambda *a, f=V._over_flat: met.append(a[2]) or f(*a))
+    monkeypatch.setattr(V, "MANY", 2)
+    assert len(queries) > 32 and found() == alone and len(met) == 6 and len(alone[3]) > 32
+    index.release()
