@@ -140,3 +140,22 @@ def test_question_text_makes_a_positive(spark):
     rows = spark.createDataFrame([("in the question", "", "", "", "hoc phi nganh"), ("nowhere", "x", "y", "z", "w")], "id string, title_n string, entity_n string, body string, question_n string")
     got = retriever_data.positive_match(rows, F.array(F.lit("phi"), F.lit("la"), F.lit("the")), ("the",)).collect()
     assert [r.id for r in got] == ["in the question"]
+
+
+def test_lsa_holds_nothing_of_the_vocabulary_and_is_the_full_decomposition(spark, monkeypatch):
+    monkeypatch.setattr("pyspark.mllib.linalg.distributed.RowMatrix", None)  # its solver's vectors are as long as the vocabulary
+    monkeypatch.setattr(index, "POSTINGS", 900)
+    monkeypatch.setattr(index, "STEP", 50)
+    monkeypatch.setattr(index, "SLICE", 70)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) if x < 500) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.id: np.array(r.vector) for r in index.lsa_vectors(docs, F.split("text", " "), "doc_id", rank=6).collect()}
+    words = sorted({w for t in texts for w in t.split()})
+    tf = np.array([[t.split().count(w) for w in words] for t in texts], float)
+    a = tf * (np.log((1 + len(texts)) / (1 + (tf > 0).sum(0))) + 1)
+    a /= np.sqrt((a * a).sum(1))[:, None]
+    u, s, _ = np.linalg.svd(a, full_matrices=False)
+    want = u[:, :6] * s[:6]
+    want /= np.sqrt((want * want).sum(1))[:, None]
+    assert np.allclose(np.abs(np.array([got[i] for i in range(len(texts))])), np.abs(want), atol=1e-6)
