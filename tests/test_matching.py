@@ -70,3 +70,15 @@ def test_shards_are_cut_by_tokens(spark, monkeypatch):
     monkeypatch.setattr(inverted, "TOKENS", 1 << 20)
     whole = inverted.build(docs, T.alnum_tokens("text"), grams=2, norms=True)
     assert got == [(r.id, round(r.score, 9)) for r in inverted.search(whole, queries, T.alnum_tokens("query"), 5, "tfidf").orderBy(F.desc(F.round("score", 9)), "id").collect()]
+
+
+def test_pairs_of_variants_that_score_too_little_are_not_written(spark, monkeypatch):
+    n = 60  # a word that all share is among the rarest: n * n pairs meet, none scores
+    t = spark.createDataFrame([(f"t{i}", f"same q{i}") for i in range(n)] + [("t", "same found here too")], "turn_id string, question string")
+    v = spark.createDataFrame([(f"r{i}", f"same v{i}") for i in range(n)] + [("r", "same found here now too")], "turn_id string, variant string")
+    r = v.select("turn_id", F.lit(True).alias("active"), F.lit("answer").alias("review_kind"))
+    written = []
+    stored = entities.stored
+    monkeypatch.setattr(entities, "stored", lambda df, name="table": (out := stored(df, name), written.append(out.count()))[0])
+    got = [(x.turn_id, x.review_turn, x.score) for x in entities.variant_match(t, r, v, 0.9).collect()]
+    assert got == [("t", "r", 1.0)] and max(written) < n * n / 4
